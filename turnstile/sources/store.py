@@ -22,6 +22,12 @@ RAW_RECORD_SCHEMA = T.StructType([
 
 
 # ------------------------------------------------------------------ S1/S2
+def _source_name() -> Column:
+    """Store name = parent folder + file name of the scanned file (a store
+    written by Spark is a folder of part files)."""
+    return F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+/)?[^/]+$", 0)
+
+
 def read_store(spark: SparkSession, paths: str | list[str], *, jsonl: bool = False,
                with_source: bool = True) -> DataFrame:
     """Records of one or more conversation stores as rows.
@@ -35,14 +41,14 @@ def read_store(spark: SparkSession, paths: str | list[str], *, jsonl: bool = Fal
     if jsonl:
         df = spark.read.schema(S.RECORD_STRUCT).json(paths)
         rec = df.select(F.struct(*[F.col(c) for c in df.columns]).alias("r"),
-                        F.col("_metadata.file_name").alias("source"))
+                        _source_name().alias("source"))
     else:
         df = (spark.read.schema(S.STORE_SCHEMA).option("multiLine", True).json(paths)
               .select(F.when(F.col("conversations").isNull(),
                              F.raise_error(F.concat(F.lit("store has no 'conversations' key: "),
                                                     F.col("_metadata.file_name"))))
                       .otherwise(F.col("conversations")).alias("conversations"),
-                      F.col("_metadata.file_name").alias("source")))
+                      _source_name().alias("source")))
         rec = df.select(F.explode("conversations").alias("key", "r"), "source") \
             .withColumn("r", F.col("r").withField("request_id", F.coalesce(
                 F.col("r.request_id"), F.col("key"))))
