@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import analysis_queries, detection_queries, explore_queries, grid_queries  # noqa: F401
+from . import analysis_queries, detection_queries, explore_queries, grid_queries, stream_queries  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 
