@@ -128,3 +128,11 @@ def auc_heatmap(scores: DataFrame, row_col: str, col_col: str) -> DataFrame:
 def heatmap_matrix(heat: DataFrame, row_col: str, col_col: str, col_values: list[str]) -> DataFrame:
     """Presentation pivot with explicit column values (no extra job)."""
     return heat.groupBy("scenario", row_col).pivot(col_col, col_values).agg(F.first("auc"))
+
+
+def check_scenarios(names) -> list[str]:
+    """Unknown scenario names raise."""
+    bad = [n for n in names if n not in S.SCENARIOS]
+    if bad:
+        raise ValueError(f"unknown scenario {bad[0]!r}; choose from {S.SCENARIOS}")
+    return list(names)

@@ -180,3 +180,12 @@ def malformed_records(records: DataFrame) -> DataFrame:
                .when(F.size(bad_turns) > 0,
                      F.concat(F.lit("bad turn fields: "), F.array_join(F.array_sort(bad_turns), ","))))
     return records.withColumn("malformed_reason", reason)
+
+
+def meta_conv_join(meta: DataFrame, conversations: DataFrame,
+                   key: str = "request_id") -> tuple[DataFrame, DataFrame]:
+    """Metadata ⋈ conversations (extra conversations ignored) and the
+    violations — metadata ids without a conversation (strict mode raises)."""
+    ids = conversations.select(key).distinct()
+    return (meta.join(conversations, key, "inner"),
+            meta.select(key).join(ids, key, "left_anti"))

@@ -321,3 +321,14 @@ def stance_catalogue(spark, sf):
 
 
 __all__ = ["short_label"]
+
+
+@query("meta_conv_join", with_fixture("""
+SELECT m.request_id, count(*) AS n_turns, any_value(m.detection_status) AS detection_status
+FROM fx_meta m JOIN fx_rows r USING (conv_id) GROUP BY m.request_id"""))
+def meta_conv_join(spark, sf):
+    d = model(spark, sf).domain
+    joined, _missing = V.meta_conv_join(d.meta.select("request_id", "detection_status"),
+                                        d.all_turns.select("request_id", "turn_index"))
+    return joined.groupBy("request_id").agg(F.count(F.lit(1)).alias("n_turns"),
+                                            F.first("detection_status").alias("detection_status"))
