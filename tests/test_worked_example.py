@@ -96,7 +96,7 @@ def test_combined_and_scores(facts):
     _, _, conv, core, _ = facts
     comb = {r.stance: r for r in FX.combined_first(core).collect()}
     assert (comb["balanced"].first_prediction_turn, comb["balanced"].lead) == (3, -1)
-    sc = {(r.scenario, r.stance): r.score for r in R.scenario_scores(conv, core).collect()}
+    sc = {(r.scenario, r.stance): r.score for r in R.scenario_scores(conv, FX.stance_firsts(facts[1])).collect()}
     assert sc[("se_detection", "balanced")] == 1
     assert sc[("se_prevention", "balanced")] == 0
     assert sc[("pv_detection", "balanced")] == 1

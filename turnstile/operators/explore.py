@@ -26,7 +26,7 @@ def dimension_values(meta: DataFrame, dims: tuple[str, ...]) -> DataFrame:
 
 def template_options(template_dims: DataFrame, dim_values: DataFrame) -> DataFrame:
     """P25: template → visible fields and their option labels ``key: value[:60]``."""
-    return template_dims.join(F.broadcast(dim_values), "dimension").select(
+    return template_dims.join(dim_values, "dimension").select(
         "template", "field", "key",
         F.concat(F.col("key"), F.lit(": "), F.left(F.col("value"), F.lit(60))).alias("label"))
 

@@ -209,3 +209,17 @@ def stance_concordance(detections: DataFrame) -> DataFrame:
     return per_turn.groupBy("request_id", "objective").agg(
         F.count_if("agree").alias("stance_concordant_turns"),
         F.count_if(~F.col("agree")).alias("stance_discordant_turns"))
+
+
+def stance_firsts(detections: DataFrame) -> DataFrame:
+    """Per (conversation, stance): first SE fire, first and last PV fire —
+    one aggregation feeding the scenario scores (A23/J9) and flow edges."""
+    d = detections.filter(eligible(F.col("objective"), F.col("turn_index")))
+    t = F.col("turn_index")
+    fired = F.col("pred") == 1
+    se = F.col("objective") == "social_engineering"
+    pv = F.col("objective") == "policy_violation"
+    return d.groupBy("request_id", "stance").agg(
+        F.min(F.when(se & fired, t)).alias("se_first"),
+        F.min(F.when(pv & fired, t)).alias("pv_first"),
+        F.max(F.when(pv & fired, t)).alias("pv_last"))

@@ -225,17 +225,15 @@ def pre_at_post_mean(det_facts: DataFrame) -> DataFrame:
                       F.coalesce("n_conversations", F.lit(0)).alias("n_conversations"))
 
 
-def flow_edges(conv_facts: DataFrame, det_facts: DataFrame) -> DataFrame:
+def flow_edges(conv_facts: DataFrame, firsts: DataFrame) -> DataFrame:
     """Conversation flow type → violation → SE fired → PV fired, per stance,
-    as edge counts (one stack + one group-by)."""
-    se = det_facts.filter(F.col("objective") == "social_engineering").select(
-        "request_id", "stance", F.col("first_prediction_turn").isNotNull().alias("se"))
-    pv = det_facts.filter(F.col("objective") == "policy_violation").select(
-        "request_id", "stance", F.col("first_prediction_turn").isNotNull().alias("pv"))
+    as edge counts (one stack + one group-by). ``firsts`` = facts.stance_firsts."""
+    f = firsts.select("request_id", "stance", F.col("se_first").isNotNull().alias("se"),
+                      F.col("pv_first").isNotNull().alias("pv"))
     c = conv_facts.select("request_id", "conversation_type",
                           (F.col("total_any_violation") > 0).alias("viol"),
                           F.explode(F.array(*[F.lit(s) for s in S.STANCES])).alias("stance"))
-    j = c.join(se, ["request_id", "stance"], "left").join(pv, ["request_id", "stance"], "left")
+    j = c.join(f, ["request_id", "stance"], "left")
 
     def lab(b: Column, yes: str, no: str) -> Column:
         return F.when(F.coalesce(b, F.lit(False)), F.lit(yes)).otherwise(F.lit(no))

@@ -21,29 +21,19 @@ def scenario_labels(conv_facts: DataFrame) -> DataFrame:
         (F.col("total_any_violation") > 0).cast("long").alias("y_violation"))
 
 
-def _key_cols(det_facts: DataFrame, objective: str, prefix: str) -> DataFrame:
-    return (det_facts.filter(F.col("objective") == objective)
-            .select("request_id", "stance",
-                    F.col("first_prediction_turn").alias(f"{prefix}_first"),
-                    F.col("last_prediction_turn").alias(f"{prefix}_last")))
-
-
-def scenario_scores(conv_facts: DataFrame, det_facts: DataFrame,
+def scenario_scores(conv_facts: DataFrame, firsts: DataFrame,
                     slice_cols: tuple[str, ...] = ()) -> DataFrame:
     """A23 + J9: one row per (conversation, scenario, stance) with y_true and
     the 0/1 score; ``slice_cols`` of ``conv_facts`` ride along as keys.
+    ``firsts`` = facts.stance_firsts (se_first, pv_first, pv_last).
 
     pv_detection is exact: the detector fired at or after the first
     violation iff its *last* fire turn is ≥ that turn (J9 as one max()).
     """
-    se = _key_cols(det_facts, "social_engineering", "se")
-    pv = _key_cols(det_facts, "policy_violation", "pv")
     c = conv_facts.select("request_id", "conversation_type", "total_any_violation",
                           "first_violation_turn__any", *slice_cols)
     stances = F.explode(F.array(*[F.lit(x) for x in S.STANCES])).alias("stance")
-    j = (c.select("*", stances)
-         .join(se, ["request_id", "stance"], "left")
-         .join(pv, ["request_id", "stance"], "left"))
+    j = c.select("*", stances).join(firsts, ["request_id", "stance"], "left")
     fv = F.col("first_violation_turn__any")
     se_f, pv_f, pv_l = F.col("se_first"), F.col("pv_first"), F.col("pv_last")
     y_se = (F.col("conversation_type") == S.THREAT).cast("long")
@@ -78,36 +68,39 @@ def operating_points(scores: DataFrame, slice_cols: tuple[str, ...] = ()) -> Dat
                                              F.nullif(F.col("n_negative_conversations"), F.lit(0)))))
 
 
-def auc_from_points(points: DataFrame, group_cols: tuple[str, ...]) -> DataFrame:
-    """(0,0) + valid points sorted by (fpr, tpr) + (1,1), trapezoid rule.
+def _trapezoid(points: Column) -> Column:
+    """AUC of (0,0) + valid points sorted by (fpr, tpr) + (1,1), trapezoid rule,
+    on an array of struct(fpr, tpr) — at most one point per stance."""
+    valid = F.filter(points, lambda p: p["fpr"].isNotNull() & p["tpr"].isNotNull())
+    zero = F.struct(F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
+    one = F.struct(F.lit(1.0).alias("fpr"), F.lit(1.0).alias("tpr"))
+    curve = F.concat(F.array(zero), F.array_sort(valid), F.array(one))
+    idx = F.sequence(F.lit(1), F.size(curve) - 1)
+    seg = F.transform(idx, lambda i: (F.element_at(curve, i + 1)["fpr"] - F.element_at(curve, i)["fpr"])
+                      * (F.element_at(curve, i + 1)["tpr"] + F.element_at(curve, i)["tpr"]) / 2.0)
+    return F.aggregate(seg, F.lit(0.0), lambda acc, x: acc + x)
 
-    The window partitions hold at most (#stances + 2) rows.
-    """
-    valid = points.filter(F.col("fpr").isNotNull() & F.col("tpr").isNotNull()) \
-        .select(*group_cols, "fpr", "tpr")
-    groups = points.select(*group_cols).distinct()
-    ends = (groups.withColumn("e", F.explode(F.array(
-        F.struct(F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr")),
-        F.struct(F.lit(1.0).alias("fpr"), F.lit(1.0).alias("tpr")))))
-        .select(*group_cols, "e.fpr", "e.tpr"))
-    curve = valid.unionByName(ends)
-    w = Window.partitionBy(*group_cols).orderBy("fpr", "tpr")
-    seg = curve.select(*group_cols,
-                       ((F.col("fpr") - F.lag("fpr").over(w))
-                        * (F.col("tpr") + F.lag("tpr").over(w)) / 2.0).alias("area"))
-    return seg.groupBy(*group_cols).agg(F.coalesce(F.sum("area"), F.lit(0.0)).alias("auc"))
+
+def auc_from_points(points: DataFrame, group_cols: tuple[str, ...]) -> DataFrame:
+    """One aggregation per (scenario, slice) over its operating points."""
+    pts = F.collect_list(F.struct(F.col("fpr").cast("double").alias("fpr"),
+                                  F.col("tpr").cast("double").alias("tpr")))
+    return points.groupBy(*group_cols).agg(_trapezoid(pts).alias("auc"))
 
 
 def roc(scores: DataFrame, slice_cols: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """(operating points with auc, auc summary) for a scenario-score table."""
+    """(operating points with auc, auc summary) for a scenario-score table.
+    The AUC rides on each point row through a window over its (scenario,
+    slice) group — a handful of rows — instead of a join back."""
     pts = operating_points(scores, slice_cols)
     keys = ("scenario", *slice_cols)
-    auc = auc_from_points(pts, keys)
-    summary = (pts.groupBy(*keys).agg(
+    w = Window.partitionBy(*keys)
+    with_auc = pts.withColumn("auc", _trapezoid(F.collect_list(F.struct("fpr", "tpr")).over(w)))
+    summary = with_auc.groupBy(*keys).agg(
         F.first("n_positive_conversations").alias("n_positive_conversations"),
-        F.first("n_negative_conversations").alias("n_negative_conversations"))
-        .join(auc, list(keys)))
-    return pts.join(auc, list(keys)), summary
+        F.first("n_negative_conversations").alias("n_negative_conversations"),
+        F.first("auc").alias("auc"))
+    return with_auc, summary
 
 
 def canonical_order(label: Column, dimension: str) -> Column:

@@ -421,7 +421,7 @@ UNION ALL SELECT stance, v, s, count(*) FROM j GROUP BY 1, 2, 3
 UNION ALL SELECT stance, s, p, count(*) FROM j GROUP BY 1, 2, 3"""))
 def flow_edges(spark, sf):
     m = model(spark, sf)
-    return RP.flow_edges(m.conv_facts, m.det_core)
+    return RP.flow_edges(m.conv_facts, m.firsts)
 
 
 @query("emphasis_matrix", with_fixture(

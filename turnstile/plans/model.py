@@ -47,6 +47,10 @@ class Model:
     def det_facts(self) -> DataFrame:
         return FX.with_pre_at_post(self.det_core, self.domain.turns)
 
+    @cached_property
+    def firsts(self) -> DataFrame:
+        return FX.stance_firsts(self.domain.detections)
+
     @cached_property
     def combined(self) -> DataFrame:
         return FX.combined_first(self.det_core)
@@ -67,7 +71,7 @@ class Model:
 
     def scores(self, slice_cols: tuple[str, ...] = ()) -> DataFrame:
         base = self.conv if slice_cols else self.conv_facts
-        return R.scenario_scores(base, self.det_core, slice_cols)
+        return R.scenario_scores(base, self.firsts, slice_cols)
 
 
 _CACHE: dict[tuple[int, str], Model] = {}

@@ -75,10 +75,23 @@ def _label_paths(conv: Column, label: Column, sentence: Column, path: Column):
     return meta_key, sel_key, sentence
 
 
-def raw_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scan of the driver table, pruned to the three columns we use."""
-    return (spark.read.parquet(f"{sf_dir}/conversations.parquet")
-            .select("conv_id", F.col("turn").alias("turn_index"), F.col("text").alias("passage")))
+GROWTH = 1                 # replicate axis for volume benchmarks (1 = the table as is)
+REPLICA_STRIDE = 10_000_000
+
+
+def raw_turns(spark: SparkSession, sf_dir: str, growth: int | None = None) -> DataFrame:
+    """Scan of the driver table, pruned to the three columns we use. With
+    ``growth`` R > 1 every conversation is replicated R times under new ids
+    (conv_id + r × stride) — the replicate axis, generated map-side."""
+    df = (spark.read.parquet(f"{sf_dir}/conversations.parquet")
+          .select("conv_id", F.col("turn").alias("turn_index"), F.col("text").alias("passage")))
+    g = GROWTH if growth is None else growth
+    if g > 1:
+        df = (df.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(g - 1).cast("long")))
+                        .alias("_r"))
+              .select((F.col("conv_id") + F.col("_r") * REPLICA_STRIDE).alias("conv_id"),
+                      "turn_index", "passage"))
+    return df
 
 
 def turn_rows(raw: DataFrame) -> DataFrame:
@@ -232,7 +245,7 @@ class Domain:
     @cached_property
     def paths(self) -> dict[str, str]:
         from ..session import scratch_path
-        key = (self.spark.sparkContext.applicationId, self.sf_dir)
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, GROWTH)
         if key not in _INGESTED:
             _INGESTED[key] = ingest(self.spark, self.sf_dir, scratch_path(self.spark, "domain"))
         return _INGESTED[key]
