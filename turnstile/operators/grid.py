@@ -40,9 +40,18 @@ def stable_id(cols: list[Column] | tuple[Column, ...]) -> Column:
     return F.sha2(F.concat_ws("|", *[c.cast("string") for c in cols]), 256)
 
 
+MAX_VOCAB = 10_000
+
+
 def dimension_vocab(records: DataFrame) -> DataFrame:
-    """Distinct values per declared axis and flavors, one row per template."""
+    """Distinct values per declared axis and flavors, one row per template.
+    Each list is a dimension vocabulary; an axis with more than MAX_VOCAB
+    distinct values is not a dimension (free text) and fails the query."""
     axes = sorted({a for v in TEMPLATE_AXES.values() for a in v})
+    sizes = records.agg(*[F.count_distinct(a).alias(a) for a in axes + ["flavor"]]).first().asDict()
+    big = {k: v for k, v in sizes.items() if v > MAX_VOCAB}
+    if big:
+        raise ValueError(f"dimension vocabularies too large for a grid: {big}")
     return records.groupBy("prompt_template_key").agg(
         *[F.array_sort(F.collect_set(F.col(a).cast("string"))).alias(a) for a in axes],
         F.array_sort(F.collect_set("flavor")).alias("flavors"))

@@ -96,7 +96,11 @@ def list_length_violations(wide: DataFrame, n_col: str, list_cols: list[str],
 
 def label_leakage(labels: DataFrame, canonical: dict[str, tuple[str, ...]]) -> DataFrame:
     """P20: per target column, values outside the canonical set: distinct count
-    and the first 3 in sorted order. Only the leaked values are collected."""
+    and the first 3 in sorted order.
+
+    Nothing is collected: the 3 smallest come from three min() passes, each
+    partial-aggregated; the per-target side of each pass has one row per
+    target column (a fixed, tiny set), so broadcasting it is size-safe."""
     arr = F.array(*[F.struct(F.lit(c).alias("target"), F.col(c).alias("v")) for c in canonical])
     x = labels.select(F.explode(arr).alias("x")).select("x.target", "x.v")
     cond = None
@@ -104,23 +108,34 @@ def label_leakage(labels: DataFrame, canonical: dict[str, tuple[str, ...]]) -> D
         part = (F.col("target") == c) & ~F.col("v").isin(*vals)
         cond = part if cond is None else cond | part
     leaked = x.filter(cond).distinct()
-    return leaked.groupBy("target").agg(
-        F.count(F.lit(1)).alias("n_unrecognized"),
-        F.array_join(F.slice(F.array_sort(F.collect_list("v")), 1, 3), " | ").alias("first_values"))
-
-
-def dataset_summary(meta: DataFrame, label_col: str = "short_cialdini_emphasis") -> DataFrame:
-    """Per run label — conversations, kept, dropped, kept turn rows and
-    the sorted label values present (label cardinality is the canonical set
-    plus leaks, so the collected set stays small)."""
+    out = leaked.groupBy("target").agg(F.count(F.lit(1)).alias("n_unrecognized"),
+                                       F.min("v").alias("v1"))
+    prev = "v1"
+    for k in (2, 3):
+        nxt = (leaked.join(F.broadcast(out.select("target", prev)), "target")
+               .filter(F.col("v") > F.col(prev)).groupBy("target").agg(F.min("v").alias(f"v{k}")))
+        out = out.join(nxt, "target", "left")
+        prev = f"v{k}"
+    return out.select("target", "n_unrecognized",
+                      F.concat_ws(" | ", "v1", "v2", "v3").alias("first_values"))
+
+
+def dataset_summary(meta: DataFrame) -> DataFrame:
+    """Per run label — conversations, kept, dropped, kept turn rows."""
     kept = (F.col("detection_status") == S.STATUS_SUCCESS) & (F.col("n_e") == 0)
     return meta.groupBy(F.col("prompt_template_key").alias("run_label")).agg(
         F.count(F.lit(1)).alias("n_conversations"),
         F.count_if(kept).alias("n_kept"),
         F.count_if(~kept).alias("n_dropped"),
-        F.sum(F.when(kept, F.col("turn_count_value")).otherwise(0)).cast("long").alias("n_turn_rows"),
-        F.array_join(F.array_sort(F.collect_set(F.when(kept, F.col(label_col)))), ",")
-         .alias("emphasis_labels"))
+        F.sum(F.when(kept, F.col("turn_count_value")).otherwise(0)).cast("long").alias("n_turn_rows"))
+
+
+def dataset_labels(meta: DataFrame, label_col: str = "short_cialdini_emphasis") -> DataFrame:
+    """Label values present among kept conversations, as rows (no list)."""
+    kept = (F.col("detection_status") == S.STATUS_SUCCESS) & (F.col("n_e") == 0)
+    return meta.filter(kept).groupBy(F.col("prompt_template_key").alias("run_label"),
+                                     F.col(label_col).alias("label")) \
+        .agg(F.count(F.lit(1)).alias("n_conversations"))
 
 
 def stance_catalogue(det: DataFrame, order: tuple[str, ...]) -> DataFrame:

@@ -303,14 +303,19 @@ def alias_theta(spark, sf):
 SELECT prompt_template_key AS run_label, count(*) AS n_conversations,
   count(*) FILTER (WHERE detection_status = 'success' AND n_e = 0) AS n_kept,
   count(*) FILTER (WHERE NOT (detection_status = 'success' AND n_e = 0)) AS n_dropped,
-  CAST(sum(CASE WHEN detection_status = 'success' AND n_e = 0 THEN turn_count_value ELSE 0 END) AS BIGINT) AS n_turn_rows,
-  array_to_string(list_sort(list(DISTINCT short_cialdini_emphasis)
-                  FILTER (WHERE detection_status = 'success' AND n_e = 0)), ',') AS emphasis_labels
+  CAST(sum(CASE WHEN detection_status = 'success' AND n_e = 0 THEN turn_count_value ELSE 0 END) AS BIGINT) AS n_turn_rows
 FROM fx_meta GROUP BY 1"""))
 def dataset_summary(spark, sf):
+    return V.dataset_summary(model(spark, sf).domain.meta)
+
+
+@query("dataset_labels", with_fixture("""
+SELECT prompt_template_key AS run_label, short_cialdini_emphasis AS label, count(*) AS n_conversations
+FROM fx_meta WHERE detection_status = 'success' AND n_e = 0 GROUP BY 1, 2"""))
+def dataset_labels(spark, sf):
     m = model(spark, sf).domain.meta
     from .model import short_label_columns
-    return V.dataset_summary(m.select("*", *short_label_columns(m)))
+    return V.dataset_labels(m.select("*", *short_label_columns(m)))
 
 
 @query("stance_catalogue", with_fixture("""

@@ -301,3 +301,72 @@ def score_batch(spark, sf):
     scored = D.score_batch(req.join(tx, ["request_id", "turn_index"]))
     return scored.select("request_id", "turn_index", "objective", "stance", "prediction",
                          "p_detected", "p_not_detected", "latency_ms")
+
+
+# ---------------------------------------------------------------- sinks / views
+@query("sink_requests", with_fixture(GEN_SQL + """
+SELECT request_id, prompt_template_key, flavor, status, 'flavor: ' || flavor AS user_prompt FROM grid"""))
+def sink_requests(spark, sf):
+    """Request metadata written in declared column order, read back."""
+    from .grid_queries import gm
+    rows = G.render_prompts(gm(spark, sf).grid)
+    path = scratch_path(spark, "requests")
+    order = ["request_id", "prompt_template_key", "flavor", "status", "user_prompt", "system_prompt"]
+    ST.export_metadata(rows, path, order)
+    back = spark.read.parquet(path)
+    assert back.columns == order
+    return back.drop("system_prompt")
+
+
+@query("sink_named", with_fixture(
+    "SELECT scenario, count(*) AS n_points, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp "
+    "FROM (SELECT scenario, stance, count(*) FILTER (WHERE y_true = 1 AND score = 1) AS tp, "
+    "count(*) FILTER (WHERE y_true = 0 AND score = 1) AS fp FROM a_scores GROUP BY ALL) GROUP BY 1"))
+def sink_named(spark, sf):
+    """A named result table written and read back."""
+    pts, _ = R.roc(model(spark, sf).scores())
+    path = ST.write_named(pts, scratch_path(spark, "reports"), "operating_points")
+    return spark.read.parquet(path).groupBy("scenario").agg(
+        F.count(F.lit(1)).alias("n_points"), F.sum("tp").alias("tp"), F.sum("fp").alias("fp"))
+
+
+@query("views", with_fixture("""
+SELECT conversation_type, count(*) AS n_conversations, CAST(sum(total_any_violation) AS BIGINT) AS n_violation_turns
+FROM a_conv GROUP BY 1"""))
+def views(spark, sf):
+    """Facts registered as SQL views (list/map columns dropped) and queried."""
+    m = model(spark, sf)
+    ST.register_views(spark, m.conv, m.turn_table)
+    return spark.sql("SELECT conversation_type, count(*) AS n_conversations, "
+                     "sum(total_any_violation) AS n_violation_turns "
+                     "FROM conversations_facts GROUP BY conversation_type")
+
+
+_DEFECT = "(conv_id % 29 = 7 OR conv_id % 31 = 9 OR conv_id % 37 = 11 OR conv_id % 41 = 13 OR conv_id % 43 = 17)"
+
+
+@query("quarantine_split", with_fixture(f"""
+SELECT prompt_template_key, count(*) AS n_valid FROM fx_meta WHERE NOT {_DEFECT} GROUP BY 1"""))
+def quarantine_split(spark, sf):
+    """Split valid / malformed records; write the valid ones back as the
+    store (JSON Lines) and the malformed ones to a quarantine folder."""
+    from .grid_queries import malformed_input, parse_raw_records
+    raw = malformed_input(spark, sf)
+    checked = V.malformed_records(parse_raw_records(raw)).select("request_id", "malformed_reason")
+    split = raw.join(checked, "request_id")
+    base = scratch_path(spark, "quarantine")
+    split.filter(F.col("malformed_reason").isNull()).select("raw").write.text(f"{base}/valid")
+    split.filter(F.col("malformed_reason").isNotNull()).write.parquet(f"{base}/malformed")
+    back = spark.read.text(f"{base}/valid").select(
+        F.get_json_object("value", "$.selection.prompt_template_key").alias("prompt_template_key"))
+    return back.groupBy("prompt_template_key").agg(F.count(F.lit(1)).alias("n_valid"))
+
+
+@query("malformed_first10", with_fixture(f"""
+SELECT request_id FROM fx_meta WHERE {_DEFECT} ORDER BY request_id LIMIT 10"""))
+def malformed_first10(spark, sf):
+    """First-k diagnostics (the limit is the feature)."""
+    from .grid_queries import malformed_input, parse_raw_records
+    checked = V.malformed_records(parse_raw_records(malformed_input(spark, sf)))
+    return X.first_k(checked.filter(F.col("malformed_reason").isNotNull()).select("request_id"),
+                     10, ["request_id"])

@@ -74,14 +74,21 @@ def explode_turns(records: DataFrame, strict_keys: bool = True) -> DataFrame:
     return t
 
 
+MAX_DOCUMENT_RECORDS = 50_000
+
+
 def write_store(records: DataFrame, path: str, *, jsonl: bool = True, mode: str = "overwrite") -> None:
     """Write records. ``jsonl`` (default) writes splittable JSON Lines;
-    otherwise one keyed document per output file (coalesced to 1 file — only
-    for small exports compatible with the original tools)."""
+    otherwise one keyed document ``{"conversations": {id: record}}`` — a single
+    file, so the record count is checked first (export for the original
+    tools only, never the scale path)."""
     cols = [f.name for f in S.RECORD_STRUCT.fields if f.name in records.columns]
     if jsonl:
         records.select(*cols).write.mode(mode).json(path)
     else:
+        n = records.count()
+        if n > MAX_DOCUMENT_RECORDS:
+            raise ValueError(f"{n} records is too many for a single-document store; use jsonl")
         doc = records.select(F.map_from_entries(F.collect_list(F.struct(
             "request_id", F.struct(*cols)))).alias("conversations"))
         doc.coalesce(1).write.mode(mode).json(path)
