@@ -30,26 +30,46 @@ def short_label_columns(meta: DataFrame, normalizers: dict | None = None) -> lis
 
 
 class Model:
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    """Facts layer over the ingested domain tables. The conversation-, key-
+    and stance-grain facts are written once to the shared checkpoint folder
+    (``materialize=True``) and every report reads them back — the reports
+    never recompute the turn-level aggregations, and lineage is cut at a
+    durable table (an executor loss recomputes nothing upstream)."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, materialize: bool = True):
         self.spark = spark
         self.sf_dir = sf_dir
         self.domain = Domain(spark, sf_dir)
+        self.materialize = materialize
+
+    def _table(self, name: str, build) -> DataFrame:
+        if not self.materialize:
+            return build()
+        path = f"{self._facts_dir}/{name}"
+        build().write.mode("overwrite").parquet(path)
+        return self.spark.read.parquet(path)
+
+    @cached_property
+    def _facts_dir(self) -> str:
+        from ..session import scratch_path
+        return scratch_path(self.spark, "facts")
 
     @cached_property
     def conv_facts(self) -> DataFrame:
-        return FX.conversation_flag_facts(self.domain.turns)
+        return self._table("conv_facts", lambda: FX.conversation_flag_facts(self.domain.turns))
 
     @cached_property
     def det_core(self) -> DataFrame:
-        return FX.detection_facts(self.domain.detections, self.conv_facts)
+        return self._table("det_core",
+                           lambda: FX.detection_facts(self.domain.detections, self.conv_facts))
 
     @cached_property
     def det_facts(self) -> DataFrame:
-        return FX.with_pre_at_post(self.det_core, self.domain.turns)
+        return self._table("det_facts", lambda: FX.with_pre_at_post(self.det_core, self.domain.turns))
 
     @cached_property
     def firsts(self) -> DataFrame:
-        return FX.stance_firsts(self.domain.detections)
+        return self._table("firsts", lambda: FX.stance_firsts(self.domain.detections))
 
     @cached_property
     def combined(self) -> DataFrame:
@@ -57,8 +77,10 @@ class Model:
 
     @cached_property
     def labels(self) -> DataFrame:
-        m = self.domain.analysis_meta
-        return m.select("request_id", *short_label_columns(m))
+        def build():
+            m = self.domain.analysis_meta
+            return m.select("request_id", *short_label_columns(m))
+        return self._table("labels", build)
 
     @cached_property
     def conv(self) -> DataFrame:
@@ -74,12 +96,13 @@ class Model:
         return R.scenario_scores(base, self.firsts, slice_cols)
 
 
-_CACHE: dict[tuple[int, str], Model] = {}
+_CACHE: dict[tuple, Model] = {}
 
 
 def model(spark: SparkSession, sf_dir: str) -> Model:
-    """Per-session memo so queries share one logical DAG definition."""
-    key = (id(spark), sf_dir)
+    """Per-session memo so queries share one facts layer."""
+    from ..sources import fixture as FXT
+    key = (spark.sparkContext.applicationId, sf_dir, FXT.GROWTH)
     if key not in _CACHE:
         _CACHE[key] = Model(spark, sf_dir)
     return _CACHE[key]
