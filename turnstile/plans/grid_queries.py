@@ -119,7 +119,9 @@ _GM: dict = {}
 
 
 def gm(spark, sf) -> GridModel:
-    k = (id(spark), sf)
+    from ..session import session_key
+    from ..sources import fixture as FXT
+    k = (session_key(spark), sf, FXT.GROWTH)
     if k not in _GM:
         _GM[k] = GridModel(spark, sf)
     return _GM[k]

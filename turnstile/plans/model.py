@@ -101,8 +101,9 @@ _CACHE: dict[tuple, Model] = {}
 
 def model(spark: SparkSession, sf_dir: str) -> Model:
     """Per-session memo so queries share one facts layer."""
+    from ..session import session_key
     from ..sources import fixture as FXT
-    key = (spark.sparkContext.applicationId, sf_dir, FXT.GROWTH)
+    key = (session_key(spark), sf_dir, FXT.GROWTH)
     if key not in _CACHE:
         _CACHE[key] = Model(spark, sf_dir)
     return _CACHE[key]

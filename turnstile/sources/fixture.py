@@ -244,8 +244,8 @@ class Domain:
 
     @cached_property
     def paths(self) -> dict[str, str]:
-        from ..session import scratch_path
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, GROWTH)
+        from ..session import scratch_path, session_key
+        key = (session_key(self.spark), self.sf_dir, GROWTH)
         if key not in _INGESTED:
             _INGESTED[key] = ingest(self.spark, self.sf_dir, scratch_path(self.spark, "domain"))
         return _INGESTED[key]
