@@ -67,26 +67,33 @@ def decode_top10(df: DataFrame, col: str = "candidates", top_n: int = 10) -> Dat
     the top ``top_n`` with prob = bround(exp(logprob), 3); the first exact
     'Y'/'N' decides the prediction, else 'E'; p_Y / p_N come from the token
     lookup (last duplicate wins), default 0.0. A null list (failed call) → 'X'."""
-    indexed = F.transform(F.col(col), lambda x, i: F.struct(
-        x["token"].alias("token"), x["logprob"].alias("logprob"), i.alias("pos")))
-    ordered = F.array_sort(indexed, lambda a, b: F.when(a["logprob"] > b["logprob"], -1)
-                           .when(a["logprob"] < b["logprob"], 1)
-                           .otherwise(a["pos"] - b["pos"]))
+    # natural struct order (−logprob, position) = logprob desc, ties in input
+    # order; sort_array compiles natively (no interpreted comparator lambda)
+    keyed = F.transform(F.col(col), lambda x, i: F.struct(
+        (-x["logprob"]).alias("nlp"), i.alias("pos"), x["token"].alias("token"),
+        x["logprob"].alias("logprob")))
+    ordered = F.sort_array(keyed, asc=True)
     top = F.slice(ordered, 1, top_n)
     top10 = F.transform(top, lambda x: F.struct(
         x["token"].alias("token"), F.bround(F.exp(x["logprob"]), 3).alias("prob")))
-    yn = F.filter(top10, lambda x: x["token"].isin("Y", "N"))
+    failed = F.col(col).isNull()
+    # materialise top10 once as a column; the three derived fields read it by
+    # name (re-using the Column object would re-evaluate the sort per field)
+    out = df.drop("prediction", "p_detected", "p_not_detected").withColumn(
+        "top10", F.when(~failed, top10))
+    t10 = F.col("top10")
+    yn = F.filter(t10, lambda x: x["token"].isin("Y", "N"))
 
     def lookup(tok: str) -> Column:
-        hits = F.filter(top10, lambda x: x["token"] == tok)
+        hits = F.filter(t10, lambda x: x["token"] == tok)
         return F.coalesce(F.try_element_at(hits, F.lit(-1))["prob"], F.lit(0.0))
 
-    failed = F.col(col).isNull()
-    return (df.withColumn("top10", F.when(~failed, top10))
-              .withColumn("prediction", F.when(failed, F.lit("X"))
-                          .otherwise(F.coalesce(F.try_element_at(yn, F.lit(1))["token"], F.lit("E"))))
-              .withColumn("p_detected", F.when(~failed, lookup("Y")))
-              .withColumn("p_not_detected", F.when(~failed, lookup("N"))))
+    return out.select("*",
+                      F.when(failed, F.lit("X"))
+                       .otherwise(F.coalesce(F.try_element_at(yn, F.lit(1))["token"], F.lit("E")))
+                       .alias("prediction"),
+                      F.when(~failed, lookup("Y")).alias("p_detected"),
+                      F.when(~failed, lookup("N")).alias("p_not_detected"))
 
 
 def normalize_predictions(det: DataFrame, code_col: str = "code") -> DataFrame:

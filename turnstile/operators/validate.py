@@ -183,18 +183,20 @@ def malformed_records(records: DataFrame) -> DataFrame:
         want = F.when(i == 0, greeting).when(i % 2 == 1, caller).otherwise(rep)
         return (F.size(F.array_except(want, fields)) + F.size(F.array_except(fields, want))) > 0
 
-    bad_turns = F.map_keys(F.map_filter(tf, bad_turn))
+    # intermediate arrays become columns once; the reason chain reads them by name
+    staged = records.withColumns({
+        "_missing_top": missing_top, "_missing_sel": missing_sel, "_n": n,
+        "_key_diff": F.size(F.array_except(keys, expected)) + F.size(F.array_except(expected, keys)),
+        "_bad_turns": F.map_keys(F.map_filter(tf, bad_turn))})
+    mt, ms, bt = F.col("_missing_top"), F.col("_missing_sel"), F.col("_bad_turns")
     reason = (F.when(present.isNull(), F.lit("record is not an object"))
-               .when(F.size(missing_top) > 0,
-                     F.concat(F.lit("missing fields: "), F.array_join(F.array_sort(missing_top), ",")))
-               .when(F.size(missing_sel) > 0,
-                     F.concat(F.lit("selection missing: "), F.array_join(F.array_sort(missing_sel), ",")))
-               .when(n.isNull(), F.lit("turn_count is not an integer"))
-               .when(F.size(F.array_except(keys, expected)) + F.size(F.array_except(expected, keys)) > 0,
-                     F.lit("turn keys do not match turn_count"))
-               .when(F.size(bad_turns) > 0,
-                     F.concat(F.lit("bad turn fields: "), F.array_join(F.array_sort(bad_turns), ","))))
-    return records.withColumn("malformed_reason", reason)
+               .when(F.size(mt) > 0, F.concat(F.lit("missing fields: "), F.array_join(F.array_sort(mt), ",")))
+               .when(F.size(ms) > 0, F.concat(F.lit("selection missing: "), F.array_join(F.array_sort(ms), ",")))
+               .when(F.col("_n").isNull(), F.lit("turn_count is not an integer"))
+               .when(F.col("_key_diff") > 0, F.lit("turn keys do not match turn_count"))
+               .when(F.size(bt) > 0, F.concat(F.lit("bad turn fields: "), F.array_join(F.array_sort(bt), ","))))
+    return staged.withColumn("malformed_reason", reason).drop(
+        "_missing_top", "_missing_sel", "_n", "_key_diff", "_bad_turns")
 
 
 def meta_conv_join(meta: DataFrame, conversations: DataFrame,

@@ -65,9 +65,28 @@ def _pick(index: Column, values: tuple[str, ...]) -> Column:
 
 
 def _mix(k: int | str) -> Column:
+    """The fixture hash as written in FIXTURES.md (used for metadata-level rules)."""
     return F.expr(mix_expr("conv_id", "turn_index", str(k)))
 
 
+# The hash factorises: ((x + k·c) mod m) = ((x mod m) + (k·c mod m)) mod m, so
+# the two k-independent residues are computed once per row (_a, _b) and each
+# mix(k) is then two small additions — far smaller generated code than 66
+# full hash trees, which matters for whole-stage codegen.
+_A = "((conv_id*7919 + turn_index*104729) % 10007)"
+_B = "((conv_id*3571 + turn_index*15485863) % 10009)"
+
+
+def _mixk(k: int) -> Column:
+    return (((F.col("_a") + (k * 1299709) % 10007) % 10007)
+            * ((F.col("_b") + (k * 611953) % 10009) % 10009)) % 1000
+
+
+def _mixj(base: int, si: int) -> Column:
+    """mix(base + j) with j = 3 (caller / SE) or 0 (PV) by parity, plus stance."""
+    return F.when(F.col("turn_index") % 2 == 1, _mixk(base + 3 + si)).otherwise(_mixk(base + si))
+
+
 def _label_paths(conv: Column, label: Column, sentence: Column, path: Column):
     """(metadata key, selection key, raw text) for a label under a path 0/1/2."""
     meta_key = F.when(path == 0, label).when(path == 1, F.lit("  "))
@@ -95,12 +114,16 @@ def raw_turns(spark: SparkSession, sf_dir: str, growth: int | None = None) -> Da
 
 
 def turn_rows(raw: DataFrame) -> DataFrame:
-    """One row per (conversation, turn): typed flags (null off-speaker) and
-    the detector cells of that turn as an array of structs (map-side only)."""
+    """One row per (conversation, turn): typed flags (null off-speaker) plus
+    the turn's count of detector cells and of X / E codes (for the run
+    status roll-up). A projection of the scan; the hash residues are
+    computed once per row."""
     threat = F.col("conv_id") % 2 == 0
     t = F.col("turn_index")
     odd = t % 2 == 1
     rep_resp = (t >= 2) & (t % 2 == 0)
+    base = raw.select("*", F.expr(_A).alias("_a"), F.expr(_B).alias("_b"))
+    cid = F.col("conv_id")
     cols = [
         F.col("conv_id"),
         F.col("conv_id").cast("string").alias("request_id"),
@@ -110,42 +133,65 @@ def turn_rows(raw: DataFrame) -> DataFrame:
     ]
     for k, flag in enumerate(S.CALLER_FLAGS):
         rate = F.when(threat, CALLER_FLAG_RATE[0]).otherwise(CALLER_FLAG_RATE[1])
-        cols.append(F.when(odd, _mix(k) < rate).alias(flag))
+        cols.append(F.when(odd, _mixk(k) < rate).alias(flag))
     for k, flag in enumerate(S.VIOLATION_FLAGS):
         rate = F.when(threat, VIOLATION_FLAG_RATE[0]).otherwise(VIOLATION_FLAG_RATE[1])
-        cols.append(F.when(rep_resp, _mix(7 + k) < rate).alias(flag))
-    cols.append(_cells(threat, t).alias("cells"))
-    return raw.select(*cols)
-
-
-def _cells(threat: Column, t: Column) -> Column:
-    """The three stance cells of a turn (empty for the greeting)."""
-    objective = (F.when(t % 2 == 1, F.lit("social_engineering"))
-                  .when((t >= 2) & (t % 2 == 0), F.lit("policy_violation")))
+        cols.append(F.when(rep_resp, _mixk(7 + k) < rate).alias(flag))
+    # codes X / E depend only on (conversation, turn, stance): count them here
+    all_x = cid % 33 == 16
+    bal_x = (cid % 11 == 5) & (t == 1)
+    hp_e = (cid % 13 == 6) & (t % 5 == 3)
+    scored = t >= 1
+    n_x = F.when(scored & all_x, 3).when(scored & bal_x, 1).otherwise(0)
+    n_e = F.when(scored & ~all_x & hp_e, 1).otherwise(0)
+    cols += [F.when(scored, 3).otherwise(0).alias("n_cells_turn"), n_x.alias("n_x_turn"),
+             n_e.alias("n_e_turn")]
+    return base.select(*cols)
+
+
+def detection_rows(raw: DataFrame) -> DataFrame:
+    """The long detections table: one row per (turn ≥ 1, stance) — the three
+    stances come from a generator over a literal array, every cell field is a
+    scalar expression (no nested structs are built)."""
+    t = F.col("turn_index")
     cid = F.col("conv_id")
-    cells = []
-    for si, stance in enumerate(S.STANCES):
-        # key index j = objective offset (policy 0, social engineering 3) + stance
-        j = f"CASE WHEN turn_index % 2 = 1 THEN 3 ELSE 0 END + {si}"
-        thr = F.when(threat, FIRE_THRESHOLD[stance][0]).otherwise(FIRE_THRESHOLD[stance][1])
-        fires = _mix(f"(10 + {j})") < thr
-        x_code = (cid % 33 == 16) | ((cid % 11 == 5) & (t == 1) & F.lit(stance == "balanced"))
-        e_code = (cid % 13 == 6) & (t % 5 == 3) & F.lit(stance == "high_precision")
-        code = (F.when(x_code, F.lit("X")).when(e_code, F.lit("E"))
-                 .when(fires, F.lit("Y")).otherwise(F.lit("N")))
-        p_int = F.when(fires, 550).otherwise(50) + _mix(f"(40 + {j})") % 401
-        ok = ~x_code
-        cells.append(F.struct(
-            objective.alias("objective"),
-            F.lit(stance).alias("stance"),
-            code.alias("code"),
-            F.when(ok, p_int / 1000.0).alias("p_detected"),
-            F.when(ok, (1000 - p_int) / 1000.0).alias("p_not_detected"),
-            F.when(ok, (80 + _mix(f"(50 + {j})") % 721).cast("long")).alias("latency_ms"),
-            F.when(ok, (50 + _mix(f"(60 + {j})") % 351).cast("long")).alias("input_tokens"),
-            F.when(ok, F.lit(1).cast("long")).alias("output_tokens"),
-        ))
-    return F.filter(F.array(*cells), lambda c: t >= 1)
+    threat = cid % 2 == 0
+    base = (raw.filter(t >= 1)
+            .select("conv_id", "turn_index", F.expr(_A).alias("_a"), F.expr(_B).alias("_b"),
+                    F.explode(F.array(*[F.lit(i) for i in range(len(S.STANCES))])).alias("si")))
+    si = F.col("si")
+    stance = F.element_at(F.array(*[F.lit(x) for x in S.STANCES]), si + 1)
+    j = F.when(t % 2 == 1, 3).otherwise(0) + si
+
+    def mix(base_k: int) -> Column:
+        k = j + base_k
+        return (((F.col("_a") + (k * 1299709) % 10007) % 10007)
+                * ((F.col("_b") + (k * 611953) % 10009) % 10009)) % 1000
+
+    h = base.select("conv_id", "turn_index", stance.alias("stance"), "si",
+                    mix(10).alias("_fire"), mix(40).alias("_p"), mix(50).alias("_lat"),
+                    mix(60).alias("_tok"))
+    thr = F.element_at(F.when(threat, F.array(*[F.lit(FIRE_THRESHOLD[s][0]) for s in S.STANCES]))
+                       .otherwise(F.array(*[F.lit(FIRE_THRESHOLD[s][1]) for s in S.STANCES])),
+                       F.col("si") + 1)
+    fires = F.col("_fire") < thr
+    x_code = (cid % 33 == 16) | ((cid % 11 == 5) & (t == 1) & (F.col("stance") == "balanced"))
+    e_code = (cid % 13 == 6) & (t % 5 == 3) & (F.col("stance") == "high_precision")
+    code = (F.when(x_code, F.lit("X")).when(e_code, F.lit("E"))
+             .when(fires, F.lit("Y")).otherwise(F.lit("N")))
+    p_int = F.when(fires, 550).otherwise(50) + F.col("_p") % 401
+    ok = ~x_code
+    return h.select(
+        "conv_id", cid.cast("string").alias("request_id"), "turn_index",
+        F.when(t % 2 == 1, F.lit("social_engineering")).otherwise(F.lit("policy_violation"))
+         .alias("objective"),
+        "stance", code.alias("code"),
+        F.when(code == "Y", 1).when(code == "N", 0).cast("long").alias("pred"),
+        F.when(ok, p_int / 1000.0).alias("p_detected"),
+        F.when(ok, (1000 - p_int) / 1000.0).alias("p_not_detected"),
+        F.when(ok, (80 + F.col("_lat") % 721).cast("long")).alias("latency_ms"),
+        F.when(ok, (50 + F.col("_tok") % 351).cast("long")).alias("input_tokens"),
+        F.when(ok, F.lit(1).cast("long")).alias("output_tokens"))
 
 
 def conversation_meta(rows: DataFrame) -> DataFrame:
@@ -153,9 +199,9 @@ def conversation_meta(rows: DataFrame) -> DataFrame:
     aggregation map-side), then labels and run status as projections."""
     agg = rows.groupBy("conv_id").agg(
         F.count(F.lit(1)).alias("turn_count_value"),
-        F.sum(F.size("cells")).alias("n_cells"),
-        F.sum(F.size(F.filter("cells", lambda c: c["code"] == "X"))).alias("n_x"),
-        F.sum(F.size(F.filter("cells", lambda c: c["code"] == "E"))).alias("n_e"),
+        F.sum("n_cells_turn").alias("n_cells"),
+        F.sum("n_x_turn").alias("n_x"),
+        F.sum("n_e_turn").alias("n_e"),
         F.sum(F.length("passage")).alias("n_chars"),
     )
     cid = F.col("conv_id")
@@ -217,19 +263,26 @@ ANALYSIS = "analysis_set"
 
 def ingest(spark: SparkSession, sf_dir: str, out: str) -> dict[str, str]:
     """Derive the domain tables once and write them to ``out`` (a folder in the
-    shared checkpoint dir): ``meta`` (one row per conversation) and ``turns``
-    (one row per turn with its detector cells), partitioned by analysis-set
-    membership so analysis reads prune the quarantined conversations."""
-    rows = turn_rows(raw_turns(spark, sf_dir))
-    meta_path, turns_path = f"{out}/meta", f"{out}/turns"
-    conversation_meta(rows).write.mode("overwrite").parquet(meta_path)
-    meta = spark.read.parquet(meta_path)
+    shared checkpoint dir): ``meta`` (one row per conversation), ``turns`` (one
+    row per turn) and ``detections`` (one row per detector cell), the last two
+    partitioned by analysis-set membership so analysis reads prune the
+    quarantined conversations. Conversation attributes are attached with a
+    join on the conversation id (AQE broadcasts the narrow side when its
+    runtime size allows, and splits a hot conversation otherwise)."""
+    raw = raw_turns(spark, sf_dir)
+    rows = turn_rows(raw)
+    paths = {k: f"{out}/{k}" for k in ("meta", "turns", "detections")}
+    conversation_meta(rows).write.mode("overwrite").parquet(paths["meta"])
+    meta = spark.read.parquet(paths["meta"])
     m = meta.select(
         "conv_id", F.col("turn_count_value").alias("n_turns"),
         F.col("prompt_template_key").alias("conversation_type"), "detection_status", "n_e",
         ((F.col("detection_status") == S.STATUS_SUCCESS) & (F.col("n_e") == 0)).cast("int").alias(ANALYSIS))
-    rows.join(m, "conv_id").write.mode("overwrite").partitionBy(ANALYSIS).parquet(turns_path)
-    return {"meta": meta_path, "turns": turns_path}
+    rows.drop("n_cells_turn", "n_x_turn", "n_e_turn").join(m, "conv_id") \
+        .write.mode("overwrite").partitionBy(ANALYSIS).parquet(paths["turns"])
+    detection_rows(raw.select("conv_id", "turn_index")).join(m, "conv_id").drop("conv_id") \
+        .write.mode("overwrite").partitionBy(ANALYSIS).parquet(paths["detections"])
+    return paths
 
 
 _INGESTED: dict[tuple[str, str], dict[str, str]] = {}
@@ -263,7 +316,7 @@ class Domain:
     @cached_property
     def all_detections(self) -> DataFrame:
         """Long detector cells of every conversation (raw codes)."""
-        return detections_from_rows(self.all_turns)
+        return self.spark.read.parquet(self.paths["detections"])
 
     @cached_property
     def analysis_meta(self) -> DataFrame:
@@ -277,17 +330,5 @@ class Domain:
 
     @cached_property
     def detections(self) -> DataFrame:
-        return detections_from_rows(self.turns)
-
-
-def detections_from_rows(turns: DataFrame) -> DataFrame:
-    """Explode per-turn cells to the long detections table; pred from code."""
-    keep = [c for c in ("conversation_type", "n_turns") if c in turns.columns]
-    cell = F.explode("cells").alias("c")
-    return (turns.select("request_id", "turn_index", *keep, cell)
-            .select("request_id", "turn_index", *keep,
-                    "c.objective", "c.stance", "c.code",
-                    F.when(F.col("c.code") == "Y", 1).when(F.col("c.code") == "N", 0)
-                     .cast("long").alias("pred"),
-                    "c.p_detected", "c.p_not_detected", "c.latency_ms",
-                    "c.input_tokens", "c.output_tokens"))
+        """Analysis detector cells; partition-pruned."""
+        return self.all_detections.filter(F.col(ANALYSIS) == 1)
