@@ -300,3 +300,34 @@ def score_batch(requests: DataFrame, scorer: ScorerFn = lexical_scorer,
     scored = requests.select("request_id", "turn_index", "objective", "stance",
                              "transcript").mapInPandas(run, SCORE_SCHEMA)
     return decode_top10(scored)
+
+
+def score_turns(transcripts: DataFrame, stances: tuple[str, ...] = S.STANCES,
+                scorer: ScorerFn = lexical_scorer, concurrency: int | None = None) -> DataFrame:
+    """D1 without the request join: one row per scored turn (turn ≥ 1) with its
+    transcript crosses the Arrow boundary once; the (objective, stance)
+    requests of that turn are expanded inside the batch, so a transcript is
+    never copied per stance in the shuffle or the transfer."""
+    t = transcripts.filter(F.col("turn_index") >= 1).select("request_id", "turn_index", "transcript")
+    if concurrency:
+        t = t.repartition(concurrency, "request_id")
+    chosen = list(stances)
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in it:
+            n = len(b)
+            req = b.loc[b.index.repeat(len(chosen))].reset_index(drop=True)
+            req["stance"] = chosen * n
+            req["objective"] = ["social_engineering" if ti % 2 == 1 else "policy_violation"
+                                for ti in req["turn_index"].tolist()]
+            try:
+                out = scorer(req)
+            except Exception:  # noqa: BLE001 - per-call failure is data ('X')
+                out = pd.DataFrame({
+                    "request_id": req["request_id"], "turn_index": req["turn_index"],
+                    "objective": req["objective"], "stance": req["stance"],
+                    "candidates": [None] * len(req), "latency_ms": [None] * len(req),
+                    "input_tokens": [None] * len(req), "output_tokens": [None] * len(req)})
+            yield out
+
+    return decode_top10(t.mapInPandas(run, SCORE_SCHEMA))

@@ -296,9 +296,8 @@ def score_batch(spark, sf):
     """D1 (rows-only): J7 requests ⋈ W3 transcripts scored by the shipped
     lexical scorer through Arrow batches, decoded by P28."""
     d = model(spark, sf).domain
-    req = D.detector_requests(d.all_turns, D.stance_dim(spark))
     tx = D.transcript_prefix(d.all_turns.select("request_id", "turn_index", "passage"))
-    scored = D.score_batch(req.join(tx, ["request_id", "turn_index"]))
+    scored = D.score_turns(tx)
     return scored.select("request_id", "turn_index", "objective", "stance", "prediction",
                          "p_detected", "p_not_detected", "latency_ms")
 

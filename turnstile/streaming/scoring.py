@@ -198,11 +198,7 @@ def resumable_detection(spark: SparkSession, source_dir: str, results_dir: str,
     stream = reader.parquet(source_dir)
 
     def handle(batch: DataFrame, epoch: int) -> None:
-        turns = batch.withColumn("speaker", F.when(F.col("turn_index") % 2 == 1, F.lit("caller"))
-                                 .otherwise(F.lit("representative")))
-        req = D.detector_requests(turns, D.stance_dim(batch.sparkSession))
-        tx = D.transcript_prefix(turns)
-        scored = D.score_batch(req.join(tx, ["request_id", "turn_index"]))
+        scored = D.score_turns(D.transcript_prefix(batch))
         (scored.select(*RESULT_KEY, "prediction", "p_detected", "p_not_detected", "latency_ms")
          .write.mode("overwrite").parquet(f"{results_dir}/epoch={epoch}"))
 
