@@ -86,8 +86,3 @@ def mix_expr(conv: str, turn: str, k: int) -> str:
     fixture rule of FIXTURES.md §3, written as SQL both engines evaluate."""
     return (f"(((({conv}*7919 + {turn}*104729 + {k}*1299709) % 10007)"
             f" * (({conv}*3571 + {turn}*15485863 + {k}*611953) % 10009)) % 1000)")
-
-
-def r6(c: Column) -> Column:
-    """Round a double to 6 dp (engine-independent comparison)."""
-    return F.bround(c.cast("double"), 6)

@@ -16,11 +16,6 @@ from pyspark.sql import types as T
 
 from .. import schema as S
 
-RAW_RECORD_SCHEMA = T.StructType([
-    T.StructField("conversations", T.MapType(T.StringType(), T.StringType())),
-])
-
-
 # ------------------------------------------------------------------ S1/S2
 def _source_name() -> Column:
     """Store name = parent folder + file name of the scanned file (a store
@@ -249,8 +244,3 @@ def write_named(df: DataFrame, out_dir: str, name: str) -> str:
     path = f"{out_dir}/{name}"
     df.write.mode("overwrite").parquet(path)
     return path
-
-
-def key_col(df: DataFrame) -> Column:
-    """J3 helper: the id column is ``request_id`` or ``conversation_id``."""
-    return F.col("request_id") if "request_id" in df.columns else F.col("conversation_id")
