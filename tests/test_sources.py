@@ -105,3 +105,12 @@ def test_prompt_dimension_file(spark):
     _write(f"{d}/bad.json", {"flavors": []})
     with pytest.raises(ValidationError):
         DM.read_prompt_dims(spark, f"{d}/bad.json")
+
+
+def test_export_order_and_type_filter(spark):
+    from turnstile.operators.reports import type_filter
+    rows = spark.createDataFrame([("c",), ("a",), ("z",), ("b",)], "request_id string")
+    gen = spark.createDataFrame([("b", 0), ("c", 1)], "request_id string, ordinal long")
+    assert [r.request_id for r in ST.export_order(rows, gen).collect()] == ["b", "c", "a", "z"]
+    df = spark.createDataFrame([("t", "threat"), ("b", "benign")], "id string, conversation_type string")
+    assert type_filter(df, "combined").count() == 2 and type_filter(df, "threat").count() == 1

@@ -256,3 +256,10 @@ def emphasis_matrix(conv: DataFrame, emphasis_col: str = "short_cialdini_emphasi
     return t.groupBy(F.col(emphasis_col).alias("emphasis")).agg(
         F.count(F.lit(1)).alias("n_conversations"),
         *[F.avg(f"total_{c}").alias(f"mean_{c}") for c in S.CALLER_FLAGS])
+
+
+def type_filter(df: DataFrame, conversation_type: str, col: str = "conversation_type") -> DataFrame:
+    """P3: 'threat' / 'benign' filter; 'combined' = no filter."""
+    if conversation_type == "combined":
+        return df
+    return df.filter(F.col(col) == conversation_type)

@@ -244,3 +244,13 @@ def write_named(df: DataFrame, out_dir: str, name: str) -> str:
     path = f"{out_dir}/{name}"
     df.write.mode("overwrite").parquet(path)
     return path
+
+
+def export_order(rows: DataFrame, generation: DataFrame, key: str = "request_id",
+                 ordinal: str = "ordinal") -> DataFrame:
+    """Output in generation order first, then rows not in the generation
+    table (by id) — a range-partitioned global sort, no driver ordering."""
+    g = generation.select(key, F.col(ordinal).alias("_gen_ord"))
+    last = F.lit(2 ** 62)
+    return (rows.join(g, key, "left")
+            .orderBy(F.coalesce("_gen_ord", last), key).drop("_gen_ord"))
