@@ -347,17 +347,18 @@ _DEFECT = "(conv_id % 29 = 7 OR conv_id % 31 = 9 OR conv_id % 37 = 11 OR conv_id
 @query("quarantine_split", with_fixture(f"""
 SELECT prompt_template_key, count(*) AS n_valid FROM fx_meta WHERE NOT {_DEFECT} GROUP BY 1"""))
 def quarantine_split(spark, sf):
-    """Split valid / malformed records; write the valid ones back as the
-    store (JSON Lines) and the malformed ones to a quarantine folder."""
-    from .grid_queries import malformed_input, parse_raw_records
-    raw = malformed_input(spark, sf)
-    checked = V.malformed_records(parse_raw_records(raw)).select("request_id", "malformed_reason")
-    split = raw.join(checked, "request_id")
+    """Split valid / malformed records in one write (bucket=valid is the
+    store written back, bucket=malformed the quarantine)."""
+    from .grid_queries import parse_raw_records, raw_store
+    checked = V.malformed_records(parse_raw_records(raw_store(spark, sf)))
     base = scratch_path(spark, "quarantine")
-    split.filter(F.col("malformed_reason").isNull()).select("raw").write.text(f"{base}/valid")
-    split.filter(F.col("malformed_reason").isNotNull()).write.parquet(f"{base}/malformed")
-    back = spark.read.text(f"{base}/valid").select(
-        F.get_json_object("value", "$.selection.prompt_template_key").alias("prompt_template_key"))
+    # one pass: the split is a partition column of a single write
+    (checked.select("raw", "malformed_reason",
+                    F.when(F.col("malformed_reason").isNull(), F.lit("valid"))
+                    .otherwise(F.lit("malformed")).alias("bucket"))
+     .write.partitionBy("bucket").parquet(base))
+    back = spark.read.parquet(base).filter(F.col("bucket") == "valid").select(
+        F.get_json_object("raw", "$.selection.prompt_template_key").alias("prompt_template_key"))
     return back.groupBy("prompt_template_key").agg(F.count(F.lit(1)).alias("n_valid"))
 
 
@@ -365,7 +366,7 @@ def quarantine_split(spark, sf):
 SELECT request_id FROM fx_meta WHERE {_DEFECT} ORDER BY request_id LIMIT 10"""))
 def malformed_first10(spark, sf):
     """First-k diagnostics (the limit is the feature)."""
-    from .grid_queries import malformed_input, parse_raw_records
-    checked = V.malformed_records(parse_raw_records(malformed_input(spark, sf)))
+    from .grid_queries import parse_raw_records, raw_store
+    checked = V.malformed_records(parse_raw_records(raw_store(spark, sf)))
     return X.first_k(checked.filter(F.col("malformed_reason").isNotNull()).select("request_id"),
                      10, ["request_id"])

@@ -311,16 +311,32 @@ def malformed_input(spark, sf) -> DataFrame:
     return raw
 
 
+_RAW: dict = {}
+
+
+def raw_store(spark, sf) -> DataFrame:
+    """The serialised records (with their injected defects) written once as a
+    JSON Lines store — what P22/P23 validate is a store on disk."""
+    from ..session import scratch_path, session_key
+    from ..sources import fixture as FXT
+    k = (session_key(spark), sf, FXT.GROWTH)
+    if k not in _RAW:
+        path = scratch_path(spark, "raw_store")
+        malformed_input(spark, sf).select(F.col("raw").alias("value")).write.text(path)
+        _RAW[k] = path
+    return spark.read.text(_RAW[k]).select(F.col("value").alias("raw"))
+
+
 def parse_raw_records(raw: DataFrame) -> DataFrame:
     """Raw JSON record text → the columns P22 inspects (field presence taken
-    from the JSON itself, so a missing and a null field are told apart)."""
-    obj = F.col("raw")
-    present = F.json_object_keys(obj)
-    conv_txt = F.get_json_object(obj, "$.conversation")
-    turns = F.from_json(conv_txt, "map<string, map<string, string>>")
+    from the JSON itself, so a missing and a null field are told apart).
+    One top-level parse (keys + raw nested text), then the two nested parses."""
+    top = raw.select("raw", F.from_json("raw", "map<string,string>").alias("_top"))
+    t = F.col("_top")
+    turns = F.from_json(t["conversation"], "map<string, map<string, string>>")
     fields = F.transform_values(turns, lambda k, v: F.map_keys(F.map_filter(v, lambda a, b: b.isNotNull())))
-    return raw.select("request_id", present.alias("present"),
-                      F.from_json(F.get_json_object(obj, "$.selection"), "map<string,string>").alias("selection"),
+    return top.select("raw", t["request_id"].alias("request_id"), F.map_keys(t).alias("present"),
+                      F.from_json(t["selection"], "map<string,string>").alias("selection"),
                       fields.alias("turn_fields"))
 
 
@@ -333,5 +349,5 @@ SELECT request_id, CASE
   WHEN conv_id % 43 = 17 THEN 'bad turn fields: turn_1' END AS malformed_reason
 FROM fx_meta WHERE conv_id % 29 = 7 OR conv_id % 31 = 9 OR conv_id % 37 = 11 OR conv_id % 41 = 13 OR conv_id % 43 = 17"""))
 def malformed_records(spark, sf):
-    checked = V.malformed_records(parse_raw_records(malformed_input(spark, sf)))
+    checked = V.malformed_records(parse_raw_records(raw_store(spark, sf)))
     return checked.filter(F.col("malformed_reason").isNotNull()).select("request_id", "malformed_reason")
