@@ -114,3 +114,19 @@ def test_export_order_and_type_filter(spark):
     assert [r.request_id for r in ST.export_order(rows, gen).collect()] == ["b", "c", "a", "z"]
     df = spark.createDataFrame([("t", "threat"), ("b", "benign")], "id string, conversation_type string")
     assert type_filter(df, "combined").count() == 2 and type_filter(df, "threat").count() == 1
+
+
+def test_wide_lists_aligned_and_missing_cell(spark):
+    rows = []
+    for t in (1, 2, 3, 4):                       # 5 turns: SE on 1,3; PV on 2,4
+        obj = "social_engineering" if t % 2 == 1 else "policy_violation"
+        for st in S.STANCES:
+            if (t, st) == (4, "balanced"):
+                continue                         # a missing PV cell → fallback placement
+            rows.append(("a", t, obj, st, "Y" if t == 3 else "N"))
+    det = spark.createDataFrame(rows, "request_id string, turn_index long, objective string, stance string, code string")
+    meta = spark.createDataFrame([("a", 5)], "request_id string, turn_count_value long")
+    w = ST.wide_lists(det, meta, (("prediction", "code"),), as_json=False).first()
+    assert w["social_engineering__balanced__prediction"] == [None, "N", None, "Y", None]
+    assert w["policy_violation__balanced__prediction"] == [None, None, "N", None, None]
+    assert w["policy_violation__high_recall__prediction"] == [None, None, "N", None, "N"]

@@ -137,23 +137,51 @@ def wide_lists(det: DataFrame, meta: DataFrame, fields: tuple[tuple[str, str], .
                as_json: bool = True) -> DataFrame:
     """Long detections → one row per conversation with a per-turn list
     (length n_turns, null on inapplicable turns) per key × field. One
-    group-by; the pivot values are explicit so no extra job runs."""
+    group-by with one collected list per key (all fields together); the pivot
+    values are explicit so no extra job runs.
+
+    Placement is O(n log n): the key's cells are sorted by turn (native
+    ``sort_array``) and, when every eligible turn has its cell (the detector's
+    alignment guarantee), turn i reads element (i − first)/2 directly; an
+    incomplete list falls back to a per-turn lookup."""
     aggs = []
     for k in S.DETECTION_KEYS:
         obj, st = k.split("__")
         match = (F.col("objective") == obj) & (F.col("stance") == st)
-        for name, src in fields:
-            aggs.append(F.collect_list(F.when(match, F.struct(F.col("turn_index"), F.col(src))))
-                        .alias(f"_{k}__{name}"))
+        aggs.append(F.collect_list(F.when(match, F.struct(
+            F.col("turn_index").alias("t"), *[F.col(src).alias(name) for name, src in fields])))
+            .alias(f"_{k}"))
     g = det.groupBy("request_id").agg(*aggs).join(
-        meta.select("request_id", F.col("turn_count_value").alias("_n")), "request_id")
+        meta.select("request_id", F.col("turn_count_value").cast("long").alias("_n")), "request_id")
+    n = F.col("_n")
     out = [F.col("request_id")]
+    staged = g.select("request_id", "_n", *[F.sort_array(F.col(f"_{k}")).alias(f"_{k}")
+                                            for k in S.DETECTION_KEYS])
     for k in S.DETECTION_KEYS:
+        first = 1 if k.startswith("social_engineering") else 2
+        expected = F.floor((n - first + 1) / 2)          # eligible turns of the objective in [0, n)
+        cells = F.col(f"_{k}")
+        aligned = F.size(cells) == F.greatest(expected, F.lit(0))
         for name, _ in fields:
-            lst = _positional(F.map_from_entries(F.col(f"_{k}__{name}")), F.col("_n"))
-            lst = F.when(F.col("_n") > 0, lst).otherwise(F.array())
+            fast = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), _picker(cells, name, first))
+            slow = _positional(F.map_from_entries(F.transform(cells, _pair(name))), n)
+            lst = F.when(n <= 0, F.array()).when(aligned, fast).otherwise(slow)
             out.append((F.to_json(lst) if as_json else lst).alias(f"{k}__{name}"))
-    return g.select(*out)
+    return staged.select(*out)
+
+
+def _picker(cells: Column, name: str, first: int):
+    """i → field of the cell at eligible turn i (cells sorted by turn)."""
+    def at(i: Column) -> Column:
+        hit = (i >= first) & ((i - first) % 2 == 0)
+        return F.when(hit, F.element_at(cells, ((i - first) / 2).cast("int") + 1)[name])
+    return at
+
+
+def _pair(name: str):
+    def pair(c: Column) -> Column:
+        return F.struct(c["t"], c[name])
+    return pair
 
 
 def _positional(m: Column, n: Column) -> Column:
