@@ -194,9 +194,9 @@ def _wide_sql() -> str:
         obj, st = k.split("__")
         for f, src in (("prediction", "code"), ("latency_ms", "latency_ms"), ("input_tokens", "input_tokens")):
             cols.append(
-                f"to_json(list_transform(range(any_value(n_turns)), lambda i: "
+                f"CAST(to_json(list_transform(range(any_value(n_turns)), lambda i: "
                 f"(list_filter(list({{'t': turn_index, 'v': {src}}}) FILTER (WHERE objective = '{obj}' AND stance = '{st}'), "
-                f"lambda e: e.t = i))[1].v)) AS {k}__{f}")
+                f"lambda e: e.t = i))[1].v)) AS VARCHAR) AS {k}__{f}")
     return with_fixture(f"""
 , c AS (SELECT f.*, m.turn_count_value AS n_turns FROM fx_cells f JOIN fx_meta m USING (conv_id))
 SELECT request_id, {", ".join(cols)} FROM c GROUP BY request_id""")
@@ -319,7 +319,7 @@ def dataset_labels(spark, sf):
 
 
 @query("stance_catalogue", with_fixture("""
-SELECT stance, min(CASE stance WHEN 'high_precision' THEN 1 WHEN 'high_recall' THEN 2 WHEN 'balanced' THEN 3 END) AS ord
+SELECT stance, CAST(min(CASE stance WHEN 'high_precision' THEN 1 WHEN 'high_recall' THEN 2 WHEN 'balanced' THEN 3 END) AS BIGINT) AS ord
 FROM fx_cells GROUP BY stance"""))
 def stance_catalogue(spark, sf):
     return V.stance_catalogue(_dets(spark, sf), D.CALL_ORDER)
