@@ -193,27 +193,61 @@ def reconstruct_summary(grid: DataFrame, store_all: DataFrame, store: DataFrame)
 def flag_metrics(turns: DataFrame, n_col: str = "turn_count_value") -> DataFrame:
     """A2: ``{flag}_sum`` and ``{flag}_by_turn`` ('0'/'1' per position, length
     turn_count; only literal true on an applicable turn counts; missing turns
-    are '0'). Only the firing turn indices are collected (sparse)."""
+    are '0').
+
+    One collected list per conversation of (turn, bits[10]), sorted natively:
+    when the turns are exactly 0..n-1 each string is a projection of the
+    sorted list (O(n log n)); otherwise positions are looked up in the sparse
+    list of firing turns."""
     t = F.col("turn_index")
     caller = t % 2 == 1
     rep = (t >= 2) & (t % 2 == 0)
-    aggs = [F.first(n_col).alias("_n")]
+    bits = []
     for f in S.ALL_FLAGS:
         app = caller if f in S.CALLER_FLAGS else rep
-        aggs.append(F.collect_list(F.when(app & (F.col(f) == F.lit(True)), t)).alias(f"_{f}"))
-    g = turns.groupBy("request_id").agg(*aggs)
+        bits.append(F.when(app & (F.col(f) == F.lit(True)), 1).otherwise(0))
+    n = F.first(n_col).cast("long")
+    g = turns.groupBy("request_id").agg(
+        n.alias("_n"), F.min(t).alias("_lo"), F.max(t).alias("_hi"), F.count(F.lit(1)).alias("_c"),
+        F.sort_array(F.collect_list(F.struct(t.alias("t"), _mask(bits).alias("b")))).alias("_rows"),
+        *[F.sum(F.when(F.col("turn_index") < F.col(n_col), bit).otherwise(0)).cast("long").alias(f"{f}_sum")
+          for f, bit in zip(S.ALL_FLAGS, bits)])
+    nn = F.col("_n")
+    contiguous = (F.col("_lo") == 0) & (F.col("_hi") == nn - 1) & (F.col("_c") == nn)
     out = [F.col("request_id")]
-    for f in S.ALL_FLAGS:
-        fires = F.col(f"_{f}")
-        n = F.col("_n").cast("long")
-        out.append(F.size(F.filter(fires, lambda i: i < n)).cast("long").alias(f"{f}_sum"))
-        by = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), n - 1),
-                                      lambda i: F.when(F.array_contains(fires, i), F.lit("1"))
-                                      .otherwise(F.lit("0"))), ",")
-        out.append(F.when(n > 0, by).otherwise(F.lit("")).alias(f"{f}_by_turn"))
+    for k, f in enumerate(S.ALL_FLAGS):
+        fast = F.array_join(F.transform("_rows", _bit(k)), ",")
+        fires = F.transform(F.filter("_rows", _fired(k)), _turn())
+        slow = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), nn - 1), _present(fires)), ",")
+        out += [f"{f}_sum", F.when(nn <= 0, F.lit("")).when(contiguous, fast).otherwise(slow)
+                .alias(f"{f}_by_turn")]
     return g.select(*out)
 
 
+def _mask(bits: list[Column]) -> Column:
+    """The turn's flags packed into one int (bit k = flag k)."""
+    out = bits[0]
+    for k, b in enumerate(bits[1:], start=1):
+        out = out + F.shiftleft(b, k)
+    return out
+
+
+def _bit(k: int):
+    return lambda x: F.shiftright(x["b"], k).bitwiseAND(1).cast("string")
+
+
+def _fired(k: int):
+    return lambda x: F.shiftright(x["b"], k).bitwiseAND(1) == 1
+
+
+def _turn():
+    return lambda x: x["t"]
+
+
+def _present(fires: Column):
+    return lambda i: F.when(F.array_contains(fires, i), F.lit("1")).otherwise(F.lit("0"))
+
+
 def repair_backfill(metadata: DataFrame, store: DataFrame) -> DataFrame:
     """Per metadata row the repair outcome — repaired (a conversation
     exists and the turn count is an integer), no_conversation, bad_shape —
