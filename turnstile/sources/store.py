@@ -153,42 +153,25 @@ def wide_lists(det: DataFrame, meta: DataFrame, fields: tuple[tuple[str, str], .
             .alias(f"_{k}"))
     g = det.groupBy("request_id").agg(*aggs).join(
         meta.select("request_id", F.col("turn_count_value").cast("long").alias("_n")), "request_id")
-    n = F.col("_n")
     out = [F.col("request_id")]
     staged = g.select("request_id", "_n", *[F.sort_array(F.col(f"_{k}")).alias(f"_{k}")
                                             for k in S.DETECTION_KEYS])
     for k in S.DETECTION_KEYS:
         first = 1 if k.startswith("social_engineering") else 2
-        expected = F.floor((n - first + 1) / 2)          # eligible turns of the objective in [0, n)
-        cells = F.col(f"_{k}")
-        aligned = F.size(cells) == F.greatest(expected, F.lit(0))
+        cells = f"`_{k}`"
+        # written as SQL text: one parse in the JVM instead of a py4j call per
+        # lambda node when the plan is built
+        aligned = f"size({cells}) = greatest(floor((_n - {first} + 1) / 2), 0)"
         for name, _ in fields:
-            fast = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), _picker(cells, name, first))
-            slow = _positional(F.map_from_entries(F.transform(cells, _pair(name))), n)
-            lst = F.when(n <= 0, F.array()).when(aligned, fast).otherwise(slow)
+            fast = (f"transform(sequence(0L, _n - 1), i -> CASE WHEN i >= {first} AND (i - {first}) % 2 = 0 "
+                    f"THEN element_at({cells}, CAST((i - {first}) / 2 AS INT) + 1).`{name}` END)")
+            slow = (f"transform(sequence(0L, _n - 1), i -> element_at(map_from_entries("
+                    f"transform({cells}, c -> struct(c.t, c.`{name}`))), i))")
+            lst = F.expr(f"CASE WHEN _n <= 0 THEN array() WHEN {aligned} THEN {fast} ELSE {slow} END")
             out.append((F.to_json(lst) if as_json else lst).alias(f"{k}__{name}"))
     return staged.select(*out)
 
 
-def _picker(cells: Column, name: str, first: int):
-    """i → field of the cell at eligible turn i (cells sorted by turn)."""
-    def at(i: Column) -> Column:
-        hit = (i >= first) & ((i - first) % 2 == 0)
-        return F.when(hit, F.element_at(cells, ((i - first) / 2).cast("int") + 1)[name])
-    return at
-
-
-def _pair(name: str):
-    def pair(c: Column) -> Column:
-        return F.struct(c["t"], c[name])
-    return pair
-
-
-def _positional(m: Column, n: Column) -> Column:
-    """List of length n whose i-th element is m[i] (null when absent)."""
-    return F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.element_at(m, i))
-
-
 def export_metadata(df: DataFrame, path: str, column_order: list[str], fmt: str = "parquet") -> None:
     """Write a table with columns in the declared order."""
     present = [c for c in column_order if c in df.columns]
