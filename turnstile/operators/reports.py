@@ -136,14 +136,17 @@ def recall_rules(conv_facts: DataFrame, det_facts: DataFrame,
                                                F.nullif("n_threat_conversations", F.lit(0))))
 
 
-def histogram(values: DataFrame, series_cols: tuple[str, ...], value_col: str) -> DataFrame:
-    """Integer-bin histogram per series, zero bins from min to max, with
-    with/without-event counts. Bins are generated per series by ``sequence``
-    (bounded by the value range), then left-joined to the counts."""
+def histogram(values: DataFrame, series_cols: tuple[str, ...], value_col: str,
+              from_zero: bool = False) -> DataFrame:
+    """Integer-bin histogram per series with with/without-event counts.
+    Zero bins run from 0 (turn-index series, ``from_zero``) or from the
+    minimum (lead series) to the maximum; they are generated per series by
+    ``sequence`` (bounded by the value range), then left-joined to the counts."""
     v = F.col(value_col)
+    lo = F.min(v)
     summary = values.groupBy(*series_cols).agg(
         F.count(v).alias("n_with"), F.count_if(v.isNull()).alias("n_without"),
-        F.min(v).alias("_lo"), F.max(v).alias("_hi"))
+        (F.when(lo.isNotNull(), F.lit(0)) if from_zero else lo).alias("_lo"), F.max(v).alias("_hi"))
     counts = (values.filter(v.isNotNull()).groupBy(*series_cols, v.cast("long").alias("bin"))
               .agg(F.count(F.lit(1)).alias("n_conversations")))
     bins = summary.select(*series_cols, "n_with", "n_without", F.explode_outer(
@@ -160,7 +163,7 @@ def hist_first_violation(conv_facts: DataFrame) -> DataFrame:
     vals = (with_type_sets(conv_facts)
             .select("conversation_filter", F.explode(arr).alias("x"))
             .select("conversation_filter", "x.violation_type", "x.value"))
-    return histogram(vals, ("conversation_filter", "violation_type"), "value")
+    return histogram(vals, ("conversation_filter", "violation_type"), "value", from_zero=True)
 
 
 def _per_stance_values(conv_facts: DataFrame, det_facts: DataFrame, combined: DataFrame,
@@ -182,7 +185,7 @@ def _per_stance_values(conv_facts: DataFrame, det_facts: DataFrame, combined: Da
 def hist_first_prediction(conv_facts: DataFrame, det_facts: DataFrame,
                           combined: DataFrame) -> DataFrame:
     vals = _per_stance_values(conv_facts, det_facts, combined, "first_prediction_turn")
-    return histogram(vals, ("conversation_filter", "objective", "stance"), "value")
+    return histogram(vals, ("conversation_filter", "objective", "stance"), "value", from_zero=True)
 
 
 def hist_lead(conv_facts: DataFrame, det_facts: DataFrame, combined: DataFrame) -> DataFrame:

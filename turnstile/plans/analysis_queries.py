@@ -320,11 +320,12 @@ def recall_rules(spark, sf):
     return RP.recall_rules(m.conv_facts, m.det_core)
 
 
-def _hist_sql(values_cte: str, series: str) -> str:
+def _hist_sql(values_cte: str, series: str, from_zero: bool = False) -> str:
+    lo = "CASE WHEN min(value) IS NULL THEN NULL ELSE 0 END" if from_zero else "min(value)"
     return with_fixture(f"""
 , v AS ({values_cte}),
 summ AS (SELECT {series}, count(value) AS n_with, count(*) FILTER (WHERE value IS NULL) AS n_without,
-                min(value) AS lo, max(value) AS hi FROM v GROUP BY ALL),
+                {lo} AS lo, max(value) AS hi FROM v GROUP BY ALL),
 cnt AS (SELECT {series}, CAST(value AS BIGINT) AS bin, count(*) AS n_conversations
         FROM v WHERE value IS NOT NULL GROUP BY ALL),
 bins AS (SELECT {series}, n_with, n_without,
@@ -340,7 +341,7 @@ _FV_VALUES = " UNION ALL ".join(
     f"first_violation_turn__{v} AS value FROM a_conv" for v in S.VIOLATION_TYPES)
 
 
-@query("hist_first_violation", _hist_sql(_FV_VALUES, "conversation_filter, violation_type"))
+@query("hist_first_violation", _hist_sql(_FV_VALUES, "conversation_filter, violation_type", from_zero=True))
 def hist_first_violation(spark, sf):
     return RP.hist_first_violation(model(spark, sf).conv_facts)
 
@@ -360,7 +361,7 @@ SELECT UNNEST([conversation_type, 'combined']) AS conversation_filter, objective
 
 
 @query("hist_first_prediction", _hist_sql(_per_stance_values_sql("first_prediction_turn"),
-                                          "conversation_filter, objective, stance"))
+                                          "conversation_filter, objective, stance", from_zero=True))
 def hist_first_prediction(spark, sf):
     m = model(spark, sf)
     return RP.hist_first_prediction(m.conv_facts, m.det_core, m.combined)
