@@ -113,6 +113,31 @@ def prediction_violations(det: DataFrame) -> DataFrame:
                       reason.alias("reason")).filter(F.col("reason").isNotNull())
 
 
+def run_columns_aggs() -> list:
+    """Aggregates for the run columns of the wide export (one group-by with the lists)."""
+    code = F.col("code")
+    order = F.array_position(F.array(*[F.lit(s) for s in CALL_ORDER]), F.col("stance"))
+    msg = F.when(code == "X", F.concat(
+        F.lit("call failed at turn "), F.col("turn_index").cast("string"), F.lit(" ("),
+        F.col("objective"), F.lit("__"), F.col("stance"), F.lit(")")))
+    return [
+        F.count(code).alias("n_applicable"), F.count_if(code == "X").alias("detection_error_count"),
+        F.count_if(code == "E").alias("detection_no_valid_count"),
+        F.coalesce(F.sum("latency_ms"), F.lit(0)).alias("detection_total_latency_ms"),
+        F.coalesce(F.sum("input_tokens"), F.lit(0)).alias("detection_total_input_tokens"),
+        F.coalesce(F.sum("output_tokens"), F.lit(0)).alias("detection_total_output_tokens"),
+        F.coalesce(F.max_by(msg, F.when(msg.isNotNull(), F.struct(F.col("turn_index"), order))),
+                   F.lit("")).alias("detection_last_error"),
+    ]
+
+
+def status_from_counts(n_applicable: Column, n_x: Column) -> Column:
+    return (F.when(n_applicable == 0, F.lit(S.STATUS_SUCCESS))
+             .when(n_x == 0, F.lit(S.STATUS_SUCCESS))
+             .when(n_x == n_applicable, F.lit(S.STATUS_ERROR))
+             .otherwise(F.lit(S.STATUS_PARTIAL)))
+
+
 def run_status(det: DataFrame) -> DataFrame:
     """Success (nothing applicable, or no X) / error (all X) / partial."""
     g = det.groupBy("request_id").agg(F.count("code").alias("n_applicable"),

@@ -188,28 +188,52 @@ def pending_requests(spark, sf):
         .select("request_id", "detection_status")
 
 
+# the six per-turn analysis fields (prediction carries the raw code)
+WIDE_FIELDS = (("prediction", "code"), ("p_detected", "p_detected"), ("p_not_detected", "p_not_detected"),
+               ("latency_ms", "latency_ms"), ("input_tokens", "input_tokens"),
+               ("output_tokens", "output_tokens"))
+
+
 def _wide_sql() -> str:
     cols = []
     for k in S.DETECTION_KEYS:
         obj, st = k.split("__")
-        for f, src in (("prediction", "code"), ("latency_ms", "latency_ms"), ("input_tokens", "input_tokens")):
+        for f, src in WIDE_FIELDS:
             cols.append(
                 f"CAST(to_json(list_transform(range(any_value(n_turns)), lambda i: "
                 f"(list_filter(list({{'t': turn_index, 'v': {src}}}) FILTER (WHERE objective = '{obj}' AND stance = '{st}'), "
                 f"lambda e: e.t = i))[1].v)) AS VARCHAR) AS {k}__{f}")
     return with_fixture(f"""
-, c AS (SELECT f.*, m.turn_count_value AS n_turns FROM fx_cells f JOIN fx_meta m USING (conv_id))
-SELECT request_id, {", ".join(cols)} FROM c GROUP BY request_id""")
-
-
-WIDE_FIELDS = (("prediction", "code"), ("latency_ms", "latency_ms"), ("input_tokens", "input_tokens"))
+, c AS (SELECT f.*, m.turn_count_value AS n_turns FROM fx_cells f JOIN fx_meta m USING (conv_id)),
+w AS (SELECT request_id, {", ".join(cols)},
+        count(code) AS n_app, count(*) FILTER (WHERE code = 'X') AS detection_error_count,
+        count(*) FILTER (WHERE code = 'E') AS detection_no_valid_count,
+        CAST(coalesce(sum(latency_ms), 0) AS BIGINT) AS detection_total_latency_ms,
+        CAST(coalesce(sum(input_tokens), 0) AS BIGINT) AS detection_total_input_tokens,
+        CAST(coalesce(sum(output_tokens), 0) AS BIGINT) AS detection_total_output_tokens,
+        coalesce(arg_max('call failed at turn ' || CAST(turn_index AS VARCHAR) || ' (' || objective || '__' || stance || ')',
+                         turn_index * 10 + CASE stance {_CALL_ORD} END) FILTER (WHERE code = 'X'), '') AS detection_last_error
+      FROM c GROUP BY request_id)
+SELECT m.request_id, m.prompt_template_key, m.flavor, m.generation_model, m.turn_count_value,
+  w.* EXCLUDE (request_id, n_app),
+  CASE WHEN n_app = 0 OR detection_error_count = 0 THEN 'success'
+       WHEN detection_error_count = n_app THEN 'error' ELSE 'partial' END AS detection_status
+FROM fx_meta m JOIN w USING (request_id)""")
 
 
 @query("export_wide_metadata", _wide_sql())
 def export_wide_metadata(spark, sf):
+    """Generation columns (ambiguous ones prefixed), the per-turn lists of
+    the six fields × six keys, and the run columns — lists and run columns
+    from one group-by over the detections."""
     from ..sources.store import wide_lists
     dom = model(spark, sf).domain
-    return wide_lists(dom.all_detections, dom.meta, WIDE_FIELDS)
+    wide = wide_lists(dom.all_detections, dom.meta, WIDE_FIELDS, extra_aggs=D.run_columns_aggs())
+    wide = wide.withColumn("detection_status", D.status_from_counts(
+        F.col("n_applicable"), F.col("detection_error_count"))).drop("n_applicable")
+    gen = dom.meta.select("request_id", "prompt_template_key", "flavor", "generation_model",
+                          "turn_count_value")
+    return gen.join(wide, "request_id")
 
 
 @query("n_turns", with_fixture("SELECT request_id, count(*) AS n_turns FROM fx_rows GROUP BY request_id"))

@@ -134,7 +134,7 @@ def apply_null_policy(df: DataFrame, null_policy: str) -> DataFrame:
 
 
 def wide_lists(det: DataFrame, meta: DataFrame, fields: tuple[tuple[str, str], ...],
-               as_json: bool = True) -> DataFrame:
+               as_json: bool = True, extra_aggs: list | None = None) -> DataFrame:
     """Long detections → one row per conversation with a per-turn list
     (length n_turns, null on inapplicable turns) per key × field. One
     group-by with one collected list per key (all fields together); the pivot
@@ -151,11 +151,15 @@ def wide_lists(det: DataFrame, meta: DataFrame, fields: tuple[tuple[str, str], .
         aggs.append(F.collect_list(F.when(match, F.struct(
             F.col("turn_index").alias("t"), *[F.col(src).alias(name) for name, src in fields])))
             .alias(f"_{k}"))
-    g = det.groupBy("request_id").agg(*aggs).join(
+    extra = list(extra_aggs or [])
+    g = det.groupBy("request_id").agg(*aggs, *extra).join(
         meta.select("request_id", F.col("turn_count_value").cast("long").alias("_n")), "request_id")
     out = [F.col("request_id")]
-    staged = g.select("request_id", "_n", *[F.sort_array(F.col(f"_{k}")).alias(f"_{k}")
-                                            for k in S.DETECTION_KEYS])
+    extra_names = [c for c in g.columns if c not in ("request_id", "_n")
+                   and not c.startswith("_")]
+    out += [F.col(c) for c in extra_names]
+    staged = g.select("request_id", "_n", *extra_names,
+                      *[F.sort_array(F.col(f"_{k}")).alias(f"_{k}") for k in S.DETECTION_KEYS])
     for k in S.DETECTION_KEYS:
         first = 1 if k.startswith("social_engineering") else 2
         cells = f"`_{k}`"
