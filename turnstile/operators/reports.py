@@ -254,15 +254,9 @@ def flow_edges(conv_facts: DataFrame, firsts: DataFrame) -> DataFrame:
 
 
 def emphasis_matrix(conv: DataFrame, emphasis_col: str = "short_cialdini_emphasis") -> DataFrame:
-    """Prompted emphasis × mean actual principle signals (threat only)."""
+    """Prompted emphasis × mean actual principle signals (threat only);
+    one column per principle, named by the principle."""
     t = conv.filter(F.col("conversation_type") == S.THREAT)
-    return t.groupBy(F.col(emphasis_col).alias("emphasis")).agg(
+    return t.groupBy(F.col(emphasis_col).alias("prompted_emphasis")).agg(
         F.count(F.lit(1)).alias("n_conversations"),
-        *[F.avg(f"total_{c}").alias(f"mean_{c}") for c in S.CALLER_FLAGS])
-
-
-def type_filter(df: DataFrame, conversation_type: str, col: str = "conversation_type") -> DataFrame:
-    """P3: 'threat' / 'benign' filter; 'combined' = no filter."""
-    if conversation_type == "combined":
-        return df
-    return df.filter(F.col(col) == conversation_type)
+        *[F.avg(f"total_cialdini_{p}").alias(p) for p in S.PRINCIPLES])

@@ -186,36 +186,39 @@ def confusion_scenarios(spark, sf):
     return RP.confusion_scenarios(model(spark, sf).scores())
 
 
-def _roc_points_sql(slice_cols: tuple[str, ...], slice_expr: str | None = None) -> str:
+def _roc_points_sql(slice_cols: tuple[str, ...], overall: bool = False) -> str:
     keys = ", ".join(("scenario",) + slice_cols)
+    label = "'overall' AS slice_label, " if overall else ""
     return with_fixture(roc_sql(slice_cols) + f"""
-SELECT {keys}, stance, n_positive_conversations, n_negative_conversations, tp, fp,
+SELECT {keys}, {label}stance, n_positive_conversations, n_negative_conversations, tp, fp,
        round(tpr, 6) AS tpr, round(fpr, 6) AS fpr, round(auc.auc, 6) AS auc
 FROM opr JOIN auc USING ({keys})""")
 
 
 def _auc_summary_sql(slice_cols: tuple[str, ...], out_label: str | None = None,
-                     two_class_only: bool = False) -> str:
+                     two_class_only: bool = False, overall: bool = False) -> str:
     keys = ", ".join(("scenario",) + slice_cols)
     auc = "auc.auc"
     if two_class_only:
         auc = f"CASE WHEN n_positive_conversations > 0 AND n_negative_conversations > 0 THEN {auc} END"
     sel = keys if out_label is None else f"scenario, {slice_cols[0]} AS {out_label}"
+    if overall:
+        sel += ", 'overall' AS slice_label"
     return with_fixture(roc_sql(slice_cols) + f"""
 SELECT {sel}, n_positive_conversations, n_negative_conversations, round({auc}, 6) AS auc
 FROM summ JOIN auc USING ({keys})""")
 
 
-@query("operating_points", _roc_points_sql(()))
+@query("operating_points", _roc_points_sql((), overall=True))
 def operating_points(spark, sf):
     pts, _ = R.roc(model(spark, sf).scores())
-    return pts
+    return pts.withColumn("slice_label", F.lit("overall"))
 
 
-@query("auc_overall", _auc_summary_sql(()))
+@query("auc_overall", _auc_summary_sql((), overall=True))
 def auc_overall(spark, sf):
     _, summary = R.roc(model(spark, sf).scores())
-    return summary
+    return summary.withColumn("slice_label", F.lit("overall"))
 
 
 @query("auc_summary", with_fixture(roc_sql(("short_cialdini_emphasis",)) + """
@@ -426,8 +429,8 @@ def flow_edges(spark, sf):
 
 
 @query("emphasis_matrix", with_fixture(
-    "SELECT short_cialdini_emphasis AS emphasis, count(*) AS n_conversations, "
-    + ", ".join(f"round(avg(total_{c}), 6) AS mean_{c}" for c in S.CALLER_FLAGS)
+    "SELECT short_cialdini_emphasis AS prompted_emphasis, count(*) AS n_conversations, "
+    + ", ".join(f"round(avg(total_cialdini_{p}), 6) AS {p}" for p in S.PRINCIPLES)
     + " FROM a_conv_l WHERE conversation_type = 'threat' GROUP BY 1"))
 def emphasis_matrix(spark, sf):
     return RP.emphasis_matrix(model(spark, sf).conv)
