@@ -291,10 +291,46 @@ def parse_list(spark, sf):
         "request_id", "key", F.col("pos").cast("long").alias("turn_index"), F.col("col").alias("code"))
 
 
-@query("score_batch")
+def _cue_hits(obj: str) -> str:
+    return " + ".join(f"((length(last) - length(replace(last, '{c}', ''))) // {len(c)})"
+                      for c in D.CUE_WORDS[obj])
+
+
+# Oracle of the shipped lexical scorer (a deterministic function of the
+# transcript's last turn, the objective and the stance) followed by P28.
+_SCORE_SQL = with_fixture(f"""
+, tx AS (
+  SELECT request_id, turn_index,
+    array_to_string(list(CASE WHEN turn_index % 2 = 1 THEN 'Caller' ELSE 'Representative' END || ': ' || coalesce(passage, ''))
+      OVER (PARTITION BY request_id ORDER BY turn_index ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+      chr(10) || chr(10)) AS transcript
+  FROM fx_rows),
+r AS (
+  SELECT request_id, turn_index, transcript,
+    CASE WHEN turn_index % 2 = 1 THEN 'social_engineering' ELSE 'policy_violation' END AS objective,
+    lower(string_split(transcript, chr(10) || chr(10))[-1]) AS last,
+    UNNEST({list(S.STANCES)}) AS stance
+  FROM tx WHERE turn_index >= 1),
+h AS (
+  SELECT *, CAST(CASE WHEN objective = 'social_engineering' THEN {_cue_hits('social_engineering')}
+                      ELSE {_cue_hits('policy_violation')} END AS DOUBLE) AS hits,
+    CAST((length(last) - length(replace(last, ' ', ''))) + 1 AS DOUBLE) AS words,
+    CASE stance {" ".join(f"WHEN '{k}' THEN {v}" for k, v in D.STANCE_BIAS.items())} ELSE 0.0 END AS bias
+  FROM r),
+p AS (
+  SELECT *, greatest(0.001, least(0.999, 0.05 + 0.9 * least(1.0, 20.0 * hits / words) + bias)) AS py FROM h)
+SELECT request_id, turn_index, objective, stance,
+  CASE WHEN ln(py) >= ln(1.0 - py) THEN 'Y' ELSE 'N' END AS prediction,
+  round(round_even(exp(ln(py)), 3), 6) AS p_detected,
+  round(round_even(exp(ln(1.0 - py)), 3), 6) AS p_not_detected,
+  CAST(80 + length(transcript) % 721 AS BIGINT) AS latency_ms
+FROM p""")
+
+
+@query("score_batch", _SCORE_SQL)
 def score_batch(spark, sf):
-    """D1 (rows-only): J7 requests ⋈ W3 transcripts scored by the shipped
-    lexical scorer through Arrow batches, decoded by P28."""
+    """W3 transcripts scored by the shipped lexical scorer through Arrow
+    batches (stances expanded inside the batch), decoded by P28."""
     d = model(spark, sf).domain
     tx = D.transcript_prefix(d.all_turns.select("request_id", "turn_index", "passage"))
     scored = D.score_turns(tx)
