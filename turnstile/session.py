@@ -7,6 +7,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -70,3 +71,28 @@ def session_key(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the checkpoint dir for written intermediate tables."""
     return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers on every executor, however
+    the driver found it: a zip of the sources goes out once per application."""
+    key = session_key(spark)
+    if key in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    name = os.path.basename(root)
+    target = os.path.join(tempfile.mkdtemp(prefix=f"{name}-src-"), f"{name}.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, files in sorted(os.walk(root)):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.join(name, os.path.relpath(full, root)))
+    try:
+        spark.sparkContext.addPyFile(target)
+    except Exception:  # noqa: BLE001 - Spark Connect has no SparkContext
+        spark.addArtifacts(target, pyfile=True)
+    _SHIPPED.add(key)
