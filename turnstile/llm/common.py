@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import scratch_path
+from ..session import scratch_path, ship_package
 
 #: A word: a maximal run without space, tab, line feed, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -25,6 +25,12 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def in_arrow(df: DataFrame, task, schema: str) -> DataFrame:
+    """``mapInArrow`` with this package shipped to the workers."""
+    ship_package(df.sparkSession)
+    return df.mapInArrow(task, schema)
+
+
 def pack(df: DataFrame, keep: dict[str, Column]) -> DataFrame:
     """``keep`` beside one struct ``_row`` that holds the input row, so that no
     input column can clash with an operator's own names."""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, sharding
+from . import mixing, quality, sharding, tokens
 from .common import table
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,8 @@ def _over_documents(contract) -> Builder:
 def queries() -> dict[str, Builder]:
     return {
         "op2_sharding": _over_documents(sharding.contract),
+        "op4_quality": _over_documents(quality.contract),
+        "op6_tokens": _over_documents(tokens.contract),
         "op10_mixing": _over_documents(mixing.contract),
     }
 
