@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality, sharding, tokens
+from . import mixing, pii, quality, sharding, tokens
 from .common import table
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,7 @@ def _over_documents(contract) -> Builder:
 
 def queries() -> dict[str, Builder]:
     return {
+        "op1_pii": _over_documents(pii.contract),
         "op2_sharding": _over_documents(sharding.contract),
         "op4_quality": _over_documents(quality.contract),
         "op6_tokens": _over_documents(tokens.contract),
