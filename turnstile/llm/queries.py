@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, pii, quality, sharding, tokens
+from . import mixing, pii, preference, quality, sharding, simhash, tokens
 from .common import table
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -21,10 +21,12 @@ def queries() -> dict[str, Builder]:
         "op1_pii": _over_documents(pii.contract),
         "op2_sharding": _over_documents(sharding.contract),
         "op4_quality": _over_documents(quality.contract),
+        "op5_preference": lambda spark, sf_dir: preference.contract(table(spark, sf_dir, "conversations")),
         "op6_tokens": _over_documents(tokens.contract),
+        "op7_simhash": _over_documents(simhash.contract),
         "op10_mixing": _over_documents(mixing.contract),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_mixing": mixing.ORACLE}
+    return {"op5_preference": preference.ORACLE, "op10_mixing": mixing.ORACLE}
