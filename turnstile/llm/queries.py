@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, pii, preference, quality, sharding, simhash, tokens
+from . import mixing, paragraphs, pii, preference, quality, runindex, sharding, simhash, tokens
 from .common import table
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,8 @@ def queries() -> dict[str, Builder]:
         "op5_preference": lambda spark, sf_dir: preference.contract(table(spark, sf_dir, "conversations")),
         "op6_tokens": _over_documents(tokens.contract),
         "op7_simhash": _over_documents(simhash.contract),
+        "op8_paragraphs": _over_documents(paragraphs.contract),
+        "op9_runindex": _over_documents(runindex.contract),
         "op10_mixing": _over_documents(mixing.contract),
     }
 
