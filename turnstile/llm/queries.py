@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, paragraphs, pii, preference, quality, runindex, sharding, simhash, tokens
+from . import decontam, mixing, paragraphs, pii, preference, quality, runindex, sharding, simhash, tokens
 from .common import table
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,8 @@ def queries() -> dict[str, Builder]:
     return {
         "op1_pii": _over_documents(pii.contract),
         "op2_sharding": _over_documents(sharding.contract),
+        "op3_decontam": lambda spark, sf_dir: decontam.contract(
+            table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
         "op4_quality": _over_documents(quality.contract),
         "op5_preference": lambda spark, sf_dir: preference.contract(table(spark, sf_dir, "conversations")),
         "op6_tokens": _over_documents(tokens.contract),
