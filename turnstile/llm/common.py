@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 from pyspark.sql.window import Window
 
 from ..session import scratch_path, ship_package
@@ -25,7 +26,13 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def in_arrow(df: DataFrame, task, schema: str) -> DataFrame:
+def carried(df: DataFrame, names: list[str], extra: list[StructField]) -> StructType:
+    """Schema of the columns ``names`` of ``df`` under the neutral names
+    ``_c0, _c1, ...`` followed by ``extra``."""
+    return StructType([StructField(f"_c{i}", df.schema[c].dataType) for i, c in enumerate(names)] + extra)
+
+
+def in_arrow(df: DataFrame, task, schema: str | StructType) -> DataFrame:
     """``mapInArrow`` with this package shipped to the workers."""
     ship_package(df.sparkSession)
     return df.mapInArrow(task, schema)

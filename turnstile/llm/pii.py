@@ -21,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
 
-from .common import in_arrow
+from .common import carried, in_arrow
 
 KINDS = ("email", "ip", "card", "phone")
 TRAIN_ROWS = 400              # bound of the labelled table
@@ -417,7 +418,8 @@ def _finder(names: list[str], model):
     return run
 
 
-SPANS = "array<struct<kind:string,start:bigint,end:bigint,rule:boolean>>"
+SPANS = ArrayType(StructType([StructField("kind", StringType()), StructField("start", LongType()),
+                              StructField("end", LongType()), StructField("rule", BooleanType())]))
 
 
 def find_pii(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
@@ -429,11 +431,10 @@ def find_pii(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     shuffle; memory is a batch of rows or one text.
     """
     names = [c for c in docs.columns if c.lower() != "spans"]
-    carried = docs.select(*[docs[f"`{c}`"].alias(f"_c{i}") for i, c in enumerate(names)], docs["text"].alias("_text"))
+    rows = docs.select(*[docs[f"`{c}`"].alias(f"_c{i}") for i, c in enumerate(names)], docs["text"].alias("_text"))
     own = [f"_c{i}" for i in range(len(names))]
-    schema = ", ".join([f"`_c{i}` {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(names)]
-                       + [f"_spans {SPANS}"])
-    found = in_arrow(carried, _finder(own, train(train_rows)), schema)
+    schema = carried(docs, names, [StructField("_spans", SPANS)])
+    found = in_arrow(rows, _finder(own, train(train_rows)), schema)
     return found.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(names)], F.col("_spans").alias("spans"))
 
 

@@ -20,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField
 
-from .common import in_arrow
+from .common import carried, in_arrow
 
 BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
 SYMBOLS = "#*$%&|<>"
@@ -29,7 +30,7 @@ BATCH_WORDS = 400_000          # words sorted together; one longer text is its o
 
 MIN_REPEAT = 5                 # words of the shortest repeat that counts
 MAX_COVERED = 0.45             # of the code points in words
-MAX_LONGEST = 0.25             # of the words, for one maximal repeat
+MAX_LONGEST = 0.20             # of the words, for one maximal repeat
 SLACK = 30                     # words that a maximal repeat may have whatever the length of the text
 
 
@@ -163,12 +164,11 @@ def quality_rules(docs: DataFrame, min_repeat: int = MIN_REPEAT, max_covered: fl
     """
     outs = {"base_failed", "kept", *COLUMNS}
     names = [c for c in docs.columns if c.lower() not in outs]
-    carried = docs.select(*[docs[f"`{c}`"].alias(f"_c{i}") for i, c in enumerate(names)],
-                          docs["text"].alias("_text"))
+    rows = docs.select(*[docs[f"`{c}`"].alias(f"_c{i}") for i, c in enumerate(names)],
+                       docs["text"].alias("_text"))
     own = [f"_c{i}" for i in range(len(names))]
-    schema = ", ".join([f"`_c{i}` {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(names)]
-                       + [f"`_q_{c}` long" for c in COLUMNS])
-    found = in_arrow(carried, _measured(own, min_repeat), schema)
+    schema = carried(docs, names, [StructField(f"_q_{c}", LongType()) for c in COLUMNS])
+    found = in_arrow(rows, _measured(own, min_repeat), schema)
     q = {c: F.col(f"_q_{c}") for c in COLUMNS}
     failed = (q["n_words"] < 50) | (100 * q["n_repeat_words"] > 50 * q["n_words"])
     repetitive = ((q["covered_chars"] > max_covered * q["word_chars"])
