@@ -88,25 +88,45 @@ def _good(rid="g"):
             "turn_1": {"passage": "q", **{f: False for f in S.CALLER_FLAGS}},
             "turn_2": {"passage": "a", **{f: False for f in S.VIOLATION_FLAGS}}}
     sel = {k: "v" for k in V.SELECTION_FIELDS}
-    sel["turn_count"] = "3"
-    return {"request_id": rid, "selection": sel, "conversation": conv, "generated_at_utc": "t"}
+    sel["turn_count_value"] = 3
+    return {"request_id": rid, "selection": sel, "flavor": "f", "replicate_index": 0, "conversation": conv}
 
 
 def test_malformed_records(spark):
-    no_sel = _good("nosel"); del no_sel["selection"]
-    bad_count = _good("badcount"); bad_count["selection"]["turn_count"] = "three"
-    extra = _good("extra"); extra["conversation"]["turn_1"]["mood"] = "x"
+    """A record of the reference's own form passes; each rule has a case."""
+    def changed(rid, **turn_1):
+        r = _good(rid)
+        r["conversation"]["turn_1"].update(turn_1)
+        return r
+    no_flavor = _good("noflavor"); del no_flavor["flavor"]; del no_flavor["replicate_index"]
+    sel_text = _good("seltext"); sel_text["selection"] = "x"
+    no_caller = _good("nocaller"); del no_caller["selection"]["caller"]
+    counts = {}
+    for rid, value in (("three", "three"), ("zero", 0), ("text", " 3 "), ("float", 3.9), ("null", None)):
+        counts[rid] = _good(rid); counts[rid]["selection"]["turn_count_value"] = value
+    null_field = _good("nullfield"); null_field["selection"]["scenario"] = None
     missing_flag = _good("missflag"); del missing_flag["conversation"]["turn_1"]["cialdini_unity"]
     gap = _good("gap"); del gap["conversation"]["turn_2"]
-    recs = [_good(), no_sel, bad_count, extra, missing_flag, gap]
+    recs = [_good(), no_flavor, sel_text, no_caller, *counts.values(), null_field, missing_flag, gap,
+            changed("extra", mood="x"), changed("banana", cialdini_unity="banana"), changed("yes", cialdini_unity="Yes"),
+            changed("one", cialdini_unity=1), changed("two", cialdini_unity=2), changed("nullflag", cialdini_unity=None),
+            changed("number", passage=7)]
     out = V.malformed_records(parse_raw_records(_raw(spark, recs)))
     got = {r.request_id: r.malformed_reason for r in out.collect()}
-    assert got["g"] is None
-    assert got["nosel"] == "missing fields: selection"
-    assert got["badcount"] == "turn_count is not an integer"
-    assert got["extra"] == "bad turn fields: turn_1"
-    assert got["missflag"] == "bad turn fields: turn_1"
-    assert got["gap"] == "turn keys do not match turn_count"
+    bad = "bad turn fields: turn_1"
+    assert got == {
+        "g": None, "noflavor": "missing fields: flavor,replicate_index", "seltext": "selection is not an object",
+        "nocaller": "selection missing: caller", "three": "turn_count_value is not an integer",
+        "zero": "turn_count_value is below 1", "text": None, "float": None,
+        "null": "turn_count_value is not an integer", "nullfield": None, "missflag": bad,
+        "gap": "turn keys do not match turn_count_value", "extra": bad, "banana": bad, "yes": None, "one": None,
+        "two": bad, "nullflag": bad, "number": bad}
+
+
+def test_records_that_are_no_objects(spark):
+    raw = spark.createDataFrame([("[1, 2]",), ("not json",), ("3",), (None,)], "raw string")
+    out = V.malformed_records(parse_raw_records(raw))
+    assert {r.malformed_reason for r in out.collect()} == {"record is not an object"}
 
 
 def test_all_null_metadata_rows(spark):

@@ -145,58 +145,97 @@ def stance_catalogue(det: DataFrame, order: tuple[str, ...]) -> DataFrame:
 
 
 # ------------------------------------------------------------------ P22
-TOP_FIELDS = ("request_id", "selection", "conversation", "generated_at_utc")
+# FIXED VALUES: fields a stored record must have, and the texts and numbers
+# accepted as a flag besides JSON booleans.
+TOP_FIELDS = ("selection", "flavor", "replicate_index", "conversation")
 SELECTION_FIELDS = ("prompt_template_key", "scenario", "representative", "caller",
-                    "benign_context", "cialdini_emphasis", "turn_count")
+                    "benign_context", "cialdini_emphasis", "turn_count_value")
+FLAG_WORDS = ("0", "off", "f", "false", "n", "no", "1", "on", "t", "true", "y", "yes")
+FLAG_NUMBERS = ("0", "1", "0.0", "1.0", "0E0", "1E0")
+
+
+def _is_object(v: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+
+
+def _text(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "string")
+
+
+def _entries(v: Column) -> Column:
+    """An object's fields as map<string, variant>; empty for anything else."""
+    none = F.create_map().cast("map<string,variant>")
+    return F.when(_is_object(v), F.coalesce(F.try_variant_get(v, "$", "map<string,variant>"), none)).otherwise(none)
+
+
+def _as_count(v: Column) -> Column:
+    """A whole number from a JSON number (cut towards zero), a boolean or an
+    integer text; null for the rest."""
+    kind = F.schema_of_variant(v)
+    return (F.when(kind == "STRING", F.when(_text(v).rlike(r"^\s*[+-]?[0-9]+\s*$"), F.trim(_text(v)).try_cast("int")))
+             .when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("int"))
+             .otherwise(F.try_variant_get(v, "$", "double").try_cast("int")))
 
 
 def malformed_records(records: DataFrame) -> DataFrame:
     """First structural problem per record (null when valid).
 
-    ``records`` columns: ``request_id``; ``present`` (top-level field names in
-    the raw JSON object, null when the record is not an object);
-    ``selection`` (map<string,string>); ``turn_fields`` (map: turn key →
-    names of its non-null fields, from the raw JSON). Rules in order: not an
-    object, missing top-level fields, missing selection fields, non-integer
-    turn count, turn key set ≠ turn_0..turn_{n-1}, and per turn the exact
-    field set of its parity (greeting: passage; caller: passage + 7 principle
-    flags; representative: passage + 3 violation flags) — no extras.
+    ``records`` columns: ``request_id`` and ``record``, the parsed JSON value as a
+    variant (null when the text is no JSON), so that a missing field, a null and
+    a value of another type are told apart. Rules in order: not an object,
+    missing top-level fields, selection not an object, missing selection fields,
+    turn count not an integer or below 1, turn keys other than
+    turn_0..turn_{n-1}, and per turn the exact fields of its parity (greeting:
+    passage; caller: passage and 7 principle flags; representative: passage and
+    3 violation flags): a text as passage, and flags that are booleans or are
+    read as such.
     """
-    present = F.col("present")
-    sel = F.col("selection")
-    tf = F.coalesce(F.col("turn_fields"), F.create_map().cast("map<string,array<string>>"))
-    empty = F.array().cast("array<string>")
-    missing_top = F.array_except(F.array(*[F.lit(f) for f in TOP_FIELDS]), present)
-    missing_sel = F.array_except(F.array(*[F.lit(f) for f in SELECTION_FIELDS]),
-                                 F.coalesce(F.map_keys(sel), empty))
-    n = F.expr("try_cast(selection['turn_count'] AS INT)")
-    keys = F.map_keys(tf)
-    expected = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1),
-                                         lambda i: F.concat(F.lit("turn_"), i.cast("string")))
-                      ).otherwise(empty)
+    record = F.col("record")
+    turns = F.transform_values(_entries(F.col("_top")["conversation"]), lambda k, v: _entries(v))
     greeting = F.array(F.lit("passage"))
     caller = F.array(*[F.lit(f) for f in ("passage",) + S.CALLER_FLAGS])
     rep = F.array(*[F.lit(f) for f in ("passage",) + S.VIOLATION_FLAGS])
 
+    def bad_value(name: Column, v: Column) -> Column:
+        kind, text = F.coalesce(F.schema_of_variant(v), F.lit("VOID")), _text(v)
+        flag = ((kind == "BOOLEAN") | ((kind == "STRING") & F.lower(text).isin(*FLAG_WORDS))
+                | ((kind != "STRING") & text.isin(*FLAG_NUMBERS)))
+        return ~F.coalesce(F.when(name == "passage", kind == "STRING").otherwise(flag), F.lit(False))
+
     def bad_turn(k: Column, fields: Column) -> Column:
-        i = F.regexp_extract(k, r"^turn_([0-9]+)$", 1).cast("int")
+        i = F.regexp_extract(k, r"^turn_([0-9]+)$", 1).try_cast("int")
         want = F.when(i == 0, greeting).when(i % 2 == 1, caller).otherwise(rep)
-        return (F.size(F.array_except(want, fields)) + F.size(F.array_except(fields, want))) > 0
+        names = F.map_keys(fields)
+        return ((F.size(F.array_except(want, names)) + F.size(F.array_except(names, want))) > 0) | (
+            F.size(F.map_filter(fields, bad_value)) > 0)
 
-    # intermediate arrays become columns once; the reason chain reads them by name
-    staged = records.withColumns({
-        "_missing_top": missing_top, "_missing_sel": missing_sel, "_n": n,
-        "_key_diff": F.size(F.array_except(keys, expected)) + F.size(F.array_except(expected, keys)),
-        "_bad_turns": F.map_keys(F.map_filter(tf, bad_turn))})
+    # intermediate values become columns once; the reason chain reads them by name
+    n = F.col("_n")
+    expected = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1),
+                                         lambda i: F.concat(F.lit("turn_"), i.cast("string")))
+                      ).otherwise(F.array().cast("array<string>"))
+    keys = F.map_keys("_turns")
+    staged = (records.withColumn("_object", _is_object(record)).withColumn("_top", _entries(record))
+              .withColumns({"_sel_object": _is_object(F.col("_top")["selection"]),
+                            "_sel": _entries(F.col("_top")["selection"]), "_turns": turns})
+              .withColumn("_n", _as_count(F.col("_sel")["turn_count_value"]))
+              .withColumns({
+                  "_missing_top": F.array_except(F.array(*[F.lit(f) for f in TOP_FIELDS]), F.map_keys("_top")),
+                  "_missing_sel": F.array_except(F.array(*[F.lit(f) for f in SELECTION_FIELDS]), F.map_keys("_sel")),
+                  "_key_diff": F.size(F.array_except(keys, expected)) + F.size(F.array_except(expected, keys)),
+                  "_bad_turns": F.map_keys(F.map_filter("_turns", bad_turn))}))
     mt, ms, bt = F.col("_missing_top"), F.col("_missing_sel"), F.col("_bad_turns")
-    reason = (F.when(present.isNull(), F.lit("record is not an object"))
+    reason = (F.when(~F.col("_object"), F.lit("record is not an object"))
                .when(F.size(mt) > 0, F.concat(F.lit("missing fields: "), F.array_join(F.array_sort(mt), ",")))
+               .when(~F.col("_sel_object"), F.lit("selection is not an object"))
                .when(F.size(ms) > 0, F.concat(F.lit("selection missing: "), F.array_join(F.array_sort(ms), ",")))
-               .when(F.col("_n").isNull(), F.lit("turn_count is not an integer"))
-               .when(F.col("_key_diff") > 0, F.lit("turn keys do not match turn_count"))
+               .when(n.isNull(), F.lit("turn_count_value is not an integer"))
+               .when(n < 1, F.lit("turn_count_value is below 1"))
+               .when(F.col("_key_diff") > 0, F.lit("turn keys do not match turn_count_value"))
                .when(F.size(bt) > 0, F.concat(F.lit("bad turn fields: "), F.array_join(F.array_sort(bt), ","))))
     return staged.withColumn("malformed_reason", reason).drop(
-        "_missing_top", "_missing_sel", "_n", "_key_diff", "_bad_turns")
+        "_object", "_top", "_sel_object", "_sel", "_turns", "_n", "_missing_top", "_missing_sel", "_key_diff",
+        "_bad_turns")
 
 
 def meta_conv_join(meta: DataFrame, conversations: DataFrame,

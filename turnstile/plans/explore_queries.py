@@ -15,7 +15,7 @@ from ..session import scratch_path
 from ..sources import fixture as FXT
 from ..sources import store as ST
 from ..operators import validate as V
-from .grid_queries import GEN_SQL, generation_records
+from .grid_queries import DEFECT_SQL, GEN_SQL, generation_records
 from .model import short_label_columns, model
 from .oracle_base import _lit, with_fixture
 from .registry import query
@@ -377,11 +377,11 @@ def views(spark, sf):
                      "FROM conversations_facts GROUP BY conversation_type")
 
 
-_DEFECT = "(conv_id % 29 = 7 OR conv_id % 31 = 9 OR conv_id % 37 = 11 OR conv_id % 41 = 13 OR conv_id % 43 = 17)"
+_DEFECT = f"({DEFECT_SQL}) IS NOT NULL"
 
 
 @query("quarantine_split", with_fixture(f"""
-SELECT prompt_template_key, count(*) AS n_valid FROM fx_meta WHERE NOT {_DEFECT} GROUP BY 1"""))
+SELECT prompt_template_key, count(*) AS n_valid FROM fx_meta WHERE NOT ({_DEFECT}) GROUP BY 1"""))
 def quarantine_split(spark, sf):
     """Split valid / malformed records in one write (bucket=valid is the
     store written back, bucket=malformed the quarantine)."""

@@ -293,12 +293,12 @@ def malformed_input(spark, sf) -> DataFrame:
         d.meta.select("request_id", "conv_id", "turn_count_value"), "request_id")
     c = F.col("conv_id")
     sel = F.col("selection")
-    recs = (recs.withColumn("generated_at_utc", F.when(c % 29 == 7, F.lit(None)).otherwise(F.col("generated_at_utc")))
+    recs = (recs.withColumn("replicate_index", F.when(c % 29 != 7, F.col("replicate_index")))
             .withColumn("selection", F.when(c % 31 == 9, F.map_filter(sel, lambda k, v: k != "caller"))
                         .otherwise(sel))
             .withColumn("selection", F.when(c % 37 == 11, F.map_concat(
-                F.map_filter(F.col("selection"), lambda k, v: k != "turn_count"),
-                F.create_map(F.lit("turn_count"), F.lit("seven")))).otherwise(F.col("selection")))
+                F.map_filter(F.col("selection"), lambda k, v: k != "turn_count_value"),
+                F.create_map(F.lit("turn_count_value"), F.lit("seven")))).otherwise(F.col("selection")))
             .withColumn("conversation", F.when(c % 41 == 13, F.map_filter(
                 "conversation", lambda k, v: k != F.concat(F.lit("turn_"),
                                                           (F.col("turn_count_value") - 1).cast("string"))))
@@ -306,9 +306,10 @@ def malformed_input(spark, sf) -> DataFrame:
             .withColumn("conversation", F.when(c % 43 == 17, F.transform_values(
                 "conversation", lambda k, v: F.when(k == "turn_1", v.withField("cialdini_unity", F.lit(None)))
                 .otherwise(v))).otherwise(F.col("conversation"))))
-    raw = recs.select("request_id", F.to_json(F.struct(
-        "request_id", "selection", "conversation", "generated_at_utc", "flavor")).alias("raw"))
-    return raw
+    raw = F.to_json(F.struct("request_id", "selection", "conversation", "generated_at_utc", "flavor", "replicate_index"))
+    raw = F.when(c % 47 == 5, F.regexp_replace(raw, r'"cialdini_unity":(true|false)', '"cialdini_unity":"banana"')).otherwise(raw)
+    raw = F.when(c % 53 == 3, F.regexp_replace(raw, r'"selection":\{[^}]*\}', '"selection":"none"')).otherwise(raw)
+    return recs.select("request_id", raw.alias("raw"))
 
 
 _RAW: dict = {}
@@ -328,26 +329,29 @@ def raw_store(spark, sf) -> DataFrame:
 
 
 def parse_raw_records(raw: DataFrame) -> DataFrame:
-    """Raw JSON record text → the columns P22 inspects (field presence taken
-    from the JSON itself, so a missing and a null field are told apart).
-    One top-level parse (keys + raw nested text), then the two nested parses."""
-    top = raw.select("raw", F.from_json("raw", "map<string,string>").alias("_top"))
-    t = F.col("_top")
-    turns = F.from_json(t["conversation"], "map<string, map<string, string>>")
-    fields = F.transform_values(turns, lambda k, v: F.map_keys(F.map_filter(v, lambda a, b: b.isNotNull())))
-    return top.select("raw", t["request_id"].alias("request_id"), F.map_keys(t).alias("present"),
-                      F.from_json(t["selection"], "map<string,string>").alias("selection"),
-                      fields.alias("turn_fields"))
-
-
-@query("malformed_records", with_fixture("""
-SELECT request_id, CASE
-  WHEN conv_id % 29 = 7 THEN 'missing fields: generated_at_utc'
+    """Raw JSON record text → ``request_id`` and the parsed value (a variant:
+    types and nulls stay as written; null when the text is no JSON)."""
+    return raw.select("raw", F.get_json_object("raw", "$.request_id").alias("request_id"),
+                      F.try_parse_json("raw").alias("record"))
+
+
+#: The injected defects in the order in which the rules find them.
+DEFECT_SQL = """CASE
+  WHEN conv_id % 29 = 7 THEN 'missing fields: replicate_index'
+  WHEN conv_id % 53 = 3 THEN 'selection is not an object'
   WHEN conv_id % 31 = 9 THEN 'selection missing: caller'
-  WHEN conv_id % 37 = 11 THEN 'turn_count is not an integer'
-  WHEN conv_id % 41 = 13 THEN 'turn keys do not match turn_count'
-  WHEN conv_id % 43 = 17 THEN 'bad turn fields: turn_1' END AS malformed_reason
-FROM fx_meta WHERE conv_id % 29 = 7 OR conv_id % 31 = 9 OR conv_id % 37 = 11 OR conv_id % 41 = 13 OR conv_id % 43 = 17"""))
+  WHEN conv_id % 37 = 11 THEN 'turn_count_value is not an integer'
+  WHEN conv_id % 41 = 13 THEN 'turn keys do not match turn_count_value'
+  WHEN conv_id % 47 = 5 AND turn_count_value > 2 THEN
+    'bad turn fields: ' || (SELECT string_agg('turn_' || i, ',' ORDER BY 'turn_' || i)
+                            FROM range(1, turn_count_value, 2) r(i))
+  WHEN conv_id % 47 = 5 AND turn_count_value = 2 OR conv_id % 43 = 17 AND turn_count_value > 1
+    THEN 'bad turn fields: turn_1' END"""
+
+
+@query("malformed_records", with_fixture(f"""
+SELECT request_id, malformed_reason FROM (SELECT request_id, {DEFECT_SQL} AS malformed_reason FROM fx_meta)
+WHERE malformed_reason IS NOT NULL"""))
 def malformed_records(spark, sf):
     checked = V.malformed_records(parse_raw_records(raw_store(spark, sf)))
     return checked.filter(F.col("malformed_reason").isNotNull()).select("request_id", "malformed_reason")

@@ -105,7 +105,7 @@ def records_from_turns(turns: DataFrame, meta: DataFrame) -> DataFrame:
             F.lit("caller"), F.col("caller"),
             F.lit("benign_context"), F.coalesce(F.col("benign_context"), F.lit("")),
             F.lit("cialdini_emphasis"), F.coalesce(F.col("cialdini_emphasis"), F.lit("")),
-            F.lit("turn_count"), F.col("turn_count_value").cast("string"))).alias("selection"),
+            F.lit("turn_count_value"), F.col("turn_count_value").cast("string"))).alias("selection"),
         F.struct(F.col("generation_input_tokens").alias("input_tokens"),
                  F.col("generation_output_tokens").alias("output_tokens"),
                  (F.col("generation_input_tokens") + F.col("generation_output_tokens"))
