@@ -63,7 +63,7 @@ def test_progressive_summary(spark, turns, batch):
     d = tempfile.mkdtemp(prefix="summary-")
     out = _run(spark, [turns])
     out.write.parquet(f"{d}/scored")
-    s = ST.run_summary_stream(spark, f"{d}/scored", f"{d}/ck", "summary_test").first()
+    s = ST.run_summary_stream(spark, f"{d}/scored", f"{d}/ck", f"{d}/summary").first()
     assert s.n_calls == len(batch)
     assert s.n_y + s.n_n + s.n_e + s.n_x == s.n_calls
 
@@ -87,5 +87,50 @@ def test_decode_rules(spark):
     assert got[2] == ("E", 0.0, 0.0)
     assert got[3] == ("X", None, None)
     assert got[4][0] == "N"
-    for k, cands in ((1, [("maybe", -0.1), ("N", -1.0), ("Y", -0.5)]), (4, [("N", -0.3), ("Y", -0.3)])):
-        assert ST.decode_rows(cands)[0] == got[k][0]
+
+
+def test_one_failing_call_is_one_x_with_its_message(spark):
+    def scorer(b):
+        if (b["transcript"].str.contains("boom") & (b["stance"] == "balanced")).any():
+            raise ValueError("no answer")
+        return D.lexical_scorer(b)
+    df = spark.createDataFrame([("a", 1, "Caller: fine"), ("b", 1, "Caller: boom")], "request_id string, turn_index long, transcript string")
+    got = {(r.request_id, r.stance): (r.prediction, r.error) for r in D.score_turns(df, scorer=scorer).collect()}
+    assert got["b", "balanced"] == ("X", "ValueError: no answer")
+    assert len(got) == 6 and sum(p == "X" for p, _ in got.values()) == 1
+
+
+def test_scorer_gets_prompt_custom_text_and_whole_transcript(spark, tmp_path):
+    def scorer(b):
+        out = D.lexical_scorer(b)
+        out["candidates"] = [[("Y" if "be strict" in p and "urgent" in t else "N", -0.1)]
+                             for p, t in zip(b["system_prompt"], b["transcript"])]
+        return out
+    rows = [("a", 0, "urgent matter"), ("a", 1, "hello"), ("a", 2, "bye")]
+    spark.createDataFrame(rows, ST.TURN_SCHEMA).write.parquet(f"{tmp_path}/src")
+    got = ST.run_live_scoring(spark, f"{tmp_path}/src", f"{tmp_path}/out", f"{tmp_path}/ck", ["__custom__", "balanced"],
+                              custom_text="be strict", scorer=scorer).collect()
+    assert {(r.turn_index, r.stance, r.prediction) for r in got} == {
+        (1, "__custom__", "Y"), (2, "__custom__", "Y"), (1, "balanced", "N"), (2, "balanced", "N")}
+
+
+def test_scorer_reads_text_before_blank_lines(spark):
+    df = spark.createDataFrame([("a", 1, "Caller: urgent urgent\n\nurgent"), ("b", 1, "Caller: x x\n\nx")],
+                               "request_id string, turn_index long, transcript string")
+    got = {r.request_id: r.p_detected for r in D.score_turns(df, stances=("balanced",)).collect()}
+    assert got["a"] > 0.9 and got["b"] < 0.1
+
+
+def test_failed_conversations_are_scored_again(spark, turns, batch, tmp_path):
+    turns.repartition(2, "request_id").write.parquet(f"{tmp_path}/src")
+    bad = turns.select("request_id").distinct().orderBy("request_id").first()[0]
+
+    def broken(b):
+        if (b["request_id"] == bad).any():
+            raise TimeoutError("late")
+        return D.lexical_scorer(b)
+    ST.resumable_detection(spark, f"{tmp_path}/src", f"{tmp_path}/out", f"{tmp_path}/ck", scorer=broken, attempts=1)
+    first = ST.current_results(spark, f"{tmp_path}/out")
+    assert {r.request_id for r in first.filter("prediction = 'X'").collect()} == {bad}
+    ST.resumable_detection(spark, f"{tmp_path}/src", f"{tmp_path}/out", f"{tmp_path}/ck")
+    assert _rows(ST.current_results(spark, f"{tmp_path}/out")) == batch

@@ -4,7 +4,7 @@ candidate tokens, and per-run roll-ups over the long ``detections`` table."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schema as S
+from ..session import ship_package
 from ..functions.columns import eligible, normalize_prediction
 
 # Stance order the detector walks within a turn (the detection stage's own
@@ -263,6 +264,7 @@ SCORE_SCHEMA = T.StructType([
     T.StructField("latency_ms", T.LongType()),
     T.StructField("input_tokens", T.LongType()),
     T.StructField("output_tokens", T.LongType()),
+    T.StructField("error", T.StringType()),
 ])
 
 # FIXED VALUES of the shipped lexical scorer: cue words per objective and the
@@ -273,19 +275,37 @@ CUE_WORDS = {
 }
 STANCE_BIAS = {"high_precision": -0.15, "balanced": 0.0, "high_recall": 0.15}
 
+CUSTOM_STANCE = "__custom__"
+OBJECTIVE_PROMPTS = {
+    "social_engineering": "Decide whether the caller's last turn manipulates the representative.",
+    "policy_violation": "Decide whether the representative's last turn breaks the call policy.",
+}
+STANCE_INSTRUCTIONS = {
+    "high_precision": "Answer Y only when you are certain.",
+    "balanced": "Weigh both kinds of error alike.",
+    "high_recall": "Answer Y whenever it is plausible.",
+}
+
+
+def system_prompts(stances: Iterable[str] = S.STANCES, custom_text: str = "") -> dict[tuple[str, str], str]:
+    """System prompt of every (objective, stance); the custom stance carries the
+    user's own text."""
+    told = STANCE_INSTRUCTIONS | {CUSTOM_STANCE: custom_text.strip()}
+    return {(o, s): f"{text}\n\n{told.get(s, '')}\n\nAnswer Y or N." for o, text in OBJECTIVE_PROMPTS.items() for s in stances}
+
 
 def lexical_scorer(batch: pd.DataFrame) -> pd.DataFrame:
     """Deterministic stand-in for the detector: P(Y) from the share of cue
-    words in the transcript's last turn, shifted by stance. Pure function of
-    its input, so batch and stream scoring agree."""
+    words in the whole transcript, shifted by stance. Pure function of its
+    input, so batch and stream scoring agree."""
     import numpy as np
 
-    last = batch["transcript"].str.rsplit("\n\n", n=1).str[-1].str.lower()
+    said = batch["transcript"].str.lower()
     share = np.zeros(len(batch))
     for obj, cues in CUE_WORDS.items():
         mask = (batch["objective"] == obj).to_numpy()
-        hits = sum(last.str.count(c).to_numpy() for c in cues)
-        words = last.str.count(" ").to_numpy() + 1
+        hits = sum(said.str.count(c).to_numpy() for c in cues)
+        words = said.str.count(" ").to_numpy() + 1
         share = np.where(mask, np.minimum(1.0, 20.0 * hits / words), share)
     bias = batch["stance"].map(STANCE_BIAS).fillna(0.0).to_numpy()
     p_y = np.clip(0.05 + 0.9 * share + bias, 0.001, 0.999)
@@ -301,34 +321,66 @@ def lexical_scorer(batch: pd.DataFrame) -> pd.DataFrame:
     })
 
 
-def score_batch(requests: DataFrame, scorer: ScorerFn = lexical_scorer,
-                concurrency: int | None = None) -> DataFrame:
-    """Score (transcript, objective, stance) requests with a user scorer
-    via Arrow batches (``mapInPandas``); a scorer exception marks the batch's
-    rows as failed calls (null candidates → 'X'). ``concurrency`` bounds the
-    number of scoring tasks (the reference's thread pool)."""
+REQUEST_KEY = ["request_id", "turn_index", "objective", "stance"]
+
+
+def call_scorer(scorer: ScorerFn, requests: pd.DataFrame, attempts: int = 3) -> pd.DataFrame:
+    """Score a batch of requests. If the batch call raises, every request is
+    called by itself, up to ``attempts`` times; one that still fails keeps null
+    candidates (read as ``X``) and its own message, and harms no other row."""
+    names = [f.name for f in SCORE_SCHEMA.fields]
+    if not len(requests):
+        return pd.DataFrame({n: [] for n in names})
+    try:
+        return scorer(requests).assign(error=None)[names]
+    except Exception:  # noqa: BLE001 - find the failing requests below
+        pass
+    parts = []
+    for i in range(len(requests)):
+        row, message = requests.iloc[[i]].reset_index(drop=True), ""
+        for _ in range(attempts):
+            try:
+                parts.append(scorer(row).assign(error=None)[names])
+                break
+            except Exception as e:  # noqa: BLE001 - a failed call is data
+                message = f"{type(e).__name__}: {e}"
+        else:
+            parts.append(row[REQUEST_KEY].assign(candidates=None, latency_ms=None, input_tokens=None,
+                                                 output_tokens=None, error=message)[names])
+    return pd.concat([p.astype(object) for p in parts], ignore_index=True)
+
+
+def score_batch(requests: DataFrame, scorer: ScorerFn = lexical_scorer, concurrency: int | None = None,
+                attempts: int = 3, custom_text: str = "") -> DataFrame:
+    """Score (transcript, objective, stance) requests with a user scorer via
+    Arrow batches. The scorer gets the whole transcript and the system prompt of
+    the request's objective and stance. ``concurrency`` bounds the number of
+    scoring tasks (the reference's thread pool)."""
     if concurrency:
         requests = requests.repartition(concurrency, "request_id")
+    prompts = system_prompts((*S.STANCES, CUSTOM_STANCE), custom_text)
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in it:
-            try:
-                out = scorer(b)
-            except Exception:  # noqa: BLE001 - per-call failure is data ('X')
-                out = pd.DataFrame({
-                    "request_id": b["request_id"], "turn_index": b["turn_index"],
-                    "objective": b["objective"], "stance": b["stance"],
-                    "candidates": [None] * len(b), "latency_ms": [None] * len(b),
-                    "input_tokens": [None] * len(b), "output_tokens": [None] * len(b)})
-            yield out
-
-    scored = requests.select("request_id", "turn_index", "objective", "stance",
-                             "transcript").mapInPandas(run, SCORE_SCHEMA)
+            yield call_scorer(scorer, b.assign(system_prompt=[
+                prompts.get(k, "") for k in zip(b["objective"], b["stance"])]), attempts)
+
+    ship_package(requests.sparkSession)
+    scored = requests.select(*REQUEST_KEY, "transcript").mapInPandas(run, SCORE_SCHEMA)
     return decode_top10(scored)
 
 
-def score_turns(transcripts: DataFrame, stances: tuple[str, ...] = S.STANCES,
-                scorer: ScorerFn = lexical_scorer, concurrency: int | None = None) -> DataFrame:
+def expand_requests(turns: pd.DataFrame, stances: list[str], prompts: dict[tuple[str, str], str]) -> pd.DataFrame:
+    """The (objective, stance) requests of scored turns: one row per stance."""
+    req = turns.loc[turns.index.repeat(len(stances))].reset_index(drop=True)
+    req["stance"] = stances * len(turns)
+    req["objective"] = ["social_engineering" if t % 2 == 1 else "policy_violation" for t in req["turn_index"].tolist()]
+    req["system_prompt"] = [prompts.get(k, "") for k in zip(req["objective"], req["stance"])]
+    return req
+
+
+def score_turns(transcripts: DataFrame, stances: tuple[str, ...] = S.STANCES, scorer: ScorerFn = lexical_scorer,
+                concurrency: int | None = None, attempts: int = 3, custom_text: str = "") -> DataFrame:
     """D1 without the request join: one row per scored turn (turn ≥ 1) with its
     transcript crosses the Arrow boundary once; the (objective, stance)
     requests of that turn are expanded inside the batch, so a transcript is
@@ -336,23 +388,11 @@ def score_turns(transcripts: DataFrame, stances: tuple[str, ...] = S.STANCES,
     t = transcripts.filter(F.col("turn_index") >= 1).select("request_id", "turn_index", "transcript")
     if concurrency:
         t = t.repartition(concurrency, "request_id")
-    chosen = list(stances)
+    chosen, prompts = list(stances), system_prompts(stances, custom_text)
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in it:
-            n = len(b)
-            req = b.loc[b.index.repeat(len(chosen))].reset_index(drop=True)
-            req["stance"] = chosen * n
-            req["objective"] = ["social_engineering" if ti % 2 == 1 else "policy_violation"
-                                for ti in req["turn_index"].tolist()]
-            try:
-                out = scorer(req)
-            except Exception:  # noqa: BLE001 - per-call failure is data ('X')
-                out = pd.DataFrame({
-                    "request_id": req["request_id"], "turn_index": req["turn_index"],
-                    "objective": req["objective"], "stance": req["stance"],
-                    "candidates": [None] * len(req), "latency_ms": [None] * len(req),
-                    "input_tokens": [None] * len(req), "output_tokens": [None] * len(req)})
-            yield out
+            yield call_scorer(scorer, expand_requests(b, chosen, prompts), attempts)
 
+    ship_package(transcripts.sparkSession)
     return decode_top10(t.mapInPandas(run, SCORE_SCHEMA))

@@ -297,8 +297,8 @@ def _cue_hits(obj: str) -> str:
 
 
 # Oracle of the shipped lexical scorer (a deterministic function of the
-# transcript's last turn, the objective and the stance) followed by P28.
-_SCORE_SQL = with_fixture(f"""
+# whole transcript, the objective and the stance) followed by P28.
+SCORE_SQL = with_fixture(f"""
 , tx AS (
   SELECT request_id, turn_index,
     array_to_string(list(CASE WHEN turn_index % 2 = 1 THEN 'Caller' ELSE 'Representative' END || ': ' || coalesce(passage, ''))
@@ -308,7 +308,7 @@ _SCORE_SQL = with_fixture(f"""
 r AS (
   SELECT request_id, turn_index, transcript,
     CASE WHEN turn_index % 2 = 1 THEN 'social_engineering' ELSE 'policy_violation' END AS objective,
-    lower(string_split(transcript, chr(10) || chr(10))[-1]) AS last,
+    lower(transcript) AS last,
     UNNEST({list(S.STANCES)}) AS stance
   FROM tx WHERE turn_index >= 1),
 h AS (
@@ -327,7 +327,7 @@ SELECT request_id, turn_index, objective, stance,
 FROM p""")
 
 
-@query("score_batch", _SCORE_SQL)
+@query("score_batch", SCORE_SQL)
 def score_batch(spark, sf):
     """W3 transcripts scored by the shipped lexical scorer through Arrow
     batches (stances expanded inside the batch), decoded by P28."""

@@ -1,5 +1,5 @@
-"""Streaming catalogue (rows-only: the scorer is Python, checked against the
-batch path D1 in tests/test_streaming.py)."""
+"""Streaming catalogue: the streams' results equal the batch scorer's, so they
+share its oracle."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from ..streaming import scoring as ST
+from .explore_queries import SCORE_SQL
 from .model import model
 from .registry import query
 
@@ -21,14 +22,14 @@ def _turn_files(spark, sf, split_at: int = 3) -> str:
     return src
 
 
-@query("stream_scoring")
+@query("stream_scoring", SCORE_SQL)
 def stream_scoring(spark, sf):
     src = _turn_files(spark, sf)
     return ST.run_live_scoring(spark, src, scratch_path(spark, "live_out"),
                                scratch_path(spark, "live_ckpt"), max_files_per_trigger=4)
 
 
-@query("stream_resume")
+@query("stream_resume", SCORE_SQL)
 def stream_resume(spark, sf):
     t = model(spark, sf).domain.all_turns.select("request_id", "turn_index", "passage")
     src = scratch_path(spark, "resume_src")
@@ -36,13 +37,14 @@ def stream_resume(spark, sf):
     t.repartition(4, "request_id").write.parquet(src)
     out = scratch_path(spark, "resume_out")
     ST.resumable_detection(spark, src, out, scratch_path(spark, "resume_ckpt"), max_files_per_trigger=2)
-    return ST.current_results(spark, out)
+    return ST.current_results(spark, out).drop("error")
 
 
-@query("stream_summary")
+@query("stream_summary", f"""
+SELECT count(*) AS n_calls, count(*) FILTER (WHERE prediction = 'Y') AS n_y, count(*) FILTER (WHERE prediction = 'N') AS n_n,
+  CAST(0 AS BIGINT) AS n_e, CAST(0 AS BIGINT) AS n_x FROM ({SCORE_SQL})""")
 def stream_summary(spark, sf):
     src = _turn_files(spark, sf)
     out = scratch_path(spark, "summary_scored")
     ST.run_live_scoring(spark, src, out, scratch_path(spark, "summary_live_ckpt"))
-    name = "stream_summary_" + out.rsplit("-", 1)[-1]
-    return ST.run_summary_stream(spark, out, scratch_path(spark, "summary_ckpt"), name)
+    return ST.run_summary_stream(spark, out, scratch_path(spark, "summary_ckpt"), scratch_path(spark, "summary_out"))

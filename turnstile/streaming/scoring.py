@@ -4,21 +4,23 @@ T1  live per-turn scoring: turns arrive as files; ``applyInPandasWithState``
     keyed by conversation keeps (next expected turn, transcript so far,
     buffered out-of-order turns). Each turn is emitted once, in order:
     duplicates of an emitted turn are dropped, gaps wait in state until
-    filled, state expires on a processing-time timeout.
+    filled, for however long that takes.
 T2  resumable detection: a file-source stream with a checkpoint; each
-    micro-batch scores its new conversations (D1) and lands in an
-    ``epoch=<batch id>`` partition (overwrite → a replayed batch is
-    idempotent); the current result is the latest epoch per key (S11).
-T3  progressive run summary: a streaming global aggregate in complete mode.
+    micro-batch scores its new conversations (D1) and lands in a partition of
+    its run and batch; a new run first scores again the conversations that
+    still hold a failed call. The current result is the latest row per key
+    (S11), so a replayed batch changes nothing.
+T3  progressive run summary: a streaming global aggregate in complete mode,
+    written as one small table per batch.
 """
 
 from __future__ import annotations
 
 import json
-import math
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +28,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import schema as S
 from ..operators import detect as D
+from ..session import ship_package
 
 TURN_SCHEMA = T.StructType([
     T.StructField("request_id", T.StringType()),
@@ -50,42 +53,14 @@ STATE_SCHEMA = T.StructType([
     T.StructField("pending", T.StringType()),   # JSON {turn: passage} of buffered turns
 ])
 
-CUSTOM = "__custom__"
-RUN_TIMEOUT_S = 1800
+CUSTOM = D.CUSTOM_STANCE
 
 
-def _run(spark: SparkSession, start, timeout_s: int = RUN_TIMEOUT_S):
-    """Run an availableNow query to completion. No-data micro-batches are
-    switched off for the run (they only serve timeouts/watermarks, and an
-    availableNow run ends once the input is consumed); a run that outlives
-    ``timeout_s`` is stopped and reported."""
-    key = "spark.sql.streaming.noDataMicroBatches.enabled"
-    old = spark.conf.get(key, None)
-    spark.conf.set(key, "false")
-    try:
-        q = start()
-        if not q.awaitTermination(timeout_s):
-            q.stop()
-            raise TimeoutError(f"streaming run exceeded {timeout_s}s")
-        if q.exception() is not None:
-            raise RuntimeError(str(q.exception()))
-    finally:
-        if old is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, old)
-
-
-def decode_rows(cands: list | None) -> tuple[str, float | None, float | None]:
-    """P28 on one candidate list (same rules as ``detect.decode_top10``)."""
-    if cands is None:
-        return "X", None, None
-    indexed = [(tok, lp, i) for i, (tok, lp) in enumerate(cands)]
-    indexed.sort(key=lambda x: (-x[1], x[2]))
-    top = [(tok, round(math.exp(lp), 3)) for tok, lp, _ in indexed[:10]]
-    pred = next((tok for tok, _ in top if tok in ("Y", "N")), "E")
-    lookup = {tok: p for tok, p in top}
-    return pred, lookup.get("Y", 0.0), lookup.get("N", 0.0)
+def _run(query) -> None:
+    """Wait for an availableNow query to consume its input."""
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise RuntimeError(str(query.exception()))
 
 
 def resolve_stances(stances: list[str] | None, custom_text: str = "") -> list[str]:
@@ -98,44 +73,13 @@ def resolve_stances(stances: list[str] | None, custom_text: str = "") -> list[st
     return [s for s in chosen if s in allowed]
 
 
-def _score_turns(rid: str, items: list[tuple[int, str]], stances: list[str], scorer) -> pd.DataFrame:
-    """Score (turn, transcript) pairs of one conversation with the scorer."""
-    rows = []
-    for t, tx in items:
-        if t <= 0:
-            continue
-        obj = "social_engineering" if t % 2 == 1 else "policy_violation"
-        for st in stances:
-            rows.append({"request_id": rid, "turn_index": t, "objective": obj, "stance": st,
-                         "transcript": tx})
-    if not rows:
-        return pd.DataFrame({f.name: [] for f in OUT_SCHEMA.fields})
-    req = pd.DataFrame(rows)
-    try:
-        scored = scorer(req)
-        cands = scored["candidates"].tolist()
-        lat = scored["latency_ms"].tolist()
-    except Exception:  # noqa: BLE001 - a failed call is data ('X')
-        cands, lat = [None] * len(req), [None] * len(req)
-    dec = [decode_rows(c) for c in cands]
-    return pd.DataFrame({
-        "request_id": req["request_id"], "turn_index": req["turn_index"].astype("int64"),
-        "objective": req["objective"], "stance": req["stance"],
-        "prediction": [d[0] for d in dec], "p_detected": [d[1] for d in dec],
-        "p_not_detected": [d[2] for d in dec],
-        "latency_ms": pd.array([None if x is None else int(x) for x in lat], dtype="Int64"),
-    })
-
-
-def make_state_fn(stances: list[str] | None = None, custom_text: str = "",
-                  scorer=D.lexical_scorer, timeout_ms: int = 3_600_000):
+def make_state_fn(stances: list[str] | None = None, custom_text: str = "", scorer=D.lexical_scorer,
+                  attempts: int = 3):
     chosen = resolve_stances(stances, custom_text)
+    prompts = D.system_prompts(chosen, custom_text)
 
     def fn(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rid = key[0]
-        if state.hasTimedOut:
-            state.remove()
-            return
         if state.exists:
             nxt, transcript, pending = state.get
             pending = {int(k): v for k, v in json.loads(pending).items()}
@@ -151,32 +95,38 @@ def make_state_fn(stances: list[str] | None = None, custom_text: str = "",
             label = "Caller" if nxt % 2 == 1 else "Representative"
             line = f"{label}: {pending.pop(nxt)}"
             transcript = line if nxt == 0 else transcript + "\n\n" + line
-            ready.append((nxt, transcript))
+            if nxt:
+                ready.append((nxt, transcript))
             nxt += 1
         state.update((nxt, transcript, json.dumps({str(k): v for k, v in pending.items()})))
-        state.setTimeoutDuration(timeout_ms)
-        out = _score_turns(rid, ready, chosen, scorer)
-        if len(out):
-            yield out
+        if ready and chosen:
+            turns = pd.DataFrame(ready, columns=["turn_index", "transcript"])
+            turns.insert(0, "request_id", rid)
+            yield D.call_scorer(scorer, D.expand_requests(turns, chosen, prompts), attempts)
 
     return fn
 
 
 def live_scoring(turn_stream: DataFrame, stances: list[str] | None = None, custom_text: str = "",
-                 scorer=D.lexical_scorer, timeout_ms: int = 3_600_000) -> DataFrame:
-    """Streaming DataFrame of per-(turn, stance) scores, append mode."""
-    return turn_stream.groupBy("request_id").applyInPandasWithState(
-        make_state_fn(stances, custom_text, scorer, timeout_ms), OUT_SCHEMA, STATE_SCHEMA,
-        "append", GroupStateTimeout.ProcessingTimeTimeout)
+                 scorer=D.lexical_scorer, attempts: int = 3) -> DataFrame:
+    """Streaming DataFrame of per-(turn, stance) scores, append mode. The
+    state function only emits the scorer's candidates; P28 decodes them with
+    the same expressions as the batch path."""
+    ship_package(turn_stream.sparkSession)
+    scored = turn_stream.groupBy("request_id").applyInPandasWithState(
+        make_state_fn(stances, custom_text, scorer, attempts), D.SCORE_SCHEMA, STATE_SCHEMA,
+        "append", GroupStateTimeout.NoTimeout)
+    return D.decode_top10(scored).select(*[f.name for f in OUT_SCHEMA.fields])
 
 
 def run_live_scoring(spark: SparkSession, source_dir: str, out_dir: str, checkpoint: str,
-                     stances: list[str] | None = None, max_files_per_trigger: int | None = None) -> DataFrame:
+                     stances: list[str] | None = None, max_files_per_trigger: int | None = None,
+                     custom_text: str = "", scorer=D.lexical_scorer) -> DataFrame:
     """Run T1 over all files present (availableNow) into a Parquet sink; returns the sink."""
     reader = spark.readStream.schema(TURN_SCHEMA)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    _run(spark, lambda: live_scoring(reader.parquet(source_dir), stances)
+    _run(live_scoring(reader.parquet(source_dir), stances, custom_text, scorer)
          .writeStream.format("parquet").option("path", out_dir)
          .option("checkpointLocation", checkpoint).outputMode("append")
          .trigger(availableNow=True).start())
@@ -184,34 +134,53 @@ def run_live_scoring(spark: SparkSession, source_dir: str, out_dir: str, checkpo
 
 
 # ---------------------------------------------------------------- T2
-RESULT_KEY = ["request_id", "turn_index", "objective", "stance"]
+RESULT_KEY = D.REQUEST_KEY
+RESULT_SCHEMA = T.StructType([*OUT_SCHEMA.fields, T.StructField("error", T.StringType()),
+                              T.StructField("run", T.LongType()), T.StructField("epoch", T.LongType())])
+
+
+def _results(spark: SparkSession, results_dir: str) -> DataFrame | None:
+    """All written results, or None before the first."""
+    try:
+        return spark.read.schema(RESULT_SCHEMA).parquet(results_dir)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
 
 def resumable_detection(spark: SparkSession, source_dir: str, results_dir: str, checkpoint: str,
-                        max_files_per_trigger: int | None = None) -> None:
-    """Each new file batch of turns is scored (J7 ⋈ W3 → D1) and written
-    to ``results_dir/epoch=<batch>`` (overwrite = idempotent replay).
-    Conversations must arrive whole within one file (the store's unit)."""
+                        max_files_per_trigger: int | None = None, scorer=D.lexical_scorer, attempts: int = 3) -> None:
+    """Each new file batch of turns is scored (J7 ⋈ W3 → D1) and written to
+    ``results_dir/run=<run>/epoch=<batch>``. A conversation is done when none of
+    its calls failed; a new run scores the others again (epoch -1) before it
+    reads new files. Conversations must arrive whole within one file (the
+    store's unit)."""
+    def write(turns: DataFrame, run: int, epoch: int) -> None:
+        scored = D.score_turns(D.transcript_prefix(turns), scorer=scorer, attempts=attempts)
+        (scored.select(*[f.name for f in OUT_SCHEMA.fields], "error")
+         .write.mode("overwrite").parquet(f"{results_dir}/run={run}/epoch={epoch}"))
+
+    before, run = _results(spark, results_dir), 0
+    if before is not None:
+        run = (before.agg(F.max("run")).first()[0] or 0) + 1
+        failed = current_results(spark, results_dir).filter("prediction = 'X'").select("request_id").distinct()
+        if failed.take(1):
+            turns = spark.read.schema(TURN_SCHEMA).parquet(source_dir)
+            write(turns.join(failed, "request_id", "left_semi"), run, -1)
     reader = spark.readStream.schema(TURN_SCHEMA)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    stream = reader.parquet(source_dir)
-
-    def handle(batch: DataFrame, epoch: int) -> None:
-        scored = D.score_turns(D.transcript_prefix(batch))
-        (scored.select(*RESULT_KEY, "prediction", "p_detected", "p_not_detected", "latency_ms")
-         .write.mode("overwrite").parquet(f"{results_dir}/epoch={epoch}"))
-
-    _run(spark, lambda: stream.writeStream.foreachBatch(handle)
+    _run(reader.parquet(source_dir).writeStream.foreachBatch(lambda batch, epoch: write(batch, run, epoch))
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
 def current_results(spark: SparkSession, results_dir: str) -> DataFrame:
-    """S11 view over the epochs: the latest epoch's row per key (aggregation,
-    so a hot key is reduced map-side)."""
-    r = spark.read.parquet(results_dir)
-    rest = [c for c in r.columns if c not in RESULT_KEY and c != "epoch"]
-    return (r.groupBy(*RESULT_KEY).agg(F.max_by(F.struct(*rest), F.col("epoch")).alias("x"))
+    """S11 view over the runs: the latest row per key (aggregation, so a hot key
+    is reduced map-side)."""
+    r = spark.read.schema(RESULT_SCHEMA).parquet(results_dir)
+    rest = [c for c in r.columns if c not in RESULT_KEY and c not in ("run", "epoch")]
+    return (r.groupBy(*RESULT_KEY).agg(F.max_by(F.struct(*rest), F.struct("run", "epoch")).alias("x"))
             .select(*RESULT_KEY, "x.*"))
 
 
@@ -225,10 +194,11 @@ def progressive_summary(scored_stream: DataFrame) -> DataFrame:
         F.count_if(c == "X").alias("n_x"))
 
 
-def run_summary_stream(spark: SparkSession, results_glob: str, checkpoint: str, table: str) -> DataFrame:
-    """Run T3 over scored result files into a memory table; returns it."""
+def run_summary_stream(spark: SparkSession, results_glob: str, checkpoint: str, out_dir: str) -> DataFrame:
+    """Run T3 over scored result files; every batch replaces the one-row summary
+    table in ``out_dir``, which is returned."""
     src = spark.readStream.schema(OUT_SCHEMA).parquet(results_glob)
-    _run(spark, lambda: progressive_summary(src).writeStream.format("memory").queryName(table)
-         .outputMode("complete").option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
-    return spark.table(table)
+    _run(progressive_summary(src).writeStream.outputMode("complete")
+         .foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out_dir))
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    return spark.read.parquet(out_dir)
