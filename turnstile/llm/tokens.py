@@ -13,6 +13,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from ..session import scratch_path
 from .common import in_arrow, spread
 
 END_ID = 0
-CACHE_CHUNKS = 1_000_000       # memory bound of a worker's chunk cache; refilled when exceeded
+CACHE_CHUNKS = 600_000        # memory bound of a worker's chunk cache; beyond it only the last texts' chunks stay
 JOIN_CHARS = 1 << 18          # unseen chunks are encoded together in strings of this length
 
 #: A byte-level BPE with the usual pre-tokenizer always starts a new piece at a
@@ -61,6 +62,7 @@ class ChunkEncoder:
         for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
             self.lengths[i] = len(added[i].content.encode()) if i in added else len(token)
         self.cache: dict[str, bytes] = {}
+        self.used: set[str] = set()
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -88,10 +90,11 @@ class ChunkEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian int32 ids of every text."""
         if len(self.cache) > CACHE_CHUNKS:
-            self.cache.clear()
+            self.cache = {c: self.cache[c] for c in self.used}
         cut = [_CUT.split(t) if _ODD.search(t) else t.split(" ") for t in texts]
         firsts = [c.pop(0) for c in cut]                 # stands before the first cut, encoded by itself
-        unseen = set().union(*cut).difference(self.cache)
+        self.used = set().union(*cut)
+        unseen = self.used.difference(self.cache)
         if unseen:
             self._learn(list(unseen))
         wanted = list(set(firsts))
@@ -100,11 +103,17 @@ class ChunkEncoder:
         return [heads[f] + b"".join(map(known, rest)) for f, rest in zip(firsts, cut)]
 
 
+@lru_cache(maxsize=1)
+def _shared_encoder(path: str) -> ChunkEncoder:
+    """One encoder per worker process, kept from task to task."""
+    return ChunkEncoder(path)
+
+
 def _encoder(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         part = TaskContext.get().partitionId()
-        encoder = ChunkEncoder(path)
+        encoder = _shared_encoder(path)
         first = 0
         tail = np.array([end_id], np.int32).tobytes()
         for batch in batches:
