@@ -40,7 +40,7 @@ def test_pre_at_post_sum_to_total(m):
 
 
 def test_concordance_sums_to_eligible(m):
-    c = FX.stance_concordance(m.domain.detections)
+    c = FX.stance_concordance(m.domain.detections, m.conv_facts)
     elig = (m.domain.detections.groupBy("request_id", "objective")
             .agg(F.countDistinct("turn_index").alias("n")))
     bad = c.join(elig, ["request_id", "objective"]).filter(

@@ -115,9 +115,9 @@ def test_recall_rules(facts):
 
 
 def test_concordance(facts):
-    _, dets, _, _, _ = facts
+    _, dets, conv, _, _ = facts
     got = {r.objective: (r.stance_concordant_turns, r.stance_discordant_turns)
-           for r in FX.stance_concordance(dets).collect()}
+           for r in FX.stance_concordance(dets, conv).collect()}
     assert got["social_engineering"] == (2, 1)
     assert got["policy_violation"] == (1, 1)
 

@@ -139,23 +139,27 @@ def status_from_counts(n_applicable: Column, n_x: Column) -> Column:
              .otherwise(F.lit(S.STATUS_PARTIAL)))
 
 
-def run_status(det: DataFrame) -> DataFrame:
+def _for_all(per: DataFrame, conversations: DataFrame | None) -> DataFrame:
+    """Per-conversation rows for every one of ``conversations``, with nulls for
+    one without a cell; as they are if no conversations are given."""
+    if conversations is None:
+        return per
+    return conversations.select("request_id").join(per, "request_id", "left")
+
+
+def run_status(det: DataFrame, conversations: DataFrame | None = None) -> DataFrame:
     """Success (nothing applicable, or no X) / error (all X) / partial."""
-    g = det.groupBy("request_id").agg(F.count("code").alias("n_applicable"),
-                                      F.count_if(F.col("code") == "X").alias("n_x"))
-    st = (F.when(F.col("n_applicable") == 0, F.lit(S.STATUS_SUCCESS))
-           .when(F.col("n_x") == 0, F.lit(S.STATUS_SUCCESS))
-           .when(F.col("n_x") == F.col("n_applicable"), F.lit(S.STATUS_ERROR))
-           .otherwise(F.lit(S.STATUS_PARTIAL)))
-    return g.withColumn("detection_status", st)
+    g = _for_all(det.groupBy("request_id").agg(F.count("code").alias("n_applicable"),
+                                               F.count_if(F.col("code") == "X").alias("n_x")), conversations).fillna(0)
+    return g.withColumn("detection_status", status_from_counts(F.col("n_applicable"), F.col("n_x")))
 
 
-def run_totals(det: DataFrame) -> DataFrame:
+def run_totals(det: DataFrame, conversations: DataFrame | None = None) -> DataFrame:
     """Latency and token totals over all cells, nulls ignored."""
-    return det.groupBy("request_id").agg(
-        F.coalesce(F.sum("latency_ms"), F.lit(0)).alias("detection_total_latency_ms"),
-        F.coalesce(F.sum("input_tokens"), F.lit(0)).alias("detection_total_input_tokens"),
-        F.coalesce(F.sum("output_tokens"), F.lit(0)).alias("detection_total_output_tokens"))
+    return _for_all(det.groupBy("request_id").agg(
+        F.sum("latency_ms").alias("detection_total_latency_ms"),
+        F.sum("input_tokens").alias("detection_total_input_tokens"),
+        F.sum("output_tokens").alias("detection_total_output_tokens")), conversations).fillna(0)
 
 
 def error_message(det: DataFrame) -> Column:
@@ -165,16 +169,16 @@ def error_message(det: DataFrame) -> Column:
         F.col("objective"), F.lit("__"), F.col("stance"), F.lit(")")))
 
 
-def error_counts(det: DataFrame) -> DataFrame:
+def error_counts(det: DataFrame, conversations: DataFrame | None = None) -> DataFrame:
     """Counts of E and X and the last error message in call order
     (turn, then the detector's stance order); '' if none."""
     order = F.array_position(F.array(*[F.lit(s) for s in CALL_ORDER]), F.col("stance"))
     seq = F.struct(F.col("turn_index"), order)
     msg = error_message(det)
-    return det.groupBy("request_id").agg(
+    return _for_all(det.groupBy("request_id").agg(
         F.count_if(F.col("code") == "X").alias("detection_error_count"),
         F.count_if(F.col("code") == "E").alias("detection_no_valid_count"),
-        F.coalesce(F.max_by(msg, F.when(msg.isNotNull(), seq)), F.lit("")).alias("detection_last_error"))
+        F.max_by(msg, F.when(msg.isNotNull(), seq)).alias("detection_last_error")), conversations).fillna(0).fillna("")
 
 
 def stance_index(det: DataFrame) -> DataFrame:

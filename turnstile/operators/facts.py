@@ -141,10 +141,19 @@ def conversation_flag_facts(turns: DataFrame) -> DataFrame:
                           F.greatest(F.col("n_rep_turns_total") - 1, F.lit(0)))
 
 
+def every_key(conversations: DataFrame, stances: bool = True) -> DataFrame:
+    """Conversations × objectives (× stances), generated per row."""
+    out = conversations.select("*", F.explode(F.array(*[F.lit(o) for o in S.OBJECTIVES])).alias("objective"))
+    if stances:
+        out = out.select("*", F.explode(F.array(*[F.lit(x) for x in S.STANCES])).alias("stance"))
+    return out
+
+
 def detection_facts(detections: DataFrame, conv_facts: DataFrame) -> DataFrame:
     """§2.4 A7, A8, A10, A11 at grain (request_id, objective, stance).
 
-    Only eligible cells count. first/last prediction turn, n_fired and the
+    Every conversation has a row for every key, also without a cell. Only
+    eligible cells count. first/last prediction turn, n_fired and the
     margin come from one group-by; lead and persistence are arithmetic on
     that row (eligible turns from fp on follow from n_turns by parity).
     """
@@ -160,9 +169,10 @@ def detection_facts(detections: DataFrame, conv_facts: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_eligible"),
         F.avg(margin).alias("mean_confidence_margin"),
     )
-    cf = conv_facts.select("request_id", "conversation_type", "n_turns", "first_violation_turn__any")
+    cf = every_key(conv_facts.select("request_id", "conversation_type", "n_turns", "first_violation_turn__any"))
     fp = F.col("first_prediction_turn")
-    return (k.join(cf, "request_id")
+    return (cf.join(k, ["request_id", "objective", "stance"], "left")
+            .fillna(0, ["n_fired", "n_predicted", "n_eligible"])
             .withColumn("lead", F.col("first_violation_turn__any") - fp)
             .withColumn("persistence_rate",
                         F.col("n_fired") / n_eligible_from(F.col("objective"), fp, F.col("n_turns"))))
@@ -200,15 +210,18 @@ def combined_first(det_facts: DataFrame) -> DataFrame:
             .withColumn("lead", F.col("first_violation_turn__any") - F.col("first_prediction_turn")))
 
 
-def stance_concordance(detections: DataFrame) -> DataFrame:
-    """Eligible turns where all stances agree (null counts as not fired)."""
+def stance_concordance(detections: DataFrame, conversations: DataFrame) -> DataFrame:
+    """Eligible turns where all stances agree (null counts as not fired);
+    a row of zeros for a conversation without such turns."""
     d = detections.filter(eligible(F.col("objective"), F.col("turn_index")))
     b = F.when(F.col("pred") == 1, 1).otherwise(0)
     per_turn = d.groupBy("request_id", "objective", "turn_index").agg(
         (F.min(b) == F.max(b)).alias("agree"))
-    return per_turn.groupBy("request_id", "objective").agg(
+    counts = per_turn.groupBy("request_id", "objective").agg(
         F.count_if("agree").alias("stance_concordant_turns"),
         F.count_if(~F.col("agree")).alias("stance_discordant_turns"))
+    return (every_key(conversations.select("request_id"), stances=False)
+            .join(counts, ["request_id", "objective"], "left").fillna(0))
 
 
 def stance_firsts(detections: DataFrame) -> DataFrame:

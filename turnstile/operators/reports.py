@@ -9,8 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .. import schema as S
+from ..session import scratch_path
 
 
 def pct_label(p: float) -> str:
@@ -33,40 +35,66 @@ def with_type_sets(df: DataFrame, type_col: str = "conversation_type",
     return df.withColumn(out_col, F.explode(F.array(F.col(type_col), F.lit("combined"))))
 
 
-def latency_percentiles(detections: DataFrame,
-                        percentiles: tuple[float, ...] = S.DEFAULT_PERCENTILES,
-                        exact: bool = True) -> DataFrame:
-    """Latency percentiles per detection key × {threat, benign, combined}.
+def exact_percentiles(df: DataFrame, keys: list[str], value_col: str,
+                      percentiles: tuple[float, ...] = S.DEFAULT_PERCENTILES) -> DataFrame:
+    """Exact percentiles (linear interpolation) of ``value_col`` per ``keys``,
+    with ``n_used``, for any number of rows and of distinct values per group.
 
-    Exact ``percentile`` keeps a value→count map per group, bounded by the
-    distinct latencies (integer ms); ``exact=False`` switches to
-    ``percentile_approx`` for unbounded domains. Always 18 rows.
+    Values are counted first (combined before the shuffle); the counts are dealt
+    to ranges of (key, value); the ranges' totals per key give every range its
+    first rank; inside a range a running sum ranks the values, and one
+    aggregation picks those that hold a target rank. No group is larger than a
+    range, and no value list is kept in memory.
     """
+    spark = df.sparkSession
+    counts = df.filter(F.col(value_col).isNotNull()).groupBy(*keys, F.col(value_col).alias("_v")).agg(
+        F.count(F.lit(1)).alias("_n"))
+    path = scratch_path(spark, "percentiles")
+    dealt = counts.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys, "_v")
+    dealt.withColumn("_part", F.spark_partition_id()).write.parquet(path)     # the range number becomes data
+    parts = spark.read.parquet(path)
+    per_part = parts.groupBy("_part", *keys).agg(F.sum("_n").alias("_sum"))
+    by_key = Window.partitionBy(*keys)
+    offsets = per_part.select(
+        "_part", *keys, F.sum("_sum").over(by_key).alias("_total"),
+        F.coalesce(F.sum("_sum").over(by_key.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)),
+                   F.lit(0)).alias("_before"))
+    running = F.sum("_n").over(Window.partitionBy("_part", *keys).orderBy("_v"))
+    ranked = (parts.withColumn("_upto", running).join(offsets, ["_part", *keys])
+              .withColumn("_to", F.col("_before") + F.col("_upto")).withColumn("_from", F.col("_to") - F.col("_n")))
+    aggs = [F.max("_total").alias("n_used")]
+    for i, p in enumerate(percentiles):
+        rank = F.lit(float(p)) * (F.col("_total") - 1)
+        for name, target in (("lo", F.floor(rank)), ("hi", F.ceil(rank))):
+            aggs.append(F.max(F.when((F.col("_from") <= target) & (target < F.col("_to")), F.col("_v"))
+                              .cast("double")).alias(f"_{name}{i}"))
+    out = ranked.groupBy(*keys).agg(*aggs)
+    for i, p in enumerate(percentiles):
+        rank = F.lit(float(p)) * (F.col("n_used") - 1)
+        out = out.withColumn(pct_label(p), F.col(f"_lo{i}") + (rank - F.floor(rank)) * (F.col(f"_hi{i}") - F.col(f"_lo{i}")))
+    return out.select(*keys, "n_used", *[pct_label(p) for p in percentiles])
+
+
+def latency_percentiles(detections: DataFrame,
+                        percentiles: tuple[float, ...] = S.DEFAULT_PERCENTILES) -> DataFrame:
+    """Latency percentiles per detection key × {threat, benign, combined}.
+    Always 18 rows."""
     d = (detections.filter(F.col("latency_ms").isNotNull())
          .select(F.concat_ws("__", "objective", "stance").alias("detection_key"),
                  "conversation_type", "latency_ms"))
-    d = with_type_sets(d)
-    agg = [F.count(F.lit(1)).alias("n_turns_used")]
-    for p in percentiles:
-        fn = F.percentile("latency_ms", F.lit(p)) if exact else \
-            F.percentile_approx("latency_ms", F.lit(p), 10000)
-        agg.append(fn.cast("double").alias(pct_label(p)))
-    g = d.groupBy("detection_key", "conversation_filter").agg(*agg)
+    g = exact_percentiles(with_type_sets(d), ["detection_key", "conversation_filter"], "latency_ms", percentiles)
     grid = _scaffold(detections, detection_key=S.DETECTION_KEYS,
                      conversation_filter=S.CONVERSATION_TYPES)
     return (grid.join(g, ["detection_key", "conversation_filter"], "left")
-            .withColumnRenamed("conversation_filter", "conversation_type")
+            .withColumnsRenamed({"conversation_filter": "conversation_type", "n_used": "n_turns_used"})
             .withColumn("n_turns_used", F.coalesce("n_turns_used", F.lit(0))))
 
 
 def percentiles_by(df: DataFrame, group_col: str, value_col: str,
                    percentiles: tuple[float, ...] = S.DEFAULT_PERCENTILES) -> DataFrame:
     """Generic A17 on any table: percentiles of ``value_col`` per group + 'combined'."""
-    d = with_type_sets(df.filter(F.col(value_col).isNotNull()), group_col, "grp")
-    agg = [F.count(F.lit(1)).alias("n_used")]
-    agg += [F.percentile(value_col, F.lit(p)).cast("double").alias(pct_label(p))
-            for p in percentiles]
-    return d.groupBy("grp").agg(*agg).withColumnRenamed("grp", group_col)
+    return (exact_percentiles(with_type_sets(df, group_col, "grp"), ["grp"], value_col, percentiles)
+            .withColumnRenamed("grp", group_col))
 
 
 def confusion_scenarios(scores: DataFrame) -> DataFrame:
@@ -81,16 +109,17 @@ def confusion_scenarios(scores: DataFrame) -> DataFrame:
             .withColumn("n", F.coalesce("n", F.lit(0))))
 
 
-def confusion_turns(turn_tab: DataFrame, detections: DataFrame) -> DataFrame:
+def confusion_turns(conv_facts: DataFrame, detections: DataFrame) -> DataFrame:
     """Turn-level PV confusion on eligible turns with a prediction;
-    absent combinations stay absent."""
+    absent combinations stay absent. The cumulative violation of a turn is
+    whether the conversation's first violation is not after it, so one join with
+    the conversation facts replaces the running windows."""
     pv = detections.filter((F.col("objective") == "policy_violation") & F.col("pred").isNotNull())
     j = pv.select("request_id", "turn_index", "stance", "pred").join(
-        turn_tab.select("request_id", "turn_index", "cumulative_any_violation"),
-        ["request_id", "turn_index"])
+        conv_facts.select("request_id", "first_violation_turn__any"), "request_id")
+    had = F.coalesce(F.col("turn_index") >= F.col("first_violation_turn__any"), F.lit(False))
     return j.groupBy(
-        "stance",
-        (F.col("cumulative_any_violation") == 1).cast("long").alias("had_cumulative_violation"),
+        "stance", had.cast("long").alias("had_cumulative_violation"),
         (F.col("pred") == 1).cast("long").alias("pv_predicted_positive"),
     ).agg(F.count(F.lit(1)).alias("n"))
 

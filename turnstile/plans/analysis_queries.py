@@ -108,12 +108,14 @@ def combined_first(spark, sf):
   SELECT request_id, objective, turn_index,
          min(CASE WHEN pred = 1 THEN 1 ELSE 0 END) = max(CASE WHEN pred = 1 THEN 1 ELSE 0 END) AS agree
   FROM a_dets GROUP BY request_id, objective, turn_index)
-SELECT request_id, objective,
+SELECT c.request_id, o.objective,
        count(*) FILTER (WHERE agree) AS stance_concordant_turns,
        count(*) FILTER (WHERE NOT agree) AS stance_discordant_turns
-FROM per_turn GROUP BY request_id, objective"""))
+FROM a_conv c CROSS JOIN (SELECT UNNEST({list(S.OBJECTIVES)}) AS objective) o
+LEFT JOIN per_turn p ON p.request_id = c.request_id AND p.objective = o.objective GROUP BY c.request_id, o.objective"""))
 def stance_concordance(spark, sf):
-    return FX.stance_concordance(model(spark, sf).domain.detections)
+    m = model(spark, sf)
+    return FX.stance_concordance(m.domain.detections, m.conv_facts)
 
 
 # ---------------------------------------------------------------- §2.6 windows
@@ -289,7 +291,7 @@ WHERE d.objective = 'policy_violation' AND d.pred IS NOT NULL
 GROUP BY ALL"""))
 def confusion_turns(spark, sf):
     m = model(spark, sf)
-    return RP.confusion_turns(m.turn_table, m.domain.detections)
+    return RP.confusion_turns(m.conv_facts, m.domain.detections)
 
 
 @query("coverage", with_fixture(f"""

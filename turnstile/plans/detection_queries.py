@@ -22,34 +22,34 @@ def _dets(spark, sf):
 
 
 @query("run_status", with_fixture("""
-SELECT request_id, count(code) AS n_applicable, count(*) FILTER (WHERE code = 'X') AS n_x,
+SELECT m.request_id, count(code) AS n_applicable, count(*) FILTER (WHERE code = 'X') AS n_x,
   CASE WHEN count(code) = 0 OR count(*) FILTER (WHERE code = 'X') = 0 THEN 'success'
        WHEN count(*) FILTER (WHERE code = 'X') = count(code) THEN 'error' ELSE 'partial' END AS detection_status
-FROM fx_cells GROUP BY request_id"""))
+FROM fx_meta m LEFT JOIN fx_cells c ON c.request_id = m.request_id GROUP BY m.request_id"""))
 def run_status(spark, sf):
-    return D.run_status(_dets(spark, sf))
+    return D.run_status(_dets(spark, sf), model(spark, sf).domain.meta)
 
 
 @query("run_totals", with_fixture("""
-SELECT request_id, CAST(coalesce(sum(latency_ms), 0) AS BIGINT) AS detection_total_latency_ms,
+SELECT m.request_id, CAST(coalesce(sum(latency_ms), 0) AS BIGINT) AS detection_total_latency_ms,
   CAST(coalesce(sum(input_tokens), 0) AS BIGINT) AS detection_total_input_tokens,
   CAST(coalesce(sum(output_tokens), 0) AS BIGINT) AS detection_total_output_tokens
-FROM fx_cells GROUP BY request_id"""))
+FROM fx_meta m LEFT JOIN fx_cells c ON c.request_id = m.request_id GROUP BY m.request_id"""))
 def run_totals(spark, sf):
-    return D.run_totals(_dets(spark, sf))
+    return D.run_totals(_dets(spark, sf), model(spark, sf).domain.meta)
 
 
 _CALL_ORD = " ".join(f"WHEN '{s}' THEN {i + 1}" for i, s in enumerate(D.CALL_ORDER))
 
 
 @query("error_counts", with_fixture(f"""
-SELECT request_id, count(*) FILTER (WHERE code = 'X') AS detection_error_count,
+SELECT m.request_id, count(*) FILTER (WHERE code = 'X') AS detection_error_count,
   count(*) FILTER (WHERE code = 'E') AS detection_no_valid_count,
   coalesce(arg_max('call failed at turn ' || CAST(turn_index AS VARCHAR) || ' (' || objective || '__' || stance || ')',
                    turn_index * 10 + CASE stance {_CALL_ORD} END) FILTER (WHERE code = 'X'), '') AS detection_last_error
-FROM fx_cells GROUP BY request_id"""))
+FROM fx_meta m LEFT JOIN fx_cells c ON c.request_id = m.request_id GROUP BY m.request_id"""))
 def error_counts(spark, sf):
-    return D.error_counts(_dets(spark, sf))
+    return D.error_counts(_dets(spark, sf), model(spark, sf).domain.meta)
 
 
 @query("stance_index", with_fixture("""

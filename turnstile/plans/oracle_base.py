@@ -208,7 +208,7 @@ a_conv AS (
   SELECT request_id, conversation_type,
     {_conv_aggs()}
   FROM a_flags GROUP BY request_id, conversation_type),
-a_key0 AS (
+a_cellkeys AS (
   SELECT request_id, objective, stance,
     min(CASE WHEN pred = 1 THEN turn_index END) AS first_prediction_turn,
     max(CASE WHEN pred = 1 THEN turn_index END) AS last_prediction_turn,
@@ -218,6 +218,13 @@ a_key0 AS (
     avg(CASE WHEN p_detected IS NOT NULL AND p_not_detected IS NOT NULL
              THEN p_detected - p_not_detected END) AS mean_confidence_margin
   FROM a_dets WHERE {ELIGIBLE} GROUP BY request_id, objective, stance),
+a_key0 AS (
+  SELECT c.request_id, o.objective, s.stance, k.first_prediction_turn, k.last_prediction_turn,
+    coalesce(k.n_fired, 0) AS n_fired, coalesce(k.n_predicted, 0) AS n_predicted,
+    coalesce(k.n_eligible, 0) AS n_eligible, k.mean_confidence_margin
+  FROM a_conv c CROSS JOIN (SELECT UNNEST({_list(S.OBJECTIVES)}) AS objective) o
+  CROSS JOIN (SELECT UNNEST({_list(S.STANCES)}) AS stance) s
+  LEFT JOIN a_cellkeys k ON k.request_id = c.request_id AND k.objective = o.objective AND k.stance = s.stance),
 a_key1 AS (
   SELECT k.*, c.conversation_type, c.n_turns, c.first_violation_turn__any,
     c.first_violation_turn__any - k.first_prediction_turn AS lead,
