@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -129,20 +130,34 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             whole = [xxh3_64_intdigest(blob[a:a + n + LENGTH - 1], o)
                      for a, n, o in zip(start.tolist(), count.tolist(), lead.tolist())]
             take = pa.array(rows[owner])
+            keys, ties = batch.column("doc_id").take(pa.array(rows)).to_pylist(), batch.column("text_hash").take(pa.array(rows)).to_pylist()
+            by = sorted(range(len(keys)), key=lambda k: (keys[k] is not None, keys[k], ties[k]))
+            rank = np.empty(len(by), np.int64)
+            rank[by] = np.arange(len(by))
+            anchor, snip = anchor.view(np.int64), np.array(whole, np.uint64).view(np.int64)
+            order = np.lexsort((start, rank[owner], snip, anchor))
+            known = np.zeros(len(start), bool)               # the same snippet came before in this very batch
+            known[order[1:]] = (anchor[order[1:]] == anchor[order[:-1]]) & (snip[order[1:]] == snip[order[:-1]])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor.view(np.int64)), pa.array(np.array(whole, np.uint64).view(np.int64)),
-                 batch.column("doc_id").take(take), batch.column("text_hash").take(take),
-                 pa.array((start - begins[owner] + shift[owner]).astype(np.int32)), pa.array(count.astype(np.int16))],
-                names=["anchor", "snip", "doc_id", "text_hash", "start", "n"])
+                [pa.array(anchor), pa.array(snip), batch.column("doc_id").take(take), batch.column("text_hash").take(take),
+                 pa.array((start - begins[owner] + shift[owner]).astype(np.int32)), pa.array(count.astype(np.int16)), pa.array(known)],
+                names=["anchor", "snip", "doc_id", "text_hash", "start", "n", "known"])
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by anchor, snippet and place: those whose snippet came before
     (``again``), and the first rows of the snippets of an anchor that has
-    several. Only one row is carried from batch to batch."""
+    several. Rows known to repeat pass through. Only one row is carried from
+    batch to batch."""
     last: tuple[int, int] | None = None
     pending: pa.RecordBatch | None = None
     for batch in batches:
+        known = batch.column("known")
+        batch = batch.drop_columns(["known"])
+        if known.true_count:
+            rows = batch.filter(known)
+            yield rows.append_column("again", pa.array(np.ones(rows.num_rows, bool)))
+            batch = batch.filter(pa.compute.invert(known))
         anchor, snip = batch.column("anchor").to_numpy(), batch.column("snip").to_numpy()
         if not len(anchor):
             continue
@@ -379,8 +394,10 @@ def mark_repeats(docs: DataFrame) -> DataFrame:
     (doc_id, text_hash); the order is doc_id (null first), hash, position."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     where = ["doc_id", "text_hash", "start"]
-    rows = in_arrow(docs, _anchors, f"anchor long, snip long, doc_id {kind}, text_hash long, start int, n short")
-    dealt = rows.repartition(spread(docs), "anchor").sortWithinPartitions("anchor", "snip", *where)
+    rows = in_arrow(docs, _anchors, f"anchor long, snip long, doc_id {kind}, text_hash long, start int, n short, known boolean")
+    # what a task already knows to repeat is spread evenly: copies do not heap up at their anchors
+    key = F.when(F.col("known"), F.xxhash64(*where)).otherwise(F.col("anchor"))
+    dealt = rows.repartition(spread(docs), key).sortWithinPartitions("known", "anchor", "snip", *where)
     found = stash(in_arrow(dealt, _repeated, f"anchor long, snip long, doc_id {kind}, text_hash long, start int, n short, "
                            "again boolean").drop("snip"), "repeats")
     again = found.where("again").select(*where, F.col("n").cast("int"))
@@ -394,8 +411,7 @@ def mark_repeats(docs: DataFrame) -> DataFrame:
     texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["_i"]) & (docs["text_hash"] == wanted["_h"]))
     content = in_arrow(texts.select("doc_id", "text_hash", "text", "wanted"), _contents,
                        f"anchor long, doc_id {kind}, text_hash long, start int, n short, hot boolean, content binary")
-    if any_hot:
-        content = stash(content, "repeats-content")
+    content = stash(content, "repeats-content")
     plain = content.where("not hot").drop("hot", "n").repartition(spread(docs), "anchor").sortWithinPartitions("anchor", *where)
     out = again.unionByName(in_arrow(plain, _marker, f"doc_id {kind}, text_hash long, start int, n int"))
     if any_hot:
