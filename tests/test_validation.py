@@ -38,17 +38,47 @@ def test_list_parse_violations(spark):
 
 
 def test_list_length_violation(spark):
-    df = spark.createDataFrame([("a", 3, ["Y", None, "N"]), ("b", 3, ["Y"])],
+    df = spark.createDataFrame([("a", 3, ["Y", None, "N"]), ("b", 3, ["Y"]), ("c", 2, None)],
                                "request_id string, n long, lst array<string>")
     rows = V.list_length_violations(df, "n", ["lst"]).collect()
-    assert [(r.request_id, r.list_length) for r in rows] == [("b", 1)]
+    assert sorted((r.request_id, r.list_length) for r in rows) == [("b", 1), ("c", None)]
 
 
 def test_prediction_normalisation(spark):
     df = spark.createDataFrame([(" Y ",), ("N",), ("y",), ("E",), ("X",), ("1",), ("0.0",), (None,), ("true",)],
                                "c string")
     assert [r.p for r in df.select(normalize_prediction(F.col("c")).alias("p")).collect()] == \
-        [1, 0, None, None, None, 1, 0, None, 1]
+        [1, 0, None, None, None, None, None, None, None]
+    for kind, values, want in (("boolean", [True, False, None], [1, 0, None]), ("int", [1, 0, 2, None], [1, 0, None, None]),
+                               ("double", [1.0, 0.0, 0.5], [1, 0, None])):
+        df = spark.createDataFrame([(v,) for v in values], f"c {kind}")
+        assert [r.p for r in df.select(normalize_prediction(F.col("c")).alias("p")).collect()] == want
+
+
+def test_wide_lists_place_by_turn(spark):
+    """A duplicated cell and a missing one, and a conversation without cells."""
+    det = spark.createDataFrame([("a", t, "social_engineering", "balanced", c) for t, c in ((1, "N"), (1, "Y"), (5, "Y"))],
+                                "request_id string, turn_index long, objective string, stance string, code string")
+    meta = spark.createDataFrame([("a", 6), ("b", 1)], "request_id string, turn_count_value int")
+    wide = ST.wide_lists(det, meta, (("prediction", "code"),), as_json=False)
+    got = {r.request_id: r["social_engineering__balanced__prediction"] for r in wide.collect()}
+    assert got == {"a": [None, "Y", None, None, None, "Y"], "b": [None]}
+
+
+def test_flag_metrics_place_by_turn(spark):
+    names = list(S.ALL_FLAGS)
+    rows = [("a", t, 4, *[f == "cialdini_unity" and t == 1 for f in names]) for t in (0, 1, 1, 3)]
+    df = spark.createDataFrame(rows, "request_id string, turn_index long, turn_count_value int, "
+                               + ", ".join(f"{f} boolean" for f in names))
+    got = G.flag_metrics(df).first()
+    assert (got.cialdini_unity_by_turn, got.cialdini_unity_sum) == ("0,1,0,0", 1)
+
+
+def test_upserts_keep_the_last_of_equal_ids(spark):
+    base = spark.createDataFrame([("a", "x"), ("b", "y")], "request_id string, flavor string")
+    upd = spark.createDataFrame([("a", "1"), ("a", "2"), ("c", "3"), ("c", "4")], "request_id string, flavor string").coalesce(1)
+    assert sorted(map(tuple, ST.upsert_update_only(base, upd, "request_id", ["flavor"]).collect())) == [("a", "2"), ("b", "y")]
+    assert sorted(map(tuple, ST.upsert_overwrite(base, upd, "request_id").collect())) == [("a", "2"), ("b", "y"), ("c", "4")]
 
 
 def test_prediction_violations(spark):

@@ -41,17 +41,13 @@ def n_eligible_from(objective: Column, first_turn: Column, n_turns: Column) -> C
 
 
 def normalize_prediction(raw: Column) -> Column:
-    """Prediction token → 1/0/null: 'Y'→1 and 'N'→0 after trim (case-sensitive);
-    a numeric 0/1 (or true/false) is kept; anything else is null."""
-    t = F.trim(raw.cast("string"))
-    d = F.when(t.rlike(r"^-?[0-9]+(\.[0-9]+)?$"), t.cast("double"))
-    return (F.when(t == "Y", F.lit(1))
-             .when(t == "N", F.lit(0))
-             .when(F.lower(t) == "true", F.lit(1))
-             .when(F.lower(t) == "false", F.lit(0))
-             .when(d == 1.0, F.lit(1))
-             .when(d == 0.0, F.lit(0))
-             .cast("long"))
+    """Prediction cell → 1/0/null by its type: of texts only 'Y' and 'N' (after
+    trim, case-sensitive) count, numbers only as 1 and 0, booleans as such."""
+    text = F.trim(raw.cast("string"))
+    kind = F.typeof(raw)
+    number = F.when(kind == "boolean", (text == "true").cast("double")).otherwise(text.try_cast("double"))
+    value = F.when(kind == "string", F.when(text == "Y", 1.0).when(text == "N", 0.0)).otherwise(number)
+    return F.when(value == 1, F.lit(1)).when(value == 0, F.lit(0)).cast("long")
 
 
 def alias_label(raw: Column, aliases: dict[str, tuple[str, ...]]) -> Column:

@@ -195,10 +195,10 @@ def flag_metrics(turns: DataFrame, n_col: str = "turn_count_value") -> DataFrame
     turn_count; only literal true on an applicable turn counts; missing turns
     are '0').
 
-    One collected list per conversation of (turn, bits[10]), sorted natively:
-    when the turns are exactly 0..n-1 each string is a projection of the
-    sorted list (O(n log n)); otherwise positions are looked up in the sparse
-    list of firing turns."""
+    One collected list per conversation of (turn, bits[10]), sorted natively;
+    of two rows of one turn the later in order counts. When the turns are
+    exactly 0..n-1 each string is a projection of the sorted list (O(n log n));
+    any other list is placed by a lookup of the turn."""
     t = F.col("turn_index")
     caller = t % 2 == 1
     rep = (t >= 2) & (t % 2 == 0)
@@ -206,24 +206,26 @@ def flag_metrics(turns: DataFrame, n_col: str = "turn_count_value") -> DataFrame
     for f in S.ALL_FLAGS:
         app = caller if f in S.CALLER_FLAGS else rep
         bits.append(F.when(app & (F.col(f) == F.lit(True)), 1).otherwise(0))
-    n = F.first(n_col).cast("long")
     g = turns.groupBy("request_id").agg(
-        n.alias("_n"), F.min(t).alias("_lo"), F.max(t).alias("_hi"), F.count(F.lit(1)).alias("_c"),
-        F.sort_array(F.collect_list(F.struct(t.alias("t"), _mask(bits).alias("b")))).alias("_rows"),
-        *[F.sum(F.when(F.col("turn_index") < F.col(n_col), bit).otherwise(0)).cast("long").alias(f"{f}_sum")
-          for f, bit in zip(S.ALL_FLAGS, bits)])
+        F.first(n_col).cast("long").alias("_n"),
+        F.sort_array(F.collect_list(F.struct(t.alias("t"), _mask(bits).alias("b")))).alias("_rows"))
+    g = g.withColumn("_rows", F.expr("filter(_rows, (x, j) -> j = size(_rows) - 1 OR _rows[j + 1].t <> x.t)"))
+    g = g.withColumn("_exact", F.expr("size(_rows) = _n AND forall(transform(_rows, (x, j) -> x.t = j), y -> y)"))
     nn = F.col("_n")
-    contiguous = (F.col("_lo") == 0) & (F.col("_hi") == nn - 1) & (F.col("_c") == nn)
     out = [F.col("request_id")]
     for k, f in enumerate(S.ALL_FLAGS):
         fast = F.array_join(F.transform("_rows", _bit(k)), ",")
         fires = F.transform(F.filter("_rows", _fired(k)), _turn())
         slow = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), nn - 1), _present(fires)), ",")
-        out += [f"{f}_sum", F.when(nn <= 0, F.lit("")).when(contiguous, fast).otherwise(slow)
-                .alias(f"{f}_by_turn")]
+        out += [F.size(F.filter("_rows", _counted(k))).cast("long").alias(f"{f}_sum"),
+                F.when(nn <= 0, F.lit("")).when(F.col("_exact"), fast).otherwise(slow).alias(f"{f}_by_turn")]
     return g.select(*out)
 
 
+def _counted(k: int):
+    return lambda x: (F.shiftright(x["b"], k).bitwiseAND(1) == 1) & (x["t"] >= 0) & (x["t"] < F.col("_n"))
+
+
 def _mask(bits: list[Column]) -> Column:
     """The turn's flags packed into one int (bit k = flag k)."""
     out = bits[0]

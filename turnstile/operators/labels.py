@@ -1,8 +1,8 @@
 """Alias matching as a theta join (``contains``), for user alias tables.
 
 The default labels use a CASE chain (functions.columns.alias_label). When a
-user supplies an alias table it is joined with a broadcast nested loop on
-``contains`` — the alias table is a vocabulary (tens to hundreds of rows,
+user supplies an alias table, the distinct texts are joined with a broadcast
+nested loop on ``contains`` — the alias table is a vocabulary (tens to hundreds of rows,
 checked below), never a data-sized table — and the longest alias wins, ties
 in declaration order.
 """
@@ -30,7 +30,8 @@ def alias_theta_join(texts: DataFrame, aliases: DataFrame, text_col: str = "text
     if n > MAX_ALIAS_ROWS:
         raise ValueError(f"alias table has {n} rows; too large to broadcast")
     a = F.broadcast(aliases.select(F.lower("alias").alias("_alias"), "label", "ord"))
-    j = texts.select(id_col, F.lower(F.col(text_col)).alias("_t")).join(
-        a, F.col("_t").contains(F.col("_alias")))
-    best = F.max_by("label", F.struct(F.length("_alias"), -F.col("ord")))
-    return j.groupBy(id_col).agg(best.alias("label"))
+    rows = texts.select(id_col, F.lower(F.col(text_col)).alias("_t"))
+    found = rows.select("_t").distinct().join(a, F.col("_t").contains(F.col("_alias")))
+    best = F.max(F.struct(F.length("_alias").alias("size"), (-F.col("ord")).alias("first"), "label"))
+    return (rows.join(found.groupBy("_t").agg(best.alias("_best")), "_t")
+            .groupBy(id_col).agg(F.max("_best").getField("label").alias("label")))

@@ -86,12 +86,13 @@ def list_parse_violations(df: DataFrame, cols: list[str], id_col: str = "request
 
 def list_length_violations(wide: DataFrame, n_col: str, list_cols: list[str],
                            id_col: str = "request_id") -> DataFrame:
-    """Every per-turn list must have exactly n_turns entries."""
-    arr = F.array(*[F.struct(F.lit(c).alias("key"), F.size(F.col(c)).cast("long").alias("len"))
+    """Every per-turn list must have exactly n_turns entries; a null list is
+    reported with a null length."""
+    arr = F.array(*[F.struct(F.lit(c).alias("key"), F.when(F.col(c).isNotNull(), F.size(c)).cast("long").alias("len"))
                     for c in list_cols])
     x = wide.select(id_col, F.col(n_col).cast("long").alias("n_turns"), F.explode(arr).alias("x"))
     return (x.select(id_col, F.col("x.key").alias("key"), F.col("x.len").alias("list_length"), "n_turns")
-            .filter(F.col("list_length") != F.col("n_turns")))
+            .filter(~F.col("list_length").eqNullSafe(F.col("n_turns"))))
 
 
 def label_leakage(labels: DataFrame, canonical: dict[str, tuple[str, ...]]) -> DataFrame:

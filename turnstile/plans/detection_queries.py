@@ -266,17 +266,22 @@ def turn_contiguity(spark, sf):
     return V.turn_contiguity(raw)
 
 
-@query("list_length_violations", with_fixture("""
-, c AS (SELECT f.request_id, f.objective || '__' || f.stance AS key, count(*) AS n_cells,
-          any_value(m.turn_count_value) AS n_turns
-        FROM fx_cells f JOIN fx_meta m USING (conv_id) GROUP BY 1, 2)
-SELECT request_id, key, n_cells AS list_length, n_turns FROM c WHERE false"""))
+_FAULTY_LIST = f"{S.DETECTION_KEYS[0]}__{WIDE_FIELDS[0][0]}"
+
+
+@query("list_length_violations", with_fixture(f"""
+SELECT request_id, '{_FAULTY_LIST}' AS key,
+  CASE WHEN conv_id % 17 = 3 THEN turn_count_value - 1 END AS list_length, turn_count_value AS n_turns
+FROM fx_meta WHERE conv_id % 17 = 3 OR conv_id % 19 = 4"""))
 def list_length_violations(spark, sf):
+    """P9 over the wide lists, one of which is cut short or null in some conversations."""
     from ..sources.store import wide_lists
     dom = model(spark, sf).domain
-    wide = wide_lists(dom.all_detections, dom.meta, WIDE_FIELDS, as_json=False)
-    return V.list_length_violations(wide.join(dom.meta.select("request_id", "turn_count_value"),
-                                              "request_id"), "turn_count_value",
+    wide = wide_lists(dom.all_detections, dom.meta, WIDE_FIELDS, as_json=False).join(
+        dom.meta.select("request_id", "conv_id", "turn_count_value"), "request_id")
+    c, n = F.col("conv_id"), F.col("turn_count_value").cast("int")
+    faulty = F.when(c % 17 == 3, F.slice(_FAULTY_LIST, F.lit(1), n - 1)).when(c % 19 != 4, F.col(_FAULTY_LIST))
+    return V.list_length_violations(wide.withColumn(_FAULTY_LIST, faulty), "turn_count_value",
                                     [f"{k}__{f}" for k in S.DETECTION_KEYS for f, _ in WIDE_FIELDS])
 
 

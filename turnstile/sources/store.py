@@ -18,9 +18,11 @@ from .. import schema as S
 
 # ------------------------------------------------------------------ S1/S2
 def _source_name() -> Column:
-    """Store name = parent folder + file name of the scanned file (a store
-    written by Spark is a folder of part files)."""
-    return F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+/)?[^/]+$", 0)
+    """Store name = file name of the scanned file, or the folder's name for a
+    store written by Spark (a folder of part files)."""
+    path = F.col("_metadata.file_path")
+    file = F.regexp_extract(path, r"([^/]+)$", 1)
+    return F.when(file.startswith("part-"), F.regexp_extract(path, r"([^/]+)/[^/]+$", 1)).otherwise(file)
 
 
 def read_store(spark: SparkSession, paths: str | list[str], *, jsonl: bool = False,
@@ -31,7 +33,7 @@ def read_store(spark: SparkSession, paths: str | list[str], *, jsonl: bool = Fal
     (multiLine, one task per file; error if the key is absent);
     ``jsonl=True`` reads one record per line (splittable — the scale format).
     ``source`` is the store's file name and ``source_label`` a label derived
-    from it (``threat`` / ``benign`` / ``other``).
+    from it (``threat`` / ``benign`` / the name without its extension).
     """
     if jsonl:
         df = spark.read.schema(S.RECORD_STRUCT).json(paths)
@@ -52,7 +54,7 @@ def read_store(spark: SparkSession, paths: str | list[str], *, jsonl: bool = Fal
         name = F.lower(F.col("source"))
         out = out.withColumn("source_label", F.when(name.contains("threat"), F.lit("threat"))
                              .when(name.contains("benign"), F.lit("benign"))
-                             .otherwise(F.lit("other")))
+                             .otherwise(F.regexp_replace("source", r"\.[^.]*$", "")))
     return out
 
 
@@ -140,10 +142,11 @@ def wide_lists(det: DataFrame, meta: DataFrame, fields: tuple[tuple[str, str], .
     group-by with one collected list per key (all fields together); the pivot
     values are explicit so no extra job runs.
 
-    Placement is O(n log n): the key's cells are sorted by turn (native
-    ``sort_array``) and, when every eligible turn has its cell (the detector's
-    alignment guarantee), turn i reads element (i − first)/2 directly; an
-    incomplete list falls back to a per-turn lookup."""
+    Every conversation of ``meta`` has a row, also without cells; of two cells of
+    one turn the later in order counts. Placement is O(n log n): the key's cells
+    are sorted by turn (native ``sort_array``) and, when their turns are exactly
+    the eligible ones, turn i reads element (i − first)/2 directly; any other
+    list is placed by a lookup of the turn."""
     aggs = []
     for k in S.DETECTION_KEYS:
         obj, st = k.split("__")
@@ -152,20 +155,25 @@ def wide_lists(det: DataFrame, meta: DataFrame, fields: tuple[tuple[str, str], .
             F.col("turn_index").alias("t"), *[F.col(src).alias(name) for name, src in fields])))
             .alias(f"_{k}"))
     extra = list(extra_aggs or [])
-    g = det.groupBy("request_id").agg(*aggs, *extra).join(
-        meta.select("request_id", F.col("turn_count_value").cast("long").alias("_n")), "request_id")
+    g = meta.select("request_id", F.col("turn_count_value").cast("long").alias("_n")).join(
+        det.groupBy("request_id").agg(*aggs, *extra), "request_id", "left")
     out = [F.col("request_id")]
     extra_names = [c for c in g.columns if c not in ("request_id", "_n")
                    and not c.startswith("_")]
     out += [F.col(c) for c in extra_names]
     staged = g.select("request_id", "_n", *extra_names,
-                      *[F.sort_array(F.col(f"_{k}")).alias(f"_{k}") for k in S.DETECTION_KEYS])
+                      *[F.sort_array(F.coalesce(f"_{k}", F.array())).alias(f"_{k}") for k in S.DETECTION_KEYS])
+    # one cell per turn: the last of its run
+    staged = staged.select("request_id", "_n", *extra_names, *[
+        F.expr(f"filter(`_{k}`, (c, j) -> j = size(`_{k}`) - 1 OR `_{k}`[j + 1].t <> c.t)").alias(f"_{k}")
+        for k in S.DETECTION_KEYS])
     for k in S.DETECTION_KEYS:
         first = 1 if k.startswith("social_engineering") else 2
         cells = f"`_{k}`"
         # written as SQL text: one parse in the JVM instead of a py4j call per
         # lambda node when the plan is built
-        aligned = f"size({cells}) = greatest(floor((_n - {first} + 1) / 2), 0)"
+        aligned = (f"(size({cells}) = greatest(floor((_n - {first} + 1) / 2), 0) AND "
+                   f"forall(transform({cells}, (c, j) -> c.t = {first} + 2 * j), x -> x))")
         for name, _ in fields:
             fast = (f"transform(sequence(0L, _n - 1), i -> CASE WHEN i >= {first} AND (i - {first}) % 2 = 0 "
                     f"THEN element_at({cells}, CAST((i - {first}) / 2 AS INT) + 1).`{name}` END)")
@@ -189,12 +197,20 @@ def prefix_generation_columns(df: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ S10–S12, T4
+def last_per_key(updates: DataFrame, key: str) -> DataFrame:
+    """One update per key: the last in file order, as a dictionary keeps it."""
+    row = F.struct(*[F.col(c) for c in updates.columns if c != key])
+    return (updates.withColumn("_at", F.monotonically_increasing_id())
+            .groupBy(key).agg(F.max_by(row, "_at").alias("_row")).select(key, "_row.*")
+            .select(*updates.columns))
+
+
 def upsert_update_only(base: DataFrame, updates: DataFrame, key: str,
                        columns: list[str]) -> DataFrame:
     """Rows of ``base`` matching ``updates`` on ``key`` take the listed
     columns from the update (a null update value clears nothing — the base
     value stays only when the update row is absent); unknown ids are skipped."""
-    u = updates.select(key, *[F.col(c).alias(f"_u_{c}") for c in columns],
+    u = last_per_key(updates, key).select(key, *[F.col(c).alias(f"_u_{c}") for c in columns],
                        F.lit(True).alias("_matched"))
     j = base.join(u, key, "left")
     return j.select(*[F.when(F.col("_matched"), F.col(f"_u_{c}")).otherwise(F.col(c)).alias(c)
@@ -204,7 +220,7 @@ def upsert_update_only(base: DataFrame, updates: DataFrame, key: str,
 def upsert_overwrite(base: DataFrame, updates: DataFrame, key: str) -> DataFrame:
     """Insert or overwrite whole records by key (anti-join + union)."""
     return base.join(updates.select(key), key, "left_anti").unionByName(
-        updates, allowMissingColumns=True)
+        last_per_key(updates, key), allowMissingColumns=True)
 
 
 def evolve_schema(df: DataFrame, wanted: T.StructType) -> tuple[DataFrame, list[str]]:
