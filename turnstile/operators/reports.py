@@ -258,27 +258,29 @@ def pre_at_post_mean(det_facts: DataFrame) -> DataFrame:
 
 
 def flow_edges(conv_facts: DataFrame, firsts: DataFrame) -> DataFrame:
-    """Conversation flow type → violation → SE fired → PV fired, per stance,
-    as edge counts (one stack + one group-by). ``firsts`` = facts.stance_firsts."""
-    f = firsts.select("request_id", "stance", F.col("se_first").isNotNull().alias("se"),
-                      F.col("pv_first").isNotNull().alias("pv"))
-    c = conv_facts.select("request_id", "conversation_type",
-                          (F.col("total_any_violation") > 0).alias("viol"),
-                          F.explode(F.array(*[F.lit(s) for s in S.STANCES])).alias("stance"))
-    j = c.join(f, ["request_id", "stance"], "left")
+    """Conversation flow type → violation → SE fired → PV fired as edge
+    counts, for every pair of an SE stance and a PV stance. ``firsts`` =
+    facts.stance_firsts, folded to one row of at most three fired stances per
+    objective, so each conversation is joined once."""
+    fired = firsts.groupBy("request_id").agg(
+        *[F.collect_set(F.when(F.col(f"{o}_first").isNotNull(), F.col("stance"))).alias(o) for o in ("se", "pv")])
+    j = (conv_facts.select("request_id", "conversation_type", (F.col("total_any_violation") > 0).alias("viol"))
+         .join(fired, "request_id", "left"))
+    for o in ("se", "pv"):
+        j = j.withColumn(f"{o}_stance", F.explode(F.array(*[F.lit(x) for x in S.STANCES])))
 
     def lab(b: Column, yes: str, no: str) -> Column:
         return F.when(F.coalesce(b, F.lit(False)), F.lit(yes)).otherwise(F.lit(no))
 
     v = lab(F.col("viol"), "violation", "no_violation")
-    s = lab(F.col("se"), "se_predicted", "se_not_predicted")
-    p = lab(F.col("pv"), "pv_predicted", "pv_not_predicted")
+    s = lab(F.array_contains("se", F.col("se_stance")), "se_predicted", "se_not_predicted")
+    p = lab(F.array_contains("pv", F.col("pv_stance")), "pv_predicted", "pv_not_predicted")
     edges = F.array(
         F.struct(F.col("conversation_type").alias("from"), v.alias("to")),
         F.struct(v.alias("from"), s.alias("to")),
         F.struct(s.alias("from"), p.alias("to")))
-    return (j.select("stance", F.explode(edges).alias("e"))
-            .groupBy("stance", F.col("e.from").alias("from"), F.col("e.to").alias("to"))
+    return (j.select("se_stance", "pv_stance", F.explode(edges).alias("e"))
+            .groupBy("se_stance", "pv_stance", F.col("e.from").alias("from"), F.col("e.to").alias("to"))
             .agg(F.count(F.lit(1)).alias("count")))
 
 

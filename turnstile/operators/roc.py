@@ -112,10 +112,18 @@ def canonical_order(label: Column, dimension: str) -> Column:
 
 
 def auc_heatmap(scores: DataFrame, row_col: str, col_col: str) -> DataFrame:
-    """AUC per (row label, column label); null when the cell is one-class."""
+    """AUC per (row label, column label), one cell for every observed row
+    and column label of a scenario; null when the cell is empty or one-class."""
     _, summary = roc(scores, (row_col, col_col))
     two_class = (F.col("n_positive_conversations") > 0) & (F.col("n_negative_conversations") > 0)
-    return summary.withColumn("auc", F.when(two_class, F.col("auc")))
+    labels = [summary.select("scenario", c).distinct() for c in (row_col, col_col)]
+    cells = labels[0].join(labels[1], "scenario")             # label vocabularies, per scenario
+    match = [F.col(f"_g.{c}").eqNullSafe(F.col(f"_s.{c}")) for c in ("scenario", row_col, col_col)]
+    return (cells.alias("_g").join(summary.alias("_s"), match[0] & match[1] & match[2], "left")
+            .select("_g.scenario", f"_g.{row_col}", f"_g.{col_col}",
+                    *[F.coalesce(F.col(f"_s.{c}"), F.lit(0)).alias(c)
+                      for c in ("n_positive_conversations", "n_negative_conversations")],
+                    F.when(two_class, F.col("_s.auc")).alias("auc")))
 
 
 def heatmap_matrix(heat: DataFrame, row_col: str, col_col: str, col_values: list[str]) -> DataFrame:

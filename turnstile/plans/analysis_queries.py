@@ -223,18 +223,31 @@ def auc_overall(spark, sf):
     return summary.withColumn("slice_label", F.lit("overall"))
 
 
-@query("auc_summary", with_fixture(roc_sql(("short_cialdini_emphasis",)) + """
-SELECT scenario, 'emphasis' AS slice_kind, short_cialdini_emphasis AS slice_label,
-       n_positive_conversations, n_negative_conversations, round(auc.auc, 3) AS auc
-FROM summ JOIN auc USING (scenario, short_cialdini_emphasis)"""))
+BREAKDOWNS = (("overall", None), ("cialdini_emphasis", "short_cialdini_emphasis"),
+              ("benign_context", "short_benign_context"))
+
+
+def _breakdown_sql(name: str, col: str | None) -> str:
+    cols = (col,) if col else ()
+    return with_fixture(roc_sql(cols) + f"""
+SELECT scenario, '{name}' AS breakdown, {col or "'overall'"} AS slice_label,
+       n_positive_conversations, n_negative_conversations, round_even(auc.auc, 3) AS auc
+FROM summ JOIN auc USING ({", ".join(("scenario",) + cols)})""")
+
+
+@query("auc_summary", " UNION ALL ".join(f"SELECT * FROM ({_breakdown_sql(*b)})" for b in BREAKDOWNS))
 def auc_summary(spark, sf):
-    """A28 report form: AUC by emphasis slice rounded to 3 dp (half-even)."""
-    _, summary = R.roc(model(spark, sf).scores(("short_cialdini_emphasis",)),
-                       ("short_cialdini_emphasis",))
-    return summary.select("scenario", F.lit("emphasis").alias("slice_kind"),
-                          F.col("short_cialdini_emphasis").alias("slice_label"),
-                          "n_positive_conversations", "n_negative_conversations",
-                          F.round("auc", 3).alias("auc"))
+    """A28 report form: overall AUC and AUC by emphasis and by context, rounded
+    to 3 dp (half-even)."""
+    out = None
+    for name, col in BREAKDOWNS:
+        cols = (col,) if col else ()
+        _, summary = R.roc(model(spark, sf).scores(cols), cols)
+        rows = summary.select("scenario", F.lit(name).alias("breakdown"),
+                              (F.col(col) if col else F.lit("overall")).alias("slice_label"),
+                              "n_positive_conversations", "n_negative_conversations", F.bround("auc", 3).alias("auc"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def _slice_query(name: str, col: str, dim: str):
@@ -252,8 +265,16 @@ _slice_query("auc_by_context", "short_benign_context", "benign_context")
 _slice_query("auc_by_representative", "short_representative", "representative")
 
 
-@query("auc_heatmap", _auc_summary_sql(("short_benign_context", "short_cialdini_emphasis"),
-                                       two_class_only=True))
+@query("auc_heatmap", f"""
+WITH h AS ({_auc_summary_sql(("short_benign_context", "short_cialdini_emphasis"), two_class_only=True)}),
+r AS (SELECT DISTINCT scenario, short_benign_context FROM h),
+c AS (SELECT DISTINCT scenario, short_cialdini_emphasis FROM h)
+SELECT r.scenario, r.short_benign_context, c.short_cialdini_emphasis,
+  coalesce(h.n_positive_conversations, 0) AS n_positive_conversations,
+  coalesce(h.n_negative_conversations, 0) AS n_negative_conversations, h.auc
+FROM r JOIN c USING (scenario) LEFT JOIN h ON h.scenario = r.scenario
+  AND h.short_benign_context IS NOT DISTINCT FROM r.short_benign_context
+  AND h.short_cialdini_emphasis IS NOT DISTINCT FROM c.short_cialdini_emphasis""")
 def auc_heatmap(spark, sf):
     cols = ("short_benign_context", "short_cialdini_emphasis")
     return R.auc_heatmap(model(spark, sf).scores(cols), *cols)
@@ -414,17 +435,16 @@ def pre_at_post_mean(spark, sf):
 
 
 @query("flow_edges", with_fixture("""
-, j AS (SELECT c.conversation_type,
+, j AS (SELECT c.conversation_type, se.stance AS se_stance, pv.stance AS pv_stance,
           CASE WHEN c.total_any_violation > 0 THEN 'violation' ELSE 'no_violation' END AS v,
           CASE WHEN se.first_prediction_turn IS NOT NULL THEN 'se_predicted' ELSE 'se_not_predicted' END AS s,
-          CASE WHEN pv.first_prediction_turn IS NOT NULL THEN 'pv_predicted' ELSE 'pv_not_predicted' END AS p,
-          c.stance
-        FROM (SELECT *, UNNEST(['high_precision', 'balanced', 'high_recall']) AS stance FROM a_conv) c
-        LEFT JOIN a_key se ON se.request_id = c.request_id AND se.stance = c.stance AND se.objective = 'social_engineering'
-        LEFT JOIN a_key pv ON pv.request_id = c.request_id AND pv.stance = c.stance AND pv.objective = 'policy_violation')
-SELECT stance, conversation_type AS "from", v AS "to", count(*) AS "count" FROM j GROUP BY 1, 2, 3
-UNION ALL SELECT stance, v, s, count(*) FROM j GROUP BY 1, 2, 3
-UNION ALL SELECT stance, s, p, count(*) FROM j GROUP BY 1, 2, 3"""))
+          CASE WHEN pv.first_prediction_turn IS NOT NULL THEN 'pv_predicted' ELSE 'pv_not_predicted' END AS p
+        FROM a_conv c
+        JOIN a_key se ON se.request_id = c.request_id AND se.objective = 'social_engineering'
+        JOIN a_key pv ON pv.request_id = c.request_id AND pv.objective = 'policy_violation')
+SELECT se_stance, pv_stance, conversation_type AS "from", v AS "to", count(*) AS "count" FROM j GROUP BY 1, 2, 3, 4
+UNION ALL SELECT se_stance, pv_stance, v, s, count(*) FROM j GROUP BY 1, 2, 3, 4
+UNION ALL SELECT se_stance, pv_stance, s, p, count(*) FROM j GROUP BY 1, 2, 3, 4"""))
 def flow_edges(spark, sf):
     m = model(spark, sf)
     return RP.flow_edges(m.conv_facts, m.firsts)
