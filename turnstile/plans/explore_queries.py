@@ -4,6 +4,7 @@ other tables (labels ⋈ documents, events)."""
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schema as S
 from ..operators import explore as X
@@ -15,6 +16,7 @@ from ..session import scratch_path
 from ..sources import fixture as FXT
 from ..sources import store as ST
 from ..operators import validate as V
+from ..functions.columns import short_label
 from .grid_queries import DEFECT_SQL, GEN_SQL, generation_records
 from .model import short_label_columns, model
 from .oracle_base import _lit, with_fixture
@@ -406,3 +408,63 @@ def malformed_first10(spark, sf):
     checked = V.malformed_records(parse_raw_records(raw_store(spark, sf)))
     return X.first_k(checked.filter(F.col("malformed_reason").isNotNull()).select("request_id"),
                      10, ["request_id"])
+
+
+# ---------------------------------------------------------------- small operators on their own
+@query("type_filter", with_fixture("SELECT request_id FROM a_conv WHERE conversation_type = 'threat'"))
+def type_filter(spark, sf):
+    """The conversation-type filter."""
+    return RP.type_filter(model(spark, sf).conv_facts, "threat").select("request_id")
+
+
+@query("required_columns", with_fixture("SELECT request_id, flavor, detection_status FROM fx_meta"))
+def required_columns(spark, sf):
+    """The schema check passes before any job runs, then the columns are read."""
+    meta, wanted = model(spark, sf).domain.meta, ["request_id", "flavor", "detection_status"]
+    V.require_columns(meta, wanted, "metadata")
+    return meta.select(*wanted)
+
+
+@query("evolve_schema", with_fixture("""
+SELECT request_id, flavor, CAST(NULL AS BIGINT) AS attempts, CAST(NULL AS VARCHAR) AS last_error FROM fx_meta"""))
+def evolve_schema(spark, sf):
+    """Missing columns appended as typed nulls."""
+    rows, _ = ST.evolve_schema(model(spark, sf).domain.meta.select("request_id", "flavor"),
+                               T.StructType.fromDDL("request_id string, attempts long, last_error string"))
+    return rows
+
+
+@query("empty_store", with_fixture("SELECT request_id, flavor FROM fx_meta"))
+def empty_store(spark, sf):
+    """An empty store of the declared schema takes its first rows."""
+    schema = T.StructType.fromDDL("request_id string, flavor string")
+    return ST.empty_like(spark, schema).unionByName(model(spark, sf).domain.meta.select("request_id", "flavor"))
+
+
+@query("list_parse_violations", with_fixture("""
+SELECT request_id, 'cell' AS "column", CASE conv_id % 7 WHEN 0 THEN 'null list cell' WHEN 1 THEN 'not a JSON list'
+  ELSE 'malformed JSON list' END AS reason FROM fx_meta WHERE conv_id % 7 < 3"""))
+def list_parse_violations(spark, sf):
+    """P7 strict: null, non-list and broken cells are reported, good ones are not."""
+    c = F.col("conv_id") % 7
+    cell = F.when(c == 1, "{\"a\": 1}").when(c == 2, "[\"Y\", ").when(c > 2, "[\"Y\", null]")
+    return V.list_parse_violations(model(spark, sf).domain.meta.select("request_id", cell.alias("cell")), ["cell"])
+
+
+@query("detection_plan_capped", with_fixture("""
+SELECT request_id, conv_id AS ordinal FROM fx_meta m WHERE detection_status <> 'success'
+  AND EXISTS (SELECT 1 FROM fx_rows r WHERE r.conv_id = m.conv_id) ORDER BY conv_id LIMIT 5"""))
+def detection_plan_capped(spark, sf):
+    """The first five planned requests in file order (the cap is the feature)."""
+    dom = model(spark, sf).domain
+    gen = dom.meta.select("request_id", F.col("conv_id").alias("ordinal"))
+    return D.detection_plan(gen, dom.meta, dom.all_turns, max_requests=5)
+
+
+@query("custom_normalizer", with_fixture("""
+SELECT request_id, CASE WHEN benign_context IS NULL THEN 'unknown' ELSE upper(substr(benign_context, 1, 12)) END AS label
+FROM fx_meta"""))
+def custom_normalizer(spark, sf):
+    """A user's normalizer takes the place of the alias match."""
+    label = short_label("benign_context", None, None, F.col("benign_context"), lambda c: F.upper(F.substring(c, 1, 12)))
+    return model(spark, sf).domain.meta.select("request_id", label.alias("label"))
