@@ -9,6 +9,7 @@ from .. import schema as S
 from ..functions.columns import normalize_prediction, objective_of_turn, short_label
 from ..operators import detect as D
 from ..operators import validate as V
+from ..session import scratch_path
 from ..sources import fixture as FXT
 from .model import LABEL_DIMENSIONS, model
 from .oracle_base import ELIGIBLE, alias_case, with_fixture
@@ -236,6 +237,28 @@ def export_wide_metadata(spark, sf):
     return gen.join(wide, "request_id")
 
 
+@query("sink_detection_store", with_fixture("""
+SELECT request_id, objective || '__' || stance AS detection_key, turn_index,
+  CASE WHEN turn_index % 2 = 1 THEN 'caller' ELSE 'representative' END AS speaker, code AS prediction,
+  latency_ms, input_tokens, output_tokens,
+  CASE WHEN code <> 'X' THEN 3 END AS n_candidates,
+  CASE WHEN code = 'X' THEN 'call failed at turn ' || CAST(turn_index AS VARCHAR) || ' (' || objective || '__' || stance || ')' END
+    AS error
+FROM fx_cells"""))
+def sink_detection_store(spark, sf):
+    """The nested detection store written as JSON Lines and read back to cells."""
+    from ..sources import store as ST
+    dom = model(spark, sf).domain
+    det = dom.all_detections
+    decoded = D.decode_top10(D.candidates_from_cells(det)).select("request_id", "turn_index", "objective", "stance", "top10")
+    path = scratch_path(spark, "detections")
+    full = det.join(decoded, ["request_id", "turn_index", "objective", "stance"])
+    ST.write_detection_store(full, dom.meta, path, D.error_message(full))
+    back = ST.read_detection_store(spark, path)
+    return back.select("request_id", "detection_key", "turn_index", "speaker", "prediction", "latency_ms", "input_tokens",
+                       "output_tokens", F.when(F.col("top10").isNotNull(), F.size("top10")).cast("int").alias("n_candidates"), "error")
+
+
 @query("n_turns", with_fixture("SELECT request_id, count(*) AS n_turns FROM fx_rows GROUP BY request_id"))
 def n_turns(spark, sf):
     return V.n_turns(model(spark, sf).domain.all_turns)

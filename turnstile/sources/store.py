@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schema as S
+from ..functions.columns import speaker
 
 # ------------------------------------------------------------------ S1/S2
 def _source_name() -> Column:
@@ -184,6 +185,58 @@ def wide_lists(det: DataFrame, meta: DataFrame, fields: tuple[tuple[str, str], .
     return staged.select(*out)
 
 
+DETECTION_FIELDS = (("prediction", "code"), ("p_detected", "p_detected"), ("p_not_detected", "p_not_detected"),
+                    ("latency_ms", "latency_ms"), ("input_tokens", "input_tokens"),
+                    ("output_tokens", "output_tokens"), ("top10", "top10"))
+
+
+def write_detection_store(det: DataFrame, meta: DataFrame, path: str, message: Column) -> None:
+    """The nested detection store, one JSON line per conversation of
+    ``meta``: conversation_id, n_turns, speakers, per key the seven per-turn
+    lists (null on inapplicable turns), and the errors in call order.
+    ``message`` is the text of a failed cell, null for the others."""
+    wide = wide_lists(det, meta, DETECTION_FIELDS, as_json=False, extra_aggs=[
+        F.array_sort(F.collect_list(F.when(message.isNotNull(), F.struct(
+            F.col("turn_index").alias("target_turn"), F.concat_ws("__", "objective", "stance").alias("key"),
+            message.alias("message"))))).alias("errors"),
+    ]).join(meta.select("request_id", F.col("turn_count_value").cast("long").alias("n_turns")), "request_id")
+    n = F.col("n_turns")
+    speakers = F.when(n > 0, F.transform(F.sequence(F.lit(0).cast("long"), n - 1), speaker)).otherwise(
+        F.array().cast("array<string>"))
+    keys = [F.struct(*[F.col(f"{k}__{f}").alias(f) for f, _ in DETECTION_FIELDS]).alias(k) for k in S.DETECTION_KEYS]
+    (wide.select(F.col("request_id").alias("conversation_id"), "n_turns", speakers.alias("speakers"),
+                 F.struct(*keys).alias("detections"),
+                 F.coalesce("errors", F.array().cast("array<struct<target_turn:bigint,key:string,message:string>>")).alias("errors"))
+     .write.option("ignoreNullFields", "false").json(path))
+
+
+def read_detection_store(spark: SparkSession, path: str) -> DataFrame:
+    """The detection store as one row per (conversation, key, turn) with a
+    prediction; the lists are walked by position, the turn number."""
+    cell = T.StructType([T.StructField("prediction", T.ArrayType(T.StringType())),
+                         *[T.StructField(f, T.ArrayType(T.DoubleType())) for f in ("p_detected", "p_not_detected")],
+                         *[T.StructField(f, T.ArrayType(T.LongType())) for f in ("latency_ms", "input_tokens", "output_tokens")],
+                         T.StructField("top10", T.ArrayType(T.ArrayType(T.StructType([
+                             T.StructField("token", T.StringType()), T.StructField("prob", T.DoubleType())]))))])
+    schema = T.StructType([
+        T.StructField("conversation_id", T.StringType()), T.StructField("n_turns", T.LongType()),
+        T.StructField("speakers", T.ArrayType(T.StringType())),
+        T.StructField("detections", T.StructType([T.StructField(k, cell) for k in S.DETECTION_KEYS])),
+        T.StructField("errors", T.ArrayType(T.StructType([T.StructField("target_turn", T.LongType()),
+                                                          T.StructField("key", T.StringType()),
+                                                          T.StructField("message", T.StringType())])))])
+    rows = spark.read.schema(schema).json(path)
+    per_key = F.array(*[F.struct(F.lit(k).alias("key"), F.col(f"detections.{k}").alias("c")) for k in S.DETECTION_KEYS])
+    x = rows.select(F.col("conversation_id").alias("request_id"), "speakers", "errors", F.explode(per_key).alias("k"))
+    cells = x.select("request_id", "speakers", "errors", F.col("k.key").alias("detection_key"),
+                     F.posexplode(F.arrays_zip(*[F.col(f"k.c.{f}").alias(f) for f, _ in DETECTION_FIELDS])).alias("turn_index", "c"))
+    failed = F.filter("errors", lambda e: (e["target_turn"] == F.col("turn_index")) & (e["key"] == F.col("detection_key")))
+    return cells.filter(F.col("c.prediction").isNotNull()).select(
+        "request_id", "detection_key", F.col("turn_index").cast("long").alias("turn_index"),
+        F.element_at("speakers", F.col("turn_index") + 1).alias("speaker"), "c.*",
+        F.try_element_at(failed, F.lit(1))["message"].alias("error"))
+
+
 def export_metadata(df: DataFrame, path: str, column_order: list[str], fmt: str = "parquet") -> None:
     """Write a table with columns in the declared order."""
     present = [c for c in column_order if c in df.columns]
