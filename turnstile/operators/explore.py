@@ -73,13 +73,12 @@ def detections_by_turn(det: DataFrame, stances: dict[str, str]) -> DataFrame:
 
 
 def pool_values(records: DataFrame, dims: tuple[str, ...]) -> DataFrame:
-    """Distinct dimension values present per template (vocabulary-sized)."""
+    """The distinct dimension values present per template, one row each."""
     arr = F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value"))
                     for d in dims])
     x = records.select("prompt_template_key", F.explode(arr).alias("x")).select(
         "prompt_template_key", "x.dimension", "x.value").filter(F.col("value").isNotNull())
-    return x.groupBy("prompt_template_key", "dimension").agg(
-        F.count_distinct("value").alias("n_values"))
+    return x.distinct()
 
 
 def random_match(records: DataFrame, seed: int, group: str = "prompt_template_key") -> DataFrame:
@@ -89,6 +88,22 @@ def random_match(records: DataFrame, seed: int, group: str = "prompt_template_ke
     return records.groupBy(group).agg(F.min_by("request_id", h).alias("request_id"))
 
 
+def random_stance(det: DataFrame, conversations: DataFrame, seed: int) -> DataFrame:
+    """A seeded pick of one stance per conversation and objective, among
+    those that fired (code 'Y' or 'S'), or among the presets if none did. One
+    aggregation of at most three stances per key; no cell is copied."""
+    def order(stance: Column) -> Column:
+        return F.sha2(F.concat_ws("|", F.lit(str(seed)), "request_id", "objective", stance), 256)
+
+    fired = (det.filter(F.col("code").isin("Y", "S")).groupBy("request_id", "objective")
+             .agg(F.min_by("stance", order(F.col("stance"))).alias("_fired")))
+    keys = conversations.select("request_id", F.explode(F.array(*[F.lit(o) for o in S.OBJECTIVES])).alias("objective"))
+    preset = F.array_min(F.array(*[F.struct(order(F.lit(s)).alias("h"), F.lit(s).alias("stance")) for s in S.STANCES]))
+    return (keys.join(fired, ["request_id", "objective"], "left")
+            .select("request_id", "objective", F.coalesce("_fired", preset["stance"]).alias("stance"),
+                    F.col("_fired").isNotNull().alias("fired")))
+
+
 def truncate_through(turns: DataFrame, k: int | Column) -> DataFrame:
     """Conversation through turn k (inclusive)."""
     kc = F.lit(k) if isinstance(k, int) else k

@@ -95,8 +95,8 @@ POOL_DIMS = ("representative", "caller", "benign_context", "cialdini_emphasis",
 
 
 @query("pool_values", with_fixture(GEN_SQL + " UNION ALL ".join(
-    f"SELECT prompt_template_key, '{d}' AS dimension, count(DISTINCT CAST({d} AS VARCHAR)) AS n_values "
-    f"FROM gen WHERE {d} IS NOT NULL GROUP BY 1" for d in POOL_DIMS)))
+    f"SELECT DISTINCT prompt_template_key, '{d}' AS dimension, CAST({d} AS VARCHAR) AS value "
+    f"FROM gen WHERE {d} IS NOT NULL" for d in POOL_DIMS)))
 def pool_values(spark, sf):
     recs = generation_records(model(spark, sf).domain.meta)
     return X.pool_values(recs, POOL_DIMS)
@@ -108,6 +108,19 @@ def random_match(spark, sf):
     return X.random_match(model(spark, sf).domain.meta, 7)
 
 
+@query("random_stance", with_fixture(f"""
+, k AS (SELECT request_id, UNNEST({list(S.OBJECTIVES)}) AS objective FROM fx_meta),
+x AS (SELECT *, UNNEST({list(S.STANCES)}) AS stance FROM k),
+y AS (SELECT x.*, EXISTS (SELECT 1 FROM fx_cells c WHERE c.request_id = x.request_id AND c.objective = x.objective
+        AND c.stance = x.stance AND c.code IN ('Y', 'S')) AS hit,
+      sha256('7|' || x.request_id || '|' || x.objective || '|' || x.stance) AS h FROM x)
+SELECT request_id, objective, coalesce(arg_min(stance, h) FILTER (WHERE hit), arg_min(stance, h)) AS stance,
+  bool_or(hit) AS fired FROM y GROUP BY 1, 2"""))
+def random_stance(spark, sf):
+    dom = model(spark, sf).domain
+    return X.random_stance(dom.all_detections, dom.meta, 7)
+
+
 @query("truncate_through", with_fixture(
     "SELECT request_id, turn_index, speaker, passage FROM fx_rows WHERE turn_index <= 3"))
 def truncate_through(spark, sf):
