@@ -170,18 +170,18 @@ def histogram(values: DataFrame, series_cols: tuple[str, ...], value_col: str,
     """Integer-bin histogram per series with with/without-event counts.
     Zero bins run from 0 (turn-index series, ``from_zero``) or from the
     minimum (lead series) to the maximum; they are generated per series by
-    ``sequence`` (bounded by the value range), then left-joined to the counts."""
-    v = F.col(value_col)
-    lo = F.min(v)
-    summary = values.groupBy(*series_cols).agg(
-        F.count(v).alias("n_with"), F.count_if(v.isNull()).alias("n_without"),
-        (F.when(lo.isNotNull(), F.lit(0)) if from_zero else lo).alias("_lo"), F.max(v).alias("_hi"))
-    counts = (values.filter(v.isNotNull()).groupBy(*series_cols, v.cast("long").alias("bin"))
-              .agg(F.count(F.lit(1)).alias("n_conversations")))
+    ``sequence`` (bounded by the value range), then left-joined to the counts.
+    Everything comes from one count per (series, value), null included."""
+    counts = values.groupBy(*series_cols, F.col(value_col).cast("long").alias("bin")).agg(
+        F.count(F.lit(1)).alias("n_conversations"))
+    n, held = F.col("n_conversations"), F.col("bin").isNotNull()
+    lo = F.min("bin")
+    summary = counts.groupBy(*series_cols).agg(
+        F.sum(F.when(held, n).otherwise(0)).alias("n_with"), F.sum(F.when(held, 0).otherwise(n)).alias("n_without"),
+        (F.when(lo.isNotNull(), F.lit(0).cast("long")) if from_zero else lo).alias("_lo"), F.max("bin").alias("_hi"))
     bins = summary.select(*series_cols, "n_with", "n_without", F.explode_outer(
-        F.when(F.col("_lo").isNotNull(), F.sequence(F.col("_lo").cast("long"),
-                                                   F.col("_hi").cast("long")))).alias("bin"))
-    return (bins.join(counts, [*series_cols, "bin"], "left")
+        F.when(F.col("_lo").isNotNull(), F.sequence("_lo", "_hi"))).alias("bin"))
+    return (bins.join(counts.filter(held), [*series_cols, "bin"], "left")
             .withColumn("n_conversations", F.coalesce("n_conversations", F.lit(0))))
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .. import schema as S
 
@@ -99,9 +100,9 @@ def label_leakage(labels: DataFrame, canonical: dict[str, tuple[str, ...]]) -> D
     """P20: per target column, values outside the canonical set: distinct count
     and the first 3 in sorted order.
 
-    Nothing is collected: the 3 smallest come from three min() passes, each
-    partial-aggregated; the per-target side of each pass has one row per
-    target column (a fixed, tiny set), so broadcasting it is size-safe."""
+    The first values are a rank-limited window over the distinct leaks, which
+    keeps three rows per target before the shuffle; the count is one
+    aggregation over the same distinct rows."""
     arr = F.array(*[F.struct(F.lit(c).alias("target"), F.col(c).alias("v")) for c in canonical])
     x = labels.select(F.explode(arr).alias("x")).select("x.target", "x.v")
     cond = None
@@ -109,16 +110,11 @@ def label_leakage(labels: DataFrame, canonical: dict[str, tuple[str, ...]]) -> D
         part = (F.col("target") == c) & ~F.col("v").isin(*vals)
         cond = part if cond is None else cond | part
     leaked = x.filter(cond).distinct()
-    out = leaked.groupBy("target").agg(F.count(F.lit(1)).alias("n_unrecognized"),
-                                       F.min("v").alias("v1"))
-    prev = "v1"
-    for k in (2, 3):
-        nxt = (leaked.join(F.broadcast(out.select("target", prev)), "target")
-               .filter(F.col("v") > F.col(prev)).groupBy("target").agg(F.min("v").alias(f"v{k}")))
-        out = out.join(nxt, "target", "left")
-        prev = f"v{k}"
-    return out.select("target", "n_unrecognized",
-                      F.concat_ws(" | ", "v1", "v2", "v3").alias("first_values"))
+    rank = F.row_number().over(Window.partitionBy("target").orderBy("v"))
+    first = (leaked.withColumn("rank", rank).filter("rank <= 3").groupBy("target")
+             .agg(F.sort_array(F.collect_list(F.struct("rank", "v"))).alias("first")))      # three values
+    return leaked.groupBy("target").agg(F.count(F.lit(1)).alias("n_unrecognized")).join(first, "target").select(
+        "target", "n_unrecognized", F.array_join(F.transform("first", lambda f: f["v"]), " | ").alias("first_values"))
 
 
 def dataset_summary(meta: DataFrame) -> DataFrame:
