@@ -21,7 +21,7 @@ def _rows(df):
 
 @pytest.fixture(scope="module")
 def turns(spark):
-    return model(spark, SF001).domain.all_turns.select("request_id", "turn_index", "passage").cache()
+    return model(spark, SF001).domain.text_turns.select("request_id", "turn_index", "passage").cache()
 
 
 @pytest.fixture(scope="module")

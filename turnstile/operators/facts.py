@@ -55,11 +55,13 @@ def turn_table(turns: DataFrame) -> DataFrame:
     passage length and the cumulative any-violation ground truth."""
     base = flag_ints(turns, masked=True)
     t = F.col("turn_index")
+    length = (F.col("passage_length") if "passage_length" in base.columns
+              else F.length(F.coalesce(F.col("passage"), F.lit(""))).cast("long"))
     cum = cumulative_max(base, "any_violation")
     return (cum.select(
         "request_id", "conversation_type", "turn_index",
         speaker(t).alias("speaker"), "n_turns",
-        F.length(F.coalesce(F.col("passage"), F.lit(""))).cast("long").alias("passage_length"),
+        length.alias("passage_length"),
         *S.ALL_FLAGS, "any_violation",
         F.when(_is_rep_response(t), F.col("cum_any_violation")).cast("long")
          .alias("cumulative_any_violation")))

@@ -145,7 +145,7 @@ SELECT request_id, turn_index,
     chr(10) || chr(10)) AS transcript
 FROM fx_rows"""))
 def transcript_prefix(spark, sf):
-    return D.transcript_prefix(model(spark, sf).domain.all_turns.select("request_id", "turn_index", "passage"))
+    return D.transcript_prefix(model(spark, sf).domain.text_turns.select("request_id", "turn_index", "passage"))
 
 
 @query("detection_plan", with_fixture("""

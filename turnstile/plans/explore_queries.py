@@ -124,7 +124,7 @@ def random_stance(spark, sf):
 @query("truncate_through", with_fixture(
     "SELECT request_id, turn_index, speaker, passage FROM fx_rows WHERE turn_index <= 3"))
 def truncate_through(spark, sf):
-    t = model(spark, sf).domain.all_turns.select("request_id", "turn_index", "speaker", "passage")
+    t = model(spark, sf).domain.text_turns.select("request_id", "turn_index", "speaker", "passage")
     return X.truncate_through(t, 3)
 
 
@@ -163,7 +163,7 @@ def flavor_sample(spark, sf):
 @query("normalise_record", with_fixture("SELECT request_id, turn_index, speaker, passage AS text FROM fx_rows"))
 def normalise_record(spark, sf):
     d = model(spark, sf).domain
-    recs = ST.records_from_turns(d.all_turns, d.meta)
+    recs = ST.records_from_turns(d.text_turns, d.meta)
     n = X.normalise_record(recs)
     return n.select("request_id", F.explode("turns").alias("t")).select(
         "request_id", F.col("t.turn_index").cast("long").alias("turn_index"), "t.speaker", "t.text")
@@ -250,7 +250,7 @@ def src_store(spark, sf):
     back with the declared record schema, then exploded to turns (P4)."""
     d = model(spark, sf).domain
     path = scratch_path(spark, "store")
-    ST.write_store(ST.records_from_turns(d.all_turns, d.meta), path, jsonl=True)
+    ST.write_store(ST.records_from_turns(d.text_turns, d.meta), path, jsonl=True)
     recs = ST.read_store(spark, path, jsonl=True)
     return ST.explode_turns(recs).select("request_id", "turn_index", "passage")
 
@@ -260,7 +260,7 @@ def src_multi(spark, sf):
     """One store per template, read together; the label comes from the file name."""
     d = model(spark, sf).domain
     base = scratch_path(spark, "stores")
-    recs = ST.records_from_turns(d.all_turns, d.meta).join(
+    recs = ST.records_from_turns(d.text_turns, d.meta).join(
         d.meta.select("request_id", "prompt_template_key"), "request_id")
     for tpl in (S.THREAT, S.BENIGN):
         ST.write_store(recs.filter(F.col("prompt_template_key") == tpl), f"{base}/{tpl}_conversations")
@@ -347,7 +347,7 @@ def score_batch(spark, sf):
     """W3 transcripts scored by the shipped lexical scorer through Arrow
     batches (stances expanded inside the batch), decoded by P28."""
     d = model(spark, sf).domain
-    tx = D.transcript_prefix(d.all_turns.select("request_id", "turn_index", "passage"))
+    tx = D.transcript_prefix(d.text_turns.select("request_id", "turn_index", "passage"))
     scored = D.score_turns(tx)
     return scored.select("request_id", "turn_index", "objective", "stance", "prediction",
                          "p_detected", "p_not_detected", "latency_ms")

@@ -289,7 +289,7 @@ def status_counts(spark, sf):
 # Records serialised to JSON with injected defects, re-parsed and checked.
 def malformed_input(spark, sf) -> DataFrame:
     d = model(spark, sf).domain
-    recs = ST.records_from_turns(d.all_turns, d.meta).join(
+    recs = ST.records_from_turns(d.text_turns, d.meta).join(
         d.meta.select("request_id", "conv_id", "turn_count_value"), "request_id")
     c = F.col("conv_id")
     sel = F.col("selection")

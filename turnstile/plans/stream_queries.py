@@ -15,7 +15,7 @@ from .registry import query
 def _turn_files(spark, sf, split_at: int = 3) -> str:
     """The conversations' turns as a file source in two arrivals: turns below
     ``split_at`` first, the rest later (so state carries across batches)."""
-    t = model(spark, sf).domain.all_turns.select("request_id", "turn_index", "passage")
+    t = model(spark, sf).domain.text_turns.select("request_id", "turn_index", "passage")
     src = scratch_path(spark, "turn_files")
     t.filter(F.col("turn_index") < split_at).write.parquet(src)
     t.filter(F.col("turn_index") >= split_at).write.mode("append").parquet(src)
@@ -31,7 +31,7 @@ def stream_scoring(spark, sf):
 
 @query("stream_resume", SCORE_SQL)
 def stream_resume(spark, sf):
-    t = model(spark, sf).domain.all_turns.select("request_id", "turn_index", "passage")
+    t = model(spark, sf).domain.text_turns.select("request_id", "turn_index", "passage")
     src = scratch_path(spark, "resume_src")
     # whole conversations per file: the store's unit of arrival
     t.repartition(4, "request_id").write.parquet(src)

@@ -266,7 +266,9 @@ def ingest(spark: SparkSession, sf_dir: str, out: str) -> dict[str, str]:
     shared checkpoint dir): ``meta`` (one row per conversation), ``turns`` (one
     row per turn) and ``detections`` (one row per detector cell), the last two
     partitioned by analysis-set membership so analysis reads prune the
-    quarantined conversations. Conversation attributes are attached with a
+    quarantined conversations. No text is copied: a turn row keeps its passage's
+    length, and what needs texts reads them from the source
+    (``Domain.text_turns``). Conversation attributes are attached with a
     join on the conversation id (AQE broadcasts the narrow side when its
     runtime size allows, and splits a hot conversation otherwise)."""
     raw = raw_turns(spark, sf_dir)
@@ -278,8 +280,9 @@ def ingest(spark: SparkSession, sf_dir: str, out: str) -> dict[str, str]:
         "conv_id", F.col("turn_count_value").alias("n_turns"),
         F.col("prompt_template_key").alias("conversation_type"), "detection_status", "n_e",
         ((F.col("detection_status") == S.STATUS_SUCCESS) & (F.col("n_e") == 0)).cast("int").alias(ANALYSIS))
-    rows.drop("n_cells_turn", "n_x_turn", "n_e_turn").join(m, "conv_id") \
-        .write.mode("overwrite").partitionBy(ANALYSIS).parquet(paths["turns"])
+    (rows.withColumn("passage_length", F.length(F.coalesce("passage", F.lit(""))).cast("long"))
+     .drop("passage", "n_cells_turn", "n_x_turn", "n_e_turn").join(m, "conv_id")
+     .write.mode("overwrite").partitionBy(ANALYSIS).parquet(paths["turns"]))
     detection_rows(raw.select("conv_id", "turn_index")).join(m, "conv_id").drop("conv_id") \
         .write.mode("overwrite").partitionBy(ANALYSIS).parquet(paths["detections"])
     return paths
@@ -313,6 +316,11 @@ class Domain:
         """Turn rows of every conversation with n_turns, type and status."""
         return self.spark.read.parquet(self.paths["turns"])
 
+    @cached_property
+    def text_turns(self) -> DataFrame:
+        """Turn rows with their passages and flags: a projection of the source."""
+        return turn_rows(raw_turns(self.spark, self.sf_dir)).drop("n_cells_turn", "n_x_turn", "n_e_turn")
+
     @cached_property
     def all_detections(self) -> DataFrame:
         """Long detector cells of every conversation (raw codes)."""
