@@ -4,9 +4,9 @@ Lines are paragraphs. Each distinct paragraph gets a MinHash signature over its
 five-word shingles, cut into bands whose number and height are tuned so that a
 pair at the threshold is missed with a chosen small probability. Paragraphs
 that collide in a band are verified by exact Jaccard similarity: first every
-member of a bucket against the bucket's leader, twice; then only what is still
+member of a bucket against the bucket's leader; then only what is still
 apart is compared, pruned by sizes and by the triangle inequality of the
-Jaccard distance to the leaders. Components of the verified links are the
+Jaccard distance to the leader. Components of the verified links are the
 classes, and all but the first paragraph of a class are removed.
 """
 
@@ -182,40 +182,19 @@ def _labelled(members: DataFrame, edges: DataFrame, name: str) -> DataFrame:
 def links(buckets: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Verified links ``(a, b)`` that connect every class: ``buckets(key, para)``
     are the colliding paragraphs, ``sets(para, shingles)`` their shingles."""
-    found, members, sims = None, buckets, []
-    for turn in range(2):
-        if found is not None:
-            members = stash(_labelled(buckets, found, "para-links"), "para-members")
-            # a leader is chosen among those outside the first leader's class
-            lead1 = leaders[0].join(members.select("key", F.col("para").alias("lead"), F.col("comp").alias("c1")),
-                                    ["key", "lead"])
-            apart = members.join(lead1.select("key", "c1"), "key").where("comp <> c1")
-            lead = stash(apart.groupBy("key").agg(F.min("para").alias("lead")), "para-leaders")
-            pairs = (members.join(lead, "key").join(
-                members.select("key", F.col("para").alias("lead"), F.col("comp").alias("c2")), ["key", "lead"])
-                .where("comp <> c2").select(F.least("lead", "para").alias("a"), F.greatest("lead", "para").alias("b")))
-            leaders.append(lead)
-        else:
-            lead = stash(buckets.groupBy("key").agg(F.min("para").alias("lead")), "para-leaders")
-            leaders = [lead]
-            pairs = buckets.join(lead, "key").where("para <> lead").select(
-                F.least("lead", "para").alias("a"), F.greatest("lead", "para").alias("b"))
-        checked = stash(_verified(pairs.distinct(), sets, threshold), "para-pairs")
-        sims.append(checked)
-        good = checked.where("ok").select("a", "b")
-        found = good if found is None else found.unionByName(good)
-    members = stash(_labelled(buckets, found, "para-links"), "para-members")
-    # what is still apart in a bucket: sizes within the threshold, and distances to the first leader
+    leaders = buckets.groupBy("key").agg(F.min("para").alias("lead"))
+    led = buckets.join(leaders, "key")
+    pair = (F.least("lead", "para").alias("a"), F.greatest("lead", "para").alias("b"))
+    checked = stash(_verified(led.where("para <> lead").select(*pair).distinct(), sets, threshold), "para-pairs")
+    found = checked.where("ok").select("a", "b")
+    # what is still apart in a bucket: sizes within the threshold, and distances to the leader
     # that differ by no more than a link allows
-    sizes = sets.select("para", F.size("shingles").alias("n"))
-    lead = leaders[0].join(members.select("key", F.col("para").alias("lead"), F.col("comp").alias("c1")), ["key", "lead"])
+    members = stash(_labelled(led, found, "para-links"), "para-members")
     mixed = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    known = sims[0].select("a", "b", "sim").distinct()
-    rest = (members.join(mixed, "key").join(lead.select("key", "lead"), "key").join(sizes, "para")
-            .withColumn("a", F.least("lead", "para")).withColumn("b", F.greatest("lead", "para"))
-            .join(known, ["a", "b"], "left").withColumn("sim", F.coalesce("sim", F.lit(1.0)))
-            .select("key", "para", "comp", "n", "sim"))
-    rest = stash(rest, "para-rest")
+    sizes = sets.select("para", F.size("shingles").alias("n"))
+    rest = stash(members.join(mixed, "key").join(sizes, "para").select("key", "para", "comp", "n", *pair)
+                 .join(checked.select("a", "b", "sim"), ["a", "b"], "left")
+                 .withColumn("sim", F.coalesce("sim", F.lit(1.0))).select("key", "para", "comp", "n", "sim"), "para-rest")
     x, y = rest.alias("x"), rest.alias("y")
     slack = 1e-9
     close = ((F.col("x.para") < F.col("y.para")) & (F.col("x.comp") != F.col("y.comp"))
