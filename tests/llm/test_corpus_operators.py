@@ -349,6 +349,19 @@ def test_decontamination_edges(spark):
     assert left.count() == len(rows) - 1 and left.columns == corpus(spark, rows).columns
 
 
+@pytest.mark.parametrize("size", [38, 12])
+def test_decontamination_of_a_leak_in_a_third_of_the_rows(spark, size):
+    rng = random.Random(size)
+    item = [f"leak{i}" for i in range(size)]
+    benchmark = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(f"w{rng.randint(0, 900)}" for _ in range(30)))], "item_id long, text string")
+    text = lambda n: [f"w{min(rng.randint(0, 900), rng.randint(0, 900))}" for _ in range(n)]
+    rows = [(i, " ".join(text(60))) for i in range(400)]
+    rows += [(1000 + i, " ".join([*text(cut := rng.randint(0, 20)), *item, *text(20 - cut)])) for i in range(200)]
+    rows += [(2000, " ".join([*text(9), *["other" if j % 3 == 2 else w for j, w in enumerate(item)], *text(9)]))]   # no run of three
+    found = {(r.doc_id, r.item_id) for r in decontam.find_matches(corpus(spark, rows), benchmark).collect()}
+    assert {(i, 1) for i, _ in rows if i >= 1000} == found
+
+
 def test_lcs():
     rng = random.Random(1)
     for _ in range(200):
