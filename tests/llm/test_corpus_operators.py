@@ -362,6 +362,18 @@ def test_decontamination_of_a_leak_in_a_third_of_the_rows(spark, size):
     assert {(i, 1) for i, _ in rows if i >= 1000} == found
 
 
+def test_decontamination_of_long_items(spark):
+    rng = random.Random(5)
+    text = lambda n: [f"w{min(rng.randint(0, 4000) for _ in range(3))}" for _ in range(n)]
+    items = [(q, text(n)) for q, n in enumerate([300, 800, 800, 1500])]
+    rows = [(i, " ".join(text(120))) for i in range(150)]
+    rows += [(1000 + q, " ".join([*text(37), *own, *text(41)])) for q, own in items]
+    rows += [(2000 + q, " ".join([*text(21), *["other" if j % 4 == 3 else w for j, w in enumerate(own)], *text(9)])) for q, own in items]
+    benchmark = spark.createDataFrame([(q, " ".join(own)) for q, own in items], "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontam.find_matches(corpus(spark, rows), benchmark).collect()}
+    assert found == {(i + q, q) for i in (1000, 2000) for q, _ in items}
+
+
 def test_lcs():
     rng = random.Random(1)
     for _ in range(200):
