@@ -374,6 +374,14 @@ def test_decontamination_of_long_items(spark):
     assert found == {(i + q, q) for i in (1000, 2000) for q, _ in items}
 
 
+def test_decontamination_without_the_last_sentence(spark):
+    long = "the quick brown fox jumps over the lazy dog and runs through the old forest to the river bank"
+    rows = [(1, f"So {long}"), (2, f"So {long}. It was late."), (3, " ".join(long.split()[:13]))]
+    benchmark = spark.createDataFrame([(1, f"{long}. It was late.", None), (2, long, "a badger")], "item_id long, text string, answer string")
+    found = {(r.doc_id, r.item_id) for r in decontam.find_matches(corpus(spark, rows), benchmark).collect()}
+    assert found == {(1, 1), (2, 1)}                    # 13 of 22 words are too few; a given answer must be there
+
+
 def test_lcs():
     rng = random.Random(1)
     for _ in range(200):
