@@ -55,6 +55,6 @@ def test_stages_take_odd_rows(spark):
 def test_registered():
     found = entry.queries()
     assert {"pipeline"} <= set(found)
-    assert {n.split("_")[0] for n in found if n.startswith("op") and n[2].isdigit()} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in found if n.startswith("op") and n[2].isdigit()} == {f"op{k}" for k in range(1, 14)}
     assert set(entry.oracle_sql()) <= set(found)
     assert len(pipeline.STAGES) == 5

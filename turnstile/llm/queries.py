@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mixing, paragraphs, pii, preference, quality, runindex, sharding, simhash, tokens
+from . import (
+    decontam, mixing, paragraphs, pii, preference, quality, runindex, sharding, simhash, sketch, tokens, trie, whitening,
+)
 from .common import table
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -29,8 +31,11 @@ def queries() -> dict[str, Builder]:
         "op8_paragraphs": _over_documents(paragraphs.contract),
         "op9_runindex": _over_documents(runindex.contract),
         "op10_mixing": _over_documents(mixing.contract),
+        "op11_trie": lambda spark, sf_dir: trie.contract(table(spark, sf_dir, "conversations")),
+        "op12_whitening": lambda spark, sf_dir: whitening.contract(table(spark, sf_dir, "embeddings")),
+        "op13_sketch": _over_documents(sketch.contract),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_preference": preference.ORACLE, "op10_mixing": mixing.ORACLE}
+    return {"op5_preference": preference.ORACLE, "op10_mixing": mixing.ORACLE, "op11_trie": trie.ORACLE}
