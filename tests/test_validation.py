@@ -76,7 +76,8 @@ def test_flag_metrics_place_by_turn(spark):
 
 def test_upserts_keep_the_last_of_equal_ids(spark):
     base = spark.createDataFrame([("a", "x"), ("b", "y")], "request_id string, flavor string")
-    upd = spark.createDataFrame([("a", "1"), ("a", "2"), ("c", "3"), ("c", "4")], "request_id string, flavor string").coalesce(1)
+    rows = [("a", "1", 1), ("a", "2", 2), ("c", "3", 3), ("c", "4", 4)]
+    upd = spark.createDataFrame(rows[::-1], "request_id string, flavor string, ordinal long").repartition(3)
     assert sorted(map(tuple, ST.upsert_update_only(base, upd, "request_id", ["flavor"]).collect())) == [("a", "2"), ("b", "y")]
     assert sorted(map(tuple, ST.upsert_overwrite(base, upd, "request_id").collect())) == [("a", "2"), ("b", "y"), ("c", "4")]
 
@@ -180,11 +181,12 @@ def test_orphans_and_upserts(spark):
     store = spark.createDataFrame([("a",), ("z",)], "k string")
     assert [r.k for r in store.join(grid, "k", "left_anti").collect()] == ["z"]
     base = spark.createDataFrame([("a", 1, "x"), ("b", 2, "y")], "request_id string, v long, w string")
-    upd = spark.createDataFrame([("a", 10), ("q", 99)], "request_id string, v long")
+    upd = spark.createDataFrame([("a", 10, 1), ("q", 99, 2)], "request_id string, v long, ordinal long")
     got = {r.request_id: r.v for r in ST.upsert_update_only(base, upd, "request_id", ["v"]).collect()}
     assert got == {"a": 10, "b": 2}
-    over = ST.upsert_overwrite(base, spark.createDataFrame([("b", 5, "n"), ("c", 6, "m")],
-                                                           "request_id string, v long, w string"), "request_id")
+    over = ST.upsert_overwrite(base, spark.createDataFrame([("b", 5, "n", 1), ("c", 6, "m", 2)],
+                                                           "request_id string, v long, w string, ordinal long"),
+                               "request_id")
     assert sorted((r.request_id, r.v) for r in over.collect()) == [("a", 1), ("b", 5), ("c", 6)]
 
 

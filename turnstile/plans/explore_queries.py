@@ -3,6 +3,7 @@ other tables (labels ⋈ documents, events)."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -268,6 +269,35 @@ def src_multi(spark, sf):
     return out.select("request_id", "source_label")
 
 
+@query("src_document", with_fixture("""
+SELECT request_id, CASE WHEN conv_id % 5 = 0 THEN 'late_conversations' ELSE prompt_template_key END AS source_label,
+  CAST(coalesce(n, 0) AS BIGINT) AS n_turns,
+  row_number() OVER (PARTITION BY conv_id % 5 = 0, prompt_template_key ORDER BY request_id) AS place
+FROM fx_meta LEFT JOIN (SELECT conv_id, count(*) AS n FROM fx_rows GROUP BY 1) USING (conv_id)"""))
+def src_document(spark, sf):
+    """Stores in the keyed, bare-map and list forms, found in a folder,
+    read by byte ranges, with every record's place in its file."""
+    d = model(spark, sf).domain
+    recs = ST.records_from_turns(d.text_turns, d.meta).join(
+        d.meta.select("request_id", "prompt_template_key", "conv_id"), "request_id")
+    base, late = scratch_path(spark, "forms"), F.col("conv_id") % 5 == 0
+    of = F.when(late, F.lit("late")).otherwise(F.col("prompt_template_key"))
+    out = None
+    for name, form in ((S.THREAT, "keyed"), (S.BENIGN, "map"), ("late", "list")):
+        path = f"{base}/{name}_conversations"
+        # the two late groups are numbered apart
+        rows = recs.filter(of == name)
+        if name == "late":
+            rows = rows.withColumn("request_id", F.concat("prompt_template_key", F.lit("/"), "request_id"))
+        ST.write_store(rows, path, jsonl=False, form=form)
+        read = ST.read_store(spark, path, strict=form == "keyed", with_order=True)
+        out = read if out is None else out.unionByName(read)
+    template = F.when(F.col("source_label") == "late_conversations", F.split_part("request_id", F.lit("/"), F.lit(1)))
+    place = F.row_number().over(Window.partitionBy("source", template).orderBy("ordinal.at")).cast("long")
+    return out.select(F.element_at(F.split("request_id", "/"), -1).alias("request_id"), "source_label",
+                      F.size("conversation").cast("long").alias("n_turns"), place.alias("place"))
+
+
 @query("src_meta_blank_rows", with_fixture("SELECT request_id, flavor FROM fx_meta"))
 def src_meta_blank_rows(spark, sf):
     """S3: metadata written with all-null rows interleaved; the detection

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..operators import grid as G
 from ..operators import validate as V
+from ..session import scratch_path
 from ..sources import store as ST
 from .model import model
 from .oracle_base import with_fixture
@@ -211,57 +212,80 @@ def flag_by_turn(spark, sf):
     return G.flag_metrics(t)
 
 
+def update_log(name: str, *tables: DataFrame) -> DataFrame:
+    """An update log of one JSON Lines folder per table, in order, read back
+    with every row's place in file order (``ordinal``)."""
+    spark = tables[0].sparkSession
+    path = scratch_path(spark, name)
+    for k, rows in enumerate(tables):
+        rows.write.json(f"{path}/{k:04d}")
+    read = spark.read.schema(tables[0].schema).option("recursiveFileLookup", True).json(path)
+    return read.select("*", ST.ingest_order().alias("ordinal"))
+
+
 @query("upsert_update_only", with_fixture("""
-, u AS (SELECT request_id, upper(flavor) AS flavor FROM fx_meta WHERE conv_id % 3 = 0
+, u AS (SELECT request_id, CASE WHEN conv_id % 4 = 0 THEN 'again ' || flavor ELSE upper(flavor) END AS flavor
+        FROM fx_meta WHERE conv_id % 3 = 0 OR conv_id % 4 = 0
         UNION ALL SELECT 'missing-' || request_id, 'X' FROM fx_meta WHERE conv_id % 5 = 0)
 SELECT b.request_id, coalesce(u.flavor, b.flavor) AS flavor, b.turn_count_value
 FROM fx_meta b LEFT JOIN u USING (request_id)"""))
 def upsert_update_only(spark, sf):
+    """S10 over a log of two files; ids in both (id % 12 = 0) take the later."""
     meta = model(spark, sf).domain.meta
     c = F.col("conv_id")
-    upd = (meta.filter(c % 3 == 0).select("request_id", F.upper("flavor").alias("flavor"))
-           .unionByName(meta.filter(c % 5 == 0).select(
-               F.concat(F.lit("missing-"), F.col("request_id")).alias("request_id"),
-               F.lit("X").alias("flavor"))))
+    early = (meta.filter(c % 3 == 0).select("request_id", F.upper("flavor").alias("flavor"))
+             .unionByName(meta.filter(c % 5 == 0).select(
+                 F.concat(F.lit("missing-"), F.col("request_id")).alias("request_id"),
+                 F.lit("X").alias("flavor"))))
+    late = meta.filter(c % 4 == 0).select("request_id", F.concat(F.lit("again "), F.col("flavor")).alias("flavor"))
     base = meta.select("request_id", "flavor", "turn_count_value")
-    return ST.upsert_update_only(base, upd, "request_id", ["flavor"])
+    return ST.upsert_update_only(base, update_log("updates", early, late), "request_id", ["flavor"])
 
 
 @query("upsert_overwrite", with_fixture("""
-, u AS (SELECT request_id, '2026-06-01T00:00:00Z' AS generated_at_utc, flavor FROM fx_meta WHERE detection_status <> 'success'
+, u AS (SELECT request_id, CASE WHEN conv_id % 2 = 0 THEN '2026-06-02T00:00:00Z' ELSE '2026-06-01T00:00:00Z' END
+          AS generated_at_utc, flavor FROM fx_meta WHERE detection_status <> 'success' OR conv_id % 2 = 0
         UNION ALL SELECT 'new-' || request_id, '2026-06-01T00:00:00Z', flavor FROM fx_meta WHERE conv_id % 7 = 0)
 SELECT request_id, generated_at_utc, flavor FROM fx_meta WHERE request_id NOT IN (SELECT request_id FROM u)
 UNION ALL SELECT * FROM u"""))
 def upsert_overwrite(spark, sf):
+    """S11 over a log of two files with ids in both."""
     meta = model(spark, sf).domain.meta
     ts = F.lit("2026-06-01T00:00:00Z").alias("generated_at_utc")
-    upd = (meta.filter(F.col("detection_status") != S.STATUS_SUCCESS).select("request_id", ts, "flavor")
-           .unionByName(meta.filter(F.col("conv_id") % 7 == 0).select(
-               F.concat(F.lit("new-"), F.col("request_id")).alias("request_id"), ts, "flavor")))
-    return ST.upsert_overwrite(meta.select("request_id", "generated_at_utc", "flavor"), upd, "request_id")
+    early = (meta.filter(F.col("detection_status") != S.STATUS_SUCCESS).select("request_id", ts, "flavor")
+             .unionByName(meta.filter(F.col("conv_id") % 7 == 0).select(
+                 F.concat(F.lit("new-"), F.col("request_id")).alias("request_id"), ts, "flavor")))
+    late = meta.filter(F.col("conv_id") % 2 == 0).select(
+        "request_id", F.lit("2026-06-02T00:00:00Z").alias("generated_at_utc"), "flavor")
+    return ST.upsert_overwrite(meta.select("request_id", "generated_at_utc", "flavor"),
+                               update_log("overwrites", early, late), "request_id")
 
 
 @query("attempts_update", with_fixture("""
 , b AS (SELECT request_id, conv_id, CASE WHEN detection_status = 'success' THEN 'success' ELSE 'error' END AS status,
           CAST(1 AS BIGINT) AS attempts, '' AS last_error FROM fx_meta),
-r AS (SELECT request_id, conv_id % 2 = 0 AS ok, 1 + conv_id % 3 AS used FROM b WHERE status <> 'success')
+r AS (SELECT request_id, conv_id, conv_id % 2 = 0 OR conv_id % 3 = 0 AS ok,
+        CASE WHEN conv_id % 3 = 0 THEN 7 ELSE 1 + conv_id % 3 END AS used FROM b WHERE status <> 'success')
 SELECT b.request_id,
   CASE WHEN r.request_id IS NULL THEN b.status WHEN r.ok THEN 'success' ELSE 'error' END AS status,
   CASE WHEN r.request_id IS NULL THEN b.attempts WHEN r.ok THEN b.attempts + r.used ELSE b.attempts + 10 END AS attempts,
   CASE WHEN r.request_id IS NULL THEN b.last_error WHEN r.ok THEN '' ELSE 'timeout' END AS last_error
 FROM b LEFT JOIN r USING (request_id)"""))
 def attempts_update(spark, sf):
+    """T4 over a log in which every third failed row has a later, good result."""
     meta = model(spark, sf).domain.meta
     base = meta.select("request_id", "conv_id",
                        F.when(F.col("detection_status") == S.STATUS_SUCCESS, F.lit("success"))
                        .otherwise(F.lit("error")).alias("status"),
                        F.lit(1).cast("long").alias("attempts"), F.lit("").alias("last_error"))
-    res = base.filter(F.col("status") != "success").select(
-        "request_id", (F.col("conv_id") % 2 == 0).alias("ok"),
-        (1 + F.col("conv_id") % 3).alias("attempts_used"),
-        F.when(F.col("conv_id") % 2 != 0, F.lit("timeout")).alias("error"))
-    return ST.attempts_update(base, res, max_attempts=10).select("request_id", "status", "attempts",
-                                                                   "last_error")
+    c, due = F.col("conv_id"), base.filter(F.col("status") != "success")
+    first = due.select("request_id", (c % 2 == 0).alias("ok"), (1 + c % 3).alias("attempts_used"),
+                       F.when(c % 2 != 0, F.lit("timeout")).alias("error"))
+    again = due.filter(c % 3 == 0).select("request_id", F.lit(True).alias("ok"),
+                                          F.lit(7).cast("long").alias("attempts_used"),
+                                          F.lit(None).cast("string").alias("error"))
+    return ST.attempts_update(base, update_log("results", first, again), max_attempts=10).select(
+        "request_id", "status", "attempts", "last_error")
 
 
 @query("token_usage", with_fixture("""

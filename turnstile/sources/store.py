@@ -2,55 +2,65 @@
 
 The reference keeps conversations in one keyed JSON document per run
 (``{"conversations": {request_id: record}}``). We read that format with a
-declared schema (one task per file — it is a single document), and for scale
-we also read/write the same records as JSON Lines / Parquet, which split.
-Upserts are joins (anti-join + union, or left join + coalesce), never
+declared schema, dealt to tasks by byte ranges (``sources.document``); the same
+records are also read and written as JSON Lines / Parquet. Upserts are joins (anti-join + union, or left join + coalesce), never
 driver-side dictionaries.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schema as S
 from ..functions.columns import speaker
+from ..session import ship_package
+from .document import parse_members, read_members
 
 # ------------------------------------------------------------------ S1/S2
-def _source_name() -> Column:
+def _source_name(path: Column) -> Column:
     """Store name = file name of the scanned file, or the folder's name for a
     store written by Spark (a folder of part files)."""
-    path = F.col("_metadata.file_path")
     file = F.regexp_extract(path, r"([^/]+)$", 1)
     return F.when(file.startswith("part-"), F.regexp_extract(path, r"([^/]+)/[^/]+$", 1)).otherwise(file)
 
 
+def ingest_order() -> Column:
+    """Place of a row in its source: (file, byte position of its split, position
+    within the split). Take it in the projection right on a file scan; as a
+    column it is plain data, so what comes later may shuffle as it likes."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                    F.monotonically_increasing_id().alias("at"))
+
+
 def read_store(spark: SparkSession, paths: str | list[str], *, jsonl: bool = False,
-               with_source: bool = True) -> DataFrame:
+               with_source: bool = True, strict: bool = True, with_order: bool = False) -> DataFrame:
     """Records of one or more conversation stores as rows.
 
-    ``jsonl=False`` reads the keyed document ``{"conversations": {id: rec}}``
-    (multiLine, one task per file; error if the key is absent);
-    ``jsonl=True`` reads one record per line (splittable — the scale format).
+    ``jsonl=False`` reads JSON documents, dealt to tasks by byte ranges
+    (``sources.document``): the keyed form ``{"conversations": {id: rec}}``, and
+    with ``strict=False`` also a bare map or list of records (``strict`` raises
+    on those). ``jsonl=True`` reads one record per line.
     ``source`` is the store's file name and ``source_label`` a label derived
-    from it (``threat`` / ``benign`` / the name without its extension).
+    from it (``threat`` / ``benign`` / the name without its extension);
+    ``with_order`` adds ``ordinal``, the record's place in file order.
     """
     if jsonl:
         df = spark.read.schema(S.RECORD_STRUCT).json(paths)
         rec = df.select(F.struct(*[F.col(c) for c in df.columns]).alias("r"),
-                        _source_name().alias("source"))
+                        _source_name(F.col("_metadata.file_path")).alias("source"), ingest_order().alias("ordinal"))
     else:
-        df = (spark.read.schema(S.STORE_SCHEMA).option("multiLine", True).json(paths)
-              .select(F.when(F.col("conversations").isNull(),
-                             F.raise_error(F.concat(F.lit("store has no 'conversations' key: "),
-                                                    F.col("_metadata.file_name"))))
-                      .otherwise(F.col("conversations")).alias("conversations"),
-                      _source_name().alias("source")))
-        rec = df.select(F.explode("conversations").alias("key", "r"), "source") \
-            .withColumn("r", F.col("r").withField("request_id", F.coalesce(
-                F.col("r.request_id"), F.col("key"))))
-    out = rec.select("r.*", "source")
+        members = parse_members(read_members(spark, paths, strict), S.RECORD_STRUCT)
+        rec = members.select(
+            F.col("r").withField("request_id", F.coalesce(F.col("r.request_id"), F.col("key"))).alias("r"),
+            _source_name(F.col("file")).alias("source"),
+            F.struct("file", F.lit(0).cast("long").alias("block"), F.col("position").alias("at")).alias("ordinal"))
+    out = rec.select("r.*", "source", *(["ordinal"] if with_order else []))
     if with_source:
         name = F.lower(F.col("source"))
         out = out.withColumn("source_label", F.when(name.contains("threat"), F.lit("threat"))
@@ -72,24 +82,42 @@ def explode_turns(records: DataFrame, strict_keys: bool = True) -> DataFrame:
     return t
 
 
-MAX_DOCUMENT_RECORDS = 50_000
+#: What a document starts and ends with, and whether its records have keys.
+DOCUMENT_FORMS = {"keyed": ('{"conversations": {', "}}", True), "map": ("{", "}", True), "list": ("[", "]", False)}
 
 
-def write_store(records: DataFrame, path: str, *, jsonl: bool = True, mode: str = "overwrite") -> None:
+def write_store(records: DataFrame, path: str, *, jsonl: bool = True, mode: str = "overwrite",
+                form: str = "keyed") -> None:
     """Write records. ``jsonl`` (default) writes splittable JSON Lines;
-    otherwise one keyed document ``{"conversations": {id: record}}`` — a single
-    file, so the record count is checked first (export for the original
-    tools only, never the scale path)."""
+    otherwise one document of ``form`` (``keyed``: ``{"conversations": {id:
+    record}}``, ``map`` or ``list``) in id order. That is a single file by format, so
+    one task writes it, record by record; the records are serialised before."""
     cols = [f.name for f in S.RECORD_STRUCT.fields if f.name in records.columns]
     if jsonl:
         records.select(*cols).write.mode(mode).json(path)
-    else:
-        n = records.count()
-        if n > MAX_DOCUMENT_RECORDS:
-            raise ValueError(f"{n} records is too many for a single-document store; use jsonl")
-        doc = records.select(F.map_from_entries(F.collect_list(F.struct(
-            "request_id", F.struct(*cols)))).alias("conversations"))
-        doc.coalesce(1).write.mode(mode).json(path)
+        return
+    head, foot, keyed = DOCUMENT_FORMS[form]
+    name = F.to_json(F.array("request_id"))
+    key = F.concat(name.substr(F.lit(2), F.length(name) - 2), F.lit(": ")) if keyed else F.lit("")
+    lines = records.select(F.lit(1).alias("part"), "request_id",
+                           F.concat(key, F.to_json(F.struct(*cols))).alias("value"))
+    ends = records.sparkSession.createDataFrame(
+        [(0, None, head), (2, None, foot)], "part int, request_id string, value string")
+    ship_package(records.sparkSession)
+    ordered = lines.unionByName(ends).repartition(1).sortWithinPartitions("part", "request_id")
+    ordered.mapInArrow(_with_commas, "value string").write.mode(mode).text(path)
+
+
+def _with_commas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A comma before every record but the first."""
+    first = True
+    for batch in batches:
+        lead = []
+        for part in batch.column("part").to_pylist():
+            lead.append("" if part != 1 or first else ",")
+            first = first and part != 1
+        yield pa.RecordBatch.from_arrays(
+            [pc.binary_join_element_wise(pa.array(lead), batch.column("value"), "")], ["value"])
 
 
 def records_from_turns(turns: DataFrame, meta: DataFrame) -> DataFrame:
@@ -250,30 +278,35 @@ def prefix_generation_columns(df: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ S10–S12, T4
-def last_per_key(updates: DataFrame, key: str) -> DataFrame:
-    """One update per key: the last in file order, as a dictionary keeps it."""
-    row = F.struct(*[F.col(c) for c in updates.columns if c != key])
-    return (updates.withColumn("_at", F.monotonically_increasing_id())
-            .groupBy(key).agg(F.max_by(row, "_at").alias("_row")).select(key, "_row.*")
-            .select(*updates.columns))
+def last_per_key(updates: DataFrame, key: str, order: str = "ordinal") -> DataFrame:
+    """One update per key: the last by ``order``, as a dictionary filled in file
+    order keeps it. ``order`` is a column of the updates (``ingest_order`` or
+    ``read_store(with_order=True)``), so the winner does not depend on the plan;
+    it is not part of the result."""
+    if order not in updates.columns:
+        raise ValueError(f"updates need their place in file order in column {order!r}")
+    rest = [c for c in updates.columns if c not in (key, order)]
+    return updates.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("_row")).select(key, "_row.*")
 
 
 def upsert_update_only(base: DataFrame, updates: DataFrame, key: str,
-                       columns: list[str]) -> DataFrame:
+                       columns: list[str], order: str = "ordinal") -> DataFrame:
     """Rows of ``base`` matching ``updates`` on ``key`` take the listed
-    columns from the update (a null update value clears nothing — the base
-    value stays only when the update row is absent); unknown ids are skipped."""
-    u = last_per_key(updates, key).select(key, *[F.col(c).alias(f"_u_{c}") for c in columns],
-                       F.lit(True).alias("_matched"))
+    columns from the last update in file order (a null update value clears
+    nothing — the base value stays only when the update row is absent); unknown
+    ids are skipped."""
+    u = last_per_key(updates, key, order).select(key, *[F.col(c).alias(f"_u_{c}") for c in columns],
+                                                 F.lit(True).alias("_matched"))
     j = base.join(u, key, "left")
     return j.select(*[F.when(F.col("_matched"), F.col(f"_u_{c}")).otherwise(F.col(c)).alias(c)
                       if c in columns else F.col(c) for c in base.columns])
 
 
-def upsert_overwrite(base: DataFrame, updates: DataFrame, key: str) -> DataFrame:
-    """Insert or overwrite whole records by key (anti-join + union)."""
+def upsert_overwrite(base: DataFrame, updates: DataFrame, key: str, order: str = "ordinal") -> DataFrame:
+    """Insert or overwrite whole records by key (anti-join + union); of
+    several updates the last in file order counts."""
     return base.join(updates.select(key), key, "left_anti").unionByName(
-        last_per_key(updates, key), allowMissingColumns=True)
+        last_per_key(updates, key, order), allowMissingColumns=True)
 
 
 def evolve_schema(df: DataFrame, wanted: T.StructType) -> tuple[DataFrame, list[str]]:
@@ -284,11 +317,11 @@ def evolve_schema(df: DataFrame, wanted: T.StructType) -> tuple[DataFrame, list[
 
 
 def attempts_update(base: DataFrame, results: DataFrame, key: str = "request_id",
-                    max_attempts: int = 10) -> DataFrame:
-    """T4: success → status success, attempts += used; failure → status error,
+                    max_attempts: int = 10, order: str = "ordinal") -> DataFrame:
+    """T4: of several results of one id the last in file order counts; success → status success, attempts += used; failure → status error,
     attempts += max; success rows are never retried (only pending/error rows
     are planned), so a success row in ``results`` only lands on such rows."""
-    r = results.select(key, F.col("ok").alias("_ok"), F.col("attempts_used").alias("_used"),
+    r = last_per_key(results, key, order).select(key, F.col("ok").alias("_ok"), F.col("attempts_used").alias("_used"),
                        F.col("error").alias("_err"), F.lit(True).alias("_m"))
     j = base.join(r, key, "left")
     m = F.coalesce(F.col("_m"), F.lit(False))
