@@ -2,6 +2,7 @@
 split arrivals, a reversed file, a duplicate file and a gap filled later."""
 
 import tempfile
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from conftest import SF001
 from turnstile.operators import detect as D
 from turnstile.plans.model import model
 from turnstile.streaming import scoring as ST
+from turnstile.streaming.state import state_store
 
 COLS = ["request_id", "turn_index", "objective", "stance", "prediction", "p_detected", "p_not_detected",
         "latency_ms"]
@@ -59,13 +61,83 @@ def test_resumable_detection_is_idempotent(spark, turns, batch):
     assert _rows(ST.current_results(spark, f"{d}/out")) == batch
 
 
-def test_progressive_summary(spark, turns, batch):
-    d = tempfile.mkdtemp(prefix="summary-")
-    out = _run(spark, [turns])
-    out.write.parquet(f"{d}/scored")
-    s = ST.run_summary_stream(spark, f"{d}/scored", f"{d}/ck", f"{d}/summary").first()
-    assert s.n_calls == len(batch)
-    assert s.n_y + s.n_n + s.n_e + s.n_x == s.n_calls
+def test_summary_takes_back_retried_calls(spark, turns, batch, tmp_path):
+    turns.repartition(3, "request_id").write.parquet(f"{tmp_path}/src")
+    ids = sorted({r[0] for r in batch})
+    last = {i: max(r[1] for r in batch if r[0] == i) for i in ids}
+    bad, half = ids[0], next(i for i in ids[1:] if last[i] > 1)
+
+    def shaky(b):
+        if (b["request_id"] == bad).any() or ((b["request_id"] == half) & (b["turn_index"] == last[half])).any():
+            raise TimeoutError("late")
+        return D.lexical_scorer(b)
+
+    def summary():
+        total = ST.run_summary_stream(spark, f"{tmp_path}/out", f"{tmp_path}/ck", f"{tmp_path}/sum", 1).first().asDict()
+        det = ST.current_results(spark, f"{tmp_path}/out").withColumnRenamed("prediction", "code")
+        planned = det.select("request_id").distinct()
+        truth = D.run_summary(planned, det, D.run_status(det, planned)).first().asDict()
+        assert total == {k: v for k, v in truth.items() if k != "n_planned"}
+        return total
+    ST.resumable_detection(spark, f"{tmp_path}/src", f"{tmp_path}/out", f"{tmp_path}/ck-run", scorer=shaky, attempts=1)
+    first = summary()
+    assert (first["n_error"], first["n_partial"], first["n_calls"]) == (1, 1, len(batch)) and first["n_x"] > 3
+    ST.resumable_detection(spark, f"{tmp_path}/src", f"{tmp_path}/out", f"{tmp_path}/ck-run")
+    second = summary()
+    assert (second["n_success"], second["n_x"], second["n_calls"]) == (len(ids), 0, len(batch))
+    assert summary() == second
+
+
+def test_live_scoring_reports_a_lasting_gap(spark, tmp_path):
+    def arrive(*rows):
+        spark.createDataFrame(rows, ST.TURN_SCHEMA).coalesce(1).write.mode("append").parquet(f"{tmp_path}/src")
+
+    def run(done):
+        """A running query, stopped when its output is there (timers keep it alive)."""
+        events = ST.live_events(spark.readStream.schema(ST.TURN_SCHEMA).parquet(f"{tmp_path}/src"), ["balanced"], gap_after_ms=1)
+        with state_store(spark):
+            q = (events.writeStream.format("parquet").option("path", f"{tmp_path}/out")
+                 .option("checkpointLocation", f"{tmp_path}/ck").trigger(processingTime="200 milliseconds").start())
+        try:
+            for _ in range(120):
+                time.sleep(0.5)
+                out = spark.read.schema(D.SCORE_SCHEMA).parquet(f"{tmp_path}/out").collect() if q.lastProgress else []
+                if done(out) or not q.isActive:
+                    break
+        finally:
+            q.stop()
+        return out
+    arrive(("a", 0, "x"), ("a", 1, "y"), ("a", 3, "z"), ("b", 0, "x"), ("b", 1, "y"))
+    out = run(lambda rows: any(r.stance is None for r in rows))
+    assert {(r.request_id, r.turn_index, r.error) for r in out if r.stance is None} == {("a", 2, "turn 2 is missing")}
+    arrive(("a", 2, "late"))
+    out = run(lambda rows: sum(r.stance is not None for r in rows) == 4)
+    assert sorted((r.request_id, r.turn_index) for r in out if r.stance is not None) == [("a", 1), ("a", 2), ("a", 3), ("b", 1)]
+
+
+def test_a_long_conversation_writes_only_its_new_turns(spark, tmp_path):
+    n = 5000
+
+    def last_words(b):
+        out = D.lexical_scorer(b.assign(transcript=b["transcript"].str[-20:]))
+        out["input_tokens"] = b["transcript"].str.len()
+        return out
+    rows = [("long", t, f"passage {t}") for t in range(n)]
+    lengths = []
+    for i, part in enumerate((rows[:n - 10], rows[n - 10:])):
+        spark.createDataFrame(part, ST.TURN_SCHEMA).coalesce(1).write.mode("append").parquet(f"{tmp_path}/src")
+        events = ST.live_events(spark.readStream.schema(ST.TURN_SCHEMA).parquet(f"{tmp_path}/src"), ["balanced"], scorer=last_words)
+        with state_store(spark):
+            q = (events.select("turn_index", "input_tokens").writeStream.format("parquet").option("path", f"{tmp_path}/out")
+                 .option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start())
+            q.awaitTermination()
+        progress = [p.stateOperators[0].numRowsUpdated for p in q.recentProgress if p.stateOperators]
+        lengths.append(max(progress))
+    got = {r.turn_index: r.input_tokens for r in spark.read.schema("turn_index long, input_tokens long").parquet(f"{tmp_path}/out").collect()}
+    assert len(got) == n - 1
+    lines = [len(f"{'Caller' if t % 2 else 'Representative'}: passage {t}") for t in range(n)]
+    assert all(got[t] == sum(lines[:t + 1]) + 2 * t for t in (1, 77, n - 11, n - 1))
+    assert lengths[0] >= n - 10 and lengths[1] < 20      # the second batch writes ten turns and the offset
 
 
 def test_stance_resolution():

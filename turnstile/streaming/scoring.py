@@ -1,34 +1,32 @@
 """Structured Streaming jobs.
 
-T1  live per-turn scoring: turns arrive as files; ``applyInPandasWithState``
-    keyed by conversation keeps (next expected turn, transcript so far,
-    buffered out-of-order turns). Each turn is emitted once, in order:
-    duplicates of an emitted turn are dropped, gaps wait in state until
-    filled, for however long that takes.
+T1  live per-turn scoring: turns arrive as files; ``transformWithState`` keyed
+    by conversation keeps each turn once and the next turn to speak
+    (``state.TurnScorer``). Each turn is emitted once, in order: duplicates of
+    a turn are dropped, gaps wait in state until filled, for however long that
+    takes, and a timer can report them.
 T2  resumable detection: a file-source stream with a checkpoint; each
     micro-batch scores its new conversations (D1) and lands in a partition of
     its run and batch; a new run first scores again the conversations that
     still hold a failed call. The current result is the latest row per key
     (S11), so a replayed batch changes nothing.
-T3  progressive run summary: a streaming global aggregate in complete mode,
-    written as one small table per batch.
+T3  progressive run summary: state per conversation holds the last code of
+    every call (``state.CallLedger``) and yields changes, so a call that is
+    scored again counts once; a batch's changes are one written row, and the
+    summary is their sum.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import schema as S
 from ..operators import detect as D
 from ..session import ship_package
+from .state import DELTAS, CallLedger, TurnScorer, state_store
 
 TURN_SCHEMA = T.StructType([
     T.StructField("request_id", T.StringType()),
@@ -47,12 +45,6 @@ OUT_SCHEMA = T.StructType([
     T.StructField("latency_ms", T.LongType()),
 ])
 
-STATE_SCHEMA = T.StructType([
-    T.StructField("next_turn", T.LongType()),
-    T.StructField("transcript", T.StringType()),
-    T.StructField("pending", T.StringType()),   # JSON {turn: passage} of buffered turns
-])
-
 CUSTOM = D.CUSTOM_STANCE
 
 
@@ -73,49 +65,23 @@ def resolve_stances(stances: list[str] | None, custom_text: str = "") -> list[st
     return [s for s in chosen if s in allowed]
 
 
-def make_state_fn(stances: list[str] | None = None, custom_text: str = "", scorer=D.lexical_scorer,
-                  attempts: int = 3):
+def live_events(turn_stream: DataFrame, stances: list[str] | None = None, custom_text: str = "",
+                scorer=D.lexical_scorer, attempts: int = 3, gap_after_ms: int | None = None) -> DataFrame:
+    """T1 before decoding: scored requests, and (stance null) reports of gaps
+    that lasted ``gap_after_ms``. Start it within ``state.state_store``."""
+    ship_package(turn_stream.sparkSession)
     chosen = resolve_stances(stances, custom_text)
-    prompts = D.system_prompts(chosen, custom_text)
-
-    def fn(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rid = key[0]
-        if state.exists:
-            nxt, transcript, pending = state.get
-            pending = {int(k): v for k, v in json.loads(pending).items()}
-        else:
-            nxt, transcript, pending = 0, "", {}
-        for b in batches:
-            for t, p in zip(b["turn_index"].tolist(), b["passage"].tolist()):
-                t = int(t)
-                if t >= nxt and t not in pending:     # drop duplicates of emitted/buffered turns
-                    pending[t] = "" if p is None else p
-        ready: list[tuple[int, str]] = []
-        while nxt in pending:
-            label = "Caller" if nxt % 2 == 1 else "Representative"
-            line = f"{label}: {pending.pop(nxt)}"
-            transcript = line if nxt == 0 else transcript + "\n\n" + line
-            if nxt:
-                ready.append((nxt, transcript))
-            nxt += 1
-        state.update((nxt, transcript, json.dumps({str(k): v for k, v in pending.items()})))
-        if ready and chosen:
-            turns = pd.DataFrame(ready, columns=["turn_index", "transcript"])
-            turns.insert(0, "request_id", rid)
-            yield D.call_scorer(scorer, D.expand_requests(turns, chosen, prompts), attempts)
-
-    return fn
+    processor = TurnScorer(chosen, D.system_prompts(chosen, custom_text), scorer, attempts, gap_after_ms)
+    return turn_stream.groupBy("request_id").transformWithStateInPandas(
+        processor, D.SCORE_SCHEMA, "append", "None" if gap_after_ms is None else "ProcessingTime")
 
 
 def live_scoring(turn_stream: DataFrame, stances: list[str] | None = None, custom_text: str = "",
                  scorer=D.lexical_scorer, attempts: int = 3) -> DataFrame:
     """Streaming DataFrame of per-(turn, stance) scores, append mode. The
-    state function only emits the scorer's candidates; P28 decodes them with
-    the same expressions as the batch path."""
-    ship_package(turn_stream.sparkSession)
-    scored = turn_stream.groupBy("request_id").applyInPandasWithState(
-        make_state_fn(stances, custom_text, scorer, attempts), D.SCORE_SCHEMA, STATE_SCHEMA,
-        "append", GroupStateTimeout.NoTimeout)
+    processor only emits the scorer's candidates; P28 decodes them with the
+    same expressions as the batch path."""
+    scored = live_events(turn_stream, stances, custom_text, scorer, attempts)
     return D.decode_top10(scored).select(*[f.name for f in OUT_SCHEMA.fields])
 
 
@@ -126,10 +92,11 @@ def run_live_scoring(spark: SparkSession, source_dir: str, out_dir: str, checkpo
     reader = spark.readStream.schema(TURN_SCHEMA)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    _run(live_scoring(reader.parquet(source_dir), stances, custom_text, scorer)
-         .writeStream.format("parquet").option("path", out_dir)
-         .option("checkpointLocation", checkpoint).outputMode("append")
-         .trigger(availableNow=True).start())
+    with state_store(spark):
+        _run(live_scoring(reader.parquet(source_dir), stances, custom_text, scorer)
+             .writeStream.format("parquet").option("path", out_dir)
+             .option("checkpointLocation", checkpoint).outputMode("append")
+             .trigger(availableNow=True).start())
     return spark.read.schema(OUT_SCHEMA).parquet(out_dir)
 
 
@@ -185,20 +152,31 @@ def current_results(spark: SparkSession, results_dir: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- T3
-def progressive_summary(scored_stream: DataFrame) -> DataFrame:
-    """Running counters as results land (complete/update output modes)."""
-    c = F.col("prediction")
-    return scored_stream.agg(
-        F.count(F.lit(1)).alias("n_calls"), F.count_if(c == "Y").alias("n_y"),
-        F.count_if(c == "N").alias("n_n"), F.count_if(c == "E").alias("n_e"),
-        F.count_if(c == "X").alias("n_x"))
-
-
-def run_summary_stream(spark: SparkSession, results_glob: str, checkpoint: str, out_dir: str) -> DataFrame:
-    """Run T3 over scored result files; every batch replaces the one-row summary
-    table in ``out_dir``, which is returned."""
-    src = spark.readStream.schema(OUT_SCHEMA).parquet(results_glob)
-    _run(progressive_summary(src).writeStream.outputMode("complete")
-         .foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out_dir))
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    return spark.read.parquet(out_dir)
+def summary_changes(results: DataFrame) -> DataFrame:
+    """Changes of the run summary as results land (``RESULT_SCHEMA``), one
+    row per changed conversation and batch. Start it within ``state.state_store``."""
+    ship_package(results.sparkSession)
+    rows = results.select(*RESULT_KEY, "prediction", "run", "epoch").where(F.col("prediction").isNotNull())
+    return rows.groupBy("request_id").transformWithStateInPandas(CallLedger(), DELTAS, "update", "None")
+
+
+def run_summary_stream(spark: SparkSession, results_dir: str, checkpoint: str, out_dir: str,
+                       max_files_per_trigger: int | None = None) -> DataFrame:
+    """Run T3 over the results of T2 (``results_dir/run=…/epoch=…``) or any
+    table with ``RESULT_SCHEMA``: conversations by status, calls, and calls by
+    code, of those scored so far. Every batch writes its changes as one row
+    under its number, so a replayed batch replaces itself; a later call takes up
+    the new files. Returns the sum."""
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in batch.columns]) \
+            .write.mode("overwrite").parquet(f"{out_dir}/batch={epoch}")
+
+    reader = spark.readStream.schema(RESULT_SCHEMA)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    with state_store(spark):
+        _run(summary_changes(reader.parquet(results_dir)).writeStream.outputMode("update").foreachBatch(write)
+             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    names = [d.split()[0] for d in DELTAS.split(", ")]
+    return spark.read.schema(DELTAS).parquet(out_dir).agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in names])
