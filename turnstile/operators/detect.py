@@ -36,16 +36,55 @@ def detector_requests(turns: DataFrame, stances: DataFrame) -> DataFrame:
         F.concat_ws("__", "objective", "stance").alias("detection_key"))
 
 
-def transcript_prefix(turns: DataFrame) -> DataFrame:
-    """Transcript through each turn, ``Representative: …`` / ``Caller: …``
-    lines joined by a blank line. Output is O(n²) characters per conversation
-    by definition; select only the needed columns before calling."""
+PREFIX_BLOCK = 256              # turns of a transcript block
+
+
+def _lines(turns: DataFrame, block: int) -> DataFrame:
     label = F.when(F.col("turn_index") % 2 == 1, F.lit("Caller")).otherwise(F.lit("Representative"))
-    line = F.concat(label, F.lit(": "), F.coalesce(F.col("passage"), F.lit("")))
-    w = Window.partitionBy("request_id").orderBy("turn_index").rowsBetween(
-        Window.unboundedPreceding, 0)
-    return turns.select("request_id", "turn_index",
-                        F.array_join(F.collect_list(line).over(w), "\n\n").alias("transcript"))
+    return turns.select("request_id", "turn_index", F.floor(F.col("turn_index") / block).alias("_block"),
+                        F.concat(label, F.lit(": "), F.coalesce(F.col("passage"), F.lit(""))).alias("_line"))
+
+
+def prefix_offsets(turns: DataFrame, block: int = PREFIX_BLOCK) -> DataFrame:
+    """W3 as an index: ``(request_id, turn_index, begin, end)``, the characters
+    of the whole transcript that a turn's line takes; the transcript through a
+    turn is what lies before its ``end``. Lengths only: sums per block, running
+    sums over blocks, then within a block, so no window is longer than a block
+    or a conversation's number of blocks."""
+    rows = _lines(turns, block).select("request_id", "turn_index", "_block", (F.length("_line") + 2).alias("_size"))
+    before = Window.partitionBy("request_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy("request_id", "_block").agg(F.sum("_size").alias("_sum")).select(
+        "request_id", "_block", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
+    inner = Window.partitionBy("request_id", "_block").orderBy("turn_index").rowsBetween(Window.unboundedPreceding, 0)
+    end = F.col("_base") + F.sum("_size").over(inner) - 2
+    return rows.join(blocks, ["request_id", "_block"]).select(
+        "request_id", "turn_index", "_size", end.alias("end")).select(
+        "request_id", "turn_index", (F.col("end") - F.col("_size") + 2).alias("begin"), "end")
+
+
+def transcript_prefix(turns: DataFrame, block: int = PREFIX_BLOCK) -> DataFrame:
+    """Transcript through each turn, ``Representative: …`` / ``Caller: …``
+    lines joined by a blank line.
+
+    A turn's text is that of the blocks before its own and the lines up to it
+    within its block. Each block's text goes once to every later block of its
+    conversation, so tasks hold a block's lines or one transcript, never the
+    transcripts of a conversation. Output is O(n²) characters per conversation
+    by definition; a consumer that can slice takes ``prefix_offsets``."""
+    lines = _lines(turns, block)
+    w = Window.partitionBy("request_id", "_block").orderBy("turn_index").rowsBetween(Window.unboundedPreceding, 0)
+    own = lines.select("request_id", "turn_index", "_block", F.array_join(F.collect_list("_line").over(w), "\n\n").alias("_own"))
+    ends = lines.groupBy("request_id").agg(F.max("_block").alias("_last")).where(F.col("_last") > 0)
+    texts = lines.join(ends.select("request_id"), "request_id", "left_semi").groupBy("request_id", "_block").agg(
+        F.array_sort(F.collect_list(F.struct("turn_index", "_line"))).alias("_rows")).select(
+        "request_id", F.col("_block").alias("_from"), F.array_join(F.transform("_rows", lambda r: r["_line"]), "\n\n").alias("_text"))
+    sent = texts.join(ends, "request_id").where(F.col("_from") < F.col("_last")).select(
+        "request_id", "_from", "_text", F.explode(F.sequence(F.col("_from") + 1, F.col("_last"))).alias("_block"))
+    heads = sent.groupBy("request_id", "_block").agg(
+        F.array_sort(F.collect_list(F.struct("_from", "_text"))).alias("_parts")).select(
+        "request_id", "_block", F.array_join(F.transform("_parts", lambda r: r["_text"]), "\n\n").alias("_head"))
+    return own.join(heads, ["request_id", "_block"], "left").select(
+        "request_id", "turn_index", F.concat_ws("\n\n", "_head", "_own").alias("transcript"))
 
 
 def candidates_from_cells(det: DataFrame) -> DataFrame:

@@ -1,11 +1,11 @@
 """Request grid, prompts, reconstruction and repair (SURVEY J4–J6, J8, W4, W6,
 P22/P23, P26, A2, A37, A38, A40).
 
-The grid is a product over *dimension vocabularies* (tens of values each,
-collected per template), generated by successive ``explode`` — its size is
-the product of the vocabularies, independent of how many records exist.
-Reconstruction joins the grid to the record store on the 9-column content
-key; everything else is group-bys and anti/semi joins.
+The grid is a product over dimension vocabularies. Its rows are numbered: a
+row's number in mixed radix gives the place of each of its values, so the rows
+come from ``range`` in even tasks, and a stored record's number follows from
+its values. Reconstruction joins on that number; a record without one is an
+orphan. Everything else is group-bys and anti/semi joins.
 """
 
 from __future__ import annotations
@@ -40,80 +40,136 @@ def stable_id(cols: list[Column] | tuple[Column, ...]) -> Column:
     return F.sha2(F.concat_ws("|", *[c.cast("string") for c in cols]), 256)
 
 
-MAX_VOCAB = 10_000
+GRID_AXES = CONTENT_KEY[1:-1]
 
 
 def dimension_vocab(records: DataFrame) -> DataFrame:
-    """Distinct values per declared axis and flavors, one row per template.
-    Each list is a dimension vocabulary; an axis with more than MAX_VOCAB
-    distinct values is not a dimension (free text) and fails the query."""
-    axes = sorted({a for v in TEMPLATE_AXES.values() for a in v})
-    sizes = records.agg(*[F.count_distinct(a).alias(a) for a in axes + ["flavor"]]).first().asDict()
-    big = {k: v for k, v in sizes.items() if v > MAX_VOCAB}
-    if big:
-        raise ValueError(f"dimension vocabularies too large for a grid: {big}")
-    return records.groupBy("prompt_template_key").agg(
-        *[F.array_sort(F.collect_set(F.col(a).cast("string"))).alias(a) for a in axes],
-        F.array_sort(F.collect_set("flavor")).alias("flavors"))
-
-
-def request_grid(vocab: DataFrame, replicates: int = 1,
-                 flavors: DataFrame | None = None) -> DataFrame:
+    """``(prompt_template_key, axis, value, ord)``: the distinct values of every
+    axis that a template declares, and of its flavors, numbered from 0 in order
+    of value. An undeclared axis has the one value ''."""
+    axes = [F.struct(F.lit(a).alias("axis"), F.col(a).cast("string").alias("value")) for a in GRID_AXES]
+    rows = records.select("prompt_template_key", F.explode(F.array(*axes)).alias("e")).select(
+        "prompt_template_key", "e.axis", "e.value").where(F.col("value").isNotNull())
+    declared = F.lit(False)
+    for tpl, names in TEMPLATE_AXES.items():
+        declared = declared | ((F.col("prompt_template_key") == tpl) & F.col("axis").isin(*names, "flavor"))
+    rows = rows.withColumn("value", F.when(declared, F.col("value")).otherwise("")).distinct()
+    place = F.row_number().over(Window.partitionBy("prompt_template_key", "axis").orderBy("value"))
+    return rows.withColumn("ord", (place - 1).cast("long"))
+
+
+def with_flavors(vocab: DataFrame, flavors: DataFrame) -> DataFrame:
+    """The vocabulary with the flavors of ``flavors(prompt_template_key, flavor)``
+    (e.g. a W6 sample) in place of its own."""
+    place = F.row_number().over(Window.partitionBy("prompt_template_key").orderBy("flavor"))
+    chosen = flavors.select("prompt_template_key", "flavor").distinct().select(
+        "prompt_template_key", F.lit("flavor").alias("axis"), F.col("flavor").alias("value"),
+        (place - 1).cast("long").alias("ord"))
+    return vocab.where(F.col("axis") != "flavor").unionByName(chosen)
+
+
+def _strides(vocab: DataFrame, replicates: int) -> dict[str, tuple[int, dict[str, tuple[int, int]]]]:
+    """Per template the number of grid rows and, per axis, (stride, size): two
+    numbers an axis go to the driver."""
+    sizes: dict[str, dict[str, int]] = {}
+    for r in vocab.groupBy("prompt_template_key", "axis").count().collect():
+        sizes.setdefault(r["prompt_template_key"], {})[r["axis"]] = r["count"]
+    out = {}
+    for tpl in TEMPLATE_AXES:
+        if tpl not in sizes:
+            continue
+        stride, axes = replicates, {"replicate_index": (1, replicates)}
+        for a in reversed(GRID_AXES):
+            axes[a] = (stride, sizes[tpl].get(a, 0))
+            stride *= axes[a][1]
+        if stride >= 1 << 63:
+            raise ValueError(f"the grid of {tpl} has {stride} rows, more than a number can name")
+        out[tpl] = (stride, axes)
+    return out
+
+
+def request_grid(vocab: DataFrame, replicates: int = 1) -> DataFrame:
     """Product of the template's declared dimension values × flavors ×
-    replicates, all ``pending``; undeclared dimensions are ''. ``flavors``
-    (template, flavor) overrides the vocabulary's flavor list (e.g. a W6 sample)."""
-    out = None
-    for tpl, axes in TEMPLATE_AXES.items():
-        g = vocab.filter(F.col("prompt_template_key") == tpl)
-        cols = [F.col("prompt_template_key")]
-        for a in ("scenario", "representative", "caller", "benign_context", "cialdini_emphasis",
-                  "turn_count_value"):
-            cols.append(F.col(a) if a in axes else F.array(F.lit("")).alias(a))
-        g = g.select(*cols, "flavors")
-        for a in ("scenario", "representative", "caller", "benign_context", "cialdini_emphasis",
-                  "turn_count_value"):
-            g = g.withColumn(a, F.explode(a))
-        if flavors is not None:
-            g = g.drop("flavors").join(flavors, "prompt_template_key")
-        else:
-            g = g.withColumn("flavor", F.explode("flavors")).drop("flavors")
-        g = g.withColumn("replicate_index", F.explode(F.sequence(F.lit(0).cast("long"),
-                                                                 F.lit(replicates - 1).cast("long"))))
+    replicates, all ``pending``; undeclared dimensions are ''. Row number
+    ``grid_number`` is unranked: its digits pick the values by their place, each
+    by an equi-join with the vocabulary of that axis."""
+    spark, out = vocab.sparkSession, None
+    for tpl, (total, axes) in _strides(vocab, replicates).items():
+        g = spark.range(total).withColumnRenamed("id", "grid_number")
+        for a in GRID_AXES:
+            stride, size = axes[a]
+            values = vocab.where((F.col("prompt_template_key") == tpl) & (F.col("axis") == a)).select(
+                F.col("ord").alias("_ord"), F.col("value").alias(a))
+            digit = F.expr(f"grid_number div {stride} % {max(size, 1)}")
+            g = g.withColumn("_ord", digit).join(values, "_ord").drop("_ord")
+        g = g.withColumn("prompt_template_key", F.lit(tpl)).withColumn(
+            "replicate_index", F.col("grid_number") % max(replicates, 1))
         out = g if out is None else out.unionByName(g)
-    out = out.withColumn("turn_count_value", F.col("turn_count_value").cast("long"))
+    if out is None:
+        out = spark.createDataFrame([], "grid_number long, " + ", ".join(f"{c} string" for c in CONTENT_KEY))
+    out = out.withColumn("turn_count_value", F.col("turn_count_value").cast("long")).withColumn(
+        "replicate_index", F.col("replicate_index").cast("long"))
     return out.select(stable_id([F.col(c) for c in CONTENT_KEY]).alias("request_id"),
                       *CONTENT_KEY, F.lit("pending").alias("status"),
-                      F.lit(0).cast("long").alias("attempts"))
+                      F.lit(0).cast("long").alias("attempts"), "grid_number")
+
+
+def grid_size(vocab: DataFrame, replicates: int = 1) -> int:
+    """Number of grid rows of all templates."""
+    return sum(total for total, _ in _strides(vocab, replicates).values())
+
+
+def rank_records(records: DataFrame, vocab: DataFrame, replicates: int = 1) -> DataFrame:
+    """``records`` with ``grid_number``, the row of the grid that has their
+    values; null where a value is not in the vocabulary or the replicate is out
+    of range."""
+    known = _strides(vocab, replicates)
+    number = F.when((F.col("replicate_index") >= 0) & (F.col("replicate_index") < replicates), F.col("replicate_index"))
+    out = records
+    for a in GRID_AXES:
+        stride = F.lit(None).cast("long")
+        for tpl, (_, axes) in known.items():
+            stride = F.when(F.col("prompt_template_key") == tpl, F.lit(axes[a][0]).cast("long")).otherwise(stride)
+        places = vocab.where(F.col("axis") == a).select(
+            F.col("prompt_template_key").alias("_tpl"), F.col("value").alias("_value"), F.col("ord").alias(f"_{a}"))
+        out = out.join(places, (F.col("prompt_template_key") == F.col("_tpl"))
+                       & (F.col(a).cast("string") == F.col("_value")), "left").drop("_tpl", "_value")
+        number = number + F.col(f"_{a}") * stride
+    return out.withColumn("grid_number", number).drop(*[f"_{a}" for a in GRID_AXES])
 
 
 def flavor_sample(combos: DataFrame, flavors: DataFrame, n: int, seed: int,
                   strategy: str, combo_cols: list[str]) -> DataFrame:
-    """N flavors per combination. deterministic = one seeded subset shared
-    by all combinations; resampled = a fresh seeded subset per combination.
-    Seeded hash order (same distribution as a random sample, not the same
-    draws). n > pool raises. The pool is a vocabulary: it is collected into
-    one array (size-checked) and ranked per row — no combination × pool pairs."""
+    """N distinct flavors per combination. deterministic = one seeded subset
+    shared by all combinations; resampled = a fresh seeded subset per
+    combination. n > pool raises.
+
+    Each row draws n places of the pool, all subsets alike (Floyd's method: the
+    j-th draw is below the pool's size less the draws to come, and one that is
+    taken already gives way to the largest allowed), then an equi-join brings
+    the flavors. O(n) hashes a row, whatever the pool's size."""
     if strategy not in FLAVOR_STRATEGIES:
         raise ValueError(f"Unknown flavor_strategy: {strategy}")
-    pool = flavors.agg(F.array_sort(F.collect_set("flavor")).alias("_pool"))
-    size = pool.select(F.size("_pool")).first()[0]
-    if size > MAX_POOL:
-        raise ValueError(f"flavor pool has {size} values; more than {MAX_POOL}")
+    pool = flavors.select("flavor").where(F.col("flavor").isNotNull()).distinct()
+    size = pool.count()
     if n > size:
         raise ValueError(f"Requested {n} flavors but only {size} available.")
     parts = [F.lit(str(seed))]
     if strategy == "resampled":
         parts += [F.col(c).cast("string") for c in combo_cols]
-    ranked = F.transform(F.col("_pool"), lambda f: F.struct(
-        F.sha2(F.concat_ws("|", *parts, f), 256).alias("h"), f.alias("flavor")))
-    picked = F.slice(F.array_sort(ranked), 1, n)
-    return (combos.withColumn("_k", F.lit(1))
-            .join(F.broadcast(pool.withColumn("_k", F.lit(1))), "_k")
-            .select(*combos.columns, F.explode(picked).alias("_p"))
-            .select(*combos.columns, F.col("_p.flavor").alias("flavor")))
-
 
-MAX_POOL = 100_000
+    def draw(taken: Column, k: Column) -> Column:
+        top = k + F.lit(size - n)
+        label = F.sha2(F.concat_ws("|", *parts, k.cast("string")), 256)
+        place = F.conv(F.substring(label, 1, 13), 16, 10).cast("long") % (top + 1)
+        return F.array_append(taken, F.when(F.array_contains(taken, place), top).otherwise(place))
+    if n < 1:
+        return combos.withColumn("flavor", F.lit(None).cast("string")).limit(0)
+    steps = F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
+    places = F.aggregate(steps, F.array().cast("array<bigint>"), draw)
+    numbered = pool.withColumn("_place", (F.row_number().over(Window.orderBy("flavor")) - 1).cast("long"))
+    return (combos.withColumn("_place", F.explode(places)).join(numbered, "_place")
+            .select(*combos.columns, "flavor"))
 
 
 def render_prompts(rows: DataFrame) -> DataFrame:
@@ -136,26 +192,27 @@ def render_prompts(rows: DataFrame) -> DataFrame:
 def dedupe_latest(records: DataFrame, key: tuple[str, ...] = CONTENT_KEY,
                   ts: str = "generated_at_utc", ordinal: str = "ordinal") -> DataFrame:
     """One record per content key — the strictly newest timestamp wins,
-    ties keep the first seen (lowest ingest ordinal). Adds ``n_in_group``.
+    ties keep the first seen (lowest ``ordinal``, a number or a place in file
+    order, ``store.ingest_order``). Adds ``n_in_group``.
 
-    An aggregation (``max_by`` over (timestamp, -ordinal)), not a window, so
-    a key with very many copies is reduced map-side before the shuffle."""
+    Two aggregations, first per timestamp and then per key, not a window: a key
+    with very many copies is reduced map-side before the shuffle."""
     rest = [c for c in records.columns if c not in key]
-    order = F.struct(F.coalesce(F.col(ts), F.lit("")), -F.col(ordinal))
-    g = records.groupBy(*key).agg(F.max_by(F.struct(*rest), order).alias("_r"),
-                                  F.count(F.lit(1)).alias("n_in_group"))
+    first = records.groupBy(*key, F.coalesce(F.col(ts), F.lit("")).alias("_ts")).agg(
+        F.min_by(F.struct(*rest), ordinal).alias("_r"), F.count(F.lit(1)).alias("_n"))
+    g = first.groupBy(*key).agg(F.max_by("_r", "_ts").alias("_r"), F.sum("_n").alias("n_in_group"))
     return g.select(*key, "_r.*", "n_in_group")
 
 
 def reconstruct_match(grid: DataFrame, store: DataFrame) -> DataFrame:
-    """Grid ⋈ deduped store on the content key; matched rows adopt the
-    record's id, usage and timestamp with status success and attempts 1;
-    unmatched rows stay pending."""
-    s = store.select(*CONTENT_KEY, F.col("request_id").alias("_sid"),
+    """Grid ⋈ deduped, ranked store (``rank_records``) on template and grid
+    number; matched rows adopt the record's id, usage and timestamp with status
+    success and attempts 1; unmatched rows stay pending."""
+    s = store.select("prompt_template_key", "grid_number", F.col("request_id").alias("_sid"),
                      F.col("generated_at_utc").alias("_ts"),
                      F.col("input_tokens").alias("_in"), F.col("output_tokens").alias("_out"),
                      F.lit(True).alias("_hit"))
-    j = grid.join(s, list(CONTENT_KEY), "left")
+    j = grid.join(s, ["prompt_template_key", "grid_number"], "left")
     hit = F.coalesce(F.col("_hit"), F.lit(False))
     return j.select(
         F.coalesce("_sid", "request_id").alias("request_id"),
@@ -167,27 +224,20 @@ def reconstruct_match(grid: DataFrame, store: DataFrame) -> DataFrame:
         F.when(hit, F.coalesce("_out", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("output_tokens"))
 
 
-def reconstruct_orphans(grid: DataFrame, store: DataFrame) -> DataFrame:
-    """Store records matching no grid row."""
-    return store.join(grid.select(*CONTENT_KEY), list(CONTENT_KEY), "left_anti")
-
-
-def reconstruct_summary(grid: DataFrame, store_all: DataFrame, store: DataFrame) -> DataFrame:
-    """Grid rows, valid records, matched, unmatched, orphans, duplicates —
-    one aggregate over the full outer join of grid and deduped store."""
-    g = grid.select(*CONTENT_KEY, F.lit(True).alias("_g"))
-    s = store.select(*CONTENT_KEY, F.lit(True).alias("_s"))
-    j = g.join(s, list(CONTENT_KEY), "full")
-    a = j.agg(F.count_if(F.col("_g")).alias("n_grid"),
-              F.count_if(F.col("_g") & F.col("_s")).alias("n_matched"),
-              F.count_if(F.col("_g") & F.col("_s").isNull()).alias("n_unmatched"),
-              F.count_if(F.col("_s") & F.col("_g").isNull()).alias("n_orphans"))
-    b = store_all.agg(F.count(F.lit(1)).alias("n_records"))
-    c = store.agg(F.count(F.lit(1)).alias("n_unique"))
-    k = F.lit(1)
-    return (a.withColumn("_k", k).join(b.withColumn("_k", k), "_k").join(c.withColumn("_k", k), "_k")
-            .select("n_grid", "n_records", "n_matched", "n_unmatched", "n_orphans",
-                    (F.col("n_records") - F.col("n_unique")).alias("n_duplicates")))
+def reconstruct_orphans(store: DataFrame) -> DataFrame:
+    """Ranked store records that no grid row matches: those without a number."""
+    return store.where(F.col("grid_number").isNull()).drop("grid_number")
+
+
+def reconstruct_summary(n_grid: int, store: DataFrame) -> DataFrame:
+    """Grid rows, valid records, matched, unmatched, orphans, duplicates,
+    from the deduped, ranked store: a number names exactly one grid row."""
+    a = store.agg(F.count("grid_number").alias("n_matched"), F.count(F.lit(1)).alias("n_unique"),
+                  F.sum("n_in_group").alias("n_records"))
+    return a.select(F.lit(n_grid).cast("long").alias("n_grid"), F.coalesce("n_records", F.lit(0)).alias("n_records"),
+                    "n_matched", (F.lit(n_grid) - F.col("n_matched")).cast("long").alias("n_unmatched"),
+                    (F.col("n_unique") - F.col("n_matched")).alias("n_orphans"),
+                    (F.coalesce("n_records", F.lit(0)) - F.col("n_unique")).alias("n_duplicates"))
 
 
 def flag_metrics(turns: DataFrame, n_col: str = "turn_count_value") -> DataFrame:

@@ -148,17 +148,29 @@ def record_captions(spark, sf):
 
 
 @query("flavor_sample", with_fixture(GEN_SQL + """
-, combos AS (SELECT DISTINCT prompt_template_key, representative FROM gen),
-pool AS (SELECT DISTINCT flavor FROM gen),
-r AS (SELECT c.*, p.flavor, row_number() OVER (PARTITION BY c.prompt_template_key, c.representative
-        ORDER BY sha256(concat_ws('|', '11', c.prompt_template_key, c.representative, p.flavor))) AS rk
-      FROM combos c, pool p)
-SELECT prompt_template_key, representative, flavor FROM r WHERE rk <= 2"""))
+, combos AS (SELECT DISTINCT prompt_template_key, representative, s.strategy
+            FROM gen, (VALUES ('resampled'), ('deterministic')) s(strategy)),
+pool AS (SELECT flavor, row_number() OVER (ORDER BY flavor) - 1 AS place FROM (SELECT DISTINCT flavor FROM gen)),
+size AS (SELECT count(*) AS n FROM pool),
+drawn AS (SELECT c.*, list_reduce([[]::BIGINT[], [0::BIGINT], [1::BIGINT]], lambda taken, k: list_append(taken,
+    CASE WHEN list_contains(taken, ('0x' || substr(sha256(concat_ws('|', '11',
+           CASE WHEN strategy = 'resampled' THEN prompt_template_key || '|' || representative END,
+           k[1]::VARCHAR)), 1, 13))::BIGINT % (size.n - 2 + k[1] + 1)) THEN size.n - 2 + k[1]
+         ELSE ('0x' || substr(sha256(concat_ws('|', '11',
+           CASE WHEN strategy = 'resampled' THEN prompt_template_key || '|' || representative END,
+           k[1]::VARCHAR)), 1, 13))::BIGINT % (size.n - 2 + k[1] + 1) END)) AS places
+  FROM combos c, size)
+SELECT strategy, prompt_template_key, representative, flavor
+FROM (SELECT *, UNNEST(places) AS place FROM drawn) JOIN pool USING (place)"""))
 def flavor_sample(spark, sf):
     recs = generation_records(model(spark, sf).domain.meta)
     combos = recs.select("prompt_template_key", "representative").distinct()
-    return G.flavor_sample(combos, recs.select("flavor"), 2, 11, "resampled",
-                           ["prompt_template_key", "representative"])
+    out = None
+    for strategy in G.FLAVOR_STRATEGIES:
+        rows = G.flavor_sample(combos, recs.select("flavor"), 2, 11, strategy,
+                               ["prompt_template_key", "representative"]).withColumn("strategy", F.lit(strategy))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 @query("normalise_record", with_fixture("SELECT request_id, turn_index, speaker, passage AS text FROM fx_rows"))

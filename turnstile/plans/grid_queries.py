@@ -110,8 +110,8 @@ class GridModel:
     def __init__(self, spark, sf):
         self.m = model(spark, sf)
         self.records = generation_records(self.m.domain.meta)
-        self.dedup = G.dedupe_latest(self.records)
-        self.vocab = G.dimension_vocab(self.records)
+        self.vocab = ST.written(G.dimension_vocab(self.records), "grid-vocab")
+        self.dedup = ST.written(G.rank_records(G.dedupe_latest(self.records), self.vocab), "grid-records")
         self.grid = G.request_grid(self.vocab)
         self.matched = G.reconstruct_match(self.grid, self.dedup)
 
@@ -130,7 +130,7 @@ def gm(spark, sf) -> GridModel:
 
 @query("request_grid", with_fixture(GEN_SQL + f"SELECT request_id, {CKS}, status, attempts FROM grid"))
 def request_grid(spark, sf):
-    return gm(spark, sf).grid
+    return gm(spark, sf).grid.drop("grid_number")
 
 
 @query("render_prompts", with_fixture(GEN_SQL + """
@@ -163,8 +163,7 @@ def reconstruct_match(spark, sf):
 SELECT request_id, {CKS} FROM dd WHERE NOT EXISTS (
   SELECT 1 FROM grid WHERE {" AND ".join(f"grid.{c} = dd.{c}" for c in CK)})"""))
 def reconstruct_orphans(spark, sf):
-    g = gm(spark, sf)
-    return G.reconstruct_orphans(g.grid, g.dedup).select("request_id", *CK)
+    return G.reconstruct_orphans(gm(spark, sf).dedup).select("request_id", *CK)
 
 
 @query("reconstruct_summary", with_fixture(GEN_SQL + f"""
@@ -178,7 +177,7 @@ SELECT count(gk) AS n_grid, (SELECT count(*) FROM gen) AS n_records,
 FROM j"""))
 def reconstruct_summary(spark, sf):
     g = gm(spark, sf)
-    return G.reconstruct_summary(g.grid, g.records, g.dedup)
+    return G.reconstruct_summary(G.grid_size(g.vocab), g.dedup)
 
 
 @query("repair_backfill", with_fixture(GEN_SQL + """

@@ -296,7 +296,8 @@ def _rows_of(batch: pa.RecordBatch, at: int) -> int:
 
 
 # ------------------------------------------------------------------ the reader
-def _written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -317,7 +318,7 @@ def read_members(spark: SparkSession, paths: str | list[str], strict: bool = Tru
         "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
         F.col("_metadata.file_block_length").alias("length"), F.col("_metadata.file_size").alias("size"))
     # one small row a split; a file's splits are composed in order
-    starts = _written(chunks.mapInArrow(_summaries, _SUMMARY).groupBy("file").applyInPandas(
+    starts = written(chunks.mapInArrow(_summaries, _SUMMARY).groupBy("file").applyInPandas(
         lambda rows: _compose(rows, strict), _START), "document-starts")
     bad = starts.where(F.col("error").isNotNull()).select("file", "error").distinct().limit(3).collect()
     if bad:
@@ -330,7 +331,7 @@ def read_members(spark: SparkSession, paths: str | list[str], strict: bool = Tru
         F.col("base")).alias("base")
     placed = placed.select("value", *_SPLIT, "size", checked, "inside", "depth", "level", "state", "opens", "is_list",
                            "error")
-    pieces = _written(placed.mapInArrow(_members, _PIECE), "document-pieces")
+    pieces = written(placed.mapInArrow(_members, _PIECE), "document-pieces")
     whole = pieces.where("opens and closes").select("file", "position", "is_list", "text")
     return whole.unionByName(_joined(pieces.where("not (opens and closes)"))).where(F.col("text").rlike(r"\S"))
 

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from .. import schema as S
 from ..functions.columns import speaker
 from ..session import ship_package
-from .document import parse_members, read_members
+from .document import parse_members, read_members, written  # noqa: F401 - written is used by the plans
 
 # ------------------------------------------------------------------ S1/S2
 def _source_name(path: Column) -> Column:
