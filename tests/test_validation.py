@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from turnstile import schema as S
@@ -102,11 +103,44 @@ def test_run_status_rules(spark):
 def test_meta_without_conversation(spark):
     meta = spark.createDataFrame([("a",), ("b",)], "request_id string")
     conv = spark.createDataFrame([("a", 0), ("c", 0)], "request_id string, turn_index long")
-    joined, missing = V.meta_conv_join(meta, conv)
-    assert [r.request_id for r in missing.collect()] == ["b"]
-    assert [r.request_id for r in joined.select("request_id").distinct().collect()] == ["a"]
-    with pytest.raises(V.ValidationError):
-        V.strict(missing, "metadata without a conversation")
+    seen = Observation()
+    joined = V.meta_conv_join(meta, conv, seen).collect()
+    assert {r.request_id for r in joined} == {"a"}
+    assert seen.get == {"n_missing": 1, "first_missing": "b"}
+    with pytest.raises(V.ValidationError, match="first b"):
+        V.raise_missing(seen)
+
+
+def test_dropped_rows_are_counted_in_the_same_pass(spark):
+    meta = spark.createDataFrame([("a", "success"), ("b", "error"), ("c", None)], "request_id string, detection_status string")
+    seen = Observation()
+    kept = V.success_filter(meta, seen)
+    assert [r.request_id for r in kept.collect()] == ["a"] and seen.get == {"n_rows": 3, "n_dropped": 2}
+
+
+def test_list_cells_are_one_list_and_nothing_after_it(spark):
+    cells = ['["a"] junk', '["a"], ["b"]', '["a", null]', "[]", ' ["a"] ', '{"a": 1}', '["a"', "", None, '["a"]]']
+    df = spark.createDataFrame([(str(i), c) for i, c in enumerate(cells)], "request_id string, cell string")
+    bad = {int(r.request_id) for r in V.list_parse_violations(df, ["cell"]).collect()}
+    assert bad == {0, 1, 5, 6, 7, 8, 9}
+    got = {int(r.request_id): r.x for r in df.select("request_id", V.parse_list(F.col("cell"), tolerant=True).alias("x")).collect()}
+    assert got[2] == ["a", None] and got[4] == ["a"] and all(got[i] == [] for i in bad)
+
+
+def test_export_of_a_conversation_without_cells(spark):
+    gen = spark.createDataFrame([("a", "m", 3), ("b", "m", 1)], "request_id string, model string, turn_count_value long")
+    det = spark.createDataFrame([("a", 1, "social_engineering", "balanced", "X", None, None, 5, 1, 1, None)],
+                                "request_id string, turn_index long, objective string, stance string, code string, "
+                                "p_detected double, p_not_detected double, latency_ms long, input_tokens long, "
+                                "output_tokens long, top10 string")
+    out = ST.detection_metadata(gen, det, "d", "t0", "t1", D.run_columns_aggs(), D.status_from_counts)
+    assert out.columns == ["request_id", "generation_model", "turn_count_value", *S.LIST_COLUMNS, *S.RUN_COLUMNS]
+    rows = {r.request_id: r for r in out.collect()}
+    a, b = rows["a"], rows["b"]
+    assert (a.detection_status, a.detection_error_count, a.detection_total_latency_ms) == ("error", 1, 5)
+    assert a.social_engineering__balanced__prediction == '[null,"X",null]' and a.detection_last_error
+    assert (b.detection_status, b.detection_error_count, b.detection_total_latency_ms, b.detection_last_error) == ("success", 0, 0, "")
+    assert b.policy_violation__balanced__top10 == "[null]" and b.detection_started_at_utc == "t0"
 
 
 def _raw(spark, recs):

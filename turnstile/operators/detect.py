@@ -171,6 +171,18 @@ def run_columns_aggs() -> list:
     ]
 
 
+def _json_text(value: Column) -> Column:
+    listed = F.to_json(F.array(value))
+    return F.substr(listed, F.lit(2), F.length(listed) - 2)
+
+
+def pair_list(top10: Column) -> Column:
+    """A top-10 list as JSON text of ``[token, probability]`` pairs."""
+    pair = F.transform(top10, lambda x: F.concat(
+        F.lit("["), _json_text(x["token"]), F.lit(", "), x["prob"].cast("string"), F.lit("]")))
+    return F.concat(F.lit("["), F.array_join(pair, ", "), F.lit("]"))
+
+
 def status_from_counts(n_applicable: Column, n_x: Column) -> Column:
     return (F.when(n_applicable == 0, F.lit(S.STATUS_SUCCESS))
              .when(n_x == 0, F.lit(S.STATUS_SUCCESS))

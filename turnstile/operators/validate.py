@@ -7,7 +7,7 @@ violation into an error with the first offending rows in the message.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -32,13 +32,11 @@ def require_columns(df: DataFrame, required: list[str] | tuple[str, ...], what:
         raise ValidationError(f"{what} is missing required columns: {missing}")
 
 
-def success_filter(meta: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(kept rows with status success, one-row count of dropped rows).
-    The dropped count is a separate lazy aggregate (no extra pass when unused)."""
-    ok = F.col("detection_status") == S.STATUS_SUCCESS
-    kept = meta.filter(ok)
-    dropped = meta.agg(F.count_if(~ok | F.col("detection_status").isNull()).alias("n_dropped"))
-    return kept, dropped
+def success_filter(meta: DataFrame, seen: Observation) -> DataFrame:
+    """Rows with status success. What was dropped is counted on the way:
+    after an action ``seen.get`` has ``n_rows`` and ``n_dropped``."""
+    ok = F.coalesce(F.col("detection_status") == S.STATUS_SUCCESS, F.lit(False))
+    return meta.observe(seen, F.count(F.lit(1)).alias("n_rows"), F.count_if(~ok).alias("n_dropped")).filter(ok)
 
 
 def n_turns(turns: DataFrame) -> DataFrame:
@@ -63,10 +61,17 @@ def turn_contiguity(turns: DataFrame) -> DataFrame:
                         & (F.col("max_turn") == F.col("n_rows") - 1))
 
 
+def _one_list(cell: Column, element_type: str) -> Column:
+    """The cell as a list, null unless the whole text is one: a JSON reader stops
+    after the first value, so the text is read as the first of two elements."""
+    outer = F.from_json(F.concat(F.lit("["), cell, F.lit(", []]")), f"array<array<{element_type}>>")
+    return F.when(F.size(outer) == 2, outer[0])
+
+
 def parse_list(cell: Column, element_type: str = "string", tolerant: bool = False) -> Column:
     """Parse a JSON list cell. Strict: null / malformed / non-list → null
     here, reported by :func:`list_parse_violations`; tolerant → empty list."""
-    parsed = F.from_json(cell, f"array<{element_type}>")
+    parsed = _one_list(cell, element_type)
     if tolerant:
         return F.coalesce(parsed, F.array().cast(f"array<{element_type}>"))
     return parsed
@@ -78,7 +83,7 @@ def list_parse_violations(df: DataFrame, cols: list[str], id_col: str = "request
     or not a JSON list."""
     arr = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("cell")) for c in cols])
     x = df.select(id_col, F.explode(arr).alias("x")).select(id_col, "x.column", "x.cell")
-    parsed = F.from_json(F.col("cell"), f"array<{element_type}>")
+    parsed = _one_list(F.col("cell"), element_type)
     reason = (F.when(F.col("cell").isNull(), F.lit("null list cell"))
                .when(~F.trim(F.col("cell")).startswith("["), F.lit("not a JSON list"))
                .when(parsed.isNull(), F.lit("malformed JSON list")))
@@ -235,10 +240,19 @@ def malformed_records(records: DataFrame) -> DataFrame:
         "_bad_turns")
 
 
-def meta_conv_join(meta: DataFrame, conversations: DataFrame,
-                   key: str = "request_id") -> tuple[DataFrame, DataFrame]:
-    """Metadata ⋈ conversations (extra conversations ignored) and the
-    violations — metadata ids without a conversation (strict mode raises)."""
-    ids = conversations.select(key).distinct()
-    return (meta.join(conversations, key, "inner"),
-            meta.select(key).join(ids, key, "left_anti"))
+def meta_conv_join(meta: DataFrame, conversations: DataFrame, seen: Observation, key: str = "request_id") -> DataFrame:
+    """Metadata ⋈ conversations; extra conversations are ignored. Metadata
+    ids without a conversation are counted on the way: after an action
+    ``seen.get`` has ``n_missing`` and the first of them, ``first_missing``;
+    :func:`raise_missing` is the strict mode."""
+    joined = meta.join(conversations.withColumn("_has", F.lit(True)), key, "left")
+    gone = F.col("_has").isNull()
+    return joined.observe(seen, F.count_if(gone).alias("n_missing"),
+                          F.min(F.when(gone, F.col(key))).alias("first_missing")).filter(~gone).drop("_has")
+
+
+def raise_missing(seen: Observation) -> None:
+    """Strict J1, after the action."""
+    if seen.get["n_missing"]:
+        raise ValidationError(f"{seen.get['n_missing']} metadata ids without a conversation, "
+                              f"first {seen.get['first_missing']}")

@@ -3,6 +3,7 @@ A34–A36, S8): Spark builders + DuckDB oracles over the fixture cells."""
 
 from __future__ import annotations
 
+from pyspark.sql import Observation, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
@@ -11,6 +12,9 @@ from ..operators import detect as D
 from ..operators import validate as V
 from ..session import scratch_path
 from ..sources import fixture as FXT
+from ..sources import store as ST
+from ..sources.document import written
+from .grid_queries import generation_metadata, generation_sql
 from .model import LABEL_DIMENSIONS, model
 from .oracle_base import ELIGIBLE, alias_case, with_fixture
 from .registry import query
@@ -86,18 +90,24 @@ def calls_failed(spark, sf):
     return D.calls_failed(_dets(spark, sf), model(spark, sf).domain.meta)
 
 
+def _some_cells(spark, sf):
+    """The cells without those of conversations (id % 13 = 6) that were run
+    before they had a turn to score."""
+    return _dets(spark, sf).where(F.col("request_id").cast("long") % 13 != 6)
+
+
 @query("run_summary", with_fixture("""
 SELECT (SELECT count(*) FROM fx_meta) AS n_planned,
-  (SELECT count(*) FROM fx_meta WHERE detection_status = 'success') AS n_success,
-  (SELECT count(*) FROM fx_meta WHERE detection_status = 'partial') AS n_partial,
-  (SELECT count(*) FROM fx_meta WHERE detection_status = 'error') AS n_error,
+  (SELECT count(*) FROM fx_meta WHERE detection_status = 'success' OR conv_id % 13 = 6) AS n_success,
+  (SELECT count(*) FROM fx_meta WHERE detection_status = 'partial' AND conv_id % 13 <> 6) AS n_partial,
+  (SELECT count(*) FROM fx_meta WHERE detection_status = 'error' AND conv_id % 13 <> 6) AS n_error,
   count(*) AS n_calls, count(*) FILTER (WHERE code = 'Y') AS n_y, count(*) FILTER (WHERE code = 'N') AS n_n,
   count(*) FILTER (WHERE code = 'E') AS n_e, count(*) FILTER (WHERE code = 'X') AS n_x
-FROM fx_cells WHERE code IS NOT NULL"""))
+FROM fx_cells WHERE code IS NOT NULL AND conv_id % 13 <> 6"""))
 def run_summary(spark, sf):
-    dets = _dets(spark, sf)
+    dets = _some_cells(spark, sf)
     meta = model(spark, sf).domain.meta
-    return D.run_summary(meta, dets, D.run_status(dets))
+    return D.run_summary(meta, dets, D.run_status(dets, meta))
 
 
 @query("decode_top10", with_fixture("""
@@ -174,12 +184,15 @@ def prediction_violations(spark, sf):
     return D.prediction_violations(_dets(spark, sf))
 
 
-@query("success_filter", with_fixture(
-    "SELECT request_id, detection_status, n_e FROM fx_meta WHERE detection_status = 'success'"))
+@query("success_filter", with_fixture("""
+SELECT request_id, detection_status, n_e, (SELECT count(*) FROM fx_meta WHERE detection_status <> 'success') AS n_dropped
+FROM fx_meta WHERE detection_status = 'success'"""))
 def success_filter(spark, sf):
-    meta = model(spark, sf).domain.meta
-    kept, _dropped = V.success_filter(meta)
-    return kept.select("request_id", "detection_status", "n_e")
+    """P1 as a write; the number dropped is observed in the same pass."""
+    seen = Observation("success_filter")
+    kept = V.success_filter(model(spark, sf).domain.meta, seen).select("request_id", "detection_status", "n_e")
+    out = written(kept, "kept")
+    return out.withColumn("n_dropped", F.lit(seen.get["n_dropped"]).cast("long"))
 
 
 @query("pending_requests", with_fixture(
@@ -199,14 +212,23 @@ def _wide_sql() -> str:
     cols = []
     for k in S.DETECTION_KEYS:
         obj, st = k.split("__")
-        for f, src in WIDE_FIELDS:
-            cols.append(
-                f"CAST(to_json(list_transform(range(any_value(n_turns)), lambda i: "
-                f"(list_filter(list({{'t': turn_index, 'v': {src}}}) FILTER (WHERE objective = '{obj}' AND stance = '{st}'), "
-                f"lambda e: e.t = i))[1].v)) AS VARCHAR) AS {k}__{f}")
-    return with_fixture(f"""
-, c AS (SELECT f.*, m.turn_count_value AS n_turns FROM fx_cells f JOIN fx_meta m USING (conv_id)),
-w AS (SELECT request_id, {", ".join(cols)},
+        for f, src in (*WIDE_FIELDS, ("top10", "top10")):
+            cells = f"list({{'t': turn_index, 'v': {src}}}) FILTER (WHERE objective = '{obj}' AND stance = '{st}')"
+            cols.append(f"CAST(to_json(list_transform(range(any_value(n_turns)), lambda i: "
+                        f"(list_filter({cells}, lambda e: e.t = i))[1].v)) AS VARCHAR) AS {k}__{f}")
+    run = {"detection_model": f"'{FXT.DETECTION_MODEL}'", "detection_started_at_utc": f"'{RUN_TIMES[0]}'",
+           "detection_finished_at_utc": f"'{RUN_TIMES[1]}'"}
+    prob = "round_even({}, 3)"
+    return with_fixture(generation_sql() + f"""
+, c AS (SELECT f.*, CASE WHEN code <> 'X' THEN CAST(json_array(
+          json_array(CASE WHEN code = 'E' THEN (CASE WHEN p_detected > p_not_detected THEN 'Yes' ELSE 'No' END)
+                          WHEN p_detected > p_not_detected THEN 'Y' ELSE 'N' END,
+                     {prob.format('greatest(p_detected, p_not_detected)')}),
+          json_array(CASE WHEN code = 'E' THEN (CASE WHEN p_detected > p_not_detected THEN 'No' ELSE 'Yes' END)
+                          WHEN p_detected > p_not_detected THEN 'N' ELSE 'Y' END,
+                     {prob.format('least(p_detected, p_not_detected)')})) AS JSON) END AS top10
+      FROM fx_cells f WHERE conv_id % 13 <> 6),
+w AS (SELECT m.request_id, any_value(m.turn_count_value) AS n_turns, {", ".join(cols)},
         count(code) AS n_app, count(*) FILTER (WHERE code = 'X') AS detection_error_count,
         count(*) FILTER (WHERE code = 'E') AS detection_no_valid_count,
         CAST(coalesce(sum(latency_ms), 0) AS BIGINT) AS detection_total_latency_ms,
@@ -214,27 +236,36 @@ w AS (SELECT request_id, {", ".join(cols)},
         CAST(coalesce(sum(output_tokens), 0) AS BIGINT) AS detection_total_output_tokens,
         coalesce(arg_max('call failed at turn ' || CAST(turn_index AS VARCHAR) || ' (' || objective || '__' || stance || ')',
                          turn_index * 10 + CASE stance {_CALL_ORD} END) FILTER (WHERE code = 'X'), '') AS detection_last_error
-      FROM c GROUP BY request_id)
-SELECT m.request_id, m.prompt_template_key, m.flavor, m.generation_model, m.turn_count_value,
-  w.* EXCLUDE (request_id, n_app),
+      FROM (SELECT *, turn_count_value AS n_turns FROM fx_meta) m LEFT JOIN c USING (conv_id) GROUP BY m.request_id)
+SELECT g.* RENAME ({", ".join(f"{x} AS generation_{x}" for x in S.AMBIGUOUS_GENERATION_COLUMNS)}),
+  w.* EXCLUDE (request_id, n_app, n_turns), {", ".join(f"{v} AS {n}" for n, v in run.items())},
   CASE WHEN n_app = 0 OR detection_error_count = 0 THEN 'success'
-       WHEN detection_error_count = n_app THEN 'error' ELSE 'partial' END AS detection_status
-FROM fx_meta m JOIN w USING (request_id)""")
+       WHEN detection_error_count = n_app THEN 'error' ELSE 'partial' END AS detection_status,
+  row_number() OVER (ORDER BY CASE WHEN CAST(request_id AS BIGINT) % 11 <> 3 THEN CAST(request_id AS BIGINT) END
+                     NULLS LAST, request_id) AS place
+FROM generation g JOIN w USING (request_id)""".replace("any_value(n_turns)", "any_value(m.n_turns)"))
+
+
+RUN_TIMES = ("2025-07-01T00:00:00Z", "2025-07-01T01:00:00Z")
 
 
 @query("export_wide_metadata", _wide_sql())
 def export_wide_metadata(spark, sf):
-    """Generation columns (ambiguous ones prefixed), the per-turn lists of
-    the six fields × six keys, and the run columns — lists and run columns
-    from one group-by over the detections."""
-    from ..sources.store import wide_lists
-    dom = model(spark, sf).domain
-    wide = wide_lists(dom.all_detections, dom.meta, WIDE_FIELDS, extra_aggs=D.run_columns_aggs())
-    wide = wide.withColumn("detection_status", D.status_from_counts(
-        F.col("n_applicable"), F.col("detection_error_count"))).drop("n_applicable")
-    gen = dom.meta.select("request_id", "prompt_template_key", "flavor", "generation_model",
-                          "turn_count_value")
-    return gen.join(wide, "request_id")
+    """The whole detection metadata, written in generation order and read
+    back with each row's place; rows that the generation file has no more
+    (id % 11 = 3) come last. Some conversations (id % 13 = 6) have no cell."""
+    gen, det = generation_metadata(spark, sf), _some_cells(spark, sf)
+    decoded = D.decode_top10(D.candidates_from_cells(det)).select(
+        "request_id", "turn_index", "objective", "stance",
+        F.filter("top10", lambda x: x["token"] != "maybe").alias("top10"))
+    cells = det.join(decoded, ["request_id", "turn_index", "objective", "stance"]).withColumn("top10", D.pair_list(F.col("top10")))
+    rows = ST.detection_metadata(gen, cells, FXT.DETECTION_MODEL, *RUN_TIMES, D.run_columns_aggs(), D.status_from_counts)
+    file = gen.select("request_id", F.col("request_id").cast("long").alias("ordinal")).where(F.col("ordinal") % 11 != 3)
+    path = scratch_path(spark, "detection-metadata")
+    ST.export_order(rows, file).write.parquet(path)
+    back = spark.read.parquet(path)
+    at = Window.orderBy(F.col("_metadata.file_name"), F.col("_metadata.row_index"))
+    return back.withColumn("place", F.row_number().over(at).cast("long"))
 
 
 @query("sink_detection_store", with_fixture("""
@@ -247,7 +278,6 @@ SELECT request_id, objective || '__' || stance AS detection_key, turn_index,
 FROM fx_cells"""))
 def sink_detection_store(spark, sf):
     """The nested detection store written as JSON Lines and read back to cells."""
-    from ..sources import store as ST
     dom = model(spark, sf).domain
     det = dom.all_detections
     decoded = D.decode_top10(D.candidates_from_cells(det)).select("request_id", "turn_index", "objective", "stance", "top10")
@@ -298,9 +328,8 @@ SELECT request_id, '{_FAULTY_LIST}' AS key,
 FROM fx_meta WHERE conv_id % 17 = 3 OR conv_id % 19 = 4"""))
 def list_length_violations(spark, sf):
     """P9 over the wide lists, one of which is cut short or null in some conversations."""
-    from ..sources.store import wide_lists
     dom = model(spark, sf).domain
-    wide = wide_lists(dom.all_detections, dom.meta, WIDE_FIELDS, as_json=False).join(
+    wide = ST.wide_lists(dom.all_detections, dom.meta, WIDE_FIELDS, as_json=False).join(
         dom.meta.select("request_id", "conv_id", "turn_count_value"), "request_id")
     c, n = F.col("conv_id"), F.col("turn_count_value").cast("int")
     faulty = F.when(c % 17 == 3, F.slice(_FAULTY_LIST, F.lit(1), n - 1)).when(c % 19 != 4, F.col(_FAULTY_LIST))
@@ -377,15 +406,18 @@ def stance_catalogue(spark, sf):
     return V.stance_catalogue(_dets(spark, sf), D.CALL_ORDER)
 
 
-__all__ = ["short_label"]
-
-
 @query("meta_conv_join", with_fixture("""
-SELECT m.request_id, count(*) AS n_turns, any_value(m.detection_status) AS detection_status
-FROM fx_meta m JOIN fx_rows r USING (conv_id) GROUP BY m.request_id"""))
+SELECT m.request_id, count(*) AS n_turns, any_value(m.detection_status) AS detection_status,
+  (SELECT count(*) FROM fx_meta WHERE conv_id % 17 = 5) AS n_missing,
+  (SELECT min(request_id) FROM fx_meta WHERE conv_id % 17 = 5) AS first_missing
+FROM fx_meta m JOIN fx_rows r USING (conv_id) WHERE conv_id % 17 <> 5 GROUP BY m.request_id"""))
 def meta_conv_join(spark, sf):
+    """J1 with some conversations (id % 17 = 5) gone from the store; the ids
+    without one are observed in the same pass."""
     d = model(spark, sf).domain
-    joined, _missing = V.meta_conv_join(d.meta.select("request_id", "detection_status"),
-                                        d.all_turns.select("request_id", "turn_index"))
-    return joined.groupBy("request_id").agg(F.count(F.lit(1)).alias("n_turns"),
-                                            F.first("detection_status").alias("detection_status"))
+    stored = d.all_turns.where(F.col("request_id").cast("long") % 17 != 5).groupBy("request_id").agg(
+        F.count(F.lit(1)).alias("n_turns"))
+    seen = Observation("meta_conv_join")
+    out = written(V.meta_conv_join(d.meta.select("request_id", "detection_status"), stored, seen), "joined")
+    return out.select("request_id", "n_turns", "detection_status", F.lit(seen.get["n_missing"]).cast("long").alias("n_missing"),
+                      F.lit(seen.get["first_missing"]).alias("first_missing"))

@@ -18,7 +18,7 @@ from ..sources import fixture as FXT
 from ..sources import store as ST
 from ..operators import validate as V
 from ..functions.columns import short_label
-from .grid_queries import DEFECT_SQL, GEN_SQL, generation_records
+from .grid_queries import DEFECT_SQL, GEN_SQL, generation_metadata, generation_records, generation_sql
 from .model import short_label_columns, model
 from .oracle_base import _lit, with_fixture
 from .registry import query
@@ -396,18 +396,14 @@ def score_batch(spark, sf):
 
 
 # ---------------------------------------------------------------- sinks / views
-@query("sink_requests", with_fixture(GEN_SQL + """
-SELECT request_id, prompt_template_key, flavor, status, 'flavor: ' || flavor AS user_prompt FROM grid"""))
+@query("sink_requests", with_fixture(generation_sql() + f"""
+SELECT *, '{",".join(S.REQUEST_COLUMNS)}' AS column_order FROM generation"""))
 def sink_requests(spark, sf):
     """Request metadata written in declared column order, read back."""
-    from .grid_queries import gm
-    rows = G.render_prompts(gm(spark, sf).grid)
     path = scratch_path(spark, "requests")
-    order = ["request_id", "prompt_template_key", "flavor", "status", "user_prompt", "system_prompt"]
-    ST.export_metadata(rows, path, order)
+    ST.export_metadata(generation_metadata(spark, sf), path, S.REQUEST_COLUMNS)
     back = spark.read.parquet(path)
-    assert back.columns == order
-    return back.drop("system_prompt")
+    return back.withColumn("column_order", F.lit(",".join(back.columns)))
 
 
 @query("sink_named", with_fixture(
@@ -502,7 +498,7 @@ SELECT request_id, 'cell' AS "column", CASE conv_id % 7 WHEN 0 THEN 'null list c
 def list_parse_violations(spark, sf):
     """P7 strict: null, non-list and broken cells are reported, good ones are not."""
     c = F.col("conv_id") % 7
-    cell = F.when(c == 1, "{\"a\": 1}").when(c == 2, "[\"Y\", ").when(c > 2, "[\"Y\", null]")
+    cell = F.when(c == 1, "{\"a\": 1}").when((c == 2) & (F.col("conv_id") % 2 == 0), "[\"Y\"] junk").when(c == 2, "[\"Y\", ").when(c > 2, "[\"Y\", null]")
     return V.list_parse_violations(model(spark, sf).domain.meta.select("request_id", cell.alias("cell")), ["cell"])
 
 

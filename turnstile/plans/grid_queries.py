@@ -10,6 +10,7 @@ from ..operators import grid as G
 from ..operators import validate as V
 from ..session import scratch_path
 from ..sources import store as ST
+from ..sources.document import written
 from .model import model
 from .oracle_base import with_fixture
 from .registry import query
@@ -110,8 +111,8 @@ class GridModel:
     def __init__(self, spark, sf):
         self.m = model(spark, sf)
         self.records = generation_records(self.m.domain.meta)
-        self.vocab = ST.written(G.dimension_vocab(self.records), "grid-vocab")
-        self.dedup = ST.written(G.rank_records(G.dedupe_latest(self.records), self.vocab), "grid-records")
+        self.vocab = written(G.dimension_vocab(self.records), "grid-vocab")
+        self.dedup = written(G.rank_records(G.dedupe_latest(self.records), self.vocab), "grid-records")
         self.grid = G.request_grid(self.vocab)
         self.matched = G.reconstruct_match(self.grid, self.dedup)
 
@@ -204,6 +205,40 @@ def _flag_sql() -> str:
 SELECT request_id, {", ".join(cols)} FROM t GROUP BY request_id""")
 
 
+def generation_sql() -> str:
+    """``generation``: the request metadata of the conversations, all columns."""
+    flags = _flag_sql()
+    flags = flags[flags.index(", t AS ("):].replace(", t AS (", ", ft AS (").replace("FROM t GROUP BY", "FROM ft GROUP BY")
+    split = flags.index("SELECT request_id")
+    values = {c: f"m.{c}" for c in S.REQUEST_COLUMNS_HEAD} | {
+        "model": "m.generation_model", "temperature": "1.0::DOUBLE", "top_p": "1.0::DOUBLE", "status": "'success'",
+        "attempts": "1::BIGINT", "last_error": "''", "input_tokens": "m.generation_input_tokens",
+        "output_tokens": "m.generation_output_tokens",
+        "total_tokens": "m.generation_input_tokens + m.generation_output_tokens"}
+    text = "CASE prompt_template_key " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in G.PROMPT_TEMPLATES.items()) + " END"
+    for c in ("scenario", "representative", "caller", "benign_context", "cialdini_emphasis"):
+        text = f"replace({text}, '{{{c}}}', coalesce(m.{c}, ''))"
+    text = (f"replace(replace({text}, '{{turn_count}}', CAST(m.turn_count_value AS VARCHAR)), '{{last_turn_index}}', "
+            "CAST(m.turn_count_value - 1 AS VARCHAR))")
+    return (f"{flags[:split]}, flags AS ({flags[split:]}), generation AS (SELECT "
+            + ", ".join(f"{v} AS {c}" for c, v in values.items())
+            + f", flags.* EXCLUDE (request_id), {text} AS system_prompt, 'flavor: ' || m.flavor AS user_prompt "
+              "FROM fx_meta m JOIN flags USING (request_id))")
+
+
+def generation_metadata(spark, sf) -> DataFrame:
+    """The request metadata of the conversations in declared column order: what
+    the generation stage leaves behind."""
+    d = model(spark, sf).domain
+    rows = d.meta.select("*", F.lit(1.0).alias("temperature"), F.lit(1.0).alias("top_p"), F.lit("success").alias("status"),
+                         F.lit(1).cast("long").alias("attempts"), F.lit("").alias("last_error"),
+                         F.col("generation_model").alias("model"), F.col("generation_input_tokens").alias("input_tokens"),
+                         F.col("generation_output_tokens").alias("output_tokens"),
+                         (F.col("generation_input_tokens") + F.col("generation_output_tokens")).alias("total_tokens"))
+    flags = G.flag_metrics(d.all_turns.withColumnRenamed("n_turns", "turn_count_value"))
+    return ST.in_declared_order(G.render_prompts(rows).join(flags, "request_id"), S.REQUEST_COLUMNS)
+
+
 @query("flag_by_turn", _flag_sql())
 def flag_by_turn(spark, sf):
     d = model(spark, sf).domain

@@ -99,6 +99,20 @@ AMBIGUOUS_GENERATION_COLUMNS = (
     "generated_at_utc", "input_tokens", "output_tokens", "total_tokens",
 )
 
+# Columns of the request metadata before and after the flag metrics, in order.
+REQUEST_COLUMNS_HEAD = (
+    "request_id", "replicate_index", "prompt_template_key", "scenario", "representative", "caller",
+    "benign_context", "cialdini_emphasis", "turn_count_value", "flavor", "model", "temperature", "top_p",
+    "status", "attempts", "last_error", "generated_at_utc", "input_tokens", "output_tokens", "total_tokens",
+)
+REQUEST_COLUMNS_TAIL = ("system_prompt", "user_prompt")
+# Run columns of the detection metadata, after the per-turn lists, in order.
+RUN_COLUMNS = (
+    "detection_model", "detection_status", "detection_error_count", "detection_no_valid_count",
+    "detection_last_error", "detection_started_at_utc", "detection_finished_at_utc",
+    "detection_total_latency_ms", "detection_total_input_tokens", "detection_total_output_tokens",
+)
+
 # ---------------------------------------------------------------------------
 # Derived names (built from the fixed values above).
 # ---------------------------------------------------------------------------
@@ -111,6 +125,10 @@ PER_TURN_FIELDS = (
     "prediction", "p_detected", "p_not_detected", "latency_ms", "input_tokens",
     "output_tokens",
 )
+LIST_FIELDS = ("prediction", "p_detected", "p_not_detected", "latency_ms", "input_tokens", "output_tokens", "top10")
+LIST_COLUMNS = tuple(f"{k}__{f}" for k in DETECTION_KEYS for f in LIST_FIELDS)
+REQUEST_COLUMNS = (REQUEST_COLUMNS_HEAD + tuple(f"{f}_{m}" for f in ALL_FLAGS for m in ("sum", "by_turn"))
+                   + REQUEST_COLUMNS_TAIL)
 OBJECTIVE_OF_SPEAKER = {"caller": "social_engineering", "representative": "policy_violation"}
 
 

@@ -9,7 +9,7 @@ driver-side dictionaries.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from .. import schema as S
 from ..functions.columns import speaker
 from ..session import ship_package
-from .document import parse_members, read_members, written  # noqa: F401 - written is used by the plans
+from .document import parse_members, read_members
 
 # ------------------------------------------------------------------ S1/S2
 def _source_name(path: Column) -> Column:
@@ -164,6 +164,29 @@ def apply_null_policy(df: DataFrame, null_policy: str) -> DataFrame:
     return df
 
 
+#: Per-turn fields that are JSON text themselves.
+JSON_FIELDS = ("top10",)
+
+
+def detection_metadata(generation: DataFrame, det: DataFrame, model: str, started_at: str, finished_at: str,
+                       run_aggs: list, status: Callable[[Column, Column], Column]) -> DataFrame:
+    """One row per conversation of ``generation``: its columns (ambiguous
+    ones prefixed), the per-turn lists as JSON, and the run columns, in the
+    declared order. ``det`` has the cells with ``top10`` as JSON text;
+    ``run_aggs`` are the run columns' aggregates and ``status`` the rule over
+    (cells, failures). A conversation without cells was run without a call: it
+    has lists of nulls, zero totals, no error, and is a success."""
+    wide = wide_lists(det, generation, DETECTION_FIELDS, extra_aggs=run_aggs)
+    counts = [f.name for f in wide.schema.fields if f.name not in S.LIST_COLUMNS and isinstance(f.dataType, T.NumericType)]
+    wide = wide.fillna(0, counts).fillna("", ["detection_last_error"])
+    wide = (wide.withColumn("detection_status", status(F.col("n_applicable"), F.col("detection_error_count")))
+            .withColumns({"detection_model": F.lit(model), "detection_started_at_utc": F.lit(started_at),
+                          "detection_finished_at_utc": F.lit(finished_at)}))
+    names = prefix_generation_columns(generation).columns
+    return prefix_generation_columns(generation).join(wide, "request_id").select(
+        *names, *S.LIST_COLUMNS, *S.RUN_COLUMNS)
+
+
 def wide_lists(det: DataFrame, meta: DataFrame, fields: tuple[tuple[str, str], ...],
                as_json: bool = True, extra_aggs: list | None = None) -> DataFrame:
     """Long detections → one row per conversation with a per-turn list
@@ -209,6 +232,8 @@ def wide_lists(det: DataFrame, meta: DataFrame, fields: tuple[tuple[str, str], .
             slow = (f"transform(sequence(0L, _n - 1), i -> element_at(map_from_entries("
                     f"transform({cells}, c -> struct(c.t, c.`{name}`))), i))")
             lst = F.expr(f"CASE WHEN _n <= 0 THEN array() WHEN {aligned} THEN {fast} ELSE {slow} END")
+            if as_json and name in JSON_FIELDS:
+                lst = F.transform(lst, F.parse_json)         # JSON text stays JSON within the list
             out.append((F.to_json(lst) if as_json else lst).alias(f"{k}__{name}"))
     return staged.select(*out)
 
@@ -265,10 +290,14 @@ def read_detection_store(spark: SparkSession, path: str) -> DataFrame:
         F.try_element_at(failed, F.lit(1))["message"].alias("error"))
 
 
-def export_metadata(df: DataFrame, path: str, column_order: list[str], fmt: str = "parquet") -> None:
+def in_declared_order(df: DataFrame, column_order: tuple[str, ...] | list[str]) -> DataFrame:
+    """The declared columns that ``df`` has, in the declared order."""
+    return df.select(*[c for c in column_order if c in df.columns])
+
+
+def export_metadata(df: DataFrame, path: str, column_order: tuple[str, ...] | list[str], fmt: str = "parquet") -> None:
     """Write a table with columns in the declared order."""
-    present = [c for c in column_order if c in df.columns]
-    df.select(*present).write.mode("overwrite").format(fmt).save(path)
+    in_declared_order(df, column_order).write.mode("overwrite").format(fmt).save(path)
 
 
 def prefix_generation_columns(df: DataFrame) -> DataFrame:
