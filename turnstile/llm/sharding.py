@@ -28,6 +28,7 @@ from .common import pack, stash, unpack
 CELLS = 1 << 14           # ring cells: bounds the driver's counts and the broadcast plan
 VNODES = 64
 HOT_FACTOR = 50           # a cell this many times over the mean is ranked in salted parts
+TIE_PARTS = 256                # parts of a hot cell
 
 
 def ring(n_shards: int, vnodes: int = VNODES) -> list[tuple[int, int]]:
@@ -96,8 +97,11 @@ def assign_shards(docs: DataFrame, n_shards: int, key: str = "doc_id", ties: lis
     take a slot of their own (ties ordered by ``ties``); an empty table gives
     an empty result; input columns named ``shard`` or ``slot`` are replaced.
     One shuffle carries the rows to their cell. A cell far over the mean (one
-    key repeated over a large part of the rows) is ranked in parts: the rows
-    are written out with their partition number, which then is the salt.
+    key repeated over a large part of the rows) is ranked in parts by a hash of
+    the ties, the parts one after the other; rows of one and the same tie that
+    are many by themselves are interchangeable and are parted by where they
+    were read. Which row gets which slot therefore depends on keys and ties
+    alone, not on the partitioning of the input.
     """
     if n_shards < 1:
         raise ValueError("n_shards must be positive")
@@ -105,13 +109,21 @@ def assign_shards(docs: DataFrame, n_shards: int, key: str = "doc_id", ties: lis
     digest = F.md5(F.coalesce(docs[key].cast("string"), F.lit("null")).cast("binary"))
     position = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
     rows = pack(docs, {"_pos": position, **{f"_t{i}": c for i, c in enumerate(ties or [])}})
-    rows = rows.withColumn("_cell", (F.col("_pos") % CELLS).cast("int")).withColumn("_sub", F.lit(0))
+    rows = rows.withColumn("_cell", (F.col("_pos") % CELLS).cast("int")).withColumn("_sub", F.lit(0).cast("long"))
     counts = {r["_cell"]: r["count"] for r in rows.groupBy("_cell").count().collect()}
     hot = [c for c, n in counts.items() if n > HOT_FACTOR * max(200, sum(counts.values()) / CELLS)]
     bases: list[tuple[int, int, int]] = []
     if hot:
-        rows = stash(rows.withColumn("_sub", F.when(F.col("_cell").isin(hot), F.spark_partition_id() + 1)
-                                     .otherwise(0)), "ring")
+        most = HOT_FACTOR * max(200, sum(counts.values()) / CELLS)
+        names = [f"_t{i}" for i in range(len(ties or []))]
+        rows = rows.withColumn("_tie", F.when(F.col("_cell").isin(hot), F.xxhash64(*names) if names else F.lit(0).cast("long")))
+        heavy = rows.where("_tie is not null").groupBy("_cell", "_tie").count().where(F.col("count") > most).select(
+            "_cell", "_tie").collect()                      # each over HOT_FACTOR mean cells: at most CELLS / HOT_FACTOR
+        many = spark.createDataFrame([(r["_cell"], r["_tie"], i + 1) for i, r in enumerate(
+            sorted(heavy, key=lambda r: (r["_cell"], r["_tie"])))], "_cell int, _tie long, _many long")
+        rows = stash(rows.join(F.broadcast(many), ["_cell", "_tie"], "left").withColumn(
+            "_sub", F.when(F.col("_many").isNotNull(), F.col("_many") * (1 << 32) + F.spark_partition_id())
+            .when(F.col("_tie").isNotNull(), F.pmod("_tie", F.lit(TIE_PARTS)) + 1).otherwise(0)).drop("_tie", "_many"), "ring")
         parts = rows.where("_sub > 0").groupBy("_cell", "_sub").count().collect()
         at: dict[int, int] = {}
         for r in sorted(parts, key=lambda r: (r["_cell"], r["_sub"])):
@@ -126,7 +138,7 @@ def assign_shards(docs: DataFrame, n_shards: int, key: str = "doc_id", ties: lis
     out = rows.withColumn("_rank", F.row_number().over(
         Window.partitionBy("_cell", "_sub").orderBy(*order)).cast("long") - 1)
     if bases:
-        out = out.join(F.broadcast(spark.createDataFrame(bases, "_cell int, _sub int, _base long")),
+        out = out.join(F.broadcast(spark.createDataFrame(bases, "_cell int, _sub long, _base long")),
                        ["_cell", "_sub"], "left").withColumn(
             "_rank", F.col("_rank") + F.coalesce("_base", F.lit(0)))
     out = out.join(F.broadcast(segments), "_cell")          # at most CELLS rows

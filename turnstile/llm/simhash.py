@@ -217,14 +217,16 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bound: int = MAX_BI
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, bound: int = MAX_BITS) -> DataFrame:
     """``docs`` with one row of every class: the smallest doc_id (nulls last),
-    then the smallest text hash; of repeated equal rows one stays."""
+    then the smallest text hash; of repeated equal rows one stays. Every input
+    column keeps its name and value."""
     found = near_duplicates(docs, shingle, bound)
     first = found.groupBy("component").agg(F.min(F.struct(
         F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("text_hash").alias("h"))).alias("k"))
     keys = first.select(F.col("k.i").alias("_i"), F.col("k.h").alias("_h"))
-    rows = docs.withColumn("_hash_of_text", F.xxhash64("text"))
-    return (rows.join(keys, rows["doc_id"].eqNullSafe(keys["_i"]) & (rows["_hash_of_text"] == keys["_h"]), "leftsemi")
-            .dropDuplicates(["doc_id", "_hash_of_text"]).select(*[docs[f"`{c}`"] for c in docs.columns]))
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_doc"),
+                       F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"))
+    return (rows.join(keys, rows["_id"].eqNullSafe(keys["_i"]) & (rows["_hash"] == keys["_h"]), "leftsemi")
+            .dropDuplicates(["_id", "_hash"]).select("_doc.*"))
 
 
 def contract(docs: DataFrame) -> DataFrame:
