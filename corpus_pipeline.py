@@ -28,7 +28,8 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are repeated or left out to meet the sources' targets."""
-    return mixing.emit(mixing.plan_copies(docs), docs.columns)
+    packed = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("_doc"), "doc_id", "text", "source")
+    return mixing.emit(mixing.plan_copies(packed), ["_doc"]).select("_doc.*")
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
