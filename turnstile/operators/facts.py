@@ -12,11 +12,13 @@ are computed per block of turns so no single window partition is unbounded.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..functions.columns import eligible, n_eligible_from, speaker
+from ..functions.columns import eligible, n_eligible_from, normalize_prediction, speaker
 
 RUNNING_BLOCK = 256   # turns per block for block-wise running totals
 
@@ -67,6 +69,41 @@ def turn_table(turns: DataFrame) -> DataFrame:
          .alias("cumulative_any_violation")))
 
 
+#: Per-turn fields of a detector cell in the turn table, and their source column.
+CELL_FIELDS = {"prediction": "pred"} | {f: f for f in S.PER_TURN_FIELDS[1:]}
+
+
+def with_predictions(turns: DataFrame, det: DataFrame) -> DataFrame:
+    """The turn table with one column per detector key and field, 36 in all,
+    filled on the turns that are eligible for the key's objective, else null.
+    One aggregation per turn (at most three cells each), joined to its turn."""
+    out = []
+    for k in S.DETECTION_KEYS:
+        objective, stance = k.split("__")
+        own = (F.col("objective") == objective) & (F.col("stance") == stance) & eligible(objective, "turn_index")
+        out += [F.max(F.when(own, F.col(src))).alias(f"{k}__{f}") for f, src in CELL_FIELDS.items()]
+    cells = det.groupBy("request_id", "turn_index").agg(*out)
+    return turns.join(cells, ["request_id", "turn_index"], "left")
+
+
+def turns_from_lists(wide: DataFrame, parse: Callable[[Column, str], Column]) -> DataFrame:
+    """P8 over the wide form: the per-turn JSON lists of every conversation as
+    one row per turn, values on eligible turns only. ``parse`` reads a list cell
+    (P7); lists are walked together by position, so a conversation's turns are
+    one generator and no shuffle runs."""
+    names = [f"{k}__{f}" for k in S.DETECTION_KEYS for f in S.PER_TURN_FIELDS]
+    types = {"prediction": "string", "p_detected": "double", "p_not_detected": "double"}
+    lists = wide.select("request_id", *[parse(F.col(n), types.get(n.split("__")[2], "bigint")).alias(n) for n in names])
+    rows = lists.select("request_id", F.posexplode(F.arrays_zip(*names)).alias("turn_index", "c"))
+    t = F.col("turn_index").cast("long")
+    cells = []
+    for n in names:
+        objective, _, field = n.split("__")
+        value = normalize_prediction(F.col(f"c.{n}")) if field == "prediction" else F.col(f"c.{n}")
+        cells.append(F.when(eligible(objective, t), value).alias(n))
+    return rows.select("request_id", t.alias("turn_index"), *cells)
+
+
 def _blocked(df: DataFrame) -> DataFrame:
     return df.withColumn("_blk", F.floor(F.col("turn_index") / RUNNING_BLOCK))
 

@@ -8,8 +8,10 @@ from .. import schema as S
 from ..operators import facts as FX
 from ..operators import reports as RP
 from ..operators import roc as R
+from ..operators import validate as V
+from ..sources import store as ST
 from .model import model
-from .oracle_base import roc_sql, with_fixture
+from .oracle_base import ELIGIBLE, roc_sql, with_fixture
 from .registry import query
 
 
@@ -150,16 +152,40 @@ def _masked_sql() -> str:
     return ", ".join(cols)
 
 
+def _cell_sql() -> str:
+    """The 36 prediction columns of a turn."""
+    cols = []
+    for k in S.DETECTION_KEYS:
+        objective, stance = k.split("__")
+        cols += [f"max({src}) FILTER (WHERE objective = '{objective}' AND stance = '{stance}' AND {ELIGIBLE}) AS {k}__{f}"
+                 for f, src in FX.CELL_FIELDS.items()]
+    return ", ".join(cols)
+
+
 @query("turn_table", with_fixture(f"""
-SELECT request_id, conversation_type, turn_index,
+, cells AS (SELECT request_id, turn_index, {_cell_sql()} FROM fx_cells GROUP BY 1, 2),
+t AS (SELECT request_id, conversation_type, turn_index,
   CASE WHEN turn_index % 2 = 1 THEN 'caller' ELSE 'representative' END AS speaker, n_turns,
   CAST(length(coalesce(passage, '')) AS BIGINT) AS passage_length, {_masked_sql()},
   CASE WHEN turn_index >= 2 AND turn_index % 2 = 0 THEN
     max(any_violation) OVER (PARTITION BY request_id ORDER BY turn_index
                              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END AS cumulative_any_violation
-FROM a_flags"""))
+FROM a_flags)
+SELECT t.*, cells.* EXCLUDE (request_id, turn_index) FROM t LEFT JOIN cells USING (request_id, turn_index)"""))
 def turn_table(spark, sf):
-    return model(spark, sf).turn_table
+    m = model(spark, sf)
+    return FX.with_predictions(m.turn_table, m.domain.detections)
+
+
+@query("turns_from_lists", with_fixture(f"""
+, cells AS (SELECT request_id, turn_index, {_cell_sql()} FROM fx_cells GROUP BY 1, 2)
+SELECT r.request_id, r.turn_index, cells.* EXCLUDE (request_id, turn_index)
+FROM fx_rows r LEFT JOIN cells USING (request_id, turn_index)"""))
+def turns_from_lists(spark, sf):
+    """P8 over the wide form: lists as JSON text, parsed and walked by turn."""
+    d = model(spark, sf).domain
+    fields = tuple((f, "code" if f == "prediction" else f) for f in S.PER_TURN_FIELDS)
+    return FX.turns_from_lists(ST.wide_lists(d.all_detections, d.meta, fields), V.parse_list)
 
 
 # ---------------------------------------------------------------- ROC family
