@@ -315,6 +315,49 @@ def repair_backfill(metadata: DataFrame, store: DataFrame) -> DataFrame:
     return x.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
+METRIC_COLUMNS = tuple(f"{f}_{m}" for f in S.ALL_FLAGS for m in ("sum", "by_turn"))
+
+
+def repair_rows(metadata: DataFrame, store: DataFrame, turns: DataFrame) -> DataFrame:
+    """``metadata`` with the flag metrics of every row that has a
+    conversation in ``store(request_id)`` and an integer turn count, taken anew
+    from its ``turns``, whatever the row's status; the others keep what they
+    have. ``outcome`` says which (``repaired``, ``no_conversation``,
+    ``bad_shape``), ``changed`` whether a metric differs from before."""
+    n = F.expr("try_cast(turn_count_value AS BIGINT)")
+    counted = turns.drop("turn_count_value").join(
+        metadata.select("request_id", n.alias("turn_count_value")).where(F.col("turn_count_value").isNotNull()), "request_id")
+    metrics = flag_metrics(counted).select("request_id", *[F.col(c).alias(f"_{c}") for c in METRIC_COLUMNS])
+    has = store.select("request_id").distinct().withColumn("_has", F.lit(True))
+    j = metadata.join(has, "request_id", "left").join(metrics, "request_id", "left")
+    outcome = (F.when(F.col("_has").isNull(), "no_conversation").when(n.isNull(), "bad_shape").otherwise("repaired"))
+    blank = F.array_join(F.array_repeat(F.lit("0"), F.greatest(n, F.lit(0)).cast("int")), ",")       # no turn at all
+    new = {c: F.when(outcome == "repaired", F.coalesce(F.col(f"_{c}"), blank if c.endswith("_by_turn") else F.lit(0)))
+           .otherwise(F.col(c)) for c in METRIC_COLUMNS}
+    differs = F.lit(False)
+    for c in METRIC_COLUMNS:
+        differs = differs | ~new[c].eqNullSafe(F.col(c))
+    return j.select(*[new[c].alias(c) if c in new else F.col(c) for c in metadata.columns],
+                    outcome.alias("outcome"), differs.alias("changed"))
+
+
+def reconstruct_rows(matched: DataFrame, records: DataFrame, turns: DataFrame) -> DataFrame:
+    """J4, whole rows: matched rows (``reconstruct_match``) take the record's
+    prompts and total tokens, no error, and the flag metrics of its ``turns``;
+    pending rows have the rendered prompts, no tokens and no metrics.
+    ``records(request_id, system_prompt, user_prompt, total_tokens)``."""
+    hit = F.col("status") == "success"
+    own = records.select("request_id", F.col("system_prompt").alias("_system"), F.col("user_prompt").alias("_user"),
+                         F.col("total_tokens").alias("_total"), F.lit(True).alias("_own")).dropDuplicates(["request_id"])
+    counted = turns.drop("turn_count_value").join(matched.where(hit).select("request_id", "turn_count_value"), "request_id")
+    j = render_prompts(matched).join(own, "request_id", "left").join(flag_metrics(counted), "request_id", "left")
+    return j.select(*matched.columns,
+                    F.when(hit, F.coalesce("_system", "system_prompt")).otherwise(F.col("system_prompt")).alias("system_prompt"),
+                    F.when(hit, F.coalesce("_user", "user_prompt")).otherwise(F.col("user_prompt")).alias("user_prompt"),
+                    F.when(hit, F.coalesce("_total", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("total_tokens"),
+                    F.lit("").alias("last_error"), *METRIC_COLUMNS)
+
+
 def token_usage(rows: DataFrame, by: str = "prompt_template_key") -> DataFrame:
     """Token totals and integer (floor) per-conversation means over successes."""
     s = rows.filter(F.col("status") == "success")

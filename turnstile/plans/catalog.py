@@ -11,4 +11,4 @@ def queries():
 
 
 def oracle_sql():
-    return {k: v for k, v in ORACLE.items() if k in QUERIES}
+    return {k: v() if callable(v) else v for k, v in ORACLE.items() if k in QUERIES}

@@ -11,6 +11,7 @@ from ..operators import validate as V
 from ..session import scratch_path
 from ..sources import store as ST
 from ..sources.document import written
+from ..sources.versioned import VersionedTable
 from .model import model
 from .oracle_base import with_fixture
 from .registry import query
@@ -257,6 +258,49 @@ def update_log(name: str, *tables: DataFrame) -> DataFrame:
     return read.select("*", ST.ingest_order().alias("ordinal"))
 
 
+def _blank_if(blank: str) -> str:
+    """The metric columns of ``generation``, blank where the condition holds."""
+    return ", ".join(f"CASE WHEN {blank} THEN {'NULL' if c.endswith('_sum') else repr('')} ELSE {c} END AS {c}"
+                     for c in G.METRIC_COLUMNS)
+
+
+@query("repair_rows", lambda: with_fixture(generation_sql() + f"""
+SELECT request_id, status, {_blank_if("CAST(request_id AS BIGINT) % 4 = 1 AND CAST(request_id AS BIGINT) % 17 = 5")},
+  CASE WHEN CAST(request_id AS BIGINT) % 17 = 5 THEN 'no_conversation' ELSE 'repaired' END AS outcome,
+  2 AS n_versions FROM generation"""))
+def repair_rows(spark, sf):
+    """J6 as a change of a versioned table: rows (id % 4 = 1) that lost their
+    metrics get them from the stored conversations (none for id % 17 = 5); only
+    the buckets of changed rows are written."""
+    d = model(spark, sf).domain
+    c = F.col("request_id").cast("long")
+    before = generation_metadata(spark, sf)
+    before = before.select(*[F.when(c % 4 != 1, F.col(n)).otherwise(None if n.endswith("_sum") else "").alias(n)
+                             if n in G.METRIC_COLUMNS else F.col(n) for n in before.columns])
+    table = VersionedTable(spark, scratch_path(spark, "metadata"), before.schema)
+    table.create(before)
+    stored = d.all_turns.where(c % 17 != 5)
+    repaired = written(G.repair_rows(table.read(), stored, stored), "repaired")
+    table.merge(repaired.where("changed").select(*before.columns, F.lit(0).alias("ordinal")))
+    return table.read().join(repaired.select("request_id", "outcome"), "request_id").select(
+        "request_id", "status", *G.METRIC_COLUMNS, "outcome", F.lit(len(table.versions())).alias("n_versions"))
+
+
+@query("reconstruct_rows", lambda: with_fixture(GEN_SQL + generation_sql() + f"""
+SELECT rm.request_id, rm.grid_id, rm.status, rm.attempts, rm.input_tokens, rm.output_tokens,
+  CASE WHEN rm.status = 'success' THEN rm.input_tokens + rm.output_tokens ELSE 0 END AS total_tokens, '' AS last_error,
+  'flavor: ' || rm.flavor AS user_prompt,
+  {", ".join(f"CASE WHEN rm.status = 'success' THEN g.{c} END AS {c}" for c in G.METRIC_COLUMNS)}
+FROM rm LEFT JOIN generation g ON g.request_id = rm.request_id"""))
+def reconstruct_rows(spark, sf):
+    """J4 as whole rows: ids, prompts, tokens, status and flag metrics."""
+    g, d = gm(spark, sf), model(spark, sf).domain
+    records = G.render_prompts(g.dedup).withColumn("total_tokens", F.col("input_tokens") + F.col("output_tokens"))
+    return G.reconstruct_rows(g.matched, records, d.all_turns).select(
+        "request_id", "grid_id", "status", "attempts", "input_tokens", "output_tokens", "total_tokens", "last_error",
+        "user_prompt", *G.METRIC_COLUMNS)
+
+
 @query("upsert_update_only", with_fixture("""
 , u AS (SELECT request_id, CASE WHEN conv_id % 4 = 0 THEN 'again ' || flavor ELSE upper(flavor) END AS flavor
         FROM fx_meta WHERE conv_id % 3 = 0 OR conv_id % 4 = 0

@@ -21,12 +21,12 @@ def finish(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, sql: str | Callable[[], str] | None = None):
     def deco(fn: Builder) -> Builder:
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = lambda spark, sf_dir: finish(fn(spark, sf_dir))
         if sql is not None:
-            ORACLE[name] = sql
+            ORACLE[name] = sql             # a callable is made into text when asked for
         return fn
     return deco
