@@ -85,11 +85,21 @@ def test_detector_dimension_files(spark):
     st = DM.read_detector_dims(spark, [f"{d}/se.json", f"{d}/pv.json"])
     assert st.count() == 6
     cat = {r.stance: r.ord for r in DM.stance_catalogue_from_files(st).collect()}
-    assert cat == {"high_precision": 0, "balanced": 1, "high_recall": 0}
-    bad = dict(good, stances={"balanced": {"description": "b", "instruction": "i"}})
-    _write(f"{d}/bad.json", bad)
-    with pytest.raises(ValidationError):
-        DM.read_detector_dims(spark, [f"{d}/bad.json"])
+    assert cat == {"high_precision": 0, "balanced": 1, "high_recall": 2}
+    other = {r.stance: r.ord for r in DM.stance_catalogue_from_files(
+        DM.read_detector_dims(spark, [f"{d}/pv.json", f"{d}/se.json"])).collect()}
+    assert other == {"high_recall": 0, "high_precision": 1, "balanced": 2}
+    none = {r.stance: r.ord for r in DM.stance_catalogue_from_files(st.limit(0)).collect()}
+    assert none == {s: k for k, s in enumerate(S.STANCES)}
+    prompts = {(r.objective, r.stance): r.system_prompt for r in DM.detector_prompts(st).collect()}
+    assert prompts["policy_violation", "balanced"] == "Judge. be balanced" and len(prompts) == 6
+    silent = {k: dict(v) for k, v in good["stances"].items()}
+    del silent["balanced"]["instruction"]
+    for bad in (dict(good, stances={"balanced": {"description": "b", "instruction": "i"}}),
+                dict(good, base_prompt={"description": "x"}), dict(good, stances=silent)):
+        _write(f"{d}/bad.json", bad)
+        with pytest.raises(ValidationError):
+            DM.read_detector_dims(spark, [f"{d}/bad.json"])
 
 
 def test_prompt_dimension_file(spark):
@@ -102,6 +112,11 @@ def test_prompt_dimension_file(spark):
     td, dv, fl = DM.read_prompt_dims(spark, f"{d}/dims.json")
     assert td.count() == 1 and dv.count() == 2 and [r.flavor for r in fl.orderBy("ord").collect()] == \
         ["calm", "rushed", "chatty"]
+    from turnstile.operators import grid as G
+    grid = G.request_grid(DM.grid_vocab(td, dv, fl), 2)
+    assert grid.count() == 2 * 3 * 2
+    assert {r.system_prompt for r in G.render_prompts(grid, td).collect()} == {"T A strict agent", "T A tired agent"}
+    assert grid.first().scenario == "" and grid.first().turn_count_value is None
     _write(f"{d}/bad.json", {"flavors": []})
     with pytest.raises(ValidationError):
         DM.read_prompt_dims(spark, f"{d}/bad.json")

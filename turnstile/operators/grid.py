@@ -75,9 +75,7 @@ def _strides(vocab: DataFrame, replicates: int) -> dict[str, tuple[int, dict[str
     for r in vocab.groupBy("prompt_template_key", "axis").count().collect():
         sizes.setdefault(r["prompt_template_key"], {})[r["axis"]] = r["count"]
     out = {}
-    for tpl in TEMPLATE_AXES:
-        if tpl not in sizes:
-            continue
+    for tpl in sorted(sizes):
         stride, axes = replicates, {"replicate_index": (1, replicates)}
         for a in reversed(GRID_AXES):
             axes[a] = (stride, sizes[tpl].get(a, 0))
@@ -107,7 +105,7 @@ def request_grid(vocab: DataFrame, replicates: int = 1) -> DataFrame:
         out = g if out is None else out.unionByName(g)
     if out is None:
         out = spark.createDataFrame([], "grid_number long, " + ", ".join(f"{c} string" for c in CONTENT_KEY))
-    out = out.withColumn("turn_count_value", F.col("turn_count_value").cast("long")).withColumn(
+    out = out.withColumn("turn_count_value", F.expr("try_cast(turn_count_value AS BIGINT)")).withColumn(
         "replicate_index", F.col("replicate_index").cast("long"))
     return out.select(stable_id([F.col(c) for c in CONTENT_KEY]).alias("request_id"),
                       *CONTENT_KEY, F.lit("pending").alias("status"),
@@ -172,10 +170,15 @@ def flavor_sample(combos: DataFrame, flavors: DataFrame, n: int, seed: int,
             .select(*combos.columns, "flavor"))
 
 
-def render_prompts(rows: DataFrame) -> DataFrame:
+def render_prompts(rows: DataFrame, templates: DataFrame | None = None) -> DataFrame:
     """System prompt = template with {placeholders} replaced by the row's
-    values (turn_count and last_turn_index derived); user prompt 'flavor: …'."""
-    tpl = F.element_at(F.create_map(*[F.lit(x) for kv in PROMPT_TEMPLATES.items() for x in kv]),
+    values (turn_count and last_turn_index derived); user prompt 'flavor: …'.
+    ``templates(template, text)`` are those of a prompt document (default: the
+    shipped ones)."""
+    if templates is not None:
+        texts = templates.select(F.col("template").alias("prompt_template_key"), F.col("text").alias("_tpl")).distinct()
+        rows = rows.join(texts, "prompt_template_key", "left")
+    tpl = F.col("_tpl") if templates is not None else F.element_at(F.create_map(*[F.lit(x) for kv in PROMPT_TEMPLATES.items() for x in kv]),
                        F.col("prompt_template_key"))
     n = F.col("turn_count_value").cast("long")
     reps = {"scenario": F.col("scenario"), "representative": F.col("representative"),
@@ -185,7 +188,7 @@ def render_prompts(rows: DataFrame) -> DataFrame:
     out = tpl
     for ph, val in reps.items():
         out = F.replace(out, F.lit("{" + ph + "}"), F.coalesce(val.cast("string"), F.lit("")))
-    return rows.withColumn("system_prompt", out) \
+    return rows.withColumn("system_prompt", out).drop("_tpl") \
         .withColumn("user_prompt", F.concat(F.lit("flavor: "), F.col("flavor")))
 
 

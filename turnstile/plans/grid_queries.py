@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from .. import schema as S
 from ..operators import grid as G
 from ..operators import validate as V
 from ..session import scratch_path
+from ..sources import dimensions as DM
 from ..sources import store as ST
 from ..sources.document import written
 from ..sources.versioned import VersionedTable
@@ -151,6 +154,69 @@ def render_prompts(spark, sf):
     return G.render_prompts(gm(spark, sf).grid).select("request_id", "system_prompt", "user_prompt")
 
 
+def _document(spark, name: str, doc: dict) -> str:
+    path = scratch_path(spark, name)
+    spark.createDataFrame([(json.dumps(doc),)], "value string").coalesce(1).write.text(path)
+    return path
+
+
+def prompt_document(spark, sf) -> str:
+    """A prompt document with the vocabularies of the stored records (tens of
+    values each)."""
+    doc: dict = {"prompt_templates": {}, "flavors": []}
+    columns = {c: f for f, c in DM.FIELD_COLUMNS.items()}
+    for r in gm(spark, sf).vocab.orderBy("prompt_template_key", "axis", "ord").collect():
+        tpl = doc["prompt_templates"].setdefault(
+            r["prompt_template_key"], {"template": G.PROMPT_TEMPLATES[r["prompt_template_key"]], "dimensions": {}})
+        if r["axis"] == "flavor":
+            doc["flavors"] += [r["value"]] if r["value"] not in doc["flavors"] else []
+        elif r["axis"] in G.TEMPLATE_AXES[r["prompt_template_key"]]:
+            name = f"{r['prompt_template_key']}_{r['axis']}"
+            tpl["dimensions"][columns[r["axis"]]] = name
+            value = int(r["value"]) if r["axis"] == "turn_count_value" else r["value"]
+            doc.setdefault(name, {})[f"key_{r['ord']:03d}"] = value
+    return _document(spark, "prompt-dimensions", doc)
+
+
+@query("grid_from_documents", with_fixture(GEN_SQL + """
+, all_flavors AS (SELECT DISTINCT flavor FROM gen),
+d AS (SELECT DISTINCT g.* EXCLUDE (flavor, request_id), f.flavor FROM grid g, all_flavors f)
+SELECT prompt_template_key, flavor, turn_count_value, cialdini_emphasis, benign_context, representative, status,
+  replace(replace(replace(replace(replace(replace(replace(CASE prompt_template_key
+          WHEN 'threat' THEN '""" + G.PROMPT_TEMPLATES["threat"] + """' ELSE '""" + G.PROMPT_TEMPLATES["benign"] + """' END,
+    '{scenario}', scenario), '{representative}', representative), '{caller}', caller),
+    '{benign_context}', benign_context), '{cialdini_emphasis}', cialdini_emphasis),
+    '{turn_count}', CAST(turn_count_value AS VARCHAR)), '{last_turn_index}', CAST(turn_count_value - 1 AS VARCHAR))
+    AS system_prompt FROM d"""))
+def grid_from_documents(spark, sf):
+    """S5 → J8 → P26: a prompt document read and checked, its grid unranked, and
+    its own templates rendered."""
+    template_dims, values, flavors = DM.read_prompt_dims(spark, prompt_document(spark, sf))
+    grid = G.request_grid(written(DM.grid_vocab(template_dims, values, flavors), "document-vocab"))
+    return G.render_prompts(grid, template_dims).select(
+        "prompt_template_key", "flavor", "turn_count_value", "cialdini_emphasis", "benign_context", "representative",
+        "status", "system_prompt")
+
+
+@query("detector_prompts", with_fixture("""
+SELECT request_id, turn_index, objective, stance, 'Judge ' || objective || '. Be ' || stance || '.' AS system_prompt,
+  CASE stance WHEN 'high_recall' THEN 0 WHEN 'high_precision' THEN 1 ELSE 2 END AS stance_ord FROM fx_cells"""))
+def detector_prompts(spark, sf):
+    """S5/S6/P26 for detectors: both documents read and checked, the catalogue of
+    stances in order of appearance, and every call's system prompt."""
+    paths = []
+    for objective, order in (("policy_violation", (2, 0, 1)), ("social_engineering", (0, 1, 2))):
+        speaker = next(sp for sp, o in S.OBJECTIVE_OF_SPEAKER.items() if o == objective)
+        paths.append(_document(spark, objective, {
+            "objective_key": objective, "applies_to_speaker": speaker,
+            "base_prompt": {"template": f"Judge {objective}. {{stance_instruction}}"},
+            "stances": {S.STANCES[k]: {"description": "", "instruction": f"Be {S.STANCES[k]}."} for k in order}}))
+    stances = DM.read_detector_dims(spark, paths)
+    prompts = DM.detector_prompts(stances).join(DM.stance_catalogue_from_files(stances).withColumnRenamed("ord", "stance_ord"), "stance")
+    calls = model(spark, sf).domain.all_detections.select("request_id", "turn_index", "objective", "stance")
+    return calls.join(written(prompts, "detector-prompts"), ["objective", "stance"])
+
+
 @query("dedupe_latest", with_fixture(GEN_SQL + f"SELECT request_id, {CKS}, generated_at_utc, n_in_group FROM dd"))
 def dedupe_latest(spark, sf):
     return gm(spark, sf).dedup.select("request_id", *CK, "generated_at_utc", "n_in_group")
