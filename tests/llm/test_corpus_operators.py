@@ -192,7 +192,7 @@ def test_pivot_test_never_discards_a_link():
 def paragraph_brute(rows):
     paras = {}
     for i, t in rows:
-        for line, words in paragraphs.split_paragraphs(t or ""):
+        for line, _, words in paragraphs.split_paragraphs(t or ""):
             paras[i, line] = (b" ".join(words), {tuple(words[k:k + 5]) for k in range(len(words) - 4)}, len(words))
     ids, low = sorted(paras), {}
     for i in ids:
@@ -208,6 +208,32 @@ def paragraph_brute(rows):
     return paras, low
 
 
+def run_brute(rows, least=paragraphs.REMOVE_WORDS):
+    """Words lost to repeated runs of pieces and whether a run is there, by (doc_id, line)."""
+    pieces, seen = {}, {}
+    for i, t in rows:
+        for line, _, words in paragraphs.split_paragraphs(t or ""):
+            starts = paragraphs.cut_pieces([words])[0].tolist() + [len(words)]
+            for a, b in zip(starts, starts[1:]):
+                pieces.setdefault(i, []).append((line, tuple(words[a:b])))
+    for i in sorted(pieces):
+        for k, (_, words) in enumerate(pieces[i]):
+            seen.setdefault(words, []).append((i, k))
+    lost, hit = Counter(), set()
+    for i, own in pieces.items():
+        run = []
+        for k, (line, words) in enumerate(own + [(None, None)]):
+            if words is not None and len(seen[words]) > 1:
+                run.append((line, words, seen[words][0] != (i, k)))
+                continue
+            if sum(len(w) for _, w, _ in run) >= least:
+                for at, w, later in run:
+                    hit.add((i, at))
+                    lost[i, at] += len(w) * later
+            run = []
+    return lost, hit
+
+
 def test_paragraph_classes_equal_brute_force(spark):
     rng = random.Random(8)
     base = [[f"w{rng.randint(0, 400)}" for _ in range(rng.randint(30, 90))] for _ in range(6)]
@@ -227,14 +253,77 @@ def test_paragraph_classes_equal_brute_force(spark):
     size = Counter(low.values())
     got = {r.doc_id: r for r in paragraphs.contract(corpus(spark, rows)).collect()}
     assert len(got) == len(rows)
+    lost, hit = run_brute(rows)
     for i, _ in rows:
         own = [k for k in paras if k[0] == i]
-        gone = [k[1] for k in own if low[k] != k and paras[k][2] >= paragraphs.REMOVE_WORDS]
-        assert (got[i].n_paragraphs, got[i].n_dup) == (len(own), sum(size[low[k]] > 1 for k in own))
-        assert got[i].removed_lines == sorted(gone) and got[i].n_removed == len(gone)
+        long = {k for k in own if paras[k][2] >= paragraphs.REMOVE_WORDS}
+        gone = {k for k in long if low[k] != k}
+        assert got[i].n_paragraphs == len(own)
+        assert got[i].n_dup == sum((k in long and size[low[k]] > 1) or k in hit for k in own)
+        assert got[i].removed_lines == sorted(k[1] for k in gone)
+        assert got[i].n_removed == sum(k in gone or lost[k] > 0 for k in own)
+        assert got[i].removed_words == sum(paras[k][2] if k in gone else lost[k] for k in own)
+        spans = [tuple(map(int, x.split(":"))) for x in got[i].removed_spans]
+        assert sum(b - a for _, a, b in spans) == sum(lost[k] for k in own if k not in gone) and spans == sorted(spans)
         assert got[i].class_ids == sorted({low[k][0] for k in own if size[low[k]] > 1})
 
 
+def test_paragraph_links_in_a_group_of_near_copies(spark):
+    """A leader at the rim, variants with own edits, and a second group that shares its edits."""
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(60)]
+    rows = []
+    for i in range(150):
+        words = list(base)
+        for _ in range(rng.choice([0, 1, 2, 3])):
+            words[rng.randrange(60)] = f"own{i}x{rng.randrange(99)}"
+        if i % 5 == 0:
+            words[10:40:6] = [f"shared{k}" for k in range(5)]
+        rows.append((i, " ".join(words)))
+    paras, low = paragraph_brute(rows)
+    got = {r.doc_id: r.class_id for r in paragraphs.classify(corpus(spark, rows)).collect()}
+    assert got == {k[0]: v[0] for k, v in low.items()} and 5 < len(set(got.values())) < 150
+
+
+def test_passages_inside_lines_and_over_lines(spark):
+    rng = random.Random(6)
+    def fresh(n):
+        return [f"u{rng.randrange(10 ** 9)}" for _ in range(n)]
+    passages = [fresh(rng.randint(51, 80)) for _ in range(12)]
+    rows, planted = [], {}
+    for k, words in enumerate(passages):
+        forms = [" ".join(fresh(rng.randint(3, 60)) + words + fresh(rng.randint(3, 60))),
+                 " ".join(fresh(40) + words[:25]) + "\n" + " ".join(words[25:] + fresh(50)),
+                 "\n".join(" ".join(words[j:j + 12]) for j in range(0, len(words), 12)),
+                 "\n".join(" ".join(words[j:j + 3]) for j in range(0, len(words), 3))]
+        for j in (0, 0, 0) if k % 2 else (0, 1, 0):
+            planted[len(rows)] = k
+            rows.append((len(rows), " ".join(fresh(70)) + "\n" + forms[j]))
+        for j in (2, 2, 3, 3):
+            planted[len(rows)] = k
+            rows.append((len(rows), "\n".join([" ".join(fresh(30)), forms[j], " ".join(fresh(30))])))
+    rows += [(1000 + i, "\n".join([" ".join(fresh(50)), "all rights are reserved here", "see the list below now"])) for i in range(30)]
+    got = {r.doc_id: r for r in paragraphs.contract(corpus(spark, rows)).collect()}
+    assert np.mean([got[i].n_dup > 0 for i in planted]) > 0.95
+    later = [i for i, k in planted.items() if k in [planted[j] for j in range(i) if j in planted]]
+    assert np.mean([got[i].n_removed > 0 for i in later]) > 0.75          # other forms are cut at other line ends
+    assert not any(got[i].n_dup or got[i].n_removed for i in got if i >= 1000)
+    assert all(got[i].removed_words <= len(passages[k]) / 0.8 for i, k in planted.items())  # a whole line may go at 0.8
+
+
+def test_pieces_are_cut_by_nearby_words():
+    rng = random.Random(7)
+    words = [f"w{rng.randrange(3000)}".encode() for _ in range(400)]
+    whole = set(paragraphs.cut_pieces([words])[0].tolist())
+    part = {int(x) + 100 for x in paragraphs.cut_pieces([words[100:300]])[0]}
+    inner = set(range(100 + 10, 300 - 10))
+    assert whole & inner == part & inner and len(part) > 12
+    starts, hashes = paragraphs.cut_pieces([words[:7], words, words])
+    assert starts[0] == 0 and starts[1] == 7 and np.diff(starts).min() >= paragraphs.SHINGLE
+    assert (hashes[1:1 + len(whole)] == hashes[1 + len(whole):]).all()
+    assert len(paragraphs.cut_pieces([[b"a"] * 100])[0]) == 1
+
+
 def test_paragraph_edges_and_tuning(spark):
     rows = paragraphs.contract(corpus(spark, EDGE))
     assert rows.count() == len(EDGE)
