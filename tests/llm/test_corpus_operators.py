@@ -291,17 +291,17 @@ def test_passages_inside_lines_and_over_lines(spark):
         return [f"u{rng.randrange(10 ** 9)}" for _ in range(n)]
     passages = [fresh(rng.randint(51, 80)) for _ in range(12)]
     rows, planted = [], {}
+    def form(j, words):
+        if j == 0:
+            return " ".join(fresh(rng.randint(3, 60)) + words + fresh(rng.randint(3, 60)))
+        if j == 1:
+            return " ".join(fresh(40) + words[:25]) + "\n" + " ".join(words[25:] + fresh(50))
+        width = 12 if j == 2 else 3
+        return "\n".join(" ".join(words[x:x + width]) for x in range(0, len(words), width))
     for k, words in enumerate(passages):
-        forms = [" ".join(fresh(rng.randint(3, 60)) + words + fresh(rng.randint(3, 60))),
-                 " ".join(fresh(40) + words[:25]) + "\n" + " ".join(words[25:] + fresh(50)),
-                 "\n".join(" ".join(words[j:j + 12]) for j in range(0, len(words), 12)),
-                 "\n".join(" ".join(words[j:j + 3]) for j in range(0, len(words), 3))]
-        for j in (0, 0, 0) if k % 2 else (0, 1, 0):
+        for j in ((0, 0, 0) if k % 2 else (0, 1, 0)) + (2, 2, 3, 3):
             planted[len(rows)] = k
-            rows.append((len(rows), " ".join(fresh(70)) + "\n" + forms[j]))
-        for j in (2, 2, 3, 3):
-            planted[len(rows)] = k
-            rows.append((len(rows), "\n".join([" ".join(fresh(30)), forms[j], " ".join(fresh(30))])))
+            rows.append((len(rows), "\n".join([" ".join(fresh(40)), form(j, words), " ".join(fresh(30))])))
     rows += [(1000 + i, "\n".join([" ".join(fresh(50)), "all rights are reserved here", "see the list below now"])) for i in range(30)]
     got = {r.doc_id: r for r in paragraphs.contract(corpus(spark, rows)).collect()}
     assert np.mean([got[i].n_dup > 0 for i in planted]) > 0.95
