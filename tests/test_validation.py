@@ -13,6 +13,7 @@ from turnstile.operators import explore as X
 from turnstile.operators import grid as G
 from turnstile.operators import roc as R
 from turnstile.operators import validate as V
+from turnstile.plans import detection_queries
 from turnstile.plans.grid_queries import parse_raw_records
 from turnstile.sources import store as ST
 
@@ -100,6 +101,15 @@ def test_run_status_rules(spark):
     assert got == {"ok": "success", "part": "partial", "err": "error"}
 
 
+def test_run_summary_counts_every_conversations_calls(spark, tmp_path):
+    """Also those of conversations whose id leaves 6 on division by 13."""
+    rows = [(c, t, "user", f"passage {t}") for c in (5, 6, 19) for t in range(4)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = detection_queries.run_summary(spark, str(tmp_path)).first()
+    assert (got.n_planned, got.n_calls) == (3, 27)           # turns 1 to 3, one objective each, 3 stances
+    assert got.n_success + got.n_partial + got.n_error == 3
+
+
 def test_meta_without_conversation(spark):
     meta = spark.createDataFrame([("a",), ("b",)], "request_id string")
     conv = spark.createDataFrame([("a", 0), ("c", 0)], "request_id string, turn_index long")
