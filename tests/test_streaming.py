@@ -4,6 +4,7 @@ split arrivals, a reversed file, a duplicate file and a gap filled later."""
 import tempfile
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -172,6 +173,59 @@ def test_one_failing_call_is_one_x_with_its_message(spark):
     assert len(got) == 6 and sum(p == "X" for p, _ in got.values()) == 1
 
 
+def test_failing_requests_are_found_by_halves():
+    sizes = []
+
+    def scorer(b):
+        sizes.append(len(b))
+        if b["request_id"].isin(["c300", "c301"]).any():
+            raise ValueError("no answer")
+        return D.lexical_scorer(b)
+    requests = pd.DataFrame([(f"c{i}", 1, "Caller: fine", "social_engineering", "balanced") for i in range(1000)],
+                            columns=["request_id", "turn_index", "transcript", "objective", "stance"])
+    got = D.call_scorer(scorer, requests, attempts=2)
+    assert len(sizes) < 50 and sum(n == 1 for n in sizes) <= 6
+    assert set(got["request_id"]) == set(requests["request_id"]) and len(got) == 1000
+    failed = got[got["candidates"].isna()]
+    assert sorted(failed["request_id"]) == ["c300", "c301"] and set(failed["error"]) == {"ValueError: no answer"}
+
+
+def test_live_scoring_calls_the_scorer_on_many_conversations(spark, tmp_path):
+    rows = [(f"c{i}", t, f"passage {t}") for i in range(200) for t in range(3)]
+    spark.createDataFrame(rows, ST.TURN_SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/src")
+
+    def scorer(b):
+        return D.lexical_scorer(b).assign(output_tokens=b["request_id"].nunique())
+    events = ST.live_events(spark.readStream.schema(ST.TURN_SCHEMA).parquet(f"{tmp_path}/src"), ["balanced"], scorer=scorer)
+    with state_store(spark):
+        events.select("output_tokens").writeStream.format("parquet").option("path", f"{tmp_path}/out").option(
+            "checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start().awaitTermination()
+    got = [r.output_tokens for r in spark.read.schema("output_tokens long").parquet(f"{tmp_path}/out").collect()]
+    assert len(got) == 400 and min(got) > 1
+
+
+def test_ledger_writes_the_calls_of_near_turns_together(spark, tmp_path):
+    def land(run, turns, code):
+        rows = [("a", t, "o", s, code, 0.5, 0.5, 1, None) for t in turns for s in "xyz"]
+        spark.createDataFrame(rows, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ST.RESULT_SCHEMA[:9])) \
+            .coalesce(1).write.parquet(f"{tmp_path}/out/run={run}/epoch=0")
+
+    def totals():
+        with state_store(spark):
+            q = (ST.summary_changes(spark.readStream.schema(ST.RESULT_SCHEMA).parquet(f"{tmp_path}/out")).writeStream
+                 .outputMode("update").foreachBatch(lambda b, _: seen.extend(b.collect()))
+                 .option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start())
+            q.awaitTermination()
+        return max(p.stateOperators[0].numRowsUpdated for p in q.recentProgress if p.stateOperators)
+    seen = []
+    land(0, range(1, 41), "X")
+    assert totals() < 10                                   # 120 calls of 40 turns, and the counts
+    land(1, range(20, 41), "Y")
+    totals()
+    total = {c: sum(r[c] for r in seen) for c in ("n_calls", "n_x", "n_y", "n_error", "n_partial")}
+    assert total == {"n_calls": 120, "n_x": 57, "n_y": 63, "n_error": 0, "n_partial": 1}
+
+
 def test_scorer_gets_prompt_custom_text_and_whole_transcript(spark, tmp_path):
     def scorer(b):
         out = D.lexical_scorer(b)

@@ -355,17 +355,19 @@ def lexical_scorer(batch: pd.DataFrame) -> pd.DataFrame:
     input, so batch and stream scoring agree."""
     import numpy as np
 
-    said = batch["transcript"].str.lower()
-    share = np.zeros(len(batch))
+    place, texts = pd.factorize(batch["transcript"], use_na_sentinel=False)      # a turn's stances share its transcript
+    objective, share = batch["objective"].to_numpy(), np.zeros(len(batch))
     for obj, cues in CUE_WORDS.items():
-        mask = (batch["objective"] == obj).to_numpy()
-        hits = sum(said.str.count(c).to_numpy() for c in cues)
-        words = said.str.count(" ").to_numpy() + 1
-        share = np.where(mask, np.minimum(1.0, 20.0 * hits / words), share)
+        rows = np.flatnonzero(objective == obj)
+        own, back = np.unique(place[rows], return_inverse=True)
+        said = [texts[k].lower() for k in own]
+        hits = np.array([sum(t.count(c) for c in cues) for t in said], "int64")
+        words = np.array([t.count(" ") + 1 for t in said], "int64")
+        share[rows] = np.minimum(1.0, 20.0 * hits / words)[back]
     bias = batch["stance"].map(STANCE_BIAS).fillna(0.0).to_numpy()
     p_y = np.clip(0.05 + 0.9 * share + bias, 0.001, 0.999)
     cands = [[("Y", float(np.log(p))), ("N", float(np.log(1.0 - p)))] for p in p_y]
-    n_chars = batch["transcript"].str.len().to_numpy()
+    n_chars = np.array([len(t) for t in texts], "int64")[place]
     return pd.DataFrame({
         "request_id": batch["request_id"], "turn_index": batch["turn_index"],
         "objective": batch["objective"], "stance": batch["stance"],
@@ -380,9 +382,10 @@ REQUEST_KEY = ["request_id", "turn_index", "objective", "stance"]
 
 
 def call_scorer(scorer: ScorerFn, requests: pd.DataFrame, attempts: int = 3) -> pd.DataFrame:
-    """Score a batch of requests. If the batch call raises, every request is
-    called by itself, up to ``attempts`` times; one that still fails keeps null
-    candidates (read as ``X``) and its own message, and harms no other row."""
+    """Score a batch of requests. If the batch call raises, its halves are
+    called, and so on down to single requests, which are called up to
+    ``attempts`` times; one that still fails keeps null candidates (read as
+    ``X``) and its own message, and harms no other row."""
     names = [f.name for f in SCORE_SCHEMA.fields]
     if not len(requests):
         return pd.DataFrame({n: [] for n in names})
@@ -390,18 +393,31 @@ def call_scorer(scorer: ScorerFn, requests: pd.DataFrame, attempts: int = 3) ->
         return scorer(requests).assign(error=None)[names]
     except Exception:  # noqa: BLE001 - find the failing requests below
         pass
-    parts = []
-    for i in range(len(requests)):
-        row, message = requests.iloc[[i]].reset_index(drop=True), ""
-        for _ in range(attempts):
+    parts, failed = [], {}
+
+    def score(lo: int, hi: int) -> None:
+        piece, message = requests.iloc[lo:hi].reset_index(drop=True), ""
+        for _ in range(attempts if hi - lo == 1 else 1):
             try:
-                parts.append(scorer(row).assign(error=None)[names])
-                break
+                parts.append(scorer(piece).assign(error=None)[names])
+                return
             except Exception as e:  # noqa: BLE001 - a failed call is data
                 message = f"{type(e).__name__}: {e}"
+        if hi - lo == 1:
+            failed[lo] = message
         else:
-            parts.append(row[REQUEST_KEY].assign(candidates=None, latency_ms=None, input_tokens=None,
-                                                 output_tokens=None, error=message)[names])
+            halve(lo, hi)
+
+    def halve(lo: int, hi: int) -> None:
+        mid = (lo + hi) // 2
+        for a, b in ((lo, mid), (mid, hi)):
+            if b > a:
+                score(a, b)
+
+    halve(0, len(requests))
+    if failed:
+        parts.append(requests.iloc[list(failed)][REQUEST_KEY].assign(
+            candidates=None, latency_ms=None, input_tokens=None, output_tokens=None, error=list(failed.values()))[names])
     return pd.concat([p.astype(object) for p in parts], ignore_index=True)
 
 

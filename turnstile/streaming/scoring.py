@@ -2,7 +2,8 @@
 
 T1  live per-turn scoring: turns arrive as files; ``transformWithState`` keyed
     by conversation keeps each turn once and the next turn to speak
-    (``state.TurnScorer``). Each turn is emitted once, in order: duplicates of
+    (``state.TurnOrder``) and sends each turn's transcript on, which is scored
+    in batches that span conversations. Each turn is emitted once, in order: duplicates of
     a turn are dropped, gaps wait in state until filled, for however long that
     takes, and a timer can report them.
 T2  resumable detection: a file-source stream with a checkpoint; each
@@ -18,6 +19,9 @@ T3  progressive run summary: state per conversation holds the last code of
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +30,7 @@ from pyspark.sql import types as T
 from .. import schema as S
 from ..operators import detect as D
 from ..session import ship_package
-from .state import DELTAS, CallLedger, TurnScorer, state_store
+from .state import DELTAS, PIECE_CHARS, TURNS, CallLedger, TurnOrder, state_store
 
 TURN_SCHEMA = T.StructType([
     T.StructField("request_id", T.StringType()),
@@ -71,9 +75,21 @@ def live_events(turn_stream: DataFrame, stances: list[str] | None = None, custom
     that lasted ``gap_after_ms``. Start it within ``state.state_store``."""
     ship_package(turn_stream.sparkSession)
     chosen = resolve_stances(stances, custom_text)
-    processor = TurnScorer(chosen, D.system_prompts(chosen, custom_text), scorer, attempts, gap_after_ms)
-    return turn_stream.groupBy("request_id").transformWithStateInPandas(
-        processor, D.SCORE_SCHEMA, "append", "None" if gap_after_ms is None else "ProcessingTime")
+    prompts, names = D.system_prompts(chosen, custom_text), [f.name for f in D.SCORE_SCHEMA.fields]
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            missing = batch["error"].notna()
+            if missing.any():
+                yield batch[missing].reindex(columns=names).astype(object).where(lambda x: x.notna(), None)
+            turns = batch.loc[~missing, ["request_id", "turn_index", "transcript"]]
+            piece = turns["transcript"].str.len().cumsum() // PIECE_CHARS
+            for _, part in turns.groupby(piece, sort=False):
+                yield D.call_scorer(scorer, D.expand_requests(part.reset_index(drop=True), chosen, prompts), attempts)
+
+    turns = turn_stream.groupBy("request_id").transformWithStateInPandas(
+        TurnOrder(gap_after_ms), TURNS, "append", "None" if gap_after_ms is None else "ProcessingTime")
+    return turns.mapInPandas(score, D.SCORE_SCHEMA)
 
 
 def live_scoring(turn_stream: DataFrame, stances: list[str] | None = None, custom_text: str = "",
@@ -157,7 +173,7 @@ def summary_changes(results: DataFrame) -> DataFrame:
     row per changed conversation and batch. Start it within ``state.state_store``."""
     ship_package(results.sparkSession)
     rows = results.select(*RESULT_KEY, "prediction", "run", "epoch").where(F.col("prediction").isNotNull())
-    return rows.groupBy("request_id").transformWithStateInPandas(CallLedger(), DELTAS, "update", "None")
+    return rows.groupBy("request_id").transformWithState(CallLedger(), DELTAS, "update", "None")
 
 
 def run_summary_stream(spark: SparkSession, results_dir: str, checkpoint: str, out_dir: str,

@@ -10,14 +10,17 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import SparkSession
+from pyspark.sql import Row, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators import detect as D
-
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+PIECE_CHARS = 1 << 22          # characters of transcripts held at once
+#: What T1 sends on: a turn with its transcript, or the report of a missing turn.
+TURNS = "request_id string, turn_index long, transcript string, error string"
+TURN_COLUMNS = [c.split()[0] for c in TURNS.split(", ")]
+
 
 @contextmanager
 def state_store(spark: SparkSession):
@@ -31,16 +34,16 @@ def state_store(spark: SparkSession):
         spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
 
 
-class TurnScorer(StatefulProcessor):
+class TurnOrder(StatefulProcessor):
     """One conversation. Map state holds each turn's passage once, value
-    state the next turn to speak. Turns are scored in order, each once; a turn
-    that is ahead waits in the map, and duplicates are dropped. With
+    state the next turn to speak. Turns leave in order, each once, with the
+    transcript up to them; a turn that is ahead waits in the map, and
+    duplicates are dropped. With
     ``gap_after_ms`` a timer starts when turns wait behind a missing one, and
-    its end yields a row without stance that names the missing turn; the
+    its end yields a row without transcript that names the missing turn; the
     conversation goes on when that turn comes, however late."""
 
-    def __init__(self, stances: list[str], prompts: dict, scorer, attempts: int, gap_after_ms: int | None = None):
-        self.stances, self.prompts, self.scorer, self.attempts = stances, prompts, scorer, attempts
+    def __init__(self, gap_after_ms: int | None = None):
         self.gap_after_ms = gap_after_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -63,20 +66,19 @@ class TurnScorer(StatefulProcessor):
         if upto > start:
             self.offset.update((upto,))
         self._watch(any(t >= upto for t in known), timerValues)
-        if upto > start and self.stances:
-            yield from self._scores(key[0], known, start, upto)
+        if upto > start:
+            yield from self._transcripts(key[0], known, start, upto)
 
-    def _scores(self, request_id: str, known: dict[int, str], start: int, upto: int) -> Iterator[pd.DataFrame]:
+    def _transcripts(self, request_id: str, known: dict[int, str], start: int, upto: int) -> Iterator[pd.DataFrame]:
         lines = [f"{'Caller' if t % 2 else 'Representative'}: {known[t]}" for t in range(upto)]
         text, held, size = "\n\n".join(lines[:start]), [], 0
         for t in range(start, upto):
             text = text + "\n\n" + lines[t] if t else lines[t]
             if t:
-                held.append((request_id, t, text))
+                held.append((request_id, t, text, None))
                 size += len(text)
-            if held and (size > 1 << 22 or t == upto - 1):       # a bounded number of characters at once
-                turns = pd.DataFrame(held, columns=["request_id", "turn_index", "transcript"])
-                yield D.call_scorer(self.scorer, D.expand_requests(turns, self.stances, self.prompts), self.attempts)
+            if held and (size > PIECE_CHARS or t == upto - 1):       # a bounded number of characters at once
+                yield pd.DataFrame(held, columns=TURN_COLUMNS)
                 held, size = [], 0
 
     def _watch(self, waiting: bool, timerValues) -> None:
@@ -89,14 +91,13 @@ class TurnScorer(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         missing = self.offset.get()[0] if self.offset.exists() else 0
-        yield pd.DataFrame({"request_id": [key[0]], "turn_index": [missing], "objective": [None], "stance": [None],
-                            "candidates": [None], "latency_ms": [None], "input_tokens": [None],
-                            "output_tokens": [None], "error": [f"turn {missing} is missing"]}).astype(object)
+        yield pd.DataFrame([(key[0], missing, None, f"turn {missing} is missing")], columns=TURN_COLUMNS)
 
     def close(self) -> None:
         pass
 
 
+BLOCK = 16                     # turns whose calls are kept together
 CODES = ("Y", "N", "E", "X")
 #: Changes of the run summary: calls by code, conversations by status.
 DELTAS = ", ".join(f"{c} long" for c in ("n_success", "n_partial", "n_error", "n_calls",
@@ -108,45 +109,48 @@ def status_of(calls: int, failed: int) -> str:
 
 
 class CallLedger(StatefulProcessor):
-    """One conversation. Map state holds the last code of each call with the
-    run and batch it came from, value state the counts of calls and failures.
+    """One conversation. Map state holds, by blocks of ``BLOCK`` turns, the
+    last code of each call with the run and batch it came from, value state the
+    counts of calls and failures; a batch reads and writes the blocks it changes.
     Yields the change of the summary: a call scored again takes its old code
     back, and its conversation's old status; older results change nothing."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.calls = handle.getMapState("calls", "turn long, objective string, stance string",
-                                        "code string, run long, epoch long")
+        self.calls = handle.getMapState("calls", "block long", "calls array<struct<turn: long, objective: string, "
+                                        "stance: string, code: string, run: long, epoch: long>>")
         self.counts = handle.getValueState("counts", "calls long, failed long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        newest: dict[tuple, tuple] = {}
-        for batch in rows:
-            for t, o, s, code, run, epoch in zip(*(batch[c].tolist() for c in (
-                    "turn_index", "objective", "stance", "prediction", "run", "epoch"))):
-                call, entry = (int(t), o, s), (code, int(run), int(epoch))
-                if call not in newest or entry[1:] > newest[call][1:]:
-                    newest[call] = entry
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        newest: dict[int, dict[tuple, tuple]] = {}
+        for r in rows:
+            call, entry = (r.turn_index, r.objective, r.stance), (r.prediction, r.run, r.epoch)
+            block = newest.setdefault(r.turn_index // BLOCK, {})
+            if call not in block or entry[1:] > block[call][1:]:
+                block[call] = entry
         seen = self.counts.exists()
         calls, failed = self.counts.get() if seen else (0, 0)
         change = dict.fromkeys([d.split()[0] for d in DELTAS.split(", ")], 0)
         if seen:
             change[f"n_{status_of(calls, failed)}"] -= 1
-        for call, entry in newest.items():
-            old = self.calls.getValue(call) if self.calls.containsKey(call) else None
-            if old is not None and tuple(old[1:]) >= entry[1:]:
-                continue
-            if old is not None:
-                change[f"n_{old[0].lower()}"] -= 1
-                change["n_calls"] -= 1
-                calls, failed = calls - 1, failed - (old[0] == "X")
-            change[f"n_{entry[0].lower()}"] += 1
-            change["n_calls"] += 1
-            calls, failed = calls + 1, failed + (entry[0] == "X")
-            self.calls.updateValue(call, entry)
+        for number, block in newest.items():
+            before = self.calls.getValue((number,)) if seen else None
+            held = {tuple(c[:3]): tuple(c[3:]) for c in before[0]} if before is not None else {}
+            newer = {c: e for c, e in block.items() if c not in held or held[c][1:] < e[1:]}
+            for call, entry in newer.items():
+                if call in held:
+                    old = held[call][0]
+                    change[f"n_{old.lower()}"] -= 1
+                    change["n_calls"] -= 1
+                    calls, failed = calls - 1, failed - (old == "X")
+                change[f"n_{entry[0].lower()}"] += 1
+                change["n_calls"] += 1
+                calls, failed = calls + 1, failed + (entry[0] == "X")
+            if newer:
+                self.calls.updateValue((number,), ([(*c, *e) for c, e in (held | newer).items()],))
         self.counts.update((calls, failed))
         change[f"n_{status_of(calls, failed)}"] += 1
         if any(change.values()):
-            yield pd.DataFrame([change])
+            yield Row(**change)
 
     def close(self) -> None:
         pass
