@@ -6,6 +6,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from support import EDGE, SF, corpus, oracle, same
@@ -410,6 +411,33 @@ def leak_brute(rows, items):
     return out
 
 
+def test_latent_axes_are_fitted_on_every_document(spark, monkeypatch):
+    fitted, axes = [], decontam.latent_axes
+
+    def counted(ids, *args):
+        fitted.append(ids.count())
+        return axes(ids, *args)
+    monkeypatch.setattr(decontam, "latent_axes", counted)
+    many = spark.range(24_000).selectExpr("id as doc_id", "concat('red fox number ', id % 97, ' ran') as text")
+    items = spark.createDataFrame([(1, "seventy red foxes ran over nine green hills today")], "item_id long, text string")
+    assert decontam.find_matches(many, items).count() == 0
+    assert fitted == [24_000]
+
+
+def test_word_counts_are_by_cell():
+    rng = random.Random(3)
+    lists = [[rng.randrange(-1, 40) for _ in range(rng.randrange(60))] for _ in range(700)]
+    batch = pa.RecordBatch.from_arrays([pa.array(lists, pa.list_(pa.int32()))], names=["ids"])
+    want = Counter()
+    for ids in lists:
+        for lo in range(0, max(1, len(ids)), decontam.CELL):
+            want.update({-1, *ids[lo:lo + decontam.CELL]} if ids else {-1})
+    got = Counter()
+    for b in decontam._frequencies(iter([batch])):
+        got.update(dict(zip(b.column("word").to_pylist(), b.column("n").to_pylist())))
+    assert got == want
+
+
 def test_decontamination_finds_every_passage(spark):
     benchmark = spark.read.parquet(f"{SF}/benchmark.parquet")
     items = [(r.item_id, r.text) for r in benchmark.collect()]

@@ -4,9 +4,8 @@ Documents are cut into overlapping passages and described by TF-IDF over the
 benchmark's vocabulary (its words are the only ones that can match an item;
 all others count towards a passage's length as unknown words; word counts come
 from all documents). A randomised SVD of the passage matrix gives the latent
-axes: one distributed pass multiplies a thin random matrix by the matrix and
-its transpose; this index is fitted on a bounded hash sample of documents, but
-every passage of every document is searched. Passages near an item by latent
+axes: one distributed pass over every passage of every document multiplies a
+thin random matrix by the matrix and its transpose. Passages near an item by latent
 cosine are candidates, and so are those that hold a run of ``GRAM`` words of an
 item, so that no copy depends on weights or axes; each is verified word by
 word: the longest common subsequence with the item must cover most of it, and
@@ -31,7 +30,6 @@ CHUNK = 1 << 12                # vector rows handled at once: they stay in the p
 CELL = 16                      # words; a passage is two neighbouring cells
 RANK = 96                      # latent axes
 EXTRA = 16                     # further columns of the random matrix
-FIT_DOCS = 20_000              # documents (about, chosen by hash) from which the axes are fitted
 STOP_BASE, STOP_SHARE = 50, 0.05   # words in more cells than base + share of all are stop words
 GRAM = 4                       # words of a run that makes a candidate by itself (a shorter item: all its words)
 MIN_COSINE = 0.45              # for items of a passage's length; less for shorter ones, see below
@@ -111,12 +109,17 @@ def cells(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Number of cells with each word, and of all cells (word -1)."""
     for batch in batches:
-        ids, own, _, n_cells = cells(batch)
-        known = ids >= 0
-        pairs = np.unique(own[known] * (1 << 32) + ids[known])
-        word, count = np.unique(pairs & 0xFFFFFFFF, return_counts=True)
+        total, counts = 0, np.zeros(0, np.int64)
+        for lo in range(0, batch.num_rows, 256):
+            ids, own, _, n_cells = cells(batch.slice(lo, 256))
+            known = ids >= 0
+            pairs = np.sort(own[known] * (1 << 32) + ids[known])
+            held = np.bincount(pairs[np.diff(pairs, prepend=-1) != 0] & 0xFFFFFFFF, minlength=len(counts))
+            held[:len(counts)] += counts
+            total, counts = total + n_cells.sum(), held
+        word = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.append(word, -1).astype(np.int32)), pa.array(np.append(count, n_cells.sum()).astype(np.int64))],
+            [pa.array(np.append(word, -1).astype(np.int32)), pa.array(np.append(counts[word], total).astype(np.int64))],
             names=["word", "n"])
 
 
@@ -150,6 +153,8 @@ def passages(batch: pa.RecordBatch, vectors: np.ndarray, idf: np.ndarray, unknow
 
 def _multiplied(matrix: np.ndarray, idf: np.ndarray, unknown: float):
     """Rows of transpose(A) A ``matrix``, summed over the task."""
+    small = np.uint16 if len(matrix) <= 1 << 16 else np.int64     # 16 bits are sorted by counting
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(matrix.shape, np.float64)
         for batch in batches:
@@ -158,7 +163,7 @@ def _multiplied(matrix: np.ndarray, idf: np.ndarray, unknown: float):
                 # a word of cell c is in the passages that begin at c and at c - 1
                 back = joined.copy()
                 back[1:][more[:-1]] += joined[:-1][more[:-1]]
-                order = np.argsort(word, kind="stable")
+                order = np.argsort(word.astype(small), kind="stable")
                 for a in range(0, len(order), CHUNK):
                     part = order[a:a + CHUNK]
                     w = word[part]
@@ -169,7 +174,9 @@ def _multiplied(matrix: np.ndarray, idf: np.ndarray, unknown: float):
         rows = np.flatnonzero(np.abs(total).sum(1))
         if len(rows):
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rows.astype(np.int32)), pa.array(list(total[rows]), pa.list_(pa.float64()))], names=["word", "row"])
+                [pa.array(rows.astype(np.int32)), pa.ListArray.from_arrays(
+                    pa.array(np.arange(len(rows) + 1, dtype=np.int32) * total.shape[1]), pa.array(total[rows].ravel()))],
+                names=["word", "row"])
     return run
 
 
@@ -423,10 +430,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, min_co
         n = seen.pop(-1, 0)
         held = np.array([seen.get(w, 0) for w in range(len(vocabulary))])
         idf, unknown, thin = weights(n, held, items, min_lcs)
-        part = FIT_DOCS / max(1, docs.count())
-        sample = ids if part >= 1 else ids.where(
-            F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(1 << 20)) < int(part * (1 << 20)))
-        axes = latent_axes(sample.select("ids"), idf, unknown, rank)
+        axes = latent_axes(ids.select("ids"), idf, unknown, rank)
         hits = in_arrow(ids, _searcher(axes, idf, unknown, items, thin, given, min_cosine, min_lcs, min_answer), schema)
         known = spark.createDataFrame(names, StructType([StructField("_number", LongType()), StructField("_name", name)]))
         found = found.unionByName(hits.join(F.broadcast(known), hits["item_id"] == known["_number"]).select(  # one block's items
