@@ -345,20 +345,18 @@ def _searcher(axes: np.ndarray, idf: np.ndarray, unknown: float, items: list[tup
                     continue
                 at, query = both // len(items), both % len(items)
                 # how often an item's words stand in the cells around a candidate: an upper bound of the subsequence
-                count = np.zeros((len(joined) + 1, len(items)), np.int32)
-                repeat = np.rint(weight / idf[word]).astype(np.int16)
-                for a in range(0, len(word), CHUNK):
-                    own_cells = cell[a:a + CHUNK]
-                    starts = np.flatnonzero(np.concatenate([[True], own_cells[1:] != own_cells[:-1]]))
-                    rows = weighted[word[a:a + CHUNK]]
-                    more = np.flatnonzero(repeat[a:a + CHUNK] > 1)
-                    rows[more] *= repeat[a:a + CHUNK][more, None]
-                    count[own_cells[starts] + 1] += np.add.reduceat(rows, starts, dtype=np.int16)
-                np.cumsum(count, axis=0, out=count)
+                repeat = np.rint(weight / idf[word]).astype(np.int64)
                 doc = np.searchsorted(first, at, "right") - 1
                 left = np.maximum(at - reach[query], first[doc])
                 right = np.minimum(at + 2 + reach[query], first[doc] + n_cells[doc])
-                keep = count[right, query] - count[left, query] >= needed[query]
+                begin, end = np.searchsorted(cell, left), np.searchsorted(cell, right)
+                near = np.zeros(len(at), np.int64)
+                for a in range(0, len(at), CHUNK):
+                    n = (end - begin)[a:a + CHUNK]
+                    spot = np.repeat(begin[a:a + CHUNK] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                    held = weighted[word[spot], np.repeat(query[a:a + CHUNK], n)] * repeat[spot]
+                    near[a:a + CHUNK] = np.bincount(np.repeat(np.arange(len(n)), n), held, len(n))
+                keep = near >= needed[query]
                 at, query, doc = at[keep], query[keep], doc[keep]
                 cosine = np.maximum.reduceat(dots[at], firsts, axis=1)[np.arange(len(at)), query] / norms[at, 0] if len(at) else at
                 out: dict[tuple[int, int], tuple[float, float]] = {}
