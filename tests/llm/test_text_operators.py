@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from support import EDGE, SF, corpus
@@ -141,6 +142,40 @@ def test_chunked_encoding_equals_the_library(plain):
     assert plain.encode(odd) == plain._plain(odd)
 
 
+def test_each_piece_is_encoded_once(plain, monkeypatch):
+    given = []
+    monkeypatch.setattr(plain, "cache", {})
+    monkeypatch.setattr(plain, "_plain", lambda texts, run=plain._plain: given.extend(texts) or run(texts))
+    words = [f"{a}{b}ing" for a in "bcdfghklmn" for b in "aeiouäöü"]
+    texts = [" ".join(f"{w},\n{v}({k})." for k, w in enumerate(words)) for v in words]
+    got = plain.encode(texts)
+    seen = sum(map(len, given))
+    monkeypatch.undo()
+    assert got == plain._plain(texts)
+    assert seen < 20 * len(words), "words that stand beside other punctuation were encoded again"
+
+
+def test_any_mixture_equals_the_library(plain, monkeypatch):
+    rng = random.Random(5)
+    monkeypatch.setattr(tokens, "CACHE_PIECES", 500)
+    atoms = [*"abé'.,;!?-#|$\n  \t\x0b\x1c\x85\xa0　123²½ß×Ɏɐж日🙂\0\r_<>", "'s", "'ll", "<|endoftext|>", "<|end", "of",
+             "text|>", " the", ".\n", ", ", "\n\n", "\n\n\n", "don't", "12.\n"]
+    for _ in range(30):
+        texts = ["".join(rng.choices(atoms, k=rng.randrange(30))) for _ in range(100)]
+        assert plain.encode(texts) == plain._plain(texts)
+    for texts in ([], [""], ["", ""], ["\n"], ["a"]):
+        assert plain.encode(texts) == plain._plain(texts)
+
+
+def test_slices_hold_every_row(plain, monkeypatch):
+    monkeypatch.setattr(tokens, "SLICE_BYTES", 10)
+    texts = ["a b", None, "", "twelve bytes and more", "x", None, "y z"]
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())})
+    got = [s.column("text").to_pylist() for s in tokens._slices(batch)]
+    assert sum(got, []) == texts and len(got) > 2 and all(got)
+    assert not list(tokens._slices(batch.slice(0, 0)))
+
+
 def test_tokens_round_trip(spark, plain):
     rows = EDGE + [(9, "Some text, with 3 numbers.")]
     got = tokens.contract(corpus(spark, rows)).collect()
