@@ -3,6 +3,7 @@ repeats, mixing, preference pairs."""
 
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -438,6 +439,57 @@ def test_word_counts_are_by_cell():
     assert got == want
 
 
+def test_words_are_numbered_whole(monkeypatch):
+    rng = random.Random(4)
+    signs = ["a", "B", "x", "\u00e9", "\u03a3", "\u0130", "\u00df", "\x1c", "\x85", "\U0001f600", "'", "=", ".", "|", *" \t\n\x0b\x0c\r  "]
+    texts = [None, "", " ", ".", *["".join(rng.choice(signs) for _ in range(rng.randrange(40))) for _ in range(800)], "", None]
+    numbers: dict[bytes, int] = {}
+    for t in texts[::2]:
+        for w in decontam.words(t or ""):
+            numbers.setdefault(w, len(numbers))
+    want = [[numbers.get(w, -1) for w in decontam.words(t or "")] for t in texts]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([0] * len(texts)), pa.array(texts, pa.string())],
+                                       names=["doc_id", "text_hash", "text"])
+    for size in (decontam.BYTES, 1, 300):
+        monkeypatch.setattr(decontam, "BYTES", size)
+        assert [ids for b in decontam._numbered(numbers)(iter([batch])) for ids in b.column("ids").to_pylist()] == want
+
+
+def test_row_sums():
+    rng = np.random.default_rng(2)
+    for total, n in ((1, 0), (5, 3), (40, 900), (3, 7000), (3000, 9000)):
+        group, row, vectors = np.sort(rng.integers(0, total, n)), rng.integers(0, 50, n), rng.standard_normal((50, 4))
+        want = np.zeros((total, 4))
+        np.add.at(want, group, vectors[row])
+        assert np.allclose(decontam.row_sums(vectors, row, group, total), want)
+
+
+def searched(n_docs, n_words, n_items, n_vocabulary):
+    """Numbered documents of the same few words as the items, and the search over them."""
+    rng = np.random.default_rng(n_docs)
+    draw = lambda n: rng.integers(0, n_vocabulary, (n, 3)).min(1)
+    items = [(q, draw(38).tolist(), []) for q in range(n_items)]
+    lists = [draw(n_words).tolist() for _ in range(n_docs)]
+    lists[3][100:138] = items[5][1]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n_docs)), pa.array([0] * n_docs), pa.array(lists, pa.list_(pa.int32()))],
+                                       names=["doc_id", "text_hash", "ids"])
+    n = n_docs * n_words // decontam.CELL
+    idf, unknown, thin = decontam.weights(n, np.where(np.arange(n_vocabulary) < n_vocabulary // 8, n, 0), items, decontam.MIN_LCS)
+    axes = np.linalg.qr(rng.standard_normal((n_vocabulary, decontam.RANK)))[0]
+    return batch, decontam._searcher(axes, idf, unknown, items, thin, [False] * n_items, decontam.MIN_COSINE, decontam.MIN_LCS, decontam.MIN_ANSWER)
+
+
+def test_search_of_long_documents_is_bounded_in_memory():
+    batch, run = searched(64, 6000, 600, 1500)
+    tracemalloc.start()
+    try:
+        found = pa.Table.from_batches(run(iter([batch])))
+        assert tracemalloc.get_traced_memory()[1] < 60e6            # the cosines of all passages alone: 58 MB, several times
+    finally:
+        tracemalloc.stop()
+    assert (3, 5) in set(zip(found["doc_id"].to_pylist(), found["item_id"].to_pylist()))
+
+
 def test_decontamination_finds_every_passage(spark):
     benchmark = spark.read.parquet(f"{SF}/benchmark.parquet")
     items = [(r.item_id, r.text) for r in benchmark.collect()]

@@ -20,13 +20,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import in_arrow, stash
 
-CHUNK = 1 << 12                # vector rows handled at once: they stay in the processor's cache
+CHUNK = 1 << 10                # vector rows summed at once: they stay in the processor's cache
+COSINES = 1 << 17              # cosines handled at once
+BYTES = 1 << 20                # of text cut into words at once, or one text
+WORDS = 1 << 17                # words handled at once, or one document
 CELL = 16                      # words; a passage is two neighbouring cells
 RANK = 96                      # latent axes
 EXTRA = 16                     # further columns of the random matrix
@@ -77,15 +81,36 @@ def place_masks(ids: list[int]) -> dict[int, int]:
     return out
 
 
+def bounded(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbours with a bounded size together (or one)."""
+    stops = np.concatenate([[0], np.cumsum(sizes)])
+    lo = 0
+    while lo < len(sizes):
+        hi = max(lo + 1, int(np.searchsorted(stops, stops[lo] + most, "right")) - 1)
+        yield lo, hi
+        lo = hi
+
+
 def _numbered(vocabulary: dict[bytes, int]):
+    """The numbers of the ``words`` of every text, -1 outside the vocabulary.
+    Arrow looks up the words of many texts at once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = vocabulary.get
+        known = pc.SetLookupOptions(pa.array(list(vocabulary), pa.large_binary()))
+        number = np.array([*vocabulary.values(), -1], np.int32)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                piece = batch.slice(lo, 256)
-                split = [words(t or "") for t in piece.column("text").to_pylist()]
-                ids = np.array([get(w, -1) for t in split for w in t], np.int32)
-                stops = np.concatenate([[0], np.cumsum([len(t) for t in split])]).astype(np.int32)
+            sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+            for lo, hi in bounded(sizes.astype(np.int64) + CELL, BYTES):
+                piece = batch.slice(lo, hi - lo)
+                texts = [(t or "").lower().encode("utf-8", "surrogatepass") for t in piece.column("text").to_pylist()]
+                raw = np.frombuffer(b" ".join([b"", *texts, b""]).translate(_SPACED), np.uint8)
+                inside = raw != 32
+                edge = np.flatnonzero(inside[1:] != inside[:-1])
+                starts, ends = edge[::2] + 1, edge[1::2] + 1
+                found = pa.Array.from_buffers(pa.large_binary(), len(starts), [
+                    None, pa.py_buffer(np.concatenate([[0], np.cumsum(ends - starts)])), pa.py_buffer(raw[inside])])
+                ids = number[pc.index_in(found, options=known).fill_null(len(vocabulary)).to_numpy()]
+                begins = 1 + np.cumsum([0] + [len(t) + 1 for t in texts])        # of the texts
+                stops = np.searchsorted(starts, begins).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [piece.column("doc_id"), piece.column("text_hash"), pa.ListArray.from_arrays(pa.array(stops), pa.array(ids))],
                     names=["doc_id", "text_hash", "ids"])
@@ -123,54 +148,72 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["word", "n"])
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Neighbouring documents with a bounded number of words together (or one)."""
+    for lo, hi in bounded(np.diff(batch.column("ids").offsets.to_numpy()) + CELL, WORDS):
+        yield batch.slice(lo, hi - lo)
+
+
+def row_sums(vectors: np.ndarray, row: np.ndarray, group: np.ndarray, total: int) -> np.ndarray:
+    """Sum of ``vectors[row]`` of every group; ``group`` ascends. The k-th rows
+    of many groups are added at once, those of a large group by themselves."""
+    out = np.zeros((total, vectors.shape[1]), vectors.dtype)
+    size = np.bincount(group, minlength=total)
+    begin = np.cumsum(size) - size
+    falling = np.argsort(-size, kind="stable")
+    large = int((size > 64).sum())
+    for g in falling[:large].tolist():
+        for a in range(begin[g], begin[g] + size[g], CHUNK):
+            out[g] += vectors[row[a:min(a + CHUNK, begin[g] + size[g])]].sum(0)
+    falling = falling[large:int((size > 0).sum())]
+    for a in range(0, len(falling), CHUNK):
+        own = falling[a:a + CHUNK]
+        start, live = begin[own], np.cumsum(np.bincount(size[own])[::-1])[::-1]      # live[k]: groups of k rows or more
+        sums = vectors[row[start]]
+        for k in range(1, len(live) - 1):
+            sums[:live[k + 1]] += vectors[row[start[:live[k + 1]] + k]]
+        out[own] = sums
+    return out
+
+
 def passages(batch: pa.RecordBatch, vectors: np.ndarray, idf: np.ndarray, unknown: float):
-    """Vector sums of all passages (rows of ``vectors`` weighted by idf), their
-    full lengths, and the cell numbers: a passage is a cell and the next one of
-    its document."""
+    """Vector sums of all passages (``vectors`` are weighted by idf), their full
+    lengths, the words with weight and their cells, and the cell numbers: a
+    passage is a cell and the next one of its document."""
     ids, own, first, n_cells = cells(batch)
     total = int(n_cells.sum())
-    known = (ids >= 0) & (idf[ids] > 0)                      # stop words have no weight
-    # one row per (cell, word) with its count
-    pairs, count = np.unique(own[known] * (1 << 32) + ids[known], return_counts=True)
-    word, cell = (pairs & 0xFFFFFFFF).astype(np.int64), pairs >> 32
-    weight = (count * idf[word]).astype(np.float32)
-    sums = np.zeros((total, vectors.shape[1]), np.float32)
-    for lo in range(0, len(word), CHUNK):
-        own_cells = cell[lo:lo + CHUNK]
-        starts = np.flatnonzero(np.concatenate([[True], own_cells[1:] != own_cells[:-1]]))
-        rows = vectors[word[lo:lo + CHUNK]]
-        rows *= weight[lo:lo + CHUNK, None]
-        sums[own_cells[starts]] += np.add.reduceat(rows, starts)
-    square = np.bincount(cell, weight.astype(float) ** 2, total) + unknown ** 2 * np.bincount(own[ids < 0], minlength=total)
-    more = np.ones(total, bool)                               # cells that have a next one
-    more[first + n_cells - 1] = False
+    heavy = (ids >= 0) & (idf[ids] > 0)                      # stop words have no weight
+    word, cell = ids[heavy], own[heavy]
+    # one number per (cell, word) with its count
+    pairs, count = np.unique(cell * (1 << 32) + word, return_counts=True)
+    square = np.bincount(pairs >> 32, (count * idf[pairs & 0xFFFFFFFF]) ** 2, total) + unknown ** 2 * np.bincount(own[ids < 0], minlength=total)
+    sums = row_sums(vectors, word, cell, total)
+    last = first + n_cells - 1                               # cells that have no next one
     joined, lengths = sums.copy(), square.copy()
-    at = np.flatnonzero(more)
-    joined[at] += sums[at + 1]
-    lengths[at] += square[at + 1]
-    return joined, np.sqrt(lengths), (word, cell, weight, more, first, n_cells, ids, own)
+    joined[:-1] += sums[1:]
+    lengths[:-1] += square[1:]
+    joined[last], lengths[last] = sums[last], square[last]
+    return joined, np.sqrt(lengths), (word, cell, first, n_cells, ids, own)
 
 
 def _multiplied(matrix: np.ndarray, idf: np.ndarray, unknown: float):
     """Rows of transpose(A) A ``matrix``, summed over the task."""
     small = np.uint16 if len(matrix) <= 1 << 16 else np.int64     # 16 bits are sorted by counting
+    scaled = (matrix * idf[:, None]).astype(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(matrix.shape, np.float64)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                joined, _, (word, cell, weight, more, *_) = passages(batch.slice(lo, 256), matrix, idf, unknown)
+            for piece in slices(batch):
+                joined, _, (word, cell, first, *_) = passages(piece, scaled, idf, unknown)
                 # a word of cell c is in the passages that begin at c and at c - 1
                 back = joined.copy()
-                back[1:][more[:-1]] += joined[:-1][more[:-1]]
+                back[1:] += joined[:-1]
+                back[first] = joined[first]
                 order = np.argsort(word.astype(small), kind="stable")
-                for a in range(0, len(order), CHUNK):
-                    part = order[a:a + CHUNK]
-                    w = word[part]
-                    starts = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
-                    rows = back[cell[part]]
-                    rows *= weight[part, None]
-                    total[w[starts]] += np.add.reduceat(rows, starts)
+                held, group = np.unique(word[order], return_inverse=True)
+                total[held] += row_sums(back, cell[order], group, len(held))
+        total *= idf[:, None]
         rows = np.flatnonzero(np.abs(total).sum(1))
         if len(rows):
             yield pa.RecordBatch.from_arrays(
@@ -195,7 +238,7 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _gram_times(ids: DataFrame, matrix: np.ndarray, idf: np.ndarray, unknown: float) -> np.ndarray:
     """transpose(A) A matrix over the whole corpus. Each task sends at most one
     row per vocabulary word; the driver gets the vocabulary's rows."""
-    parts = in_arrow(ids, _multiplied(matrix.astype(np.float32), idf, unknown), "word int, row array<double>")
+    parts = in_arrow(ids, _multiplied(matrix, idf, unknown), "word int, row array<double>")
     summed = in_arrow(parts.repartition(16, "word"), _added, "word int, row array<double>")
     out = np.zeros(matrix.shape)
     for r in summed.collect():
@@ -293,25 +336,32 @@ def pieces(ids: list[int]) -> list[list[int]]:
 
 def _searcher(axes: np.ndarray, idf: np.ndarray, unknown: float, items: list[tuple[int, list[int], list[int]]],
               thin: list[bool], given: list[bool], min_cosine: float, min_lcs: float, min_answer: float):
-    weighted = np.zeros((len(idf), len(items)), np.int16)    # whether a word with weight stands in an item
+    holders: list[list[int]] = [[] for _ in idf]             # the items in which a word with weight stands
     heavy = np.zeros(len(items))                             # words with weight in an item
+    most = max(int(np.bincount(ids).max()) for _, ids, _ in items)
+    times = np.zeros((len(idf), len(items)), np.min_scalar_type(most))   # how often a word stands in an item
     cut, owner = [], []                                      # the queries and their items
     for q, (_, ids, _) in enumerate(items):
         own = np.array(ids)[idf[ids] > 0]
-        weighted[own, q] = 1
+        for w in np.unique(own).tolist():
+            holders[w].append(q)
+        word, n = np.unique(ids, return_counts=True)
+        times[word, q] = n
         heavy[q] = len(own)
         for piece in pieces(ids):
             cut.append(piece)
             owner.append(q)
+    held_by = np.array([len(h) for h in holders])
+    holder_begin, holder = np.cumsum(held_by) - held_by, np.array([q for h in holders for q in h], np.int64)
     owner = np.array(owner)
     latent, whole = np.zeros((len(cut), axes.shape[1])), np.zeros(len(cut))
     for k, piece in enumerate(cut):
-        word, times = np.unique(piece, return_counts=True)
-        latent[k] = (times * idf[word]) @ axes[word]
-        whole[k] = np.linalg.norm(times * idf[word])
+        word, n = np.unique(piece, return_counts=True)
+        latent[k] = (n * idf[word]) @ axes[word]
+        whole[k] = np.linalg.norm(n * idf[word])
     share_kept = np.linalg.norm(latent, axis=1) / np.maximum(whole, 1e-12)
     latent = (latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)).astype(np.float32)
-    axes32 = axes.astype(np.float32)
+    scaled = (axes * idf[:, None]).astype(np.float32)
     known = [(item, place_masks(ids), len(ids), place_masks(answer), len(answer), 2.0 if own else MIN_WHOLE)
              for (item, ids, answer), own in zip(items, given)]
     sizes = np.array([len(ids) for _, ids, _ in items])
@@ -328,50 +378,94 @@ def _searcher(axes: np.ndarray, idf: np.ndarray, unknown: float, items: list[tup
     needed = min_lcs * sizes - (sizes - heavy)
     runs = gram_index(items)
     firsts = np.searchsorted(owner, np.arange(len(items)))   # each item's first query
+    around = int(reach.max()) + 2                            # cells that a candidate may look at on either side
+    step = max(COSINES // len(cut), around)                  # passages compared at once
+    small = np.uint16 if len(idf) <= 1 << 16 else np.int64   # 16 bits are sorted by counting
+
+    def held_words(word: np.ndarray, cell: np.ndarray, lo: int, hi: int) -> np.ndarray:
+        """Row c: how many words of cells lo to lo + c - 1 stand in each item."""
+        a, b = np.searchsorted(cell, [lo, hi])
+        n = held_by[word[a:b]]
+        spot = np.repeat(holder_begin[word[a:b]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        key = np.repeat((cell[a:b] - lo) * len(items), n) + holder[spot]
+        out = np.zeros((hi - lo + 1, len(items)), np.int32)
+        np.cumsum(np.bincount(key, minlength=(hi - lo) * len(items)).reshape(hi - lo, -1), axis=0, out=out[1:])
+        return out
+
+    def covered(ids: np.ndarray, left: np.ndarray, right: np.ndarray, query: np.ndarray) -> np.ndarray:
+        """Words of an item that stand among words left to right - 1 at all."""
+        known = ids >= 0
+        word = ids[known]
+        order = np.argsort(word.astype(small), kind="stable")
+        before = np.full(len(word), -1)                      # where the word stood last
+        again = word[order[1:]] == word[order[:-1]]
+        before[order[1:][again]] = order[:-1][again]
+        place = np.concatenate([[0], np.cumsum(known)])
+        left, right = place[left], place[right]
+        out = np.zeros(len(query), np.int64)
+        for a, b in bounded(right - left, WORDS):
+            n = right[a:b] - left[a:b]
+            spot = np.repeat(left[a:b] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            of = np.repeat(np.arange(b - a), n)
+            new = before[spot] < left[a:b][of]               # not again
+            spot, of = spot[new], of[new]
+            out[a:b] = np.bincount(of, times[word[spot], query[a:b][of]], b - a)
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                piece = batch.slice(lo, 256)
-                joined, lengths, (word, cell, weight, _, first, n_cells, ids, own) = passages(piece, axes32, idf, unknown)
-                dots = joined @ latent.T
-                norms = np.linalg.norm(joined, axis=1, keepdims=True)
-                norms[norms == 0] = np.inf                       # a passage without weight is no candidate
-                at, query = np.nonzero(dots >= bounds * norms)
-                near = dots[at, query] >= full_bounds[query] * lengths[at]
+            for piece in slices(batch):
+                joined, lengths, (word, cell, first, n_cells, ids, own) = passages(piece, scaled, idf, unknown)
+                norms = np.linalg.norm(joined, axis=1)
+                some = norms > 0                             # a passage without weight is no candidate
+                norms[~some] = 1.0
                 more_at, more_query = gram_hits(runs, ids, own, first)
-                both = np.unique(np.concatenate([at[near] * len(items) + owner[query[near]], more_at * len(items) + more_query]))
-                if not len(both):
+                order = np.argsort(more_at, kind="stable")
+                more_at, more_query = more_at[order], more_query[order]
+                doc_of = np.repeat(np.arange(len(first)), n_cells)
+                n_words = np.diff(piece.column("ids").offsets.to_numpy())
+                begins = np.cumsum(n_words) - n_words
+                kept = []
+                for lo in range(0, len(joined), step):
+                    hi = min(lo + step, len(joined))
+                    cosines = (joined[lo:hi] / norms[lo:hi, None]) @ latent.T
+                    flat = np.flatnonzero(cosines >= bounds)
+                    at, query = flat // len(cut), flat % len(cut)
+                    near = some[lo + at] & (cosines.ravel()[flat] * norms[lo + at] >= full_bounds[query] * lengths[lo + at])
+                    a, b = np.searchsorted(more_at, [lo, hi])
+                    at = np.concatenate([lo + at[near], more_at[a:b]])
+                    query = np.concatenate([owner[query[near]], more_query[a:b]])
+                    if not len(at):
+                        continue
+                    # how often an item's words stand in the cells around a candidate: an upper bound of the subsequence
+                    doc = doc_of[at]
+                    left = np.maximum(at - reach[query], first[doc])
+                    right = np.minimum(at + 2 + reach[query], first[doc] + n_cells[doc])
+                    low, high = max(0, lo - around), min(len(joined), hi + around)
+                    held = held_words(word, cell, low, high)
+                    enough_held = held[right - low, query] - held[left - low, query] >= needed[query]
+                    both = np.unique(at[enough_held] * len(items) + query[enough_held])
+                    if len(both):
+                        at, query = both // len(items), both % len(items)
+                        cosine = np.maximum.reduceat(cosines[at - lo], firsts, axis=1)[np.arange(len(at)), query]
+                        kept.append((at, query, cosine))
+                if not kept:
                     continue
-                at, query = both // len(items), both % len(items)
-                # how often an item's words stand in the cells around a candidate: an upper bound of the subsequence
-                repeat = np.rint(weight / idf[word]).astype(np.int64)
-                doc = np.searchsorted(first, at, "right") - 1
-                left = np.maximum(at - reach[query], first[doc])
-                right = np.minimum(at + 2 + reach[query], first[doc] + n_cells[doc])
-                begin, end = np.searchsorted(cell, left), np.searchsorted(cell, right)
-                near = np.zeros(len(at), np.int64)
-                for a in range(0, len(at), CHUNK):
-                    n = (end - begin)[a:a + CHUNK]
-                    spot = np.repeat(begin[a:a + CHUNK] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                    held = weighted[word[spot], np.repeat(query[a:a + CHUNK], n)] * repeat[spot]
-                    near[a:a + CHUNK] = np.bincount(np.repeat(np.arange(len(n)), n), held, len(n))
-                keep = near >= needed[query]
-                at, query, doc = at[keep], query[keep], doc[keep]
-                cosine = np.maximum.reduceat(dots[at], firsts, axis=1)[np.arange(len(at)), query] / norms[at, 0] if len(at) else at
+                at, query, cosine = (np.concatenate(c) for c in zip(*kept))
+                doc = doc_of[at]
+                begin = begins[doc] + CELL * (at - first[doc])
+                left = np.maximum(begins[doc], begin - sizes[query])
+                right = np.minimum(begins[doc] + n_words[doc], begin + 2 * CELL + sizes[query])
+                likely = covered(ids, left, right, query) >= min_lcs * sizes[query]      # else too few of the item's words at all
                 out: dict[tuple[int, int], tuple[float, float]] = {}
-                texts: dict[int, list[int]] = {}
-                for a, q, d, c in zip(at.tolist(), query.tolist(), doc.tolist(), cosine.tolist()):
+                for q, d, c, a, b, may in zip(query.tolist(), doc.tolist(), cosine.tolist(), left.tolist(), right.tolist(), likely.tolist()):
                     item, masks, length, answer, answer_length, enough = known[q]
-                    if d not in texts:
-                        texts[d] = piece.column("ids")[d].values.to_pylist()
-                    begin = CELL * (a - int(first[d]))
                     if out.get((d, item), (0.0, 0.0))[0] == 1.0:
                         out[d, item] = 1.0, max(out[d, item][1], c)   # the whole item is found already
                         continue
-                    region = texts[d][max(0, begin - length):begin + 2 * CELL + length]
-                    if sum([masks[w].bit_count() for w in masks.keys() & region]) < min_lcs * length:
-                        continue                             # too few of the item's words at all
+                    if not may:
+                        continue
+                    region = ids[a:b].tolist()
                     share = lcs(masks, length, region) / length
                     if share >= min_lcs and (not answer_length or share >= enough or lcs(answer, answer_length, region) >= min_answer * answer_length):
                         old = out.get((d, item), (0.0, 0.0))
